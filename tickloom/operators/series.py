@@ -121,9 +121,6 @@ class SeriesFrame:
     def add(self, columns: dict[str, Column]) -> "SeriesFrame":
         return SeriesFrame(self.df.withColumns(columns), self.frames) if columns else self
 
-    def _own(self, x: Column) -> Column:
-        return F.when(F.col(ROLE) == 0, x) if self.frames.chunked else x
-
     def _with_carry(self, summary: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
         """Join per-chunk results, scanned over an entity's chunks, to the rows."""
         by = self.frames.partition
