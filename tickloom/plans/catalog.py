@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import technical_queries
+from tickloom.plans import technical_queries, window_queries
 
-PARTS = (technical_queries,)
+PARTS = (technical_queries, window_queries)
 
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
