@@ -100,8 +100,10 @@ def fold_label(label: Column) -> Column:
 
 
 def _partial_sums(score: Column, label: Column) -> list[Column]:
+    # decimal sums do not depend on the order of the articles, so a balanced
+    # bar has a mean of exactly 0 and the sign flags built on it are stable
     return [
-        F.sum(score).alias("__sum"),
+        F.sum(score.cast("decimal(20,12)")).alias("__sum"),
         F.count(score).alias("__scored"),
         F.max(F.abs(score)).alias("__max"),
         F.sum(label.isin(*BULLISH).cast("long")).alias("__bull"),
@@ -112,7 +114,7 @@ def _partial_sums(score: Column, label: Column) -> list[Column]:
 
 def _combined() -> list[Column]:
     return [
-        F.try_divide(F.sum("__sum"), F.sum("__scored")).alias("sent_mean"),
+        F.try_divide(F.sum("__sum").cast("double"), F.sum("__scored")).alias("sent_mean"),
         F.max("__max").alias("sent_max_abs"),
         F.coalesce(F.sum("__bull"), F.lit(0)).alias("bullish_cnt"),
         F.coalesce(F.sum("__bear"), F.lit(0)).alias("bearish_cnt"),
