@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 KIND, AT, CELL = "__kind", "__at", "__cell"
 
 
-def _aligned(
+def aligned(
     points: DataFrame,
     marks: DataFrame,
     entity: list[str],
@@ -88,7 +88,7 @@ def asof_forward(
 ) -> DataFrame:
     """Each point with the first mark at or after it, NULL where there is none."""
     payload = payload or {mark_time: F.col(mark_time)}
-    return _aligned(points, marks, entity, F.col(at), mark_time, payload, True, bucket).drop(AT)
+    return aligned(points, marks, entity, F.col(at), mark_time, payload, True, bucket).drop(AT)
 
 
 def asof_backward(
@@ -103,4 +103,4 @@ def asof_backward(
 ) -> DataFrame:
     """Each point with the last mark at or before it, NULL where there is none."""
     payload = payload or {mark_time: F.col(mark_time)}
-    return _aligned(points, marks, entity, F.col(at), mark_time, payload, False, bucket).drop(AT)
+    return aligned(points, marks, entity, F.col(at), mark_time, payload, False, bucket).drop(AT)

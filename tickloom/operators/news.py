@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.asof import AT, _aligned
+from tickloom.operators.asof import AT, aligned
 
 SESSION_START = 4
 SESSION_END = 20
@@ -54,7 +54,7 @@ def _find_bars(points: DataFrame, bars: DataFrame, compat: bool, published: str
         "__any": F.col("bar_ts"),
         "__open": F.when(_is_open(F.col("bar_ts")), F.col("bar_ts")),
     }
-    found = _aligned(points, marks, ["symbol"], F.col(SEARCH), "bar_ts", payload, True, "day")
+    found = aligned(points, marks, ["symbol"], F.col(SEARCH), "bar_ts", payload, True, "day")
     found = found.withColumn(
         "bar_ts", F.when(F.col(NEEDS_OPEN), F.col("__open")).otherwise(F.col("__any"))
     ).drop("__any", "__open", AT)
@@ -62,7 +62,7 @@ def _find_bars(points: DataFrame, bars: DataFrame, compat: bool, published: str
         return found
     lost = F.col("bar_ts").isNull() & ~F.col(NEEDS_OPEN)
     again = found.where(lost).drop("bar_ts").withColumn(SEARCH, _open_of(F.col(published)))
-    fallback = _aligned(
+    fallback = aligned(
         again,
         marks.where(_is_open(F.col("bar_ts"))),
         ["symbol"],
@@ -87,7 +87,7 @@ def next_session_open(points: DataFrame, bars: DataFrame, at: str) -> DataFrame:
     """Every row with the first 04:00 bar at or after 04:00 of its day."""
     marks = bars.where(_is_open(F.col("bar_ts"))).select("symbol", "bar_ts")
     rows = points.withColumn(SEARCH, _open_of(F.col(at)))
-    return _aligned(
+    return aligned(
         rows, marks, ["symbol"], F.col(SEARCH), "bar_ts", {"bar_ts": F.col("bar_ts")}, True, "day"
     ).drop(AT, SEARCH)
 
@@ -99,7 +99,7 @@ def fold_label(label: Column) -> Column:
     )
 
 
-def _partial_sums(score: Column, label: Column) -> list[Column]:
+def partial_sums(score: Column, label: Column) -> list[Column]:
     # decimal sums do not depend on the order of the articles, so a balanced
     # bar has a mean of exactly 0 and the sign flags built on it are stable
     return [
@@ -151,7 +151,7 @@ def news_per_bar(
         # the fallback depends on the article's own day
         points = points.withColumn("__day", F.date_trunc("day", published).cast("timestamp_ntz"))
         keys = [*keys, "__day"]
-    slots = points.groupBy(*keys).agg(*_partial_sums(F.col(score), F.col(label)))
+    slots = points.groupBy(*keys).agg(*partial_sums(F.col(score), F.col(label)))
     placed = _find_bars(slots, bars, compat, "__day" if compat else None)
     return placed.where(F.col("bar_ts").isNotNull()).groupBy("symbol", "bar_ts").agg(*_combined())
 

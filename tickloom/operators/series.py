@@ -231,6 +231,16 @@ class SeriesFrame:
         rows = F.count(F.lit(1)).over(self.frames.whole)
         return self.add({name: F.coalesce(F.col(TOTAL), rows)})
 
+    def totals(self, columns: dict[str, Column]) -> "SeriesFrame":
+        """Aggregates over all rows of the entity, on each of its rows."""
+        if not self.frames.chunked:
+            return self.add({n: c.over(self.frames.whole) for n, c in columns.items()})
+        entity = list(self.series.entity)
+        own = self.df.where(F.col(ROLE) == 0)
+        per_entity = own.groupBy(*entity).agg(*[c.alias(n) for n, c in columns.items()])
+        per_chunk = own.select(*entity, CHUNK).distinct().join(per_entity, entity)
+        return SeriesFrame(self.df.join(per_chunk, [*entity, CHUNK], "left"), self.frames)
+
     def drop(self, *columns: str) -> "SeriesFrame":
         return SeriesFrame(self.df.drop(*columns), self.frames)
 
