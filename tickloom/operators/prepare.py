@@ -63,9 +63,13 @@ def _lookup(table: DataFrame) -> DataFrame:
 def with_static_info(
     df: DataFrame, info: DataFrame, key: str = "symbol", defaults: dict | None = None
 ) -> DataFrame:
-    """Attributes of the symbol, with defaults where it is not listed."""
+    """Attributes of the symbol, with defaults where it is not listed. An
+    attribute the table does not have at all is its default everywhere."""
     defaults = STATIC_DEFAULTS if defaults is None else defaults
-    return df.join(_lookup(info), key, "left").fillna(defaults)
+    absent = {c: F.lit(v) for c, v in defaults.items() if c not in info.columns}
+    held = {c: v for c, v in defaults.items() if c in info.columns}
+    looked = df.join(_lookup(info), key, "left").fillna(held)
+    return looked.withColumns(absent) if absent else looked
 
 
 @dataclass
@@ -302,10 +306,10 @@ def fit_scaler(
 # --- importance and selection -----------------------------------------------
 
 
-def _bin(x: Column, cuts: Sequence[float]) -> Column:
-    if not cuts:
-        return F.lit(0)
-    return reduce(lambda a, b: a + b, [(x > F.lit(float(c))).cast("int") for c in cuts])
+def _bin(column: str, cuts: Sequence[float]) -> str:
+    """Number of cut points below the value, as SQL text."""
+    above = " + ".join(f"IF(`{column}` > {S.number(c)}, 1, 0)" for c in cuts)
+    return f"{above or 0} AS `{column}`"
 
 
 def mutual_information(
@@ -317,22 +321,20 @@ def mutual_information(
     number at most bins squared per feature.
     """
     features = list(features)
-    known = df.where(F.col(target).isNotNull()).select(
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features],
-        F.col(target).cast("double").alias("__y"),
+    known = df.where(F.col(target).isNotNull()).selectExpr(
+        *[f"coalesce(CAST(`{c}` AS DOUBLE), 0D) AS `{c}`" for c in features],
+        f"CAST(`{target}` AS DOUBLE) AS __y",
     )
     qs = [i / bins for i in range(1, bins)]
     found = S.exact_quantiles(known, [*features, "__y"], qs)
     cuts = {c: sorted({found[c, q] for q in qs} - {None}) for c in [*features, "__y"]}
-    binned = known.select(
-        *[_bin(F.col(c), cuts[c]).alias(c) for c in features],
-        _bin(F.col("__y"), cuts["__y"]).alias("__by"),
-    )
+    binned = known.selectExpr(*[_bin(c, cuts[c]) for c in [*features, "__y"]])
     cells = (
-        binned.unpivot("__by", features, "feature", "__bx")
-        .groupBy("feature", "__bx", "__by")
+        S.long_form(binned, features, "int", ["__y"])
+        .groupBy(S.PLACE, F.col("value").alias("__bx"), F.col("__y").alias("__by"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+    cells = S.by_name(cells, features)
     of_feature = Window.partitionBy("feature")
     share = cells.withColumns(
         {

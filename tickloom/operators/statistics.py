@@ -37,16 +37,35 @@ class _Bracket:
     def place(self) -> float:
         return self.q * (self.rows - 1)
 
+    @property
+    def part(self) -> float:
+        """The wanted rank as a fraction of the rows inside."""
+        return (self.place - self.below) / (self.inside - 1) if self.inside > 1 else 0.0
+
     def holds(self) -> bool:
         first, last = math.floor(self.place), math.ceil(self.place)
         return self.below <= first and last <= self.below + self.inside - 1
 
-    def within(self) -> Column:
-        return F.when(F.col(self.column).between(self.low, self.high), F.col(self.column))
+    def within(self) -> str:
+        low, high = number(self.low), number(self.high)
+        return f"CASE WHEN `{self.column}` BETWEEN {low} AND {high} THEN `{self.column}` END"
+
+
+def number(x: float) -> str:
+    """A double as a SQL literal."""
+    return f"{float(x)!r}D"
+
 
+def distinct_estimate(x: str) -> str:
+    """About how many distinct values, within a percent. One sketch object per
+    column keeps aggregates over many columns narrow."""
+    return f"hll_sketch_estimate(hll_sketch_agg(IF({x} IS NULL, NULL, xxhash64({x})), 14))"
 
-def _row(df: DataFrame, expressions: list[Column]) -> list:
-    return list(df.agg(*[e.alias(f"c{i}") for i, e in enumerate(expressions)]).first())
+
+def _row(df: DataFrame, expressions: list[str]) -> list:
+    """One aggregate row. Texts plan much faster than columns built one by one
+    where there are hundreds of them."""
+    return list(df.selectExpr(*[f"{e} AS c{i}" for i, e in enumerate(expressions)]).first())
 
 
 def exact_quantiles(
@@ -70,7 +89,8 @@ def exact_quantiles(
         [
             e
             for c in columns
-            for e in (F.count(c), F.min(c), F.max(c), F.approx_count_distinct(c))
+            for x in [f"`{c}`"]
+            for e in (f"count({x})", f"min({x})", f"max({x})", distinct_estimate(x))
         ],
     )
     result: dict[tuple[str, float], float | None] = {}
@@ -90,7 +110,8 @@ def exact_quantiles(
             last = (math.ceil(b.place) - b.below + 1) / b.inside
             slack = b.margin / SKETCH_ACCURACY
             ends = [max(0.0, first - slack), min(1.0, last + slack)]
-            asked.append(F.percentile_approx(b.within(), ends, SKETCH_ACCURACY))
+            places = ", ".join(number(e) for e in ends)
+            asked.append(f"percentile_approx({b.within()}, array({places}), {SKETCH_ACCURACY})")
         tried = [
             _Bracket(b.column, b.q, b.rows, float(lo), float(hi), 0, 0, 0, b.margin)
             for b, (lo, hi) in zip(wide, _row(df, asked))
@@ -101,9 +122,9 @@ def exact_quantiles(
                 e
                 for t in tried
                 for e in (
-                    F.count_if(F.col(t.column) < t.low),
-                    F.count(t.within()),
-                    F.approx_count_distinct(t.within()),
+                    f"count_if(`{t.column}` < {number(t.low)})",
+                    f"count({t.within()})",
+                    distinct_estimate(f"({t.within()})"),
                 )
             ],
         )
@@ -116,18 +137,18 @@ def exact_quantiles(
             else:  # cannot narrow further: the exact aggregate takes it whole
                 b.distinct = 0
 
-    if brackets:
-        exact = _row(
-            df,
-            [
-                F.percentile(
-                    b.within(),
-                    F.lit((b.place - b.below) / (b.inside - 1) if b.inside > 1 else 0.0),
-                )
-                for b in brackets
-            ],
-        )
-        result |= {(b.column, b.q): v for b, v in zip(brackets, exact)}
+    # one aggregate per value range answers all of its quantiles
+    shared: dict[tuple[str, float, float], list[_Bracket]] = {}
+    for b in brackets:
+        shared.setdefault((b.column, b.low, b.high), []).append(b)
+    if shared:
+        asked = [
+            f"percentile({bs[0].within()}, array({', '.join(number(b.part) for b in bs)}))"
+            for bs in shared.values()
+        ]
+        exact = _row(df, asked)
+        for bs, values in zip(shared.values(), exact):
+            result |= {(b.column, b.q): v for b, v in zip(bs, values)}
     return result
 
 
@@ -140,10 +161,24 @@ def quartile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    return df.select(*[F.col(c).cast(kind).alias(c) for c in columns]).unpivot(
-        [], list(columns), "feature", "value"
-    )
+PLACE = "__feature_place"
+
+
+def long_form(
+    df: DataFrame, columns: Sequence[str], kind: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(keep..., place, value): one row per cell, features by their place in
+    `columns`. Grouping by a small number is cheaper than by a name, and one
+    array plans far smaller than a projection per column."""
+    cells = F.array(*[F.col(c).cast(kind) for c in columns])
+    return df.select(*keep, F.posexplode(cells).alias(PLACE, "value"))
+
+
+def by_name(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace the place by the name, as `feature`."""
+    names = F.array(*[F.lit(c) for c in columns])
+    rest = [c for c in df.columns if c != PLACE]
+    return df.select(F.get(names, F.col(PLACE)).alias("feature"), *rest)
 
 
 def _by_kind(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, list[str]]]:
@@ -157,14 +192,20 @@ def distinct_ratios(df: DataFrame, columns: Sequence[str], approximate: bool = F
     if approximate:
         row = df.agg(
             F.count(F.lit(1)).alias("rows"),
-            *[F.approx_count_distinct(c, 0.01).alias(c) for c in columns],
+            *[F.expr(distinct_estimate(f"`{c}`")).alias(c) for c in columns],
         )
         table = row.unpivot("rows", list(columns), "feature", "distinct_values")
     else:
         parts = [
-            _long(df, cs, kind)
-            .groupBy("feature")
-            .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("value").alias("distinct_values"))
+            by_name(
+                long_form(df, cs, kind)
+                .groupBy(PLACE)
+                .agg(
+                    F.count(F.lit(1)).alias("rows"),
+                    F.count_distinct("value").alias("distinct_values"),
+                ),
+                cs,
+            )
             for kind, cs in _by_kind(df, columns)
         ]
         table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -213,17 +254,17 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = []
     for kind, cs in _by_kind(df, columns):
         counted = (
-            _long(df, cs, kind).where(F.col("value").isNotNull()).groupBy("feature", "value").count()
+            long_form(df, cs, kind).where(F.col("value").isNotNull()).groupBy(PLACE, "value").count()
         )
-        # two steps of plain max and min, both combined before the shuffle
-        top = counted.groupBy("feature").agg(F.max("count").alias("copies"))
-        parts.append(
-            counted.join(F.broadcast(top), "feature")
+        # most copies first, then the smallest value: combined before the shuffle
+        top = counted.groupBy(PLACE).agg(F.max("count").alias("copies"))
+        best = (
+            counted.join(F.broadcast(top), PLACE)
             .where(F.col("count") == F.col("copies"))
-            .groupBy("feature", "copies")
+            .groupBy(PLACE, "copies")
             .agg(F.min("value").cast("string").alias("mode"))
-            .select("feature", "mode", "copies")
         )
+        parts.append(by_name(best, cs).select("feature", "mode", "copies"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

@@ -16,7 +16,7 @@ from tickloom.operators.cross_asset import SECTOR_SYMBOLS, cross_asset_features
 from tickloom.operators.sentiment import sentiment_features
 from tickloom.operators.series import Series, plan_series
 from tickloom.operators.technical import technical_features
-from tickloom.session import cut_lineage
+from tickloom.session import materialise
 from tickloom.sources.tables import project, validate_bars
 
 
@@ -109,8 +109,9 @@ def build_training_table(
     info: DataFrame | None = None,
     daily: DataFrame | None = None,
 ) -> TrainingTable:
-    """All stages in order. Bars are features once, checkpointed because four
-    fits read them; selection and scaling are fitted on the training part."""
+    """All stages in order. Features and lagged candidates are written once
+    each, because the fits after them read them several times and by column.
+    Selection, encoding and scaling are fitted on the training part."""
     plan = plan or TrainingPlan()
     started = time.time()
     entity = series.entity[0]
@@ -121,7 +122,7 @@ def build_training_table(
     df = P.all_finite(df)
     df = P.with_target(df, series, plan.target_column, plan.prediction_horizon)
     df = P.time_split(df, series, plan.train_share)
-    df = cut_lineage(df)
+    df = materialise(df, "features")
 
     train = df.where("is_train")
     skip = [*series.keys, "target", "time_idx", "is_train"]
@@ -147,12 +148,12 @@ def build_training_table(
     labels = P.fit_labels(df.where("is_train"), texts) if texts else None
     if labels:
         df = labels.transform(df)
+    df = materialise(df, "candidates")
 
     train = df.where("is_train")
     selected = P.select_features(train, roles, "target", plan.max_features)
     wanted = [c for cs in selected.values() for c in cs]
     df = project(df, [*series.keys, "time_idx", "is_train", "target", plan.target_column, *wanted])
-    df = cut_lineage(df)
     train = df.where("is_train")
 
     numeric = [
