@@ -97,7 +97,7 @@ def add_all_features(
     if plan.include_events:
         if "headline_count" in df.columns:
             df = sentiment_features(df, series, groups=plan.sentiment_groups, layout=layout)
-        df = with_calendar(df, series.time)
+        df = with_calendar(df, series.time, source=bars)
     return df
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,6 +18,15 @@ SIGNAL_SCHEMA = (
 )
 
 
+def _timed(df: DataFrame, time: str) -> DataFrame:
+    """Watermarks exist for zoned timestamps only, the library's are without."""
+    return df.withColumn(time, F.col(time).cast("timestamp"))
+
+
+def _start() -> Column:
+    return F.col("window.start").cast("timestamp_ntz")
+
+
 def streaming_bars(
     ticks: DataFrame,
     *,
@@ -29,10 +38,13 @@ def streaming_bars(
 ) -> DataFrame:
     """Bars of closed slots; ticks later than the watermark are dropped."""
     return (
-        ticks.withWatermark(time, lateness)
+        _timed(ticks, time)
+        .withWatermark(time, lateness)
         .groupBy(F.col(entity).alias("symbol"), F.window(time, step))
         .agg(*bar_columns(time, value))
-        .select("symbol", F.col("window.start").alias("bar_ts"), "open", "high", "low", "close", "volume")
+        .select(
+            "symbol", _start().alias("bar_ts"), "open", "high", "low", "close", "volume"
+        )
     )
 
 
@@ -48,12 +60,13 @@ def streaming_news(
     """Sentiment and counts per tumbling slot. The session rules of
     `news_per_bar` need the bars and run per batch, see `map_each_batch`."""
     return (
-        news.withWatermark(published, lateness)
+        _timed(news, published)
+        .withWatermark(published, lateness)
         .groupBy("symbol", F.window(published, step))
         .agg(*partial_sums(F.col(score), F.col(label)))
         .select(
             "symbol",
-            F.col("window.start").alias("slot"),
+            _start().alias("slot"),
             F.try_divide(F.col("__sum").cast("double"), F.col("__scored")).alias("sent_mean"),
             F.col("__max").alias("sent_max_abs"),
             F.coalesce("__bull", F.lit(0)).alias("bullish_cnt"),
