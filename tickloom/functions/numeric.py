@@ -51,12 +51,3 @@ def sorted_quantile(ordered: Column, q: float, n: int) -> Column:
         return first
     return first + (F.get(ordered, F.lit(low + 1)) - first) * part
 
-
-def rounded(x: Column, digits: int = 6) -> Column:
-    """Round for comparison, with one kind of zero.
-
-    The small shift takes exact halves off the edge, where two engines may
-    round to different sides.
-    """
-    r = F.round(x + F.lit(10.0 ** -(digits + 4)), digits)
-    return F.when(r == 0, F.lit(0.0)).otherwise(r)

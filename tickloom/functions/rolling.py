@@ -11,36 +11,31 @@ from tickloom.functions.numeric import ratio, sorted_quantile
 from tickloom.operators.series import Frames
 
 
-def full(f: Frames, x: Column | str, n: int) -> Column:
-    """True where the last n rows all hold a value."""
-    return F.count(x).over(f.last(n)) == n
+def rolling(f: Frames, agg: Callable[[str], Column], x: str, n: int) -> Column:
+    return F.when(f.full(x, n), agg(x).over(f.last(n)))
 
 
-def rolling(f: Frames, agg: Callable[[Column | str], Column], x: Column | str, n: int) -> Column:
-    return F.when(full(f, x, n), agg(x).over(f.last(n)))
-
-
-def mean(f: Frames, x: Column | str, n: int) -> Column:
+def mean(f: Frames, x: str, n: int) -> Column:
     return rolling(f, F.avg, x, n)
 
 
-def total(f: Frames, x: Column | str, n: int) -> Column:
+def total(f: Frames, x: str, n: int) -> Column:
     return rolling(f, F.sum, x, n)
 
 
-def deviation(f: Frames, x: Column | str, n: int) -> Column:
+def deviation(f: Frames, x: str, n: int) -> Column:
     return rolling(f, F.stddev_samp, x, n)
 
 
-def lowest(f: Frames, x: Column | str, n: int) -> Column:
+def lowest(f: Frames, x: str, n: int) -> Column:
     return rolling(f, F.min, x, n)
 
 
-def highest(f: Frames, x: Column | str, n: int) -> Column:
+def highest(f: Frames, x: str, n: int) -> Column:
     return rolling(f, F.max, x, n)
 
 
-def values(f: Frames, x: Column | str, n: int) -> Column:
+def values(f: Frames, x: str, n: int) -> Column:
     """The present values among the last n rows, oldest first."""
     return F.collect_list(x).over(f.last(n))
 
@@ -52,8 +47,8 @@ def quantile_of(held: Column, present: Column, q: float, n: int) -> Column:
     return F.when(present, sorted_quantile(F.sort_array(F.slice(held, -n, n)), q, n))
 
 
-def quantile(f: Frames, x: Column | str, q: float, n: int) -> Column:
-    return F.when(full(f, x, n), sorted_quantile(F.sort_array(values(f, x, n)), q, n))
+def quantile(f: Frames, x: str, q: float, n: int) -> Column:
+    return F.when(f.full(x, n), sorted_quantile(F.sort_array(values(f, x, n)), q, n))
 
 
 def absolute_deviation(f: Frames, x: str, n: int) -> Column:
@@ -62,7 +57,7 @@ def absolute_deviation(f: Frames, x: str, n: int) -> Column:
     spread = F.aggregate(
         F.transform(values(f, x, n), lambda v: F.abs(v - mu)), F.lit(0.0), lambda a, v: a + v
     )
-    return F.when(full(f, x, n), spread / F.lit(float(n)))
+    return F.when(f.full(x, n), spread / F.lit(float(n)))
 
 
 def trend_correlation(f: Frames, x: str, place: str, n: int) -> Column:
@@ -71,6 +66,6 @@ def trend_correlation(f: Frames, x: str, place: str, n: int) -> Column:
     spread = F.stddev_samp(x).over(w)
     flat = F.max(x).over(w) == F.min(x).over(w)
     return F.when(
-        full(f, x, n) & ~flat,
+        f.full(x, n) & ~flat,
         ratio(F.covar_samp(x, place).over(w), spread * F.stddev_samp(place).over(w)),
     )

@@ -13,6 +13,27 @@ from pyspark.sql import functions as F
 
 KIND, AT, CELL = "__kind", "__at", "__cell"
 
+#: Rows of one entity that one ordered cell should not exceed.
+CELL_ROWS = 500_000
+UNITS = ("day", "hour", "minute", "second")
+
+
+def cell_unit(tables: list[tuple[DataFrame, str]], entity: list[str]) -> str:
+    """Coarsest time unit whose fullest (entity, cell) stays within CELL_ROWS.
+
+    Each step is a count over the entity and time columns; the day already
+    suffices unless an entity is very dense.
+    """
+    times = [df.select(*entity, F.col(t).alias(AT)) for df, t in tables]
+    rows = times[0]
+    for other in times[1:]:
+        rows = rows.unionByName(other)
+    for unit in UNITS[:-1]:
+        cells = rows.groupBy(*entity, F.date_trunc(unit, AT).alias(CELL)).count()
+        if (cells.agg(F.max("count")).first()[0] or 0) <= CELL_ROWS:
+            return unit
+    return UNITS[-1]
+
 
 def aligned(
     points: DataFrame,
@@ -84,10 +105,11 @@ def asof_forward(
     at: str,
     mark_time: str,
     payload: dict[str, Column] | None = None,
-    bucket: str = "day",
+    bucket: str | None = None,
 ) -> DataFrame:
     """Each point with the first mark at or after it, NULL where there is none."""
     payload = payload or {mark_time: F.col(mark_time)}
+    bucket = bucket or cell_unit([(points, at), (marks, mark_time)], entity)
     return aligned(points, marks, entity, F.col(at), mark_time, payload, True, bucket).drop(AT)
 
 
@@ -99,8 +121,9 @@ def asof_backward(
     at: str,
     mark_time: str,
     payload: dict[str, Column] | None = None,
-    bucket: str = "day",
+    bucket: str | None = None,
 ) -> DataFrame:
     """Each point with the last mark at or before it, NULL where there is none."""
     payload = payload or {mark_time: F.col(mark_time)}
+    bucket = bucket or cell_unit([(points, at), (marks, mark_time)], entity)
     return aligned(points, marks, entity, F.col(at), mark_time, payload, False, bucket).drop(AT)

@@ -6,6 +6,7 @@ one pass over it; the wide daily table is one aggregation by day.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,12 @@ from tickloom.operators.calendar import BROADCAST_DAYS, day_span, day_table
 from tickloom.operators.recipe import Level, Recipe, add_features
 from tickloom.operators.series import Frames, Series
 
-DAILY = Series(("series",), "day", bucket="year")
+
+def daily_series(daily: DataFrame) -> Series:
+    """One row per series and day, so the date range bounds every series."""
+    start, end = day_span(daily, "day")
+    return Series(("series",), "day", bucket="year", max_rows=(end - start).days + 1)
+
 
 # The vendor symbols of each role.
 PROXIES = {"VIX": "VIX", "DXY": "UUP", "TNX": "TNX", "FVX": "FVX"}
@@ -111,12 +117,16 @@ def _of(daily: DataFrame, *names: str) -> DataFrame:
     return daily.where(F.col("series").isin(*names))
 
 
-def volatility_features(daily: DataFrame, source: str = "VIX") -> DataFrame:
-    return add_features(_of(daily, source), DAILY, [volatility_index], keep=["day"])
+def volatility_features(
+    daily: DataFrame, source: str = "VIX", series: Series | None = None
+) -> DataFrame:
+    return add_features(_of(daily, source), series or daily_series(daily), [volatility_index], keep=["day"])
 
 
-def dollar_features(daily: DataFrame, source: str = "DXY") -> DataFrame:
-    return add_features(_of(daily, source), DAILY, [dollar_index], keep=["day"])
+def dollar_features(
+    daily: DataFrame, source: str = "DXY", series: Series | None = None
+) -> DataFrame:
+    return add_features(_of(daily, source), series or daily_series(daily), [dollar_index], keep=["day"])
 
 
 def _wide(long: DataFrame, names: dict[str, str], columns: Sequence[str], name_of) -> DataFrame:
@@ -130,9 +140,11 @@ def _wide(long: DataFrame, names: dict[str, str], columns: Sequence[str], name_o
     return long.groupBy("day").agg(*picked)
 
 
-def yield_features(daily: DataFrame, short: str = "FVX", long: str = "TNX") -> DataFrame:
+def yield_features(
+    daily: DataFrame, short: str = "FVX", long: str = "TNX", series: Series | None = None
+) -> DataFrame:
     """Both tenors on their own days."""
-    each = add_features(_of(daily, short, long), DAILY, [yields], keep=["series", "day"])
+    each = add_features(_of(daily, short, long), series or daily_series(daily), [yields], keep=["series", "day"])
     columns = ["yield", "yield_change", "yield_ma_5", "yield_ma_20"]
     return _wide(
         each,
@@ -156,7 +168,9 @@ def curve(f: Frames) -> Recipe:
     return Recipe(["yield_spread", *out], [Level(add=out)], back=5)
 
 
-def curve_features(daily: DataFrame, short: str = "FVX", long: str = "TNX") -> DataFrame:
+def curve_features(
+    daily: DataFrame, short: str = "FVX", long: str = "TNX", series: Series | None = None
+) -> DataFrame:
     """Spread features on the days both tenors have."""
     both = (
         _of(daily, short, long)
@@ -174,18 +188,25 @@ def curve_features(daily: DataFrame, short: str = "FVX", long: str = "TNX") -> D
             (F.col("__long") - F.col("__short")).alias("yield_spread"),
         )
     )
-    return add_features(both, DAILY, [curve], keep=["day"])
+    return add_features(both, series or daily_series(daily), [curve], keep=["day"])
 
 
-def treasury_features(daily: DataFrame, short: str = "FVX", long: str = "TNX") -> DataFrame:
-    return yield_features(daily, short, long).join(
-        curve_features(daily, short, long), "day", "full_outer"
+def treasury_features(
+    daily: DataFrame, short: str = "FVX", long: str = "TNX", series: Series | None = None
+) -> DataFrame:
+    series = series or daily_series(daily)
+    return yield_features(daily, short, long, series).join(
+        curve_features(daily, short, long, series), "day", "full_outer"
     )
 
 
-def sector_features(daily: DataFrame, sectors: Sequence[str] = tuple(SECTOR_SYMBOLS)) -> DataFrame:
+def sector_features(
+    daily: DataFrame,
+    sectors: Sequence[str] = tuple(SECTOR_SYMBOLS),
+    series: Series | None = None,
+) -> DataFrame:
     """Six columns per sector and three across sectors, by day."""
-    each = add_features(_of(daily, *sectors), DAILY, [sector_moves], keep=["series", "day"])
+    each = add_features(_of(daily, *sectors), series or daily_series(daily), [sector_moves], keep=["series", "day"])
     columns = ["return", "ma_5", "ma_20", "to_ma20", "momentum_5", "momentum_20"]
     picked = [
         F.max(F.when(F.col("series") == s, F.col(c))).alias(f"{s}_{c}")
@@ -203,11 +224,12 @@ def sector_features(daily: DataFrame, sectors: Sequence[str] = tuple(SECTOR_SYMB
 def cross_asset_tables(
     daily: DataFrame, sectors: Sequence[str] = tuple(SECTOR_SYMBOLS)
 ) -> list[DataFrame]:
+    series = daily_series(daily)
     return [
-        volatility_features(daily),
-        treasury_features(daily),
-        dollar_features(daily),
-        sector_features(daily, sectors),
+        volatility_features(daily, series=series),
+        treasury_features(daily, series=series),
+        dollar_features(daily, series=series),
+        sector_features(daily, sectors, series),
     ]
 
 
@@ -216,17 +238,20 @@ def with_daily(
     tables: Sequence[DataFrame],
     time: str = "bar_ts",
     availability_lag: int = 1,
+    start: dt.date | None = None,
 ) -> DataFrame:
     """Bars with the latest row of each daily table that was known by then.
 
     A daily close becomes visible `availability_lag` days after its day; 0
     shows it from the midnight that starts the day. Every table is first
     filled onto all days, so the bars themselves take one equality join.
+    `start` is a day not after the first of the tables, if already known.
     """
     spark = bars.sparkSession
     _, end = day_span(bars, time)
-    starts = [t.agg(F.min("day")).first()[0] for t in tables]
-    start = min([s for s in starts if s is not None], default=end)
+    if start is None:
+        starts = [t.agg(F.min("day")).first()[0] for t in tables]
+        start = min([s for s in starts if s is not None], default=end)
     last = max(end, start)
     # days, not rows, bound this window: one row per calendar day
     upto = Window.partitionBy(F.lit(0)).orderBy("day")
@@ -260,4 +285,5 @@ def cross_asset_features(
     time: str = "bar_ts",
     availability_lag: int = 1,
 ) -> DataFrame:
-    return with_daily(bars, cross_asset_tables(daily, sectors), time, availability_lag)
+    start, _ = day_span(daily, "day")
+    return with_daily(bars, cross_asset_tables(daily, sectors), time, availability_lag, start)

@@ -75,12 +75,36 @@ def _find_bars(points: DataFrame, bars: DataFrame, compat: bool, published: str
     return found.where(~lost).unionByName(fallback)
 
 
+def _slot(search: Column, grid_seconds: int) -> Column:
+    """First grid time at or after the search time."""
+    size = grid_seconds * 1_000_000
+    micros = F.unix_micros(search.cast("timestamp"))
+    return F.timestamp_micros(F.ceil(micros / F.lit(size)) * size).cast("timestamp_ntz")
+
+
 def map_to_bars(
-    news: DataFrame, bars: DataFrame, published: str = "time_published", compat: bool = False
+    news: DataFrame,
+    bars: DataFrame,
+    published: str = "time_published",
+    *,
+    grid_seconds: int | None = 300,
+    compat: bool = False,
 ) -> DataFrame:
-    """Every article with the bar it belongs to."""
+    """Every article with the bar it belongs to.
+
+    With bars on a fixed grid the distinct (symbol, grid slot) pairs are
+    aligned and the articles look their slot up by equality, so a slot or a
+    symbol with very many articles is never ordered in one task. None is for
+    bars off the grid and aligns every article.
+    """
     points = news.withColumns(_search(F.col(published)))
-    return _find_bars(points, bars, compat, published).drop(NEEDS_OPEN, SEARCH)
+    if grid_seconds is None:
+        return _find_bars(points, bars, compat, published).drop(NEEDS_OPEN, SEARCH)
+    day = F.date_trunc("day", published).cast("timestamp_ntz")
+    keys = ["symbol", NEEDS_OPEN, SEARCH, "__day"] if compat else ["symbol", NEEDS_OPEN, SEARCH]
+    points = points.withColumns({SEARCH: _slot(F.col(SEARCH), grid_seconds), "__day": day})
+    slots = _find_bars(points.select(*keys).distinct(), bars, compat, "__day" if compat else None)
+    return points.join(slots, keys, "left").drop(NEEDS_OPEN, SEARCH, "__day")
 
 
 def next_session_open(points: DataFrame, bars: DataFrame, at: str) -> DataFrame:
@@ -142,11 +166,7 @@ def news_per_bar(
     points = news.where(F.col(published).isNotNull()).withColumns(_search(F.col(published)))
     keys = ["symbol", NEEDS_OPEN, SEARCH]
     if grid_seconds is not None:
-        whole = F.col(SEARCH).cast("timestamp")
-        micros = F.unix_micros(whole)
-        size = grid_seconds * 1_000_000
-        slot = F.timestamp_micros(F.ceil(micros / F.lit(size)) * size).cast("timestamp_ntz")
-        points = points.withColumn(SEARCH, slot)
+        points = points.withColumn(SEARCH, _slot(F.col(SEARCH), grid_seconds))
     if compat:
         # the fallback depends on the article's own day
         points = points.withColumn("__day", F.date_trunc("day", published).cast("timestamp_ntz"))

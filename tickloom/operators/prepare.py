@@ -284,23 +284,17 @@ class RobustScaler:
         return df.sparkSession.createDataFrame(rows, "feature string, median double, iqr double")
 
 
-def fit_scaler(
-    df: DataFrame, columns: Sequence[str], approximate: bool = False
-) -> RobustScaler:
+def fit_scaler(df: DataFrame, columns: Sequence[str], exact: bool = True) -> RobustScaler:
     """Fit on the rows given, which should be the training part only."""
-    qs = (0.25, 0.5, 0.75)
-    if approximate:
-        sketches = [F.percentile_approx(c, list(qs), S.SKETCH_ACCURACY).alias(c) for c in columns]
-        row = df.agg(*sketches).first() if columns else {}
-        found = {(c, q): v for c in columns for q, v in zip(qs, row[c] or [None] * 3)}
-    else:
-        found = S.exact_quantiles(df, columns, qs)
-    stats = {}
-    for c in columns:
-        low, mid, high = (found[c, q] for q in qs)
-        if mid is not None:
-            stats[c] = (mid, (high - low) or 1.0)
-    return RobustScaler(stats)
+    low, mid, high = 0.25, 0.5, 0.75
+    found = S.quantiles(df, columns, (low, mid, high), exact)
+    return RobustScaler(
+        {
+            c: (found[c, mid], (found[c, high] - found[c, low]) or 1.0)
+            for c in columns
+            if found[c, mid] is not None
+        }
+    )
 
 
 # --- importance and selection -----------------------------------------------
@@ -313,7 +307,7 @@ def _bin(column: str, cuts: Sequence[float]) -> str:
 
 
 def mutual_information(
-    df: DataFrame, features: Sequence[str], target: str, bins: int = 10
+    df: DataFrame, features: Sequence[str], target: str, bins: int = 10, exact: bool = True
 ) -> DataFrame:
     """(feature, importance_score) from equal-frequency bins, missing read as 0.
 
@@ -326,7 +320,7 @@ def mutual_information(
         f"CAST(`{target}` AS DOUBLE) AS __y",
     )
     qs = [i / bins for i in range(1, bins)]
-    found = S.exact_quantiles(known, [*features, "__y"], qs)
+    found = S.quantiles(known, [*features, "__y"], qs, exact)
     cuts = {c: sorted({found[c, q] for q in qs} - {None}) for c in [*features, "__y"]}
     binned = known.selectExpr(*[_bin(c, cuts[c]) for c in [*features, "__y"]])
     cells = (
@@ -365,6 +359,7 @@ def select_features(
     limits: dict[str, int],
     min_present: float = 0.1,
     bins: int = 10,
+    exact: bool = True,
 ) -> dict[str, list[str]]:
     """Per role the features with enough values, and the best of them by mutual
     information with the target where there are more than the limit."""
@@ -384,7 +379,7 @@ def select_features(
         pool = list(dict.fromkeys(c for cs in crowded.values() for c in cs))
         score = {
             r.feature: r.importance_score
-            for r in mutual_information(df, pool, target, bins).collect()
+            for r in mutual_information(df, pool, target, bins, exact).collect()
         }
         for role, held in crowded.items():
             best = sorted(held, key=lambda c: (-score[c], c))[: limits[role]]
@@ -393,13 +388,17 @@ def select_features(
 
 
 def importance_table(
-    df: DataFrame, selected: dict[str, list[str]], target: str, bins: int = 10
+    df: DataFrame,
+    selected: dict[str, list[str]],
+    target: str,
+    bins: int = 10,
+    exact: bool = True,
 ) -> DataFrame:
     """(feature, role, importance_score) of the selected features."""
     pairs = [(c, role) for role, cs in selected.items() for c in cs]
     names = list(dict.fromkeys(c for c, _ in pairs))
     roles = df.sparkSession.createDataFrame(pairs, "feature string, role string")
-    return mutual_information(df, names, target, bins).join(F.broadcast(roles), "feature")
+    return mutual_information(df, names, target, bins, exact).join(F.broadcast(roles), "feature")
 
 
 # --- filling and cleaning ---------------------------------------------------
@@ -428,12 +427,14 @@ def fill_gaps(
     return filled.fillna(rest) if rest else filled
 
 
-def fitted_fill(df: DataFrame, columns: Sequence[str]) -> tuple[dict, dict]:
+def fitted_fill(
+    df: DataFrame, columns: Sequence[str], exact: bool = True
+) -> tuple[dict, dict]:
     """Medians of the numeric and modes of the text columns of these rows."""
     kinds = dict(df.dtypes)
     numeric = [c for c in columns if kinds[c] != "string"]
     text = [c for c in columns if kinds[c] == "string"]
-    medians = {c: v for (c, _), v in S.exact_quantiles(df, numeric, (0.5,)).items()}
+    medians = {c: v for (c, _), v in S.quantiles(df, numeric, (0.5,), exact).items()}
     modes = {r.feature: r.mode for r in S.modes(df, text).collect()} if text else {}
     return medians, modes
 
@@ -556,7 +557,7 @@ def sequence_samples(
     shortest, longest = encoder
     least, most = horizon
     frame = layout.open(df, back=longest, ahead=most + 1)
-    frame = frame.number("__pos")
+    frame = frame.number("__pos").size("__rows")
     held = F.struct("__pos", *[F.col(c) for c in history])
     arrays = {
         "__past": F.collect_list(held).over(f.last(longest)),
@@ -584,11 +585,8 @@ def sequence_samples(
         (F.col("encoder_length") >= shortest) & (F.col("decoder_length") >= least)
     )
     if last_only:
-        best = F.max_by(F.struct(*[c for c in samples.columns]), F.col("__pos"))
-        full = samples.where(F.col("decoder_length") == most)
-        samples = full.groupBy(*series.entity).agg(best.alias("s")).select("s.*")
-    drop = ["__pos", *([] if future else ["known"])]
-    return samples.drop(*drop).select(
+        samples = samples.where(F.col("__pos") == F.col("__rows") - 1 - most)
+    return samples.select(
         *series.keys, "encoder_length", "decoder_length", "history", "horizon",
         *(["known"] if future else []),
     )

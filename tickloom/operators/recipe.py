@@ -63,6 +63,8 @@ def add_features(
     for depth in range(max((len(r.levels) for r in recipes), default=0)):
         level = [r.levels[depth] for r in recipes if depth < len(r.levels)]
         frame = frame.add({n: c for x in level for n, c in x.add.items()})
-        frame = frame.cumulate({n: c for x in level for n, c in x.cumulate.items()})
-        frame = frame.carry({n: c for x in level for n, c in x.carry.items()})
+        frame = frame.scan(
+            cumulate={n: c for x in level for n, c in x.cumulate.items()},
+            carry={n: c for x in level for n, c in x.carry.items()},
+        )
     return frame.close().select(*kept, *[c for c in outputs if c not in kept])

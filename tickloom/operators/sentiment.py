@@ -32,7 +32,7 @@ def rolling_statistics(
         held[f"__held_{c}"] = R.values(f, c, longest)
         for n in sizes:
             held |= {
-                f"__full_{c}_{n}": R.full(f, c, n),
+                f"__full_{c}_{n}": f.full(c, n),
                 f"{c}_ma_{n}": R.mean(f, c, n),
                 f"{c}_std_{n}": R.deviation(f, c, n),
                 f"{c}_min_{n}": R.lowest(f, c, n),
@@ -124,7 +124,7 @@ def time_since_news(f: Frames):
 
 def sentiment_regimes(f: Frames, n: int = 100):
     x = F.col("sent_mean")
-    held = {"__held_regime": R.values(f, "sent_mean", n), "__full_regime": R.full(f, "sent_mean", n)}
+    held = {"__held_regime": R.values(f, "sent_mean", n), "__full_regime": f.full("sent_mean", n)}
     quartile = partial(R.quantile_of, F.col("__held_regime"), F.col("__full_regime"))
     low, high = quartile(0.25, n), quartile(0.75, n)
     out = {

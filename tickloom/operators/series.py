@@ -12,11 +12,12 @@ Rows need a non-null entity and time; `time` plus `ties` must order them fully.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, materialise
 
 CHUNK = "__chunk"
 ROLE = "__role"  # -1 copied from before, 0 own, 1 copied from after
@@ -61,44 +62,66 @@ class Frames:
     series: Series
     chunked: bool = False
 
-    @property
+    # Specifications are made once per instance: each costs several calls into
+    # the JVM, and wide feature sets use them hundreds of times.
+
+    @cached_property
     def partition(self) -> list[str]:
         return [*self.series.entity, *([CHUNK] if self.chunked else [])]
 
-    @property
+    @cached_property
     def order(self) -> WindowSpec:
         return Window.partitionBy(*self.partition).orderBy(self.series.time, *self.series.ties)
 
-    @property
+    @cached_property
     def reverse(self) -> WindowSpec:
         keys = [F.col(c).desc() for c in (self.series.time, *self.series.ties)]
         return Window.partitionBy(*self.partition).orderBy(*keys)
 
-    @property
+    @cached_property
     def whole(self) -> WindowSpec:
         return self.order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    @property
+    @cached_property
     def so_far(self) -> WindowSpec:
         return self.order.rowsBetween(Window.unboundedPreceding, 0)
 
-    @property
+    @cached_property
     def before(self) -> WindowSpec:
         return self.order.rowsBetween(Window.unboundedPreceding, -1)
 
-    @property
+    @cached_property
     def from_here(self) -> WindowSpec:
         """Rows from here to the end, as a growing frame in reverse order."""
         return self.reverse.rowsBetween(Window.unboundedPreceding, 0)
 
+    @cached_property
+    def _rows(self) -> dict[tuple[int, int], WindowSpec]:
+        return {}
+
+    def rows(self, first: int, last: int) -> WindowSpec:
+        if (first, last) not in self._rows:
+            self._rows[first, last] = self.order.rowsBetween(first, last)
+        return self._rows[first, last]
+
     def last(self, n: int) -> WindowSpec:
-        return self.order.rowsBetween(-(n - 1), 0)
+        return self.rows(-(n - 1), 0)
 
     def next(self, n: int) -> WindowSpec:
-        return self.order.rowsBetween(1, n)
+        return self.rows(1, n)
 
     def around(self, k: int) -> WindowSpec:
-        return self.order.rowsBetween(-k, k)
+        return self.rows(-k, k)
+
+    @cached_property
+    def _full(self) -> dict[tuple[str, int], Column]:
+        return {}
+
+    def full(self, x: str, n: int) -> Column:
+        """True where the last n rows all hold a value of column x."""
+        if (x, n) not in self._full:
+            self._full[x, n] = F.count(x).over(self.last(n)) == n
+        return self._full[x, n]
 
     def lag(self, x: Column | str, k: int = 1) -> Column:
         return F.lag(x, k).over(self.order)
@@ -121,99 +144,86 @@ class SeriesFrame:
     def add(self, columns: dict[str, Column]) -> "SeriesFrame":
         return SeriesFrame(self.df.withColumns(columns), self.frames) if columns else self
 
-    def _with_carry(self, summary: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
-        """Join per-chunk results, scanned over an entity's chunks, to the rows."""
-        by = self.frames.partition
-        table = (
-            self.df.where(F.col(ROLE) == 0)
-            .groupBy(*by)
-            .agg(*[c.alias(n) for n, c in summary.items()])
-            .withColumns(carry)
-            .select(*by, *carry)
-        )
-        return self.df.join(table, by, "left")
-
-    @property
-    def _chunk_order(self) -> WindowSpec:
-        return Window.partitionBy(*self.series.entity).orderBy(CHUNK)
-
-    def cumulate(self, columns: dict[str, Column]) -> "SeriesFrame":
-        """Running sums; a row whose value is missing keeps a missing sum."""
-        if not columns:
+    def scan(
+        self,
+        cumulate: dict[str, Column] | None = None,
+        carry: dict[str, Column] | None = None,
+        carry_back: dict[str, Column] | None = None,
+    ) -> "SeriesFrame":
+        """Columns that depend on all rows before (or after) a row.
+
+        cumulate: running sums; a row whose value is missing keeps a missing sum.
+        carry: last present value up to each row. carry_back: first present
+        value from each row on, which looks ahead.
+
+        In a chunked frame the rows are written once, one row per chunk is
+        summed up and scanned along the entity, and joined back. Filled values
+        are then exact on own rows only, so a filled column that other frames
+        read is made before the frame is opened with copied rows.
+        """
+        cumulate, carry, carry_back = cumulate or {}, carry or {}, carry_back or {}
+        wanted = {**cumulate, **carry, **carry_back}
+        if not wanted:
             return self
         f = self.frames
-        staged = self.add({f"__x_{n}": c for n, c in columns.items()})
+        raw = {n: F.col(f"__x_{n}") for n in wanted}
+        staged = self.add({f"__x_{n}": c for n, c in wanted.items()})
+        local = {n: F.sum(raw[n]).over(f.so_far) for n in cumulate}
+        local |= {n: F.last(raw[n], ignorenulls=True).over(f.so_far) for n in carry}
+        local |= {n: F.last(raw[n], ignorenulls=True).over(f.from_here) for n in carry_back}
+
         if not f.chunked:
-            done = {
-                n: F.when(F.col(f"__x_{n}").isNotNull(), F.sum(f"__x_{n}").over(f.so_far))
-                for n in columns
-            }
-            return staged.add(done).drop(*[f"__x_{n}" for n in columns])
-        earlier = self._chunk_order.rowsBetween(Window.unboundedPreceding, -1)
-        df = staged._with_carry(
-            {f"__s_{n}": F.sum(f"__x_{n}") for n in columns},
-            {f"__c_{n}": F.sum(f"__s_{n}").over(earlier) for n in columns},
-        )
-        df = df.withColumns(
-            {
-                n: F.when(
-                    F.col(f"__x_{n}").isNotNull(),
-                    F.coalesce(F.col(f"__c_{n}"), F.lit(0))
-                    + F.sum(f"__x_{n}").over(f.so_far)
-                    - F.coalesce(
-                        F.sum(F.when(F.col(ROLE) == -1, F.col(f"__x_{n}"))).over(f.whole),
-                        F.lit(0),
-                    ),
-                )
-                for n in columns
-            }
+            local |= {n: F.when(raw[n].isNotNull(), local[n]) for n in cumulate}
+            return staged.add(local).drop(*[f"__x_{n}" for n in wanted])
+
+        entity = list(self.series.entity)
+        rows = materialise(staged.df, "chunks")
+        at = F.struct(self.series.time, *self.series.ties)
+        known = {n: F.when(raw[n].isNotNull(), at) for n in wanted}
+        summary = {n: F.sum(raw[n]) for n in cumulate}
+        summary |= {n: F.max_by(raw[n], known[n]) for n in carry}
+        summary |= {n: F.min_by(raw[n], known[n]) for n in carry_back}
+        along = Window.partitionBy(*entity).orderBy(CHUNK)
+        along = along.rowsBetween(Window.unboundedPreceding, -1)
+        against = Window.partitionBy(*entity).orderBy(F.col(CHUNK).desc())
+        against = against.rowsBetween(Window.unboundedPreceding, -1)
+        passed = {n: F.sum(f"__s_{n}").over(along) for n in cumulate}
+        passed |= {n: F.last(f"__s_{n}", ignorenulls=True).over(along) for n in carry}
+        passed |= {n: F.last(f"__s_{n}", ignorenulls=True).over(against) for n in carry_back}
+        chunks = (
+            rows.where(F.col(ROLE) == 0)
+            .groupBy(*f.partition)
+            .agg(*[c.alias(f"__s_{n}") for n, c in summary.items()])
+            .withColumns({f"__c_{n}": c for n, c in passed.items()})
+            .select(*f.partition, *[f"__c_{n}" for n in wanted])
         )
-        return SeriesFrame(df, f).drop(*[f"__{p}_{n}" for n in columns for p in "xc"])
+        # sums over the copied rows in front belong to the chunks before
+        copied = {
+            f"__h_{n}": F.sum(F.when(F.col(ROLE) == -1, raw[n])).over(f.whole) for n in cumulate
+        }
+        df = rows.join(chunks, f.partition, "left").withColumns({**local, **copied})
+        zero = F.lit(0)
+        done = {
+            n: F.when(
+                raw[n].isNotNull(),
+                F.coalesce(F.col(f"__c_{n}"), zero)
+                + F.col(n)
+                - F.coalesce(F.col(f"__h_{n}"), zero),
+            )
+            for n in cumulate
+        }
+        done |= {n: F.coalesce(F.col(n), F.col(f"__c_{n}")) for n in [*carry, *carry_back]}
+        helpers = [f"__{p}_{n}" for n in wanted for p in "xch"]
+        return SeriesFrame(df.withColumns(done), f).drop(*helpers)
+
+    def cumulate(self, columns: dict[str, Column]) -> "SeriesFrame":
+        return self.scan(cumulate=columns)
 
     def carry(self, columns: dict[str, Column]) -> "SeriesFrame":
-        """Last present value up to each row. Exact on own rows, so a filled
-        column that other frames read is made before the frame is opened with
-        copied rows."""
-        if not columns:
-            return self
-        f = self.frames
-        staged = self.add({f"__x_{n}": c for n, c in columns.items()})
-        local = {n: F.last(f"__x_{n}", ignorenulls=True).over(f.so_far) for n in columns}
-        if not f.chunked:
-            return staged.add(local).drop(*[f"__x_{n}" for n in columns])
-        at = F.struct(self.series.time, *self.series.ties)
-        earlier = self._chunk_order.rowsBetween(Window.unboundedPreceding, -1)
-        df = staged._with_carry(
-            {
-                f"__s_{n}": F.max_by(f"__x_{n}", F.when(F.col(f"__x_{n}").isNotNull(), at))
-                for n in columns
-            },
-            {f"__c_{n}": F.last(f"__s_{n}", ignorenulls=True).over(earlier) for n in columns},
-        ).withColumns(local)
-        df = df.withColumns({n: F.coalesce(F.col(n), F.col(f"__c_{n}")) for n in columns})
-        return SeriesFrame(df, f).drop(*[f"__{p}_{n}" for n in columns for p in "xc"])
+        return self.scan(carry=columns)
 
     def carry_back(self, columns: dict[str, Column]) -> "SeriesFrame":
-        """First present value from each row on. Looks ahead."""
-        if not columns:
-            return self
-        f = self.frames
-        staged = self.add({f"__x_{n}": c for n, c in columns.items()})
-        local = {n: F.last(f"__x_{n}", ignorenulls=True).over(f.from_here) for n in columns}
-        if not f.chunked:
-            return staged.add(local).drop(*[f"__x_{n}" for n in columns])
-        at = F.struct(self.series.time, *self.series.ties)
-        later = Window.partitionBy(*self.series.entity).orderBy(F.col(CHUNK).desc())
-        later = later.rowsBetween(Window.unboundedPreceding, -1)
-        df = staged._with_carry(
-            {
-                f"__s_{n}": F.min_by(f"__x_{n}", F.when(F.col(f"__x_{n}").isNotNull(), at))
-                for n in columns
-            },
-            {f"__c_{n}": F.last(f"__s_{n}", ignorenulls=True).over(later) for n in columns},
-        ).withColumns(local)
-        df = df.withColumns({n: F.coalesce(F.col(n), F.col(f"__c_{n}")) for n in columns})
-        return SeriesFrame(df, f).drop(*[f"__{p}_{n}" for n in columns for p in "xc"])
+        return self.scan(carry_back=columns)
 
     def number(self, name: str) -> "SeriesFrame":
         """Row position 0, 1, 2 ... per entity."""
@@ -236,10 +246,11 @@ class SeriesFrame:
         if not self.frames.chunked:
             return self.add({n: c.over(self.frames.whole) for n, c in columns.items()})
         entity = list(self.series.entity)
-        own = self.df.where(F.col(ROLE) == 0)
+        rows = materialise(self.df, "chunks")
+        own = rows.where(F.col(ROLE) == 0)
         per_entity = own.groupBy(*entity).agg(*[c.alias(n) for n, c in columns.items()])
         per_chunk = own.select(*entity, CHUNK).distinct().join(per_entity, entity)
-        return SeriesFrame(self.df.join(per_chunk, [*entity, CHUNK], "left"), self.frames)
+        return SeriesFrame(rows.join(per_chunk, [*entity, CHUNK], "left"), self.frames)
 
     def drop(self, *columns: str) -> "SeriesFrame":
         return SeriesFrame(self.df.drop(*columns), self.frames)

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct values an exact percentile aggregate may hold for one column.
-HELD_VALUES = 1_000_000
+#: Distinct values an exact percentile aggregate may hold for one column, in
+#: every task and in the last one.
+HELD_VALUES = 50_000
 #: Accuracy of the sketches that narrow a column to its bracket.
 SKETCH_ACCURACY = 10_000
 
@@ -152,6 +153,20 @@ def exact_quantiles(
     return result
 
 
+def quantiles(
+    df: DataFrame, columns: Sequence[str], qs: Sequence[float], exact: bool = True
+) -> dict[tuple[str, float], float | None]:
+    """Exact quantiles, or sketched ones from a single pass."""
+    if exact or not columns:
+        return exact_quantiles(df, columns, qs)
+    places = ", ".join(number(q) for q in qs)
+    asked = [f"percentile_approx(`{c}`, array({places}), {SKETCH_ACCURACY})" for c in columns]
+    found = _row(df, asked)
+    return {
+        (c, q): v for c, values in zip(columns, found) for q, v in zip(qs, values or [None] * len(qs))
+    }
+
+
 def quartile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, q25, median, q75)."""
     found = exact_quantiles(df, columns, (0.25, 0.5, 0.75))

@@ -8,6 +8,7 @@ from tickloom.operators import calendar as C
 from tickloom.operators import cross_asset as X
 from tickloom.plans import shapes
 from tickloom.plans.present import present
+from tickloom.session import materialise
 from tickloom.plans.sql_parts import DAILY, ORDER_BARS, div, final, flag, roll, windows
 
 
@@ -44,7 +45,8 @@ def _spread(spark, folder):
 
 def _on_bars(spark, folder):
     bars = shapes.order_bars(spark, folder).select("symbol", "bar_ts", "close")
-    daily = shapes.daily_closes(spark, folder)
+    # a landed table as a rule; here it is made from the lines once
+    daily = materialise(shapes.daily_closes(spark, folder), "daily")
     df = X.cross_asset_features(bars, daily, shapes.SECTORS)
     return present(df)
 

@@ -37,10 +37,11 @@ def _news_bars(spark, folder):
     return bars_with_news(bars, news_per_bar(shapes.articles(spark, folder), bars))
 
 
-def _mapped(compat):
+def _mapped(compat, grid=300):
     def query(spark, folder):
         news = shapes.articles(spark, folder)
-        df = map_to_bars(news, shapes.session_bars(spark, folder), compat=compat)
+        bars = shapes.session_bars(spark, folder)
+        df = map_to_bars(news, bars, grid_seconds=grid, compat=compat)
         return present(df.select("article_id", "bar_ts"))
 
     return query
@@ -133,6 +134,7 @@ def _side_by_side(spark, folder):
 QUERIES = {
     "j01_news_to_bar": _mapped(False),
     "j01_news_to_bar_compat": _mapped(True),
+    "j01_news_to_bar_off_grid": _mapped(False, None),
     "j02_next_session_open": _opens,
     "j03_bars_with_news": lambda spark, folder: present(_news_bars(spark, folder)),
     "j04_asof_backward": _last_purchase,
@@ -493,6 +495,7 @@ i AS (SELECT *, 100 * {div('close - ' + roll('min', 'low', 14), roll('max', 'hig
         [f"{name}_persistence_{n}h" for n in (6, 12, 24) for name in ("bullish", "bearish")],
     ),
 }
+ORACLES["j01_news_to_bar_off_grid"] = ORACLES["j01_news_to_bar"]
 ORACLES["g01_news_per_bar_off_grid"] = ORACLES["g01_news_per_bar"]
 
 

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tickloom.functions.numeric import rounded
 
 
 def present(df: DataFrame, digits: int = 6, coarse: dict[str, int] | None = None) -> DataFrame:
+    """The small shift takes exact halves off the rounding edge, where two
+    engines may round to different sides; both zeros become one."""
     coarse = coarse or {}
     out = []
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
-            out.append(rounded(F.col(name), coarse.get(name, digits)).alias(name))
+            out.append(_real(name, coarse.get(name, digits)))
         elif kind in ("timestamp", "timestamp_ntz", "date"):
-            out.append(F.col(name).cast("string").alias(name))
+            out.append(f"CAST(`{name}` AS STRING) AS `{name}`")
         else:
-            out.append(F.col(name))
-    return df.select(*out)
+            out.append(f"`{name}`")
+    return df.selectExpr(*out)
+
+
+def _real(name: str, digits: int) -> str:
+    r = f"round(`{name}` + 1e-{digits + 4}, {digits})"
+    return f"CASE WHEN {r} = 0 THEN 0D ELSE {r} END AS `{name}`"
 
 
 def sql_real(expression: str, name: str, digits: int = 6) -> str:

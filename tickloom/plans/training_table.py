@@ -37,6 +37,7 @@ class TrainingPlan:
     lag_periods: Sequence[int] = (1, 3, 5, 10, 20)
     train_share: float = 0.8
     backward_fill: bool = False
+    exact_fits: bool = True  # False: quantiles from one sketching pass
     availability_lag: int = 1
     sectors: Sequence[str] = tuple(SECTOR_SYMBOLS)
     min_rows: int = 100
@@ -151,7 +152,7 @@ def build_training_table(
     df = materialise(df, "candidates")
 
     train = df.where("is_train")
-    selected = P.select_features(train, roles, "target", plan.max_features)
+    selected = P.select_features(train, roles, "target", plan.max_features, exact=plan.exact_fits)
     wanted = [c for cs in selected.values() for c in cs]
     df = project(df, [*series.keys, "time_idx", "is_train", "target", plan.target_column, *wanted])
     train = df.where("is_train")
@@ -161,11 +162,11 @@ def build_training_table(
         for c in dict.fromkeys([*selected["unknown_future"], *selected["known_future"]])
         if c != plan.target_column
     ]
-    scaler = P.fit_scaler(train, numeric)
-    importance = P.importance_table(train, selected, "target")
+    scaler = P.fit_scaler(train, numeric, plan.exact_fits)
+    importance = P.importance_table(train, selected, "target", exact=plan.exact_fits)
     df = scaler.transform(df)
     features = [c for c in dict.fromkeys(wanted) if c != plan.target_column]
-    medians, _ = P.fitted_fill(df.where("is_train"), features)
+    medians, _ = P.fitted_fill(df.where("is_train"), features, plan.exact_fits)
     df = P.fill_gaps(
         df,
         series,
