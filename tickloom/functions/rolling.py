@@ -35,6 +35,24 @@ def highest(f: Frames, x: str, n: int) -> Column:
     return rolling(f, F.max, x, n)
 
 
+def running_counts(f: Frames, x: str) -> dict[str, Column]:
+    """Running sum and count of an integer column, for `counted_total`."""
+    return {
+        f"__run_{x}": F.coalesce(F.sum(x).over(f.so_far), F.lit(0)),
+        f"__held_rows_{x}": F.count(x).over(f.so_far),
+    }
+
+
+def counted_total(f: Frames, x: str, n: int) -> Column:
+    """Rolling sum of an integer column as a difference of running sums: exact,
+    and of the same cost for any window length."""
+
+    def since(name: str) -> Column:
+        return F.col(name) - F.coalesce(f.lag(name, n), F.lit(0))
+
+    return F.when(since(f"__held_rows_{x}") == n, since(f"__run_{x}"))
+
+
 def values(f: Frames, x: str, n: int) -> Column:
     """The present values among the last n rows, oldest first."""
     return F.collect_list(x).over(f.last(n))

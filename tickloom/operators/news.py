@@ -61,12 +61,12 @@ def _find_bars(points: DataFrame, bars: DataFrame, compat: bool, published: str
     if not compat:
         return found
     lost = F.col("bar_ts").isNull() & ~F.col(NEEDS_OPEN)
-    again = found.where(lost).drop("bar_ts").withColumn(SEARCH, _open_of(F.col(published)))
+    again = found.where(lost).drop("bar_ts")
     fallback = aligned(
         again,
         marks.where(_is_open(F.col("bar_ts"))),
         ["symbol"],
-        F.col(SEARCH),
+        _open_of(F.col(published)),
         "bar_ts",
         {"bar_ts": F.col("bar_ts")},
         True,

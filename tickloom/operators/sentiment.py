@@ -82,16 +82,18 @@ def trend_strength(f: Frames, columns: Sequence[str] = MOVING, n: int = 10):
 
 def news_intensity(f: Frames, sizes: Sequence[int] = (6, 12, 24, 48)):
     """Sums over bars; the names say hours as the inputs of old did."""
-    out = {f"news_intensity_{n}h": R.total(f, "headline_count", n) for n in sizes}
-    return Recipe([*out], [Level(add=out)], back=max(sizes))
+    running = R.running_counts(f, "headline_count")
+    out = {f"news_intensity_{n}h": R.counted_total(f, "headline_count", n) for n in sizes}
+    return Recipe([*out], [Level(add=running), Level(add=out)], back=max(sizes))
 
 
 def news_frequency(f: Frames, hour: int = 12, day: int = 288):
+    running = R.running_counts(f, "headline_count")
     out = {
-        "news_frequency_hourly": R.mean(f, "headline_count", hour),
-        "news_frequency_daily": R.mean(f, "headline_count", day),
+        "news_frequency_hourly": R.counted_total(f, "headline_count", hour) / F.lit(float(hour)),
+        "news_frequency_daily": R.counted_total(f, "headline_count", day) / F.lit(float(day)),
     }
-    return Recipe([*out], [Level(add=out)], back=day)
+    return Recipe([*out], [Level(add=running), Level(add=out)], back=day)
 
 
 def news_burst(f: Frames, n: int = 24):
