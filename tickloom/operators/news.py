@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.asof import AT, aligned
+from tickloom.operators.asof import AT, aligned, cell_unit
 
 SESSION_START = 4
 SESSION_END = 20
@@ -23,7 +23,7 @@ BULLISH = ("Bullish", "Somewhat-Bullish")
 BEARISH = ("Bearish", "Somewhat-Bearish")
 COUNTS = ["bullish_cnt", "bearish_cnt", "headline_count"]
 
-NEEDS_OPEN, SEARCH = "__needs_open", "__search"
+NEEDS_OPEN, SEARCH, OWN_DAY = "__needs_open", "__search", "__own_day"
 
 
 def _open_of(t: Column, days: int = 0) -> Column:
@@ -47,32 +47,41 @@ def _is_open(bar_ts: Column) -> Column:
     return bar_ts == _open_of(bar_ts)
 
 
-def _find_bars(points: DataFrame, bars: DataFrame, compat: bool, published: str | None) -> DataFrame:
-    """Points with `bar_ts`, looked up by their search time in one pass."""
+def _first_open(points: DataFrame, bars: DataFrame, day_open: Column) -> DataFrame:
+    """Points with the first 04:00 bar at or after `day_open`, aligned once per
+    (symbol, day) however many points share it."""
+    marks = bars.where(_is_open(F.col("bar_ts"))).select("symbol", "bar_ts")
+    keys = ["symbol", "__from"]
+    rows = points.withColumn("__from", day_open)
+    payload = {"bar_ts": F.col("bar_ts")}
+    days = rows.select(*keys).distinct()
+    found = aligned(days, marks, ["symbol"], F.col("__from"), "bar_ts", payload, True, "day")
+    return rows.join(found.drop(AT), keys, "left").drop("__from")
+
+
+def _find_bars(
+    points: DataFrame, bars: DataFrame, own_day: str | None, grid_seconds: int | None
+) -> DataFrame:
+    """Points with `bar_ts`, looked up by their search time in one pass; with
+    `own_day` those that find none fall back to an open from their own day on."""
     marks = bars.select("symbol", "bar_ts")
     payload = {
         "__any": F.col("bar_ts"),
         "__open": F.when(_is_open(F.col("bar_ts")), F.col("bar_ts")),
     }
-    found = aligned(points, marks, ["symbol"], F.col(SEARCH), "bar_ts", payload, True, "day")
+    # grid slots bound the rows of a day; without a grid they are counted
+    unit = "day"
+    if grid_seconds is None:
+        unit = cell_unit([(points, SEARCH), (marks, "bar_ts")], ["symbol"])
+    found = aligned(points, marks, ["symbol"], F.col(SEARCH), "bar_ts", payload, True, unit)
     found = found.withColumn(
         "bar_ts", F.when(F.col(NEEDS_OPEN), F.col("__open")).otherwise(F.col("__any"))
     ).drop("__any", "__open", AT)
-    if not compat:
+    if own_day is None:
         return found
     lost = F.col("bar_ts").isNull() & ~F.col(NEEDS_OPEN)
     again = found.where(lost).drop("bar_ts")
-    fallback = aligned(
-        again,
-        marks.where(_is_open(F.col("bar_ts"))),
-        ["symbol"],
-        _open_of(F.col(published)),
-        "bar_ts",
-        {"bar_ts": F.col("bar_ts")},
-        True,
-        "day",
-    ).drop(AT)
-    return found.where(~lost).unionByName(fallback)
+    return found.where(~lost).unionByName(_first_open(again, bars, _open_of(F.col(own_day))))
 
 
 def _slot(search: Column, grid_seconds: int) -> Column:
@@ -92,28 +101,37 @@ def map_to_bars(
 ) -> DataFrame:
     """Every article with the bar it belongs to.
 
-    With bars on a fixed grid the distinct (symbol, grid slot) pairs are
-    aligned and the articles look their slot up by equality, so a slot or a
-    symbol with very many articles is never ordered in one task. None is for
-    bars off the grid and aligns every article.
+    The distinct search times per symbol are aligned, and the articles look
+    theirs up by equality, so a time or a symbol with very many articles is
+    never ordered in one task. With bars on a fixed grid the search times are
+    grid slots; None is for bars off the grid.
     """
+    points = _searched(news, published, grid_seconds, compat)
+    keys = _search_keys(compat)
+    times = points.select(*keys).where(F.col(SEARCH).isNotNull()).distinct()
+    found = _find_bars(times, bars, OWN_DAY if compat else None, grid_seconds)
+    return points.join(found, keys, "left").drop(*keys[1:])
+
+
+def _search_keys(compat: bool) -> list[str]:
+    return ["symbol", NEEDS_OPEN, SEARCH, *([OWN_DAY] if compat else [])]
+
+
+def _searched(
+    news: DataFrame, published: str, grid_seconds: int | None, compat: bool
+) -> DataFrame:
+    """News with their search keys; the fallback also needs the article's day."""
     points = news.withColumns(_search(F.col(published)))
-    if grid_seconds is None:
-        return _find_bars(points, bars, compat, published).drop(NEEDS_OPEN, SEARCH)
-    day = F.date_trunc("day", published).cast("timestamp_ntz")
-    keys = ["symbol", NEEDS_OPEN, SEARCH, "__day"] if compat else ["symbol", NEEDS_OPEN, SEARCH]
-    points = points.withColumns({SEARCH: _slot(F.col(SEARCH), grid_seconds), "__day": day})
-    slots = _find_bars(points.select(*keys).distinct(), bars, compat, "__day" if compat else None)
-    return points.join(slots, keys, "left").drop(NEEDS_OPEN, SEARCH, "__day")
+    if grid_seconds is not None:
+        points = points.withColumn(SEARCH, _slot(F.col(SEARCH), grid_seconds))
+    if compat:
+        points = points.withColumn(OWN_DAY, F.date_trunc("day", published).cast("timestamp_ntz"))
+    return points
 
 
 def next_session_open(points: DataFrame, bars: DataFrame, at: str) -> DataFrame:
     """Every row with the first 04:00 bar at or after 04:00 of its day."""
-    marks = bars.where(_is_open(F.col("bar_ts"))).select("symbol", "bar_ts")
-    rows = points.withColumn(SEARCH, _open_of(F.col(at)))
-    return aligned(
-        rows, marks, ["symbol"], F.col(SEARCH), "bar_ts", {"bar_ts": F.col("bar_ts")}, True, "day"
-    ).drop(AT, SEARCH)
+    return _first_open(points, bars, _open_of(F.col(at)))
 
 
 def fold_label(label: Column) -> Column:
@@ -158,21 +176,13 @@ def news_per_bar(
 ) -> DataFrame:
     """Sentiment and counts per (symbol, bar_ts).
 
-    With bars on a fixed grid all articles between two grid times share their
-    bar, so they are summed per grid slot before any alignment: the aligned
-    table then grows with the time line and not with the number of articles.
-    `grid_seconds=None` is for bars off the grid and aligns every article.
+    Articles with the same search time share their bar, so they are summed
+    before any alignment. With bars on a fixed grid search times are grid slots:
+    the aligned table then grows with the time line, not with the articles.
     """
-    points = news.where(F.col(published).isNotNull()).withColumns(_search(F.col(published)))
-    keys = ["symbol", NEEDS_OPEN, SEARCH]
-    if grid_seconds is not None:
-        points = points.withColumn(SEARCH, _slot(F.col(SEARCH), grid_seconds))
-    if compat:
-        # the fallback depends on the article's own day
-        points = points.withColumn("__day", F.date_trunc("day", published).cast("timestamp_ntz"))
-        keys = [*keys, "__day"]
-    slots = points.groupBy(*keys).agg(*partial_sums(F.col(score), F.col(label)))
-    placed = _find_bars(slots, bars, compat, "__day" if compat else None)
+    points = _searched(news.where(F.col(published).isNotNull()), published, grid_seconds, compat)
+    slots = points.groupBy(*_search_keys(compat)).agg(*partial_sums(F.col(score), F.col(label)))
+    placed = _find_bars(slots, bars, OWN_DAY if compat else None, grid_seconds)
     return placed.where(F.col("bar_ts").isNotNull()).groupBy("symbol", "bar_ts").agg(*_combined())
 
 
