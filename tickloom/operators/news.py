@@ -47,16 +47,22 @@ def _is_open(bar_ts: Column) -> Column:
     return bar_ts == _open_of(bar_ts)
 
 
-def _first_open(points: DataFrame, bars: DataFrame, day_open: Column) -> DataFrame:
-    """Points with the first 04:00 bar at or after `day_open`, aligned once per
-    (symbol, day) however many points share it."""
+def _first_open(
+    rows: DataFrame,
+    bars: DataFrame,
+    day_open: Column,
+    name: str = "bar_ts",
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Rows with the first 04:00 bar at or after `day_open`, aligned once per
+    (symbol, day) however many rows share it. `source` is a cheaper table with
+    the same days."""
     marks = bars.where(_is_open(F.col("bar_ts"))).select("symbol", "bar_ts")
     keys = ["symbol", "__from"]
-    rows = points.withColumn("__from", day_open)
-    payload = {"bar_ts": F.col("bar_ts")}
-    days = rows.select(*keys).distinct()
+    days = (rows if source is None else source).select("symbol", day_open.alias("__from")).distinct()
+    payload = {name: F.col("bar_ts")}
     found = aligned(days, marks, ["symbol"], F.col("__from"), "bar_ts", payload, True, "day")
-    return rows.join(found.drop(AT), keys, "left").drop("__from")
+    return rows.withColumn("__from", day_open).join(found.drop(AT), keys, "left").drop("__from")
 
 
 def _find_bars(
@@ -79,9 +85,9 @@ def _find_bars(
     ).drop("__any", "__open", AT)
     if own_day is None:
         return found
-    lost = F.col("bar_ts").isNull() & ~F.col(NEEDS_OPEN)
-    again = found.where(lost).drop("bar_ts")
-    return found.where(~lost).unionByName(_first_open(again, bars, _open_of(F.col(own_day))))
+    found = _first_open(found, bars, _open_of(F.col(own_day)), "__fallback", points)
+    fallback = F.when(~F.col(NEEDS_OPEN), F.col("__fallback"))
+    return found.withColumn("bar_ts", F.coalesce("bar_ts", fallback)).drop("__fallback")
 
 
 def _slot(search: Column, grid_seconds: int) -> Column:

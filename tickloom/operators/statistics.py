@@ -105,17 +105,27 @@ def exact_quantiles(
                 brackets.append(_Bracket(c, q, rows, low, high, 0, rows, distinct))
 
     while wide := [b for b in brackets if b.distinct > held and b.low < b.high]:
-        asked = []
+        # one sketch per value range answers all quantiles that share it
+        places: dict[tuple[str, float, float], list[float]] = {}
+        spots = []
         for b in wide:
             first = (math.floor(b.place) - b.below) / b.inside
             last = (math.ceil(b.place) - b.below + 1) / b.inside
             slack = b.margin / SKETCH_ACCURACY
-            ends = [max(0.0, first - slack), min(1.0, last + slack)]
-            places = ", ".join(number(e) for e in ends)
-            asked.append(f"percentile_approx({b.within()}, array({places}), {SKETCH_ACCURACY})")
+            ends = places.setdefault((b.column, b.low, b.high), [])
+            spots.append(((b.column, b.low, b.high), len(ends)))
+            ends += [max(0.0, first - slack), min(1.0, last + slack)]
+        held_in = {(b.column, b.low, b.high): b.within() for b in wide}
+        asked = [
+            f"percentile_approx({held_in[k]}, array({', '.join(map(number, ends))}), {SKETCH_ACCURACY})"
+            for k, ends in places.items()
+        ]
+        answers = dict(zip(places, _row(df, asked)))
         tried = [
-            _Bracket(b.column, b.q, b.rows, float(lo), float(hi), 0, 0, 0, b.margin)
-            for b, (lo, hi) in zip(wide, _row(df, asked))
+            _Bracket(
+                b.column, b.q, b.rows, float(answers[k][i]), float(answers[k][i + 1]), 0, 0, 0, b.margin
+            )
+            for b, (k, i) in zip(wide, spots)
         ]
         counts = _row(
             df,
@@ -256,12 +266,15 @@ def present_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*shares).unpivot([], list(columns), "feature", "present_share")
 
 
+def missing_share(columns: Sequence[str]) -> Column:
+    """Aggregate: missing cells of the columns in percent."""
+    missing = " + ".join(f"count_if(`{c}` IS NULL)" for c in columns)
+    return F.expr(f"try_divide({missing}, count(1) * {len(columns)}) * 100")
+
+
 def missing_percentage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: missing cells of the table in percent."""
-    columns = list(columns or df.columns)
-    missing = sum((F.count_if(F.col(c).isNull()) for c in columns[1:]), F.count_if(F.col(columns[0]).isNull()))
-    cells = F.count(F.lit(1)) * len(columns)
-    return df.agg((F.try_divide(missing, cells) * 100).alias("missing_percentage"))
+    return df.agg(missing_share(columns or df.columns).alias("missing_percentage"))
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -57,30 +57,18 @@ class TrainingTable:
         """One row: shape, date range, missing share, features per role, best ten."""
         df = self.table
         best = self.importance.orderBy(F.col("importance_score").desc(), "feature").limit(10)
-        top = best.agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("importance_score", "feature")), asc=False),
-                lambda r: r["feature"],
-            ).alias("top_features")
-        )
-        facts = df.agg(
+        facts = {
+            "columns": F.lit(len(df.columns)),
+            "elapsed_seconds": F.lit(self.elapsed),
+            **{f"{role}_features": F.lit(len(cs)) for role, cs in self.selected.items()},
+            "top_features": F.array(*[F.lit(r.feature) for r in best.collect()]),
+        }
+        return df.agg(
             F.count(F.lit(1)).alias("rows"),
             F.min(time_column).alias("first_ts"),
             F.max(time_column).alias("last_ts"),
-        ).withColumns(
-            {
-                "columns": F.lit(len(df.columns)),
-                "elapsed_seconds": F.lit(self.elapsed),
-                **{f"{role}_features": F.lit(len(cs)) for role, cs in self.selected.items()},
-            }
-        )
-        one = lambda d: d.withColumn("__one", F.lit(1))
-        return (
-            one(facts)
-            .join(one(S.missing_percentage(df)), "__one")
-            .join(one(top), "__one")
-            .drop("__one")
-        )
+            S.missing_share(df.columns).alias("missing_percentage"),
+        ).withColumns(facts)
 
 
 def add_all_features(
