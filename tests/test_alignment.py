@@ -5,7 +5,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tickloom.operators import asof as A
 from tickloom.operators import calendar as C
