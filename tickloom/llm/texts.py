@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 KEPT_ENTRIES = 300_000
 
 
+def ready_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it. On a
+    cluster where it is not installed there, submit it with --py-files."""
+    home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, home])
+
+
 def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with about `most` bytes of text; a longer row stands alone."""
     for batch in batches:
@@ -44,6 +55,7 @@ def map_texts(docs: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dic
             made = work(piece)
             yield pa.RecordBatch.from_arrays([pa.array(made[n]) if not isinstance(made[n], pa.Array) else made[n] for n in names], names)
 
+    ready_workers(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
