@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, piece_codec, simhash, token_counts
+from tickloom.llm import packing, piece_codec, repeats, simhash, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), words=20)
+    return found.select(
+        "doc_id",
+        F.col("tl_n_words").alias("n_words"),
+        F.col("tl_n_removed").alias("n_removed"),
+        F.sha2(F.col("tl_kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(documents(spark, sf_dir), words=4, bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("l0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,6 +56,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_piece_codec": op10_piece_codec,
 }

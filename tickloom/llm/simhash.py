@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
 from tickloom.llm.texts import as_bytes, map_texts
+from tickloom.llm.word_hashes import mixed
 from tickloom.session import materialise
 
 SEED = 42
@@ -39,13 +40,6 @@ SMALL = 48
 _MIX = 0x9E3779B97F4A7C15
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Bijective 64-bit mix."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
     """Signed 64-bit lanes of a text's fingerprint. Lane 0 uses the XXH64 of each
     shingle, further lanes mixes of it."""
