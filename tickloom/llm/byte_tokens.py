@@ -56,7 +56,7 @@ class ByteTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         keys = [self.keys(t) for t in texts]
-        table = self.parts.table(k for own in keys for k in own)
+        table = self.parts.table(keys)
         return [b"".join(map(table.__getitem__, own)) for own in keys]
 
 

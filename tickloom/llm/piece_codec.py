@@ -148,7 +148,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
         pieces = load_pieces(path)
         begin, end = struct.pack("<I", pieces.begin), struct.pack("<I", pieces.end)
         parts = [pre_tokens(t) for t in as_text(piece.column("text"))]
-        table = encoder(path).table(p for own in parts for p in own)
+        table = encoder(path).table(parts)
         rows = []
         for own in parts:
             values = [table[p] for p in own]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, piece_codec, repeats, simhash, token_counts
+from tickloom.llm import ann, labelled, packing, pii, piece_codec, quality_rules, ranking, repeats, simhash, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality_rules.judge(docs, quality_rules.train(docs, labels))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*columns, "probability")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), words=20)
     return found.select(
@@ -38,6 +45,22 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans"
+    )
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scores = ranking.quality_scores(docs, ranking.train(docs, labels, cut=0.3))
+    return scores.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0", k=5)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(documents(spark, sf_dir), words=4, bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("l0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,9 +79,26 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_pii": op6_pii,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_simhash": op9_simhash,
     "op10_piece_codec": op10_piece_codec,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_nearest_neighbours": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5
+    """,
+}

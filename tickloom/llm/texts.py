@@ -66,9 +66,10 @@ class Kept:
     def __init__(self, compute: Callable[[list], list], most: int = KEPT_ENTRIES):
         self.compute, self.most, self.kept = compute, most, {}
 
-    def table(self, parts: Iterable) -> dict:
-        """A dict that has every part of the slice."""
-        new = [p for p in set(parts) if p not in self.kept]
+    def table(self, texts: Iterable[list]) -> dict:
+        """A dict that has every part of these texts."""
+        kept = self.kept
+        new = [p for p in set().union(*texts) if p not in kept]
         if not new:
             return self.kept
         made = dict(zip(new, self.compute(new)))

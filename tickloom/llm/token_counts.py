@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     def work(piece: pa.RecordBatch) -> dict:
         texts = as_text(piece.column("text"))
         parts = [pre_tokens(t) for t in texts]
-        table = counter(path).table(p for own in parts for p in own)
+        table = counter(path).table(parts)
         return {
             "doc_id": piece.column("doc_id"),
             "n_bytes": [len(t.encode()) for t in texts],

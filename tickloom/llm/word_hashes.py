@@ -27,11 +27,11 @@ class Runs:
 
     def __init__(self, texts: list[bytes]):
         words = [t.split() for t in texts]
-        table = WORDS.table(w for own in words for w in own)
+        table = WORDS.table(words)
         self.words = words
         self.edges = bounds(map(len, words))
         n = int(self.edges[-1])
-        hashes = np.fromiter((table[w] for own in words for w in own), np.uint64, n)
+        self.hashes = hashes = np.fromiter((table[w] for own in words for w in own), np.uint64, n)
         powers = np.full(n + 1, _STEP, np.uint64)
         self.back = np.full(n + 1, _BACK, np.uint64)
         powers[0] = self.back[0] = 1
