@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, labelled, packing, pii, piece_codec, quality_rules, ranking, repeats, simhash, token_counts
+from tickloom.llm import ann, class_model, labelled, packing, pii, piece_codec, quality_rules, ranking, repeats, simhash, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -23,6 +23,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op2_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return class_model.class_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -78,6 +83,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_class_scores": op2_class_scores,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
