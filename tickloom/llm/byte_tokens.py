@@ -6,10 +6,12 @@ import functools
 import json
 import os
 import re
-import struct
+
+import numpy as np
 
 from tickloom.llm.texts import Kept
 
+JOINED = 500
 _DOUBLE = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -34,13 +36,40 @@ class ByteTokenizer:
         if any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in described["added_tokens"]):
             raise ValueError("added tokens must not take white space")
         self.library = Tokenizer.from_file(path)
+        #: bytes that each token stands for; each symbol of a token's name is one byte
+        self.sizes = np.zeros(max(self.library.get_vocab(True).values()) + 1, np.int64)
+        for name, token in self.library.get_vocab(False).items():
+            self.sizes[token] = len(name)
+        for token in described["added_tokens"]:
+            self.sizes[token["id"]] = len(token["content"].encode())
         self.parts = Kept(self.encode_parts)
 
     def encode_parts(self, keys: list) -> list[bytes]:
-        """A key is a word after a space, a line end with what follows it, or (text,) as it is."""
-        texts = [k[0] if isinstance(k, tuple) else k if k[:1] == "\n" else " " + k for k in keys]
-        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encode(texts, add_special_tokens=False)]
+        """A key is a word after a space, a line end with what follows it, or (text,) as it is.
+
+        The first two kinds are encoded many at a time, end to end; the bytes of
+        the tokens tell where each key's ids end.
+        """
+        made: dict = {}
+        plain = [k for k in keys if isinstance(k, str) and k != "\n"]
+        runs = [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)]
+        texts = [[k if k[:1] == "\n" else " " + k for k in run] for run in runs]
+        for run, own, found in zip(runs, texts, self.library.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            reached = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([len(t.encode()) for t in own])
+            ends = np.searchsorted(reached, wanted) + 1
+            if len(reached) < ends[-1] or (reached[ends - 1] != wanted).any():
+                continue  # each for itself, below
+            raw, start = ids.tobytes(), 0
+            for key, end in zip(run, (4 * ends).tolist()):
+                made[key] = raw[start:end]
+                start = end
+        alone = [k for k in keys if k not in made]
+        texts = [k[0] if isinstance(k, tuple) else k if k[:1] == "\n" else " " + k for k in alone]
+        for key, found in zip(alone, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            made[key] = np.array(found.ids, "<u4").tobytes()
+        return [made[k] for k in keys]
 
     @staticmethod
     def keys(text: str) -> list:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
-KEPT_ENTRIES = 300_000
+KEPT_ENTRIES = 700_000
 
 
 def ready_workers(spark: SparkSession) -> None:
