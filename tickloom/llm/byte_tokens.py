@@ -9,7 +9,7 @@ import re
 
 import numpy as np
 
-from tickloom.llm.texts import Kept
+from tickloom.llm.texts import Kept, parts_of
 
 JOINED = 500
 _DOUBLE = re.compile(r"\s\s")
@@ -71,22 +71,31 @@ class ByteTokenizer:
             made[key] = np.array(found.ids, "<u4").tobytes()
         return [made[k] for k in keys]
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        simple = [bool(t) and not (_DOUBLE.search(t) or t[0] in " \n" or t[-1] == " ") for t in texts]
+        words = parts_of([t.replace("\n", " \n") if plain else "" for t, plain in zip(texts, simple)])
+        made = self.parts.values(words.distinct)
+        # the first word of a text has no space before it, and other texts are cut before words only
+        first = {k: (words.distinct[words.codes[words.edges[k]]],) for k, plain in enumerate(simple) if plain}
+        other = {k: self.cut(texts[k]) for k, plain in enumerate(simple) if not plain}
+        rare = list({*first.values(), *(p for own in other.values() for p in own)})
+        rare_ids = dict(zip(rare, self.parts.values(rare)))
+        out = []
+        for k, plain in enumerate(simple):
+            if plain:
+                own = words.codes[words.edges[k] + 1 : words.edges[k + 1]].tolist()
+                out.append(b"".join([rare_ids[first[k]], *[made[c] for c in own]]))
+            else:
+                out.append(b"".join([rare_ids[p] for p in other[k]]))
+        return out
+
     @staticmethod
-    def keys(text: str) -> list:
+    def cut(text: str) -> list[tuple[str]]:
         if not text:
             return []
-        if _DOUBLE.search(text) or text[0] in " \n":
-            first, *rest = _BEFORE_WORD.split(text)
-            return [(first,), *((" " + r,) for r in rest)]
-        own: list = text.replace("\n", " \n").split(" ")
-        own[0] = (own[0],)
-        return own
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        keys = [self.keys(t) for t in texts]
-        table = self.parts.table(keys)
-        return [b"".join(map(table.__getitem__, own)) for own in keys]
+        first, *rest = _BEFORE_WORD.split(text)
+        return [(first,), *((" " + r,) for r in rest)]
 
 
 @functools.lru_cache(maxsize=4)

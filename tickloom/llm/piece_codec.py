@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickloom.llm.pieces import load_pieces, pre_tokens
-from tickloom.llm.texts import Kept, as_text, map_texts
+from tickloom.llm.texts import Kept, as_text, map_texts, parts_of
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 COMPATIBLE_KEPT = 1_000_000
@@ -119,7 +119,7 @@ class Codec:
         return made
 
     def encode(self, text: str) -> list[int]:
-        return [self.pieces.begin, *(i for p in pre_tokens(text) for i in self.encode_part(p)), self.pieces.end]
+        return [self.pieces.begin, *(i for p in pre_tokens(text).split(" ") if p for i in self.encode_part(p)), self.pieces.end]
 
     def decode(self, ids: Iterable[int]) -> str:
         return joined(b"".join(self.pieces.surface[i] for i in ids))
@@ -147,11 +147,11 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     def work(piece: pa.RecordBatch) -> dict:
         pieces = load_pieces(path)
         begin, end = struct.pack("<I", pieces.begin), struct.pack("<I", pieces.end)
-        parts = [pre_tokens(t) for t in as_text(piece.column("text"))]
-        table = encoder(path).table(parts)
+        parts = parts_of([pre_tokens(t) for t in as_text(piece.column("text"))])
+        made = encoder(path).values(parts.distinct)
         rows = []
-        for own in parts:
-            values = [table[p] for p in own]
+        for a, b in zip(parts.edges, parts.edges[1:]):
+            values = [made[c] for c in parts.codes[a:b].tolist()]
             rows.append(
                 (
                     2 + sum(v[0] for v in values),

@@ -57,11 +57,11 @@ def load_pieces(path: str) -> Pieces:
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n[^{SPACE}\n]*|{SPACE}+")
 
 
-def pre_tokens(text: str) -> list[str]:
-    """Parts of the normalised text that never merge with each other."""
+def pre_tokens(text: str) -> str:
+    """Parts of the normalised text that never merge with each other, with a space between them."""
     if not text:
-        return []
+        return ""
     text = text.replace(SPACE, " ")
     if text[0] == " " or "  " in text:
-        return _PARTS.findall(SPACE + text.replace(" ", SPACE))
-    return (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n")).split(" ")
+        return " ".join(_PARTS.findall(SPACE + text.replace(" ", SPACE)))
+    return SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n")

@@ -19,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.texts import as_text, map_texts
+from tickloom.llm.texts import add_columns, as_text, map_texts
 
 #: in the order that ties of position follow; the first four are the base kinds
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -167,6 +167,16 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
+def with_masked(docs: DataFrame) -> DataFrame:
+    """All columns of `docs` and tl_masked, the text with each span replaced by its kind."""
+
+    def work(piece: pa.RecordBatch) -> dict:
+        find = finder()
+        return {"tl_masked": [masked(t, find.spans(t)) for t in as_text(piece.column("text"))]}
+
+    return add_columns(docs, "tl_masked string", work)
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, a count for each base kind, base and all spans as text, and the masked text."""
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, masked string"

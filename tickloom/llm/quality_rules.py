@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickloom.llm.labelled import sample
-from tickloom.llm.texts import Kept, as_text, bounds, map_texts, ready_workers
+from tickloom.llm.texts import Kept, as_text, bounds, map_texts, ready_workers, words_of
 from tickloom.llm.word_hashes import Runs, mixed
 
 BITS = 18
-SAMPLE = 4000
-STEPS = 150
+SAMPLE = 3000
+STEPS = 100
+DESIGN_BYTES = 1 << 20
 KEEP = 0.5
 LEAST_WORDS = 10
 MOST_REPEATED = 20
@@ -85,12 +86,12 @@ class Model:
         total = np.bincount(owner, weights=self.weights[buckets], minlength=len(words))
         return (total / np.maximum(1, np.bincount(owner, minlength=len(words)))).tolist()
 
-    def margins(self, runs: Runs, adds: dict) -> np.ndarray:
+    def margins(self, runs: Runs, adds: np.ndarray) -> np.ndarray:
         sizes = np.diff(runs.edges)
         n, total = int(runs.edges[-1]), np.zeros(len(sizes))
         full = np.flatnonzero(sizes)
         if n:
-            each = self.weights[word_buckets(runs.hashes)] + np.fromiter((adds[w] for own in runs.words for w in own), np.float64, n)
+            each = self.weights[word_buckets(runs.hashes)] + adds[runs.words.codes]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             pairs = np.where(owner[:-1] == owner[1:], self.weights[pair_buckets(runs.hashes)], 0)
             each[:-1] += pairs
@@ -102,27 +103,36 @@ class Model:
 
 
 def design(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket and value of the features of each text; sums to `margins`."""
-    sizes = np.diff(runs.edges)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    share = 1 / sizes[owner] if len(owner) else np.zeros(0)
+    """Row, bucket and value of the features of each text; their sums are `margins`."""
+    words = runs.words
+    owner, many = words.owner, len(words.distinct)
+    share = 1 / words.sizes[owner]
     inside = np.flatnonzero(owner[:-1] == owner[1:])
-    flat = [w for own in runs.words for w in own]
-    distinct = list(dict.fromkeys(flat))
-    place = {w: i for i, w in enumerate(distinct)}
-    gram_word, gram = character_grams(distinct)
+    gram_word, gram = character_grams(words.distinct)
     by = np.argsort(gram_word, kind="stable")
     gram_word, gram = gram_word[by], gram[by]
-    first = np.searchsorted(gram_word, np.arange(len(distinct) + 1))
-    many = np.diff(first)
-    word = np.fromiter((place[w] for w in flat), np.int64, len(flat))
-    times = many[word]
-    inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    row = np.concatenate([owner, owner[inside], np.repeat(owner, times)])
-    column = np.concatenate([word_buckets(runs.hashes), pair_buckets(runs.hashes)[inside], gram[np.repeat(first[word], times) + inner]])
-    value = np.concatenate([share, share[inside], np.repeat(share / np.maximum(1, times), times)])
-    key, place = np.unique(row << BITS | column, return_inverse=True)
-    return key >> BITS, key & ((1 << BITS) - 1), np.bincount(place, weights=value)
+    first = np.searchsorted(gram_word, np.arange(many + 1))
+    own, times = np.unique(owner * many + words.codes, return_counts=True)
+    row, word = own // max(many, 1), own % max(many, 1)
+    grams = np.diff(first)[word]
+    inner = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams)
+    rows = np.concatenate([owner, owner[inside], np.repeat(row, grams)])
+    columns = np.concatenate([word_buckets(runs.hashes), pair_buckets(runs.hashes)[inside], gram[np.repeat(first[word], grams) + inner]])
+    values = np.concatenate([share, share[inside], np.repeat(times / words.sizes[row] / np.maximum(1, grams), grams)])
+    key, place = np.unique(rows << BITS | columns, return_inverse=True)
+    return (key >> BITS).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32), np.bincount(place, weights=values)
+
+
+def designs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many texts, a block at a time."""
+    made, first, held = [], 0, 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held >= DESIGN_BYTES or k + 1 == len(texts):
+            row, column, value = design(Runs(words_of(pa.array(texts[first : k + 1], pa.binary()))))
+            made.append((row + np.int32(first), column, value))
+            first, held = k + 1, 0
+    return tuple(np.concatenate(x) for x in zip(*made))
 
 
 def fit(texts: list[bytes], quality: np.ndarray) -> Model:
@@ -131,10 +141,8 @@ def fit(texts: list[bytes], quality: np.ndarray) -> Model:
     train = np.arange(len(texts)) % 4 != 3
     if len({*quality[train]}) < 2:
         return blank
-    row, column, value = design(Runs(texts))
-    mine = train[row]
-    row, column, value = row[mine], column[mine], value[mine]
-    wanted, rows = quality[train].astype(float), np.cumsum(train)[row] - 1
+    rows, column, value = designs([t for t, mine in zip(texts, train) if mine])
+    wanted = quality[train].astype(float)
     weights, base, total, base_total = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-12), 1e-12
     for _ in range(STEPS):
         margin = np.bincount(rows, weights=weights[column] * value, minlength=len(wanted)) + base
@@ -144,8 +152,8 @@ def fit(texts: list[bytes], quality: np.ndarray) -> Model:
         weights, base = weights - slope / np.sqrt(total), base - 0.1 * miss.sum() / np.sqrt(base_total)
     model = Model(weights, base, 1.0, 0.0)
     others = [t for t, own in zip(texts, train) if not own]
-    runs = Runs(others)
-    margin = model.margins(runs, Kept(model.word_adds).table(runs.words))
+    runs = Runs(words_of(pa.array(others, pa.binary())))
+    margin = model.margins(runs, np.array(model.word_adds(runs.words.distinct)))
     return Model(weights, base, *calibration(margin, quality[~train]))
 
 
@@ -215,11 +223,11 @@ def judge(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     def work(piece: pa.RecordBatch) -> dict:
         texts = as_text(piece.column("text"))
         raw = [t.encode() for t in texts]
-        runs = Runs(raw)
+        runs = Runs(words_of(piece.column("text")))
         sizes = np.diff(runs.edges)
         repeated = repeated_words(runs)
         failed = (sizes < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * sizes)
-        probability = model.probability(model.margins(runs, adds_of(model).table(runs.words)))
+        probability = model.probability(model.margins(runs, np.array(adds_of(model).values(runs.words.distinct))))
         lines = [[x for x in t.split(b"\n") if x.strip()] for t in raw]
         return {
             "doc_id": piece.column("doc_id"),

@@ -41,12 +41,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), words=20)
+    found = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), words=20, with_text=False)
     return found.select(
         "doc_id",
         F.col("tl_n_words").alias("n_words"),
         F.col("tl_n_removed").alias("n_removed"),
-        F.sha2(F.col("tl_kept").cast("binary"), 256).alias("kept_sha256"),
+        F.sha2("tl_kept", 256).alias("kept_sha256"),
     )
 
 

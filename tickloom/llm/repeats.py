@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tickloom.llm.texts import as_bytes, ready_workers, slices
+from tickloom.llm.texts import as_bytes, ready_workers, slices, words_of
 from tickloom.llm.word_hashes import Runs, least_in_window
 from tickloom.session import materialise
 
@@ -44,8 +44,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 class Paths:
     """The paths of a slice: row, start (word of the text), windows, anchor, content."""
 
-    def __init__(self, texts: list[bytes], words: int):
-        self.runs = runs = Runs(texts)
+    def __init__(self, texts: pa.Array, words: int):
+        self.runs = runs = Runs(words_of(texts))
         edges, n = runs.edges, int(runs.edges[-1])
         sizes = np.diff(edges)
         ends = np.repeat(edges[1:], sizes)
@@ -83,7 +83,7 @@ def paths(docs: DataFrame, words: int) -> DataFrame:
         held, size = [], 0
         for piece in itertools.chain(slices(batches), [None]):
             if piece is not None:
-                found = Paths(as_bytes(piece.column("text")), words)
+                found = Paths(piece.column("text"), words)
                 ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
                 held.append(np.stack([found.anchor.view(np.int64), found.content.view(np.int64), ids[found.row], found.start], axis=1))
                 size += len(found.at)
@@ -120,7 +120,7 @@ def settle(joined: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
-            found = Paths(as_bytes(piece.column("text")), words)
+            found = Paths(piece.column("text"), words)
             ids, codes = piece.column("doc_id").to_pylist(), piece.column("tl_codes").to_pylist()
             edges = np.searchsorted(found.row, np.arange(len(ids) + 1))
             docs, repeats, asked, compare = [], [], [], []
@@ -188,10 +188,10 @@ def _true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def remove_repeats(docs: DataFrame, words: int = 20) -> DataFrame:
-    """All columns of `docs`, then tl_n_words, tl_n_removed, tl_kept (kept words
-    joined by one space), tl_text (the text without removed words), tl_spans (removed runs as
-    start, end, ... in words)."""
+def remove_repeats(docs: DataFrame, words: int = 20, with_text: bool = True) -> DataFrame:
+    """All columns of `docs`, then tl_n_words, tl_n_removed, tl_spans (removed runs as
+    start, end, ... in words), tl_kept (kept words joined by one space, as UTF-8) and,
+    if wanted, tl_text (the text without its removed words)."""
     ready_workers(docs.sparkSession)
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     firsts = first_paths(paths(keyed, words))
@@ -208,7 +208,8 @@ def remove_repeats(docs: DataFrame, words: int = 20) -> DataFrame:
     facts = known.join(new, "tl_doc", "left")
     full = keyed.join(facts.hint("shuffle_hash"), keyed["doc_id"] == facts["tl_doc"], "left").drop("tl_doc")
     kept = docs.columns
-    extra = {"tl_n_words": pa.int64(), "tl_n_removed": pa.int64(), "tl_kept": pa.string(), "tl_text": pa.string(), "tl_spans": pa.list_(pa.int32())}
+    extra = {"tl_n_words": pa.int64(), "tl_n_removed": pa.int64(), "tl_spans": pa.list_(pa.int32()), "tl_kept": pa.binary()}
+    extra |= {"tl_text": pa.binary()} if with_text else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -220,11 +221,13 @@ def remove_repeats(docs: DataFrame, words: int = 20) -> DataFrame:
                     gone = _covered(len(found), words, *own)
                     runs = _true_runs(gone)
                     left = [w for w, g in zip(found, gone.tolist()) if not g]
-                    rows.append((len(found), int(gone.sum()), b" ".join(left).decode(), _cut(text, gone).decode(), [x for r in runs for x in r]))
+                    spans = [x for r in runs for x in r]
+                    rows.append((len(found), int(gone.sum()), spans, b" ".join(left), _cut(text, gone) if with_text else None))
                 else:
-                    rows.append((len(found), 0, b" ".join(found).decode(), text.decode(), []))
+                    rows.append((len(found), 0, [], b" ".join(found), text))
             made = [pa.array(c, t) for c, t in zip(zip(*rows), extra.values())]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *made], [*kept, *extra])
 
-    made = "tl_n_words long, tl_n_removed long, tl_kept string, tl_text string, tl_spans array<int>"
-    return full.mapInArrow(run, StructType([*keyed.schema.fields, *StructType.fromDDL(made).fields]))
+    made = "tl_n_words long, tl_n_removed long, tl_spans array<int>, tl_kept binary" + ", tl_text binary" * with_text
+    out = full.mapInArrow(run, StructType([*keyed.schema.fields, *StructType.fromDDL(made).fields]))
+    return out.withColumn("tl_text", F.col("tl_text").cast("string")) if with_text else out

@@ -11,9 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
-KEPT_ENTRIES = 700_000
+KEPT_ENTRIES = 400_000
 
 
 def ready_workers(spark: SparkSession) -> None:
@@ -59,38 +60,76 @@ def map_texts(docs: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dic
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def add_columns(docs: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+    """All columns of `docs` and those of `schema` (names that begin with tl_), which `work` makes of a slice."""
+    ready_workers(docs.sparkSession)
+    old, added = docs.columns, StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            made = work(piece)
+            columns = [*(piece.column(n) for n in old), *(pa.array(made[f.name]) for f in added)]
+            yield pa.RecordBatch.from_arrays(columns, [*old, *added.names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
+
+
+class Parts:
+    """The parts of each text of a slice: `distinct` parts, the code of every part
+    end to end, and the place where each text's parts begin."""
+
+    def __init__(self, lists: pa.ListArray, kind: pa.DataType):
+        encoded = lists.flatten().dictionary_encode()
+        codes = encoded.indices.to_numpy(zero_copy_only=False)
+        self.distinct: list = encoded.dictionary.cast(kind).to_pylist()
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        empty = kind == pa.string() and "" or b""
+        if empty in self.distinct:
+            gone = self.distinct.index(empty)
+            self.distinct.pop(gone)
+            edges = np.concatenate([[0], np.cumsum(codes != gone)])[edges]
+            codes = codes[codes != gone]
+            codes = codes - (codes > gone)
+        self.codes, self.edges, self.sizes = codes.astype(np.int64), edges, np.diff(edges)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def of(self, row: int) -> list:
+        """The parts of one text."""
+        return [self.distinct[c] for c in self.codes[self.edges[row] : self.edges[row + 1]].tolist()]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum over each text of a value per part."""
+        return np.bincount(self.owner, weights=values, minlength=len(self.sizes))
+
+
+def words_of(column: pa.Array, lower: bool = False) -> Parts:
+    """Runs of characters other than ASCII white space, as bytes; a null has none."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    return Parts(pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column), pa.binary())
+
+
+def parts_of(texts: list[str]) -> Parts:
+    """Parts between single spaces."""
+    return Parts(pc.split_pattern(pa.array(texts, pa.string()), " "), pa.string())
+
+
 class Kept:
-    """Values of text parts, computed in batches. The first `most` parts met are
-    kept for later slices; the others live as long as one slice."""
+    """Values of text parts, computed in batches; the first `most` parts met are kept."""
 
     def __init__(self, compute: Callable[[list], list], most: int = KEPT_ENTRIES):
         self.compute, self.most, self.kept = compute, most, {}
 
-    def table(self, texts: Iterable[list]) -> dict:
-        """A dict that has every part of these texts."""
-        kept = self.kept
-        new = [p for p in set().union(*texts) if p not in kept]
-        if not new:
-            return self.kept
-        made = dict(zip(new, self.compute(new)))
-        if len(self.kept) + len(new) <= self.most:
-            self.kept.update(made)
-            return self.kept
-        room = self.most - len(self.kept)
-        if room > 0:
-            self.kept.update(dict(zip(new[:room], map(made.__getitem__, new[:room]))))
-        return Both(self.kept, made)
-
-
-class Both(dict):
-    """A slice's own entries, then the kept ones."""
-
-    def __init__(self, kept: dict, own: dict):
-        super().__init__(own)
-        self.kept = kept
-
-    def __missing__(self, part):
-        return self.kept[part]
+    def values(self, distinct: list) -> list:
+        """The value of each of these different parts."""
+        found = [self.kept.get(p) for p in distinct]
+        new = [k for k, value in enumerate(found) if value is None]
+        parts = [distinct[k] for k in new]
+        made = self.compute(parts) if new else []
+        for k, value in zip(new, made):
+            found[k] = value
+        room = max(0, self.most - len(self.kept))
+        self.kept.update(zip(parts[:room], made[:room]))
+        return found
 
 
 def bounds(lengths: Iterable[int]) -> np.ndarray:

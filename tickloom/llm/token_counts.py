@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickloom.llm.pieces import NONE, load_pieces, pre_tokens
-from tickloom.llm.texts import Kept, as_text, map_texts
+from tickloom.llm.texts import Kept, as_text, map_texts, parts_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
@@ -98,12 +98,12 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def work(piece: pa.RecordBatch) -> dict:
         texts = as_text(piece.column("text"))
-        parts = [pre_tokens(t) for t in texts]
-        table = counter(path).table(parts)
+        parts = parts_of([pre_tokens(t) for t in texts])
+        counts = np.array(counter(path).values(parts.distinct), np.int64)
         return {
             "doc_id": piece.column("doc_id"),
             "n_bytes": [len(t.encode()) for t in texts],
-            "n_tokens": [sum(map(table.__getitem__, own)) for own in parts],
+            "n_tokens": parts.sums(counts[parts.codes]).astype(np.int64),
         }
 
     return map_texts(docs, SCHEMA, work)

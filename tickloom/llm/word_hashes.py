@@ -5,12 +5,16 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from tickloom.llm.texts import Kept, bounds
+from tickloom.llm.texts import Parts
 
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 
 
+def _word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 7)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit mix."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -18,20 +22,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-WORDS = Kept(lambda new: [xxhash.xxh64_intdigest(w, 7) for w in new])
-
-
 class Runs:
     """Constant-time hashes of word runs: prefix sums of word hash times step^place,
     taken back to place zero, so equal runs have equal hashes wherever they lie."""
 
-    def __init__(self, texts: list[bytes]):
-        words = [t.split() for t in texts]
-        table = WORDS.table(words)
-        self.words = words
-        self.edges = bounds(map(len, words))
+    def __init__(self, words: Parts):
+        self.words, self.edges = words, words.edges
         n = int(self.edges[-1])
-        self.hashes = hashes = np.fromiter((table[w] for own in words for w in own), np.uint64, n)
+        each = np.fromiter(map(_word_hash, words.distinct), np.uint64, len(words.distinct))
+        self.hashes = hashes = each[words.codes]
         powers = np.full(n + 1, _STEP, np.uint64)
         self.back = np.full(n + 1, _BACK, np.uint64)
         powers[0] = self.back[0] = 1
