@@ -46,7 +46,10 @@ def aligned(
     bucket: str,
 ) -> DataFrame:
     """Points with each payload taken from the nearest mark on one side at
-    which that payload is present."""
+    which that payload is present. Payloads travel under names of their own; one
+    that is named like a column of the points comes out as `{name}_mark`."""
+    names, payload = list(payload), {f"__mark_{n}": c for n, c in payload.items()}
+    shown = {n: n if n not in points.columns else f"{n}_mark" for n in names}
     rows = points.withColumns({AT: at, KIND: F.lit(0)}).unionByName(
         marks.select(
             *entity,
@@ -88,7 +91,7 @@ def aligned(
     near = rows.withColumns(
         {f"__near_{n}": F.last(n, ignorenulls=True).over(inside) for n in payload}
     ).where(F.col(KIND) == 0)
-    found = {n: F.coalesce(F.col(f"__near_{n}"), F.col(f"__far_{n}")) for n in payload}
+    found = {shown[n]: F.coalesce(F.col(f"__near___mark_{n}"), F.col(f"__far___mark_{n}")) for n in names}
     return (
         near.drop(*payload)
         .join(table, [*entity, CELL], "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.sources.tables import one_per_key
+
 
 def bar_columns(at: str, value: str, size: str | None = None) -> list[Column]:
     """Aggregates of one bar; `size` is a traded-size column, else ticks count.
@@ -58,24 +60,23 @@ def grid_bound(ticks: DataFrame, step_seconds: int, time: str = "ts") -> int:
 
 
 def distinct_bars(bars: DataFrame, prefer: Column | None = None) -> DataFrame:
-    """One bar per (symbol, bar_ts); on repeats the greatest `prefer` wins."""
-    keys = ["symbol", "bar_ts"]
-    if prefer is None:
-        return bars.dropDuplicates(keys)
-    rest = [c for c in bars.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), prefer).alias("kept")
-    return bars.groupBy(*keys).agg(best).select(*keys, "kept.*").select(*bars.columns)
+    """One bar per (symbol, bar_ts); on repeats the greatest `prefer` wins, and
+    among equals the greatest by all columns in order."""
+    return one_per_key(bars, ["symbol", "bar_ts"], prefer)
 
 
 def pivot_indicators(long: DataFrame, names: list[str]) -> DataFrame:
-    """(symbol, indicator, bar_ts, value) rows to one column per declared name."""
+    """(symbol, indicator, bar_ts, value) rows to one column per declared name;
+    of repeated values the greatest."""
     picked = [
         F.max(F.when(F.col("indicator") == n, F.col("value"))).alias(n.lower()) for n in names
     ]
     return long.groupBy("symbol", "bar_ts").agg(*picked)
 
 
-def full_bars(bars: DataFrame, indicators: DataFrame, names: list[str]) -> DataFrame:
+def full_bars(
+    bars: DataFrame, indicators: DataFrame, names: list[str], prefer: Column | None = None
+) -> DataFrame:
     """All landed bars without repeats, with their indicators where present."""
     wide = pivot_indicators(indicators, names)
-    return distinct_bars(bars).join(wide, ["symbol", "bar_ts"], "left")
+    return distinct_bars(bars, prefer).join(wide, ["symbol", "bar_ts"], "left")

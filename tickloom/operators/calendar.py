@@ -78,23 +78,20 @@ def with_calendar(
     df: DataFrame,
     time: str,
     *,
-    nearest: bool | None = None,
+    nearest: bool,
     meeting_dates: list[dt.date] | None = None,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with the calendar of their day.
 
-    nearest=False takes the day of the time. nearest=True takes the closest
-    midnight, noon going up, and not past the last day. None chooses by
-    density as intraday or daily data: nearest unless there are more than two
-    rows per calendar day. `source` is a cheaper table with the same times, to
-    take the date range and the density from.
+    nearest=False takes the day of the time, as intraday rows need it.
+    nearest=True takes the closest midnight, noon going up, and not past the
+    last day, for daily rows. `source` is a cheaper table with the same times,
+    to take the date range from.
     """
     source = df if source is None else source
     start, end = day_span(source, time)
     count = (end - start).days + 1
-    if nearest is None:
-        nearest = source.count() <= 2 * count
     day = F.to_date(time)
     if nearest:
         day = F.least(F.to_date(F.col(time) + F.expr("INTERVAL '12' HOUR")), F.lit(end))

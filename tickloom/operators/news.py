@@ -90,6 +90,15 @@ def _find_bars(
     return found.withColumn("bar_ts", F.coalesce("bar_ts", fallback)).drop("__fallback")
 
 
+def _require_grid(bars: DataFrame, grid_seconds: int | None) -> None:
+    """One aggregate over the bar times, if a grid is claimed."""
+    if grid_seconds is not None:
+        at = F.col("bar_ts").cast("timestamp")
+        off = F.unix_micros(at) % F.lit(grid_seconds * 1_000_000) != 0
+        if bars.agg(F.count_if(off)).first()[0]:
+            raise ValueError(f"bars do not lie on a grid of {grid_seconds} seconds")
+
+
 def _slot(search: Column, grid_seconds: int) -> Column:
     """First grid time at or after the search time."""
     size = grid_seconds * 1_000_000
@@ -102,16 +111,17 @@ def map_to_bars(
     bars: DataFrame,
     published: str = "time_published",
     *,
-    grid_seconds: int | None = 300,
+    grid_seconds: int | None = None,
     compat: bool = False,
 ) -> DataFrame:
     """Every article with the bar it belongs to.
 
     The distinct search times per symbol are aligned, and the articles look
     theirs up by equality, so a time or a symbol with very many articles is
-    never ordered in one task. With bars on a fixed grid the search times are
-    grid slots; None is for bars off the grid.
+    never ordered in one task. If all bars lie on a fixed grid, `grid_seconds`
+    makes the search times grid slots; a bar off the grid is then an error.
     """
+    _require_grid(bars, grid_seconds)
     points = _searched(news, published, grid_seconds, compat)
     keys = _search_keys(compat)
     times = points.select(*keys).where(F.col(SEARCH).isNotNull()).distinct()
@@ -177,15 +187,17 @@ def news_per_bar(
     published: str = "time_published",
     score: str = "overall_sentiment_score",
     label: str = "overall_sentiment_label",
-    grid_seconds: int | None = 300,
+    grid_seconds: int | None = None,
     compat: bool = False,
 ) -> DataFrame:
     """Sentiment and counts per (symbol, bar_ts).
 
     Articles with the same search time share their bar, so they are summed
-    before any alignment. With bars on a fixed grid search times are grid slots:
-    the aligned table then grows with the time line, not with the articles.
+    before any alignment. If all bars lie on a fixed grid, `grid_seconds` makes the
+    search times grid slots, so the aligned table grows with the time line and not
+    with the articles; a bar off the grid is then an error.
     """
+    _require_grid(bars, grid_seconds)
     points = _searched(news.where(F.col(published).isNotNull()), published, grid_seconds, compat)
     slots = points.groupBy(*_search_keys(compat)).agg(*partial_sums(F.col(score), F.col(label)))
     placed = _find_bars(slots, bars, OWN_DAY if compat else None, grid_seconds)

@@ -14,6 +14,7 @@ from tickloom.functions.numeric import finite
 from tickloom.operators import statistics as S
 from tickloom.operators.recipe import Level, Recipe, add_features
 from tickloom.operators.series import Frames, Series, SeriesLayout, plan_series
+from tickloom.session import materialise
 
 # Name patterns that decide the role of a column.
 STATIC_PATTERNS = (
@@ -32,6 +33,8 @@ PRICE_WORDS = ("price", "close", "open", "high", "low")
 VOLATILITY_WORDS = ("volatility", "vix", "atr", "bb_width")
 
 UNKNOWN = "Unknown"
+#: A label dictionary of at most this many values is applied as a constant map.
+MAPPED_VALUES = 200
 #: A lookup table with at most this many rows is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -68,6 +71,8 @@ def with_static_info(
     defaults = STATIC_DEFAULTS if defaults is None else defaults
     absent = {c: F.lit(v) for c, v in defaults.items() if c not in info.columns}
     held = {c: v for c, v in defaults.items() if c in info.columns}
+    if not info.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} repeats in the lookup table")
     looked = df.join(_lookup(info), key, "left").fillna(held)
     return looked.withColumns(absent) if absent else looked
 
@@ -146,13 +151,23 @@ def with_lags(
     return add_features(df, series, [make], layout, keep)
 
 
+def _has_word(name: str, words: Sequence[str]) -> bool:
+    """Whether a word stands in the name between underscores or ends."""
+    return any(f"_{w}_" in f"_{name.lower()}_" for w in words)
+
+
 def interaction_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
-    """Pairs by name: prices with volumes, sentiment with volatility."""
-    prices = [c for c in names if _has(c, PRICE_WORDS)][:3]
-    volumes = [c for c in names if _has(c, ("volume",))][:2]
-    moods = [c for c in names if _has(c, ("sent",))][:3]
-    swings = [c for c in names if _has(c, VOLATILITY_WORDS)][:2]
-    pairs = [(p, v) for p in prices for v in volumes] + [(m, v) for m in moods for v in swings]
+    """All pairs of a price with a volume and of a sentiment with a volatility,
+    by the words of their names, each pair once; and the oscillator with the trend
+    histogram. To use fewer, pass an explicit list to `with_interactions`."""
+    groups = [(PRICE_WORDS, ("volume",)), (("sent", "sentiment"), VOLATILITY_WORDS)]
+    pairs = [
+        (a, b)
+        for left, right in groups
+        for a in names
+        for b in names
+        if _has_word(a, left) and _has_word(b, right) and not _has_word(a, right) and not _has_word(b, left)
+    ]
     if {"rsi_14", "macd_histogram"} <= set(names):
         pairs.append(("rsi_14", "macd_histogram"))
     return pairs
@@ -217,15 +232,27 @@ class LabelEncoder:
     def transform(self, df: DataFrame) -> DataFrame:
         """Missing and unseen values take the code of `Unknown`, or where that
         was never seen the first free code."""
-        spare = {
-            r.column: r.n
-            for r in self.table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
-        }
-        unknown = {
-            r.column: r.code for r in self.table.where(F.col("value") == UNKNOWN).collect()
-        }
+        facts = self.table.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("value") == UNKNOWN, F.col("code"))).alias("unknown")
+        )
+        found = {r.column: r for r in facts.collect()}
+        spare = {c: r.n for c, r in found.items()}
+        unknown = {c: r.unknown for c, r in found.items() if r.unknown is not None}
         order = df.columns
+        # small dictionaries in one constant map each, without a join
+        small = [c for c in self.columns if spare.get(c, 0) <= MAPPED_VALUES]
+        rows = self.table.where(F.col("column").isin(small)).collect() if small else []
+        maps: dict[str, list] = {c: [] for c in small}
+        for r in rows:
+            maps[r.column] += [F.lit(r.value), F.lit(r.code)]
+        for c in small:
+            value = F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
+            fallback = F.lit(unknown.get(c, spare.get(c, 0))).cast("long")
+            code = F.try_element_at(F.create_map(*maps[c]), value) if maps[c] else F.lit(None).cast("long")
+            df = df.withColumn(c, F.coalesce(code, fallback))
         for c in self.columns:
+            if c in small:
+                continue
             codes = self.table.where(F.col("column") == c).select(
                 F.col("value").alias("__value"), F.col("code").alias("__code")
             )
@@ -240,27 +267,31 @@ class LabelEncoder:
 
 
 def fit_labels(df: DataFrame, columns: Sequence[str]) -> LabelEncoder:
-    """Number the distinct values of each column in string order. Values are
-    ranked inside their leading letters, and those groups are then offset, so
-    a column with very many values is not sorted by one task."""
+    """Number the distinct values of each column in string order. The distinct
+    values are sorted by sampled ranges, numbered inside each range, and the
+    ranges are offset, so neither a column with very many values nor a common
+    beginning of them is sorted by one task. The table is written once."""
     text = df.select(
         *[F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c) for c in columns]
     )
     values = text.unpivot([], list(columns), "column", "value").distinct()
-    values = values.withColumn("__lead", F.substring("value", 1, 3))
-    groups = values.groupBy("column", "__lead").count()
-    before = Window.partitionBy("column").orderBy("__lead")
+    # written with the range it fell into, since ranges are sampled anew in each run
+    values = materialise(
+        values.repartitionByRange("column", "value").withColumn("__range", F.spark_partition_id()), "labels"
+    )
+    groups = values.groupBy("column", "__range").count()
+    before = Window.partitionBy("column").orderBy("__range")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(
-        "column", "__lead", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first")
+        "column", "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first")
     )
-    inside = Window.partitionBy("column", "__lead").orderBy("value")
+    inside = Window.partitionBy("column", "__range").orderBy("value")
     table = (
         values.withColumn("__rank", F.row_number().over(inside) - 1)
-        .join(groups, ["column", "__lead"])
+        .join(groups, ["column", "__range"])
         .select("column", "value", (F.col("__first") + F.col("__rank")).cast("long").alias("code"))
     )
-    return LabelEncoder(table, list(columns))
+    return LabelEncoder(materialise(table, "codes"), list(columns))
 
 
 # --- scaling ----------------------------------------------------------------
@@ -445,8 +476,10 @@ def all_finite(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return df.withColumns({c: finite(F.col(c)) for c in real}) if real else df
 
 
-def require_rows(df: DataFrame, least: int) -> DataFrame:
-    """Raise where a table has fewer rows than a step needs; a bounded count."""
+def require_rows(df: DataFrame, least: int | None) -> DataFrame:
+    """Raise where a table has fewer rows than asked for; a bounded count."""
+    if least is None:
+        return df
     found = df.limit(least).count()
     if found < least:
         raise ValueError(f"needs at least {least} rows, found {found}")
@@ -462,14 +495,18 @@ def clean_training_table(
     target: str = "target",
     *,
     entity_default: str = UNKNOWN,
-    min_rows: int = 1000,
+    min_rows: int | None = None,
     time_idx: str = "time_idx",
 ) -> DataFrame:
     """No missing or infinite value is left: rows without a target go, the index
     is renumbered, prices are filled along time and then from the target, other
     numbers by their median or 0, text by its mode or `Unknown`."""
     df = all_finite(df).where(F.col(target).isNotNull())
-    df = df.fillna(entity_default, subset=list(series.entity))
+    kinds = dict(df.dtypes)
+    # a default of another type than the column is not applied, so name the rows that have none
+    texts = [c for c in series.entity if kinds[c] == "string"]
+    df = df.fillna(entity_default, subset=texts) if texts else df
+    df = df.dropna(subset=[c for c in series.entity if c not in texts]) if len(texts) < len(series.entity) else df
     require_rows(df, min_rows)
     layout = plan_series(df, series)
     numbered = layout.open(df).number("__idx").close()

@@ -163,7 +163,7 @@ def require_prices(predictions: DataFrame) -> DataFrame:
 
 
 def signal_view(
-    signals: DataFrame, by: Sequence[str] = ("symbol", "asof_ts"), steps: int = 5
+    signals: DataFrame, by: Sequence[str] = ("symbol", "asof_ts"), *, steps: int
 ) -> DataFrame:
     """First steps per forecast, with a grade of 0 to 5 and a high-confidence mark."""
     order = Window.partitionBy(*by).orderBy("step")

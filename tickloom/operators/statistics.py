@@ -54,7 +54,14 @@ class _Bracket:
 
 def number(x: float) -> str:
     """A double as a SQL literal."""
-    return f"{float(x)!r}D"
+    x = float(x)
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
+
+
+def finite_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """These columns as doubles, NaN and infinities missing. Ranks are over real numbers."""
+    held = [f"CASE WHEN abs(CAST(`{c}` AS DOUBLE)) < double('inf') THEN CAST(`{c}` AS DOUBLE) END AS `{c}`" for c in columns]
+    return df.selectExpr(*held)
 
 
 def distinct_estimate(x: str) -> str:
@@ -82,9 +89,10 @@ def exact_quantiles(
     what lies below and inside, and this repeats until the range holds at most
     `held` distinct values; the last pass is exact inside it.
     """
-    columns = list(columns)
+    columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
+    df = finite_values(df, columns)
     facts = _row(
         df,
         [
@@ -169,6 +177,7 @@ def quantiles(
     """Exact quantiles, or sketched ones from a single pass."""
     if exact or not columns:
         return exact_quantiles(df, columns, qs)
+    df = finite_values(df, list(dict.fromkeys(columns)))
     places = ", ".join(number(q) for q in qs)
     asked = [f"percentile_approx(`{c}`, array({places}), {SKETCH_ACCURACY})" for c in columns]
     found = _row(df, asked)

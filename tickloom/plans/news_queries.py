@@ -16,7 +16,7 @@ from tickloom.operators.news import (
 from tickloom.operators.sentiment import COLUMNS, MOVING, sentiment_features
 from tickloom.operators.technical import technical_features
 from tickloom.plans import shapes
-from tickloom.plans.present import present
+from tickloom.plans.present import present, sql_real
 from tickloom.plans.sql_parts import (
     ARTICLES,
     HOURLY_BARS,
@@ -34,7 +34,7 @@ KEYS = ["symbol", "bar_ts"]
 
 def _news_bars(spark, folder):
     bars = shapes.session_bars(spark, folder)
-    return bars_with_news(bars, news_per_bar(shapes.articles(spark, folder), bars))
+    return bars_with_news(bars, news_per_bar(shapes.articles(spark, folder), bars, grid_seconds=shapes.FIVE_MINUTES))
 
 
 def _mapped(compat, grid=300):
@@ -96,14 +96,29 @@ def _next_purchase(spark, folder):
     return present(df.select("event_id", F.unix_micros(F.col("bought_at").cast("timestamp")).alias("bought_at")))
 
 
+def _same_names(spark, folder):
+    """Events with the last purchase of their user, both tables with the same column names."""
+    events = shapes.table(spark, folder, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    marks = events.where(F.col("event_type") == "purchase").drop("event_type")
+    df = asof_backward(
+        events, marks, entity=["user_id"], at="ts", mark_time="ts", payload={c: F.col(c) for c in ("ts", "value")}
+    )
+    micros = {c: F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("ts", "ts_mark")}
+    return present(df.select("event_id", *micros.values(), "value", "value_mark"))
+
+
 def _all_bars(spark, folder):
-    """Landed bars with repeats, and indicator rows in long form."""
+    """Landed bars with repeats, every third of which was loaded again with other
+    prices, and indicator rows in long form."""
     bars = shapes.hourly_bars(spark, folder)
     wide = shapes.indicator_bars(spark, folder)
     long = wide.select(*KEYS, "rsi", "macd").unpivot(
         KEYS, ["rsi", "macd"], "indicator", "value"
     )
-    return present(full_bars(bars.unionByName(bars), long, ["rsi", "macd"]))
+    late = bars.where(F.hour("bar_ts") % 3 == 0).withColumn("close", F.col("close") + 1)
+    landed = bars.withColumn("loaded", F.lit(0)).unionByName(late.withColumn("loaded", F.lit(1)))
+    landed = landed.unionByName(bars.withColumn("loaded", F.lit(0)))
+    return present(full_bars(landed, long, ["rsi", "macd"], F.col("loaded")).drop("loaded"))
 
 
 def _sentiment(*groups, fill=None, coarse=None):
@@ -139,6 +154,7 @@ QUERIES = {
     "j03_bars_with_news": lambda spark, folder: present(_news_bars(spark, folder)),
     "j04_asof_backward": _last_purchase,
     "j04_asof_forward": _next_purchase,
+    "j04_asof_same_names": _same_names,
     "j09_features_side_by_side": _side_by_side,
     "g01_news_per_bar": _per_bar(300),
     "g01_news_per_bar_off_grid": _per_bar(None),
@@ -339,6 +355,10 @@ FROM searched s ASOF LEFT JOIN opens o ON s.symbol = o.symbol AND s.own_open <=
     "WHERE event_type = 'purchase') SELECT e.event_id, epoch_us(m.bought_at) AS bought_at, "
     "CASE WHEN round(m.bought, 6) = 0 THEN CAST(0 AS DOUBLE) ELSE round(m.bought, 6) END AS bought "
     "FROM events e ASOF LEFT JOIN marks m ON e.user_id = m.user_id AND e.ts >= m.bought_at",
+    "j04_asof_same_names": "WITH marks AS (SELECT user_id, ts AS ts_mark, value AS value_mark FROM events "
+    "WHERE event_type = 'purchase') SELECT e.event_id, epoch_us(e.ts) AS ts, epoch_us(m.ts_mark) AS ts_mark, "
+    + sql_real("e.value", "value") + ", " + sql_real("m.value_mark", "value_mark")
+    + " FROM events e ASOF LEFT JOIN marks m ON e.user_id = m.user_id AND e.ts >= m.ts_mark",
     "j04_asof_forward": "WITH marks AS (SELECT user_id, ts AS bought_at FROM events "
     "WHERE event_type = 'purchase') SELECT e.event_id, epoch_us(m.bought_at) AS bought_at "
     "FROM events e ASOF LEFT JOIN marks m ON e.user_id = m.user_id AND e.ts <= m.bought_at",
@@ -366,8 +386,9 @@ FROM searched s ASOF LEFT JOIN opens o ON s.symbol = o.symbol AND s.own_open <=
     "FROM articles GROUP BY 1, 2",
     "a13_full_bar_table": f"""WITH {HOURLY_BARS},
 i AS (SELECT *, 100 * {div('close - ' + roll('min', 'low', 14), roll('max', 'high', 14) + ' - ' + roll('min', 'low', 14))} AS rsi,
-      {roll('avg', 'close', 12)} - {roll('avg', 'close', 26)} AS macd FROM bars {windows(sizes=(12, 14, 26))}) """
-    + final("i", ["bar_ts"], ["open", "high", "low", "close", "volume", "rsi", "macd"], ["symbol"]),
+      {roll('avg', 'close', 12)} - {roll('avg', 'close', 26)} AS macd FROM bars {windows(sizes=(12, 14, 26))}),
+r AS (SELECT * REPLACE (CASE WHEN hour(bar_ts) % 3 = 0 THEN close + 1 ELSE close END AS close) FROM i) """
+    + final("r", ["bar_ts"], ["open", "high", "low", "close", "volume", "rsi", "macd"], ["symbol"]),
     "n01_rolling_statistics": _statistics(),
     "n01_rolling_statistics_filled": _statistics("ffill"),
     "n02_sentiment_moves": _sql([("a", _mv, "base")], (), _mv_real, _mv_whole),

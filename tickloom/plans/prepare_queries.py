@@ -172,9 +172,13 @@ def _lagged(spark, folder):
 
 
 def _interactions(spark, folder):
-    bars = shapes.hourly_bars(spark, folder)
+    """All kinds of pairs, from columns made of the bars' prices."""
+    bars = shapes.hourly_bars(spark, folder).selectExpr(
+        "*", "high - low AS vix_level", "high - close AS atr_14", "close - low AS sent_mean",
+        "open - low AS rsi_14", "open - close AS macd_histogram",
+    )
     df = P.with_interactions(bars, P.interaction_pairs(bars.columns))
-    return present(df.drop("open", "high", "low", "close", "volume"))
+    return present(df.select("symbol", "bar_ts", *[c for c in df.columns if c not in bars.columns]))
 
 
 def _encoded(spark, folder):
@@ -577,8 +581,11 @@ CAST(row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1
     )
     + " FROM events",
     "p04_interactions": f"WITH {HOURLY_BARS} SELECT symbol, CAST(bar_ts AS VARCHAR) AS bar_ts, "
-    + ", ".join(sql_real(f"{p} * volume", f"{p}_x_volume") for p in ("open", "high", "low"))
-    + " FROM bars",
+    + ", ".join(sql_real(f"{p} * volume", f"{p}_x_volume") for p in ("open", "high", "low", "close"))
+    + ", " + ", ".join(sql_real(f"sent_mean * {v}", f"sent_mean_x_{v}") for v in ("vix_level", "atr_14"))
+    + ", " + sql_real("rsi_14 * macd_histogram", "rsi_macd_combined")
+    + " FROM (SELECT *, high - low AS vix_level, high - close AS atr_14, close - low AS sent_mean, "
+    "open - low AS rsi_14, open - close AS macd_histogram FROM bars)",
     "p05_label_codes": """WITH t AS (
   SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 'Unknown' ELSE o_orderstatus END AS s
   FROM orders),

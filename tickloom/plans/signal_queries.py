@@ -97,7 +97,7 @@ QUERIES = {
             "user_id", "current_price"
         )
     ),
-    "d08_signal_view": lambda s, d: present(G.signal_view(_signals(s, d))),
+    "d08_signal_view": lambda s, d: present(G.signal_view(_signals(s, d), steps=5)),
     "f06_high_confidence": lambda s, d: present(G.high_confidence(_signals(s, d), 0.7)),
     "d09_persistence": lambda s, d: present(_persistence(s, d)),
     "d09_drift": lambda s, d: present(_drift(s, d)),

@@ -27,8 +27,8 @@ def _text(name: str):
     return F.col(name).cast("string")
 
 
-def _price_documents(bars, time: str = "bar_ts", month: str = "yyyy-MM"):
-    """One document per (symbol, month): a map of time to numbered fields."""
+def _price_documents(bars, time: str = "bar_ts", month: str | None = "yyyy-MM"):
+    """One document per (symbol, month), or per (symbol, part): a map of time to numbered fields."""
     fields = F.create_map(
         *[
             x
@@ -39,7 +39,8 @@ def _price_documents(bars, time: str = "bar_ts", month: str = "yyyy-MM"):
     entry = F.struct(_text(time).alias("k"), fields.alias("v"))
     body = F.to_json(F.map_from_entries(F.collect_list(entry)))
     meta = F.format_string('{"Meta Data": {"2. Symbol": "%s"}, "Time Series (60min)": %s}', "symbol", body)
-    return bars.groupBy("symbol", F.date_format(time, month).alias("month")).agg(meta.alias("doc"))
+    part = F.date_format(time, month) if month else F.col("part")
+    return bars.groupBy("symbol", part.alias("month")).agg(meta.alias("doc"))
 
 
 def _prices(spark, folder):
@@ -57,8 +58,25 @@ def _rejected(spark, folder):
     return bad.groupBy("symbol").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _rejected_entries(spark, folder):
+    """Entries with an unreadable time or number are set apart, one by one."""
+    # an entry with a broken time has a document of its own, since a map has each key once
+    bars = shapes.hourly_bars(spark, folder).withColumn("part", F.date_format("bar_ts", "yyyy-MM-dd-HH"))
+    broken = bars.withColumns(
+        {
+            "bar_ts": F.when(F.hour("bar_ts") == 3, F.lit("not a time")).otherwise(_text("bar_ts")),
+            "close": F.when(F.hour("bar_ts") == 5, F.lit("n/a")).otherwise(_text("close")),
+        }
+    )
+    docs = _price_documents(broken, month=None)
+    rows, bad = L.parse_prices(docs.select("symbol", "doc"))
+    read = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
+    apart = bad.where("entry IS NOT NULL").groupBy("symbol").agg(F.count(F.lit(1)).alias("entries"))
+    return read.join(apart, "symbol", "left")
+
+
 def _indicators(spark, folder):
-    wide = shapes.indicator_bars(spark, folder).where("macd IS NOT NULL")
+    wide = shapes.indicator_bars(spark, folder)
     fields = F.create_map(F.lit("Technical RSI"), _text("rsi"), F.lit("MACD"), _text("macd"))
     entry = F.struct(_text("bar_ts").alias("k"), fields.alias("v"))
     body = F.to_json(F.map_from_entries(F.collect_list(entry)))
@@ -120,11 +138,14 @@ def _appended(spark, folder):
 
 
 def _csv(spark, folder):
+    """All bars through CSV, with a broken line in a file of its own that is set apart."""
     path = scratch_path(spark, "csv")
-    bars = shapes.hourly_bars(spark, folder).where(F.col("symbol") == "view")
-    named = bars.select(F.col("bar_ts").alias("datetime"), *BAR_REAL)
+    named = shapes.hourly_bars(spark, folder).select("symbol", F.col("bar_ts").alias("datetime"), *BAR_REAL)
     named.write.option("header", True).csv(path)
-    return present(T.read_csv(spark, path))
+    broken = named.limit(1).select("symbol", F.lit("no time").alias("datetime"), *BAR_REAL)
+    broken.write.mode("append").option("header", True).csv(path)
+    rows, bad = T.read_csv(spark, path, f"symbol string, {T.BAR_SCHEMA}")
+    return present(rows.withColumn("bad_lines", F.lit(bad.count())))
 
 
 def _tables(spark, folder):
@@ -135,7 +156,7 @@ def _tables(spark, folder):
 
 def _one_csv(spark, folder):
     path = scratch_path(spark, "small")
-    T.write_small_csv(shapes.hourly_bars(spark, folder).groupBy("symbol").count(), path)
+    T.write_csv(shapes.hourly_bars(spark, folder).groupBy("symbol").count(), path, files=1)
     return spark.read.schema("symbol string, bars bigint").option("header", True).csv(path)
 
 
@@ -190,16 +211,38 @@ def _run(stream, path: str) -> None:
 
 
 def _bar_stream(spark, folder):
+    """All slots: those the stream closed, and the closing step over its source."""
     path = scratch_path(spark, "bars")
     _run(R.streaming_bars(_event_stream(spark, folder), entity="event_type", step="1 hour"), path)
-    return present(spark.read.parquet(path))
+    events = shapes.table(spark, folder, "events")
+    R.closing_bars(events, entity="event_type", step="1 hour").write.mode("append").parquet(path)
+    return present(_written(spark, path))
 
 
-def _news_stream(spark, folder):
-    path = scratch_path(spark, "slots")
+def _written(spark, path):
+    """All Parquet files of a folder; the stream's log does not list the appended ones."""
+    schema = spark.read.parquet(path).schema
+    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{path}/*.parquet")
+
+
+def _batch_news(spark, folder):
+    """News in two landings, with the later bars landing after the first of them."""
+    news, bars = shapes.articles(spark, folder), shapes.session_bars(spark, folder)
+    landing, held, out = (scratch_path(spark, n) for n in ("news-landing", "bars-landing", "mapped-news"))
+    middle = bars.agg(F.expr("percentile_approx(unix_micros(CAST(bar_ts AS TIMESTAMP)), 0.5)")).first()[0]
+    late = F.unix_micros(F.col("bar_ts").cast("timestamp")) > middle
+    for number, part in enumerate((~late, late)):
+        bars.where(part).write.mode("append").parquet(held)
+        news.where(F.col("article_id") % 2 == number).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(news.schema).parquet(landing)
+        R.map_each_batch(stream, lambda: spark.read.parquet(held), out, f"{out}-state", available_now=True).awaitTermination()
+    return present(spark.read.parquet(out).select("article_id", "bar_ts"))
+
+
+def _event_news(events):
     k = F.get_json_object("props", "$.k").cast("int")
     score = (k - 50) / F.lit(50.0)
-    news = _event_stream(spark, folder).select(
+    return events.select(
         F.col("event_type").alias("symbol"),
         F.col("ts").alias("time_published"),
         score.alias("overall_sentiment_score"),
@@ -207,8 +250,14 @@ def _news_stream(spark, folder):
             "overall_sentiment_label"
         ),
     )
-    _run(R.streaming_news(news), path)
-    return present(spark.read.parquet(path))
+
+
+def _news_stream(spark, folder):
+    """All slots: those the stream closed, and the closing step over its source."""
+    path = scratch_path(spark, "slots")
+    _run(R.streaming_news(_event_news(_event_stream(spark, folder))), path)
+    R.closing_news(_event_news(shapes.table(spark, folder, "events"))).write.mode("append").parquet(path)
+    return present(_written(spark, path))
 
 
 def _watched(spark, folder):
@@ -227,6 +276,7 @@ def _watched(spark, folder):
 QUERIES = {
     "a01_price_documents": _prices,
     "a01_rejected_documents": _rejected,
+    "a01_rejected_entries": _rejected_entries,
     "a02_indicator_documents": _indicators,
     "a03_news_documents": _news,
     "a04_daily_series": _daily,
@@ -241,13 +291,15 @@ QUERIES = {
     "r01_signal_watcher": _watched,
     "r02_streaming_news": _news_stream,
     "r03_streaming_bars": _bar_stream,
+    "r04_news_each_batch": _batch_news,
 }
 
-_CLOSED = "HAVING {slot} + INTERVAL '{step}' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"
 ORACLES = {
     "a01_price_documents": f"WITH {HOURLY_BARS} " + final("bars", ["bar_ts"], BAR_REAL, ["symbol"]),
     "a01_rejected_documents": "SELECT 'error' AS symbol, count(DISTINCT date_trunc('month', ts)) AS documents "
     "FROM events WHERE event_type = 'error'",
+    "a01_rejected_entries": f"WITH {HOURLY_BARS} SELECT symbol, count(*) FILTER (hour(bar_ts) NOT IN (3, 5)) AS bars, "
+    "count(*) FILTER (hour(bar_ts) IN (3, 5)) AS entries FROM bars GROUP BY 1",
     "a03_news_documents": f"WITH {ARTICLES} SELECT "
     "CAST(date_trunc('second', time_published) AS VARCHAR) AS time_published, symbol, article_id, "
     f"CAST(1 AS INTEGER) AS topics, {sql_real('score', 'overall_sentiment_score')}, "
@@ -257,8 +309,8 @@ ORACLES = {
     "count(DISTINCT o_orderdate) AS bars FROM orders GROUP BY 1, 2",
     "a06_append_sink": f"WITH {ARTICLES} SELECT label AS overall_sentiment_label, count(*) AS articles "
     "FROM articles GROUP BY 1",
-    "a07_csv_scan": f"WITH {HOURLY_BARS}, v AS (SELECT *, bar_ts AS datetime FROM bars WHERE symbol = 'view') "
-    + final("v", ["datetime"], BAR_REAL),
+    "a07_csv_scan": f"WITH {HOURLY_BARS}, v AS (SELECT *, bar_ts AS datetime, 1 AS bad_lines FROM bars) "
+    + final("v", ["datetime"], BAR_REAL, ["symbol", "bad_lines"]),
     "a08_table_sink": f"WITH {HOURLY_BARS} " + final("bars", ["bar_ts"], ["close"], ["symbol"]),
     "a08_single_csv": f"WITH {HOURLY_BARS} SELECT symbol, count(*) AS bars FROM bars GROUP BY 1",
     "a09_json_documents": f"WITH {HOURLY_BARS} SELECT symbol, count(*) AS bars, {sql_real('max(high)', 'top')} "
@@ -272,14 +324,11 @@ ORACLES = {
 g AS (SELECT symbol, slot, CAST(sum(CAST(score AS DECIMAL(20, 12))) AS DOUBLE) / count(score) AS sent_mean,
              max(abs(score)) AS sent_max_abs, count(*) FILTER (score >= 0.2) AS bullish_cnt,
              count(*) FILTER (score <= -0.2) AS bearish_cnt, count(*) AS headline_count
-      FROM n GROUP BY 1, 2 """
-    + _CLOSED.format(slot="slot", step="5 minutes")
-    + ") "
+      FROM n GROUP BY 1, 2) """
     + final("g", ["slot"], ["sent_mean", "sent_max_abs"], ["symbol", "bullish_cnt", "bearish_cnt", "headline_count"]),
-    "r03_streaming_bars": f"WITH {HOURLY_BARS} ".replace(
-        "GROUP BY 1, 2)", "GROUP BY 1, 2 " + _CLOSED.format(slot="bar_ts", step="1 hour") + ")"
-    )
+    "r03_streaming_bars": f"WITH {HOURLY_BARS} "
     + final("bars", ["bar_ts"], BAR_REAL, ["symbol"]),
+    "r04_news_each_batch": f"SELECT * FROM ({NEWS_SQL['j01_news_to_bar']}) WHERE bar_ts IS NOT NULL",
     "r01_signal_watcher": "SELECT count(*) FILTER (signal = 'UP') AS up_signals, "
     "count(*) FILTER (signal = 'DOWN') AS down_signals, "
     + sql_real("avg(confidence)", "avg_confidence")
@@ -287,6 +336,6 @@ g AS (SELECT symbol, slot, CAST(sum(CAST(score AS DECIMAL(20, 12))) AS DOUBLE) /
 }
 ORACLES["a02_indicator_documents"] = (
     f"WITH w AS ({NEWS_SQL['a13_full_bar_table']}) "
-    "SELECT symbol, 'RSI' AS indicator, bar_ts, rsi AS value FROM w WHERE macd IS NOT NULL "
-    "UNION ALL SELECT symbol, 'MACD', bar_ts, macd FROM w WHERE macd IS NOT NULL"
+    "SELECT symbol, 'RSI' AS indicator, bar_ts, rsi AS value FROM w "
+    "UNION ALL SELECT symbol, 'MACD', bar_ts, macd FROM w"
 )

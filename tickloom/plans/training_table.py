@@ -40,7 +40,9 @@ class TrainingPlan:
     exact_fits: bool = True  # False: quantiles from one sketching pass
     availability_lag: int = 1
     sectors: Sequence[str] = tuple(SECTOR_SYMBOLS)
-    min_rows: int = 100
+    nearest_calendar_day: bool = False  # True for daily bars
+    interactions: Sequence[tuple[str, str]] | None = None  # None: all pairs by name
+    min_rows: int | None = None
 
 
 @dataclass
@@ -86,7 +88,7 @@ def add_all_features(
     if plan.include_events:
         if "headline_count" in df.columns:
             df = sentiment_features(df, series, groups=plan.sentiment_groups, layout=layout)
-        df = with_calendar(df, series.time, source=bars)
+        df = with_calendar(df, series.time, nearest=plan.nearest_calendar_day, source=bars)
     return df
 
 
@@ -104,7 +106,7 @@ def build_training_table(
     plan = plan or TrainingPlan()
     started = time.time()
     entity = series.entity[0]
-    validate_bars(bars, series.time, plan.min_rows)
+    validate_bars(bars, series.time, plan.min_rows or 1)
     df = add_all_features(bars, series, plan, daily)
     if info is not None:
         df = P.with_static_info(df, info, entity)
@@ -122,12 +124,9 @@ def build_training_table(
     kinds = dict(df.dtypes)
     lagged = [c for c in lagged if kinds[c] != "string"]
     df = P.with_lags(df, series, lagged, plan.lag_periods, layout)
-    pairs = [
-        (a, b)
-        for a, b in P.interaction_pairs(
-            [c for c in roles.unknown_future if kinds[c] != "string"]
-        )
-    ]
+    pairs = plan.interactions
+    if pairs is None:
+        pairs = P.interaction_pairs([c for c in roles.unknown_future if kinds[c] != "string"])
     before = df.columns
     df = P.with_interactions(df, pairs)
     made = [c for c in df.columns if c not in before]

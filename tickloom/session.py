@@ -32,9 +32,13 @@ def local_session(cpus: int | str = "*", memory: str = "16g") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    on_cluster = not spark.sparkContext.master.startswith("local")
     if folder:
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if on_cluster and ":" not in folder and default.startswith("file:"):
+            raise ValueError(f"spark.checkpoint.dir is {folder}, a path of one machine; name its file system")
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if on_cluster:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="tickloom-")
     spark.conf.set("spark.checkpoint.dir", folder)

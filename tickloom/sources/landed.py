@@ -2,11 +2,14 @@
 
 `read_documents` gives one row per landed file; every parser takes a table
 with the document in `doc` (prices and indicators also with its symbol) and
-returns parsed rows and, apart, the documents it cannot use.
+returns parsed rows and, apart, what it cannot use: whole documents in `doc`, and
+single entries with an unreadable time or number in `entry`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,16 +78,35 @@ def _rows(docs: DataFrame, wanted, mark: str) -> tuple[DataFrame, DataFrame]:
     return rows, bad
 
 
+def _raw(rows: DataFrame, texts: dict[str, Column]) -> list[Column]:
+    """Helper columns of an entry: its text, and which fields held one."""
+    entry = F.to_json(F.struct(F.col("__ts").alias("time"), *[t.alias(n) for n, t in texts.items()]))
+    return [entry.alias("__entry"), *[t.isNotNull().alias(f"__held_{n}") for n, t in texts.items()]]
+
+
+def _split(read: DataFrame, time: str, fields: Sequence[str], bad: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable rows, and documents and entries that are not. An entry is rejected if
+    its time or a number that it has does not parse; an absent number is missing."""
+    broken = F.col(time).isNull()
+    for n in fields:
+        broken = broken | (F.col(f"__held_{n}") & F.col(n).isNull())
+    helpers = ["__entry", *[f"__held_{n}" for n in fields]]
+    unread = read.where(broken).select("symbol", F.col("__entry").alias("entry"))
+    return read.where(~broken).drop(*helpers), bad.unionByName(unread, allowMissingColumns=True)
+
+
 def parse_prices(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(symbol, bar_ts, open, high, low, close, volume) and rejected documents."""
     rows, bad = _rows(docs, lambda k: k.contains(SERIES_MARK), r"\. ")
-    fields = [F.try_element_at("__fields", F.lit(n)).try_cast("double").alias(n) for n in PRICE_FIELDS]
-    return rows.select("symbol", F.col("__ts").try_cast("timestamp_ntz").alias("bar_ts"), *fields), bad
+    texts = {n: F.try_element_at("__fields", F.lit(n)) for n in PRICE_FIELDS}
+    fields = [t.try_cast("double").alias(n) for n, t in texts.items()]
+    read = rows.select("symbol", F.col("__ts").try_cast("timestamp_ntz").alias("bar_ts"), *fields, *_raw(rows, texts))
+    return _split(read, "bar_ts", PRICE_FIELDS, bad)
 
 
 def parse_daily(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(series, day, close) from daily price documents; `symbol` names the series."""
-    bars, bad = parse_prices(docs)
+    bars, bad = parse_prices(docs)  # the rejects are those of the bars
     return bars.select(F.col("symbol").alias("series"), F.to_date("bar_ts").alias("day"), "close"), bad
 
 
@@ -92,12 +114,15 @@ def parse_indicators(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(symbol, indicator, bar_ts, value); a document without a body is an
     empty month and gives no rows."""
     rows, bad = _rows(docs, lambda k: k != META_KEY, " ")
-    long = rows.select(
+    long = rows.select("symbol", "__ts", F.explode("__fields").alias("indicator", "__text"))
+    read = long.select(
         "symbol",
+        "indicator",
         F.col("__ts").try_cast("timestamp_ntz").alias("bar_ts"),
-        F.explode("__fields").alias("indicator", "value"),
+        F.col("__text").try_cast("double").alias("value"),
+        *_raw(long, {"value": F.col("__text")}),
     )
-    return long.select("symbol", "indicator", "bar_ts", F.col("value").try_cast("double").alias("value")), bad
+    return _split(read, "bar_ts", ("value",), bad)
 
 
 def parse_news(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,6 +131,9 @@ def parse_news(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = parsed.where(F.col("__feed").isNull()).drop("__feed")
     articles = parsed.where(F.col("__feed").isNotNull()).select("symbol", F.explode("__feed").alias("a"))
     published = F.try_to_timestamp("a.time_published", F.lit(NEWS_TIME)).cast("timestamp_ntz")
-    return articles.select("symbol", "a.*", published.alias("__published")).select(
-        F.col("__published").alias("time_published"), "symbol", *NEWS_FIELDS
-    ), bad
+    read = articles.select("symbol", "a.*", published.alias("__published"))
+    kept = read.where(F.col("__published").isNotNull())
+    unread = read.where(F.col("__published").isNull()).select("symbol", F.to_json(F.struct("title", "time_published")).alias("entry"))
+    return kept.select(F.col("__published").alias("time_published"), "symbol", *NEWS_FIELDS), bad.unionByName(
+        unread, allowMissingColumns=True
+    )

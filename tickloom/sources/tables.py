@@ -5,20 +5,35 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tickloom.session import materialise
+
 BAR_SCHEMA = (
     "datetime timestamp_ntz, open double, high double, low double, close double, volume double"
 )
 REQUIRED = ("open", "high", "low", "close", "volume")
-MIN_BARS = 100
 
 
-def read_csv(spark: SparkSession, path: str, schema: str = BAR_SCHEMA) -> DataFrame:
-    """Headed CSV with declared types; columns are matched by position."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str = BAR_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """Rows of headed CSV files with declared types, and the lines that do not
+    parse. A file whose header does not name these columns in order is an error.
+    The bad lines are written to the shared folder when this is called."""
+    bad = "__bad_line"
+    read = (
+        spark.read.schema(f"{schema}, {bad} string")
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", bad)
+        .csv(path)
+    )
+    kept = [c for c in read.columns if c != bad]
+    good = read.where(F.col(bad).isNull()).select(*kept)
+    rejected = read.where(F.col(bad).isNotNull()).withColumnRenamed(bad, "line")
+    # written, since the text of a bad line can't be queried without the other columns
+    return good, materialise(rejected, "rejects").select("line")
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -43,7 +58,7 @@ def validation_report(bars: DataFrame, time: str = "bar_ts") -> DataFrame:
     ).withColumn("missing_columns", F.lit(",".join(missing)))
 
 
-def validate_bars(bars: DataFrame, time: str = "bar_ts", min_rows: int = MIN_BARS) -> DataFrame:
+def validate_bars(bars: DataFrame, time: str = "bar_ts", min_rows: int = 1) -> DataFrame:
     """The same bars, or an error if columns or rows are missing."""
     report = validation_report(bars, time).first()
     if report.missing_columns:
@@ -56,12 +71,13 @@ def validate_bars(bars: DataFrame, time: str = "bar_ts", min_rows: int = MIN_BAR
 def write_monthly(
     df: DataFrame, path: str, *, time: str = "bar_ts", by: Sequence[str] = ("symbol",)
 ) -> None:
-    """Parquet per (symbol, month). A re-run replaces only the months it has,
-    and each month is sorted by time."""
+    """Parquet per (symbol, month). A re-run replaces only the months it has.
+    Rows are dealt by sampled ranges of symbol and time, so a hot month is several
+    files, each sorted by time and covering its own range."""
     keys = [*by, "month"]
     (
         df.withColumn("month", F.date_format(time, "yyyy-MM"))
-        .repartition(*keys)
+        .repartitionByRange(*keys, time)
         .sortWithinPartitions(*keys, time)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -73,15 +89,31 @@ def write_monthly(
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
 
+def one_per_key(df: DataFrame, keys: Sequence[str], prefer: Column | None = None) -> DataFrame:
+    """One row per key: the greatest `prefer`, such as a load time, and among equals
+    the greatest by all columns in order, whatever the partitioning."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    row = F.struct(*rest)
+    best = F.max(row) if prefer is None else F.max_by(row, F.struct(prefer, *rest))
+    return df.groupBy(*keys).agg(best.alias("__kept")).select(*keys, "__kept.*").select(*df.columns)
 
-def append_rows(df: DataFrame, path: str, distinct_on: Sequence[str] | None = None) -> None:
-    """Append; with distinct_on only rows whose key the table does not have yet."""
+
+def append_rows(
+    df: DataFrame, path: str, distinct_on: Sequence[str] | None = None, prefer: Column | None = None
+) -> None:
+    """Append; with distinct_on only rows whose key the table does not have yet,
+    and of repeated keys the row that `one_per_key` takes."""
     if distinct_on:
         keys = list(distinct_on)
-        df = df.dropDuplicates(keys)
+        df = one_per_key(df, keys, prefer)
         held = _existing(df.sparkSession, path)
         if held is not None:
             df = df.join(held.select(*keys).distinct(), keys, "left_anti")
@@ -92,11 +124,10 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_small_csv(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
-    """One headed CSV file, for results small enough to read by eye or tool."""
-    if df.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"more than {most_rows} rows; use write_table")
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Headed CSV; `files` bounds the number of files, for results to read by eye."""
+    df = df.coalesce(files) if files else df
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_document(df: DataFrame, path: str) -> None:

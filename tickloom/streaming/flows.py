@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tickloom.operators.bars import bar_columns
 from tickloom.operators.metrics import signal_summary
 from tickloom.operators.news import map_to_bars, partial_sums
+from tickloom.session import materialise
 
 SIGNAL_SCHEMA = (
     "step int, signal string, confidence double, strength string, price_target double, "
@@ -27,6 +28,26 @@ def _start() -> Column:
     return F.col("window.start").cast("timestamp_ntz")
 
 
+def still_open(rows: DataFrame, time: str, step: str, lateness: str) -> DataFrame:
+    """The rows of slots that a stream over these rows leaves open: the watermark,
+    `lateness` before the latest row, has not reached the slot's end. The closing step of
+    a finished stream is `closing_bars` or `closing_news` over its source, appended
+    to what the stream wrote."""
+    rows = _timed(rows, time)
+    latest = rows.agg(F.max(time)).first()[0]
+    if latest is None:
+        return rows
+    return rows.where(F.window(time, step).end > F.lit(latest) - F.expr(f"INTERVAL {lateness}"))
+
+
+def _bars(ticks: DataFrame, entity: str, time: str, value: str, step: str) -> DataFrame:
+    return (
+        ticks.groupBy(F.col(entity).alias("symbol"), F.window(time, step))
+        .agg(*bar_columns(time, value))
+        .select("symbol", _start().alias("bar_ts"), "open", "high", "low", "close", "volume")
+    )
+
+
 def streaming_bars(
     ticks: DataFrame,
     *,
@@ -37,32 +58,25 @@ def streaming_bars(
     lateness: str = "1 hour",
 ) -> DataFrame:
     """Bars of closed slots; ticks later than the watermark are dropped."""
-    return (
-        _timed(ticks, time)
-        .withWatermark(time, lateness)
-        .groupBy(F.col(entity).alias("symbol"), F.window(time, step))
-        .agg(*bar_columns(time, value))
-        .select(
-            "symbol", _start().alias("bar_ts"), "open", "high", "low", "close", "volume"
-        )
-    )
+    return _bars(_timed(ticks, time).withWatermark(time, lateness), entity, time, value, step)
 
 
-def streaming_news(
-    news: DataFrame,
+def closing_bars(
+    ticks: DataFrame,
     *,
-    published: str = "time_published",
-    score: str = "overall_sentiment_score",
-    label: str = "overall_sentiment_label",
+    entity: str = "symbol",
+    time: str = "ts",
+    value: str = "value",
     step: str = "5 minutes",
     lateness: str = "1 hour",
 ) -> DataFrame:
-    """Sentiment and counts per tumbling slot. The session rules of
-    `news_per_bar` need the bars and run per batch, see `map_each_batch`."""
+    """Bars of the slots that `streaming_bars` over all these ticks did not close."""
+    return _bars(still_open(ticks, time, step, lateness), entity, time, value, step)
+
+
+def _slots(news: DataFrame, published: str, score: str, label: str, step: str) -> DataFrame:
     return (
-        _timed(news, published)
-        .withWatermark(published, lateness)
-        .groupBy("symbol", F.window(published, step))
+        news.groupBy("symbol", F.window(published, step))
         .agg(*partial_sums(F.col(score), F.col(label)))
         .select(
             "symbol",
@@ -76,6 +90,33 @@ def streaming_news(
     )
 
 
+def streaming_news(
+    news: DataFrame,
+    *,
+    published: str = "time_published",
+    score: str = "overall_sentiment_score",
+    label: str = "overall_sentiment_label",
+    step: str = "5 minutes",
+    lateness: str = "1 hour",
+) -> DataFrame:
+    """Sentiment and counts per tumbling slot. The session rules of
+    `news_per_bar` need the bars and run per batch, see `map_each_batch`."""
+    return _slots(_timed(news, published).withWatermark(published, lateness), published, score, label, step)
+
+
+def closing_news(
+    news: DataFrame,
+    *,
+    published: str = "time_published",
+    score: str = "overall_sentiment_score",
+    label: str = "overall_sentiment_label",
+    step: str = "5 minutes",
+    lateness: str = "1 hour",
+) -> DataFrame:
+    """The slots that `streaming_news` over all this news did not close."""
+    return _slots(still_open(news, published, step, lateness), published, score, label, step)
+
+
 def start_each_batch(
     stream: DataFrame,
     work: Callable[[DataFrame, int], None],
@@ -90,16 +131,45 @@ def start_each_batch(
 
 
 def map_each_batch(
-    news: DataFrame, bars: DataFrame, out: str, checkpoint: str, available_now: bool = False
+    news: DataFrame,
+    bars: Callable[[], DataFrame],
+    out: str,
+    checkpoint: str,
+    available_now: bool = False,
 ) -> StreamingQuery:
-    """Landed news mapped to bars by the session rules, batch by batch. Writing
-    each batch under its number keeps a repeated batch from doubling rows."""
+    """Landed news mapped to bars by the session rules, batch by batch.
+
+    `bars` reads the bars that have landed so far, anew for each batch. News whose
+    bar is not there yet waits in `{out}-pending` and is tried again with the
+    next batch, or by `map_pending` after the last. Writing each batch under its
+    number keeps a repeated batch from doubling rows.
+    """
+
     def work(batch: DataFrame, number: int) -> None:
-        map_to_bars(batch, bars).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        waiting = _pending(batch.sparkSession, out, number - 1, batch)
+        _map_batch(batch.unionByName(waiting), bars(), out, number)
 
     return start_each_batch(news, work, checkpoint, available_now)
 
 
+def _pending(spark: SparkSession, out: str, number: int, like: DataFrame) -> DataFrame:
+    if number < 0:
+        return like.limit(0)
+    return spark.read.schema(like.schema).parquet(f"{out}-pending/batch={number}")
+
+
+def _map_batch(news: DataFrame, bars: DataFrame, out: str, number: int) -> None:
+    found = materialise(map_to_bars(news, bars), "mapped")
+    found.where(F.col("bar_ts").isNotNull()).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    rest = found.where(F.col("bar_ts").isNull()).drop("bar_ts")
+    rest.write.mode("overwrite").parquet(f"{out}-pending/batch={number}")
+
+
+def map_pending(news: DataFrame, bars: DataFrame, out: str, number: int) -> None:
+    """Try again what waits after batch `number`, as batch `number` + 1. `news` gives the schema."""
+    _map_batch(_pending(news.sparkSession, out, number, news), bars, out, number + 1)
+
+
 def watch_signals(
     spark: SparkSession,
     folder: str,
