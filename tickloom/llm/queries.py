@@ -95,6 +95,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), w AS (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS place FROM d WHERE len(words) > 0),
+        keyed AS (
+            SELECT doc_id, place, words[place] AS word,
+                CASE WHEN place + 19 <= len(words) THEN array_to_string(words[place:place + 19], ' ') END AS key FROM w
+        ), marked AS (
+            SELECT *, CASE WHEN key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, place) > 1
+                THEN place END AS again FROM keyed
+        ), covered AS (
+            SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL
+                AS gone FROM marked
+        ), g AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS kept
+            FROM covered GROUP BY 1
+        )
+        SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(g.n_removed, 0) AS n_removed,
+            sha256(coalesce(g.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """,
     "op8_nearest_neighbours": """
         WITH v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
