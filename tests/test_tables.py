@@ -78,7 +78,7 @@ def test_equal_scores_at_the_cut(spark):
 def test_cleaning_needs_enough_rows(spark):
     df = spark.createDataFrame([("a", 1, 1.0)], "symbol string, t int, target double")
     with pytest.raises(ValueError):
-        P.clean_training_table(df, Series(("symbol",), "t", max_rows=1))
+        P.clean_training_table(df, Series(("symbol",), "t", max_rows=1), min_rows=100)
 
 
 def test_short_entities_give_no_sequences(spark):
