@@ -199,6 +199,11 @@ def with_target(
     return frame.close("__seen").where(F.col("target").isNotNull())
 
 
+def aligned_rows(df: DataFrame, features: Sequence[str], target: str = "target") -> DataFrame:
+    """Rows on which the target and every feature are present, so features and target have the same index."""
+    return df.dropna(subset=[*features, target])
+
+
 def time_split(
     df: DataFrame,
     series: Series,
@@ -373,6 +378,23 @@ def mutual_information(
     return share.groupBy("feature").agg(F.sum(term).alias("importance_score"))
 
 
+def with_position(df: DataFrame) -> DataFrame:
+    """`position`, from 0, of each row in the output order of a sorted frame. Rows are
+    numbered inside their partition, and partitions are offset by their counts."""
+    held = materialise(df.withColumn("__place", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__place", 33)
+    counts = held.groupBy(part.alias("__part")).count()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        held.withColumn("__part", part)
+        .join(F.broadcast(first), "__part")
+        .withColumn("position", F.col("__first") + inside)
+        .drop("__place", "__part", "__first")
+    )
+
+
 def top_features(scores: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Best features per role; equal scores in name order.
     Input (feature, role, importance_score) is one row per column."""

@@ -51,6 +51,11 @@ def _target_rows(spark, folder):
     return present(df.select(*KEYS, "target"))
 
 
+def _aligned(spark, folder):
+    df, _ = _with_target(spark, folder)
+    return present(P.aligned_rows(df, RANKED).select(*KEYS, "target", *RANKED))
+
+
 def _wild_ticks(spark, folder):
     kind = F.col("event_type")
     wild = (
@@ -241,8 +246,12 @@ def _cleaned(spark, folder):
 
 
 def _clean_check(spark, folder):
-    df = P.clean_training_table(_gappy(spark, folder), USER_SERIES, min_rows=100)
-    return P.remaining_gaps(df)
+    """Gaps before and after cleaning."""
+    raw = _gappy(spark, folder)
+    clean = P.clean_training_table(raw, USER_SERIES, min_rows=100)
+    stages = {"raw": raw, "clean": clean}
+    first, second = (P.remaining_gaps(df).withColumn("stage", F.lit(n)) for n, df in stages.items())
+    return first.unionByName(second)
 
 
 def _importance(spark, folder):
@@ -257,8 +266,9 @@ def _ranked(spark, folder):
 
 
 def _sorted_scores(spark, folder):
+    """With the place of each row in the sorted output."""
     df = _ranked(spark, folder).orderBy(F.col("importance_score").desc(), "feature")
-    return present(df)
+    return present(P.with_position(df))
 
 
 def _top_per_role(spark, folder):
@@ -305,8 +315,9 @@ def _target_scale(spark, folder):
 
 
 def _time_sorted(spark, folder):
+    """With the place of each row in the sorted output."""
     bars = shapes.hourly_bars(spark, folder)
-    return present(bars.orderBy("symbol", "bar_ts").select(*KEYS, "close"))
+    return present(P.with_position(bars.orderBy("symbol", "bar_ts").select(*KEYS, "close")))
 
 
 def _training(spark, folder):
@@ -322,6 +333,20 @@ def _training(spark, folder):
     return present(made.table.select(*KEYS, "time_idx", "target"))
 
 
+def _training_features(spark, folder):
+    """Selected, scaled and filled features of a plan small enough for SQL."""
+    series = shapes.hourly_series(spark, folder)
+    plan = TrainingPlan(
+        technical_groups=["momentum"],
+        include_events=False,
+        lag_periods=(1,),
+        interactions=[("close", "volume")],
+        max_features={"unknown_future": 99, "known_future": 99, "static": 99},
+    )
+    made = build_training_table(shapes.hourly_bars(spark, folder), series, plan)
+    return present(made.table.select(*KEYS, "is_train", "target", "momentum_5", "close_lag_1", "close_x_volume"))
+
+
 def _report(spark, folder):
     series = shapes.hourly_series(spark, folder)
     plan = TrainingPlan(
@@ -354,7 +379,7 @@ QUERIES = {
     "j10_static_lookup": lambda s, d: _static_info(s, d).groupBy("sector").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("dividend_paying").alias("paying")
     ),
-    "j11_aligned_rows": _target_rows,
+    "j11_aligned_rows": _aligned,
     "p02_role_facts": _role_facts,
     "p02_roles": _assigned(False),
     "p02_roles_compatible": _assigned(True),
@@ -372,6 +397,7 @@ QUERIES = {
     "p12_last_sequence": _sequences(True),
     "p13_target_scale": _target_scale,
     "p14_training_table": _training,
+    "p14_training_features": _training_features,
     "o01_time_sort": _time_sorted,
     "o02_score_sort": _sorted_scores,
     "o03_top_per_role": _top_per_role,
@@ -624,8 +650,10 @@ FROM t LEFT JOIN p ON o_orderpriority = p.v LEFT JOIN q ON s = q.v""",
     + ", "
     + sql_real(f"coalesce(feature, {_MEDIAN.format(c='feature', t='marked')})", "feature")
     + f", coalesce(label, {_mode('label', 'marked')}) AS label FROM marked",
-    "p11_remaining_gaps": "SELECT count(*) FILTER (event_id IS NULL) AS missing, "
-    "count(*) FILTER (value = 'Infinity'::DOUBLE) AS not_finite FROM events",
+    "p11_remaining_gaps": f"WITH {_GAPPY} SELECT 'raw' AS stage, (SELECT count(*) FILTER (target IS NULL) "
+    "+ count(*) FILTER (close IS NULL) + count(*) FILTER (label IS NULL) FROM gappy) "
+    "+ count(*) FILTER (event_type = 'click') AS missing, "
+    "count(*) FILTER (event_type = 'view') AS not_finite FROM events UNION ALL SELECT 'clean', 0, 0",
     "p12_sequences": f"WITH {_SEQUENCES} " + final("samples", ["bar_ts"], _SEQ_REAL, _SEQ_WHOLE),
     "p12_last_sequence": f"WITH {_SEQUENCES} "
     + final("samples", ["bar_ts"], _SEQ_REAL, _SEQ_WHOLE)
@@ -635,9 +663,11 @@ FROM t LEFT JOIN p ON o_orderpriority = p.v LEFT JOIN q ON s = q.v""",
     "stddev_samp(target) OVER (PARTITION BY symbol) AS target_scale FROM targets) "
     + final("s", ["bar_ts"], ["target_center", "target_scale"], ["symbol"]),
     "p14_training_table": f"WITH {_TARGETS} " + final("targets", ["bar_ts"], ["target"], ["symbol", "time_idx"]),
-    "o01_time_sort": f"WITH {HOURLY_BARS} " + final("bars", ["bar_ts"], ["close"], ["symbol"]),
-    "o02_score_sort": f"WITH {_information()} "
-    + final("scores", [], ["importance_score"], ["feature", "role"]),
+    "o01_time_sort": f"WITH {HOURLY_BARS}, p AS (SELECT *, row_number() OVER (ORDER BY symbol, bar_ts) - 1 AS position FROM bars) "
+    + final("p", ["bar_ts"], ["close"], ["symbol", "position"]),
+    "o02_score_sort": f"WITH {_information()}, p AS (SELECT *, "
+    "row_number() OVER (ORDER BY importance_score DESC, feature) - 1 AS position FROM scores) "
+    + final("p", [], ["importance_score"], ["feature", "role", "position"]),
     "o03_top_per_role": f"WITH {_information()} "
     + final("ranked", [], ["importance_score"], ["feature", "role", "rank"])
     + " WHERE rank <= 3",
@@ -645,4 +675,28 @@ FROM t LEFT JOIN p ON o_orderpriority = p.v LEFT JOIN q ON s = q.v""",
     + final("ranked", [], ["importance_score"], ["feature", "role"])
     + " WHERE rank <= 2",
 }
-ORACLES["j11_aligned_rows"] = ORACLES["f03_present_target"]
+ORACLES["j11_aligned_rows"] = (
+    f"WITH {_TARGETS}, a AS (SELECT * FROM targets WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in RANKED)
+    + ") "
+    + final("a", ["bar_ts"], ["target", *RANKED], ["symbol"])
+)
+
+
+def _scaled_and_filled(c: str) -> str:
+    """The column scaled by the training part's quartiles, then filled forward, then by the training median."""
+    middle = f"(SELECT quantile_cont({c}, 0.5) FROM t WHERE is_train)"
+    width = f"(SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM t WHERE is_train)"
+    scaled = f"({c} - {middle}) / CASE WHEN {width} = 0 THEN 1 ELSE {width} END"
+    kept = f"last_value({scaled} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS UNBOUNDED PRECEDING)"
+    return f"coalesce({kept}, 0) AS {c}"
+
+
+ORACLES["p14_training_features"] = (
+    f"WITH {_TARGETS}, t AS (SELECT symbol, bar_ts, target, momentum_5, "
+    "lag(close) OVER (PARTITION BY symbol ORDER BY bar_ts) AS close_lag_1, close * volume AS close_x_volume, "
+    "row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) <= floor(0.8 * count(*) OVER (PARTITION BY symbol)) AS is_train "
+    "FROM targets), "
+    f"f AS (SELECT symbol, bar_ts, is_train, target, {', '.join(map(_scaled_and_filled, ('momentum_5', 'close_lag_1', 'close_x_volume')))} FROM t) "
+    + final("f", ["bar_ts"], ["target", "momentum_5", "close_lag_1", "close_x_volume"], ["symbol", "is_train"])
+)

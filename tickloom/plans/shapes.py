@@ -31,14 +31,18 @@ def hourly_series(spark: SparkSession, folder: str) -> Series:
 
 
 def session_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Five-minute weekday bars, 04:00 to 19:55, of one symbol."""
+    """Five-minute weekday bars, 04:00 to 19:55, of three symbols."""
     events = table(spark, folder, "events")
     traded = events.where(
         (F.col("event_type") != "error")
         & (F.weekday("ts") < 5)
         & F.hour("ts").between(4, 19)
     )
-    return bars_from_ticks(traded, entity=F.lit("AAA"), step="5 minutes")
+    return bars_from_ticks(traded, entity=_traded_symbol(), step="5 minutes")
+
+
+def _traded_symbol():
+    return F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string"))
 
 
 def session_series(spark: SparkSession, folder: str) -> Series:
@@ -47,7 +51,7 @@ def session_series(spark: SparkSession, folder: str) -> Series:
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
-    """News of the one symbol: error events, scored by their property k."""
+    """News of the three symbols: error events, scored by their property k."""
     events = table(spark, folder, "events").where(F.col("event_type") == "error")
     k = F.get_json_object("props", "$.k").cast("int")
     score = (k - 50) / F.lit(50.0)
@@ -60,7 +64,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     )
     return events.select(
         F.col("event_id").alias("article_id"),
-        F.lit("AAA").alias("symbol"),
+        _traded_symbol().alias("symbol"),
         F.col("ts").alias("time_published"),
         score.alias("overall_sentiment_score"),
         label.alias("overall_sentiment_label"),

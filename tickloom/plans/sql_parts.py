@@ -19,7 +19,7 @@ bars AS (
 
 SESSION_BARS = """
 bars AS (
-  SELECT 'AAA' AS symbol, time_bucket(INTERVAL '5 minutes', ts) AS bar_ts,
+  SELECT 'S' || (user_id % 3) AS symbol, time_bucket(INTERVAL '5 minutes', ts) AS bar_ts,
          arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
          arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume
   FROM events
@@ -28,7 +28,7 @@ bars AS (
 
 ARTICLES = """
 scored AS (
-  SELECT event_id AS article_id, 'AAA' AS symbol, ts AS time_published,
+  SELECT event_id AS article_id, 'S' || (user_id % 3) AS symbol, ts AS time_published,
          (CAST(json_extract(props, '$.k') AS INTEGER) - 50) / 50.0::DOUBLE AS score
   FROM events WHERE event_type = 'error'),
 articles AS (
