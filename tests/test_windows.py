@@ -174,6 +174,25 @@ def test_only_long_entities_are_cut(long_bars):
     assert plan_series(long_bars, WHOLE).table is None
 
 
+def test_one_hot_day_is_cut_by_its_rows(spark):
+    """10,000 rows of one day, with ties in time, in chunks of 100."""
+    ticks = spark.range(10_000).selectExpr(
+        "'hot' AS symbol", "timestamp_ntz '2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id DIV 3) AS bar_ts",
+        "id", "double(hash(id) % 100) AS value",
+    )
+    cut = Series(("symbol",), "bar_ts", ("id",), chunk_rows=100)
+    layout = plan_series(ticks, cut)
+    chunks = layout.table.groupBy("__chunk").agg(F.sum("__n").alias("n")).collect()
+    assert 90 <= len(chunks) <= 110 and max(r.n for r in chunks) <= 150
+
+    def make(series):
+        frame = plan_series(ticks, series).open(ticks, back=20, ahead=5)
+        frame = frame.add({"mean": F.avg("value").over(frame.frames.last(20)), "later": frame.frames.lead("value", 5)})
+        return frame.number("place").cumulate({"running": F.col("id")}).close()
+
+    same(make(cut), make(Series(("symbol",), "bar_ts", ("id",))), ("id",))
+
+
 def test_chunked_positions_totals_and_fills(long_bars):
     def make(series):
         frame = plan_series(long_bars, series).open(long_bars, back=3, ahead=2)

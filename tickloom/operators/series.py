@@ -268,6 +268,7 @@ class SeriesLayout:
     series: Series
     table: DataFrame | None = None
     small: bool = True
+    cuts: DataFrame | None = None  # (entity, bucket, bounds) of buckets that are cut by rows
     frames: Frames = field(init=False)
 
     def __post_init__(self) -> None:
@@ -281,7 +282,7 @@ class SeriesLayout:
         pieces = self._pieces(back, ahead)
         pieces = F.broadcast(pieces) if self.small else pieces
         split = (
-            df.withColumn(BUCKET, self.series.bucket_of())
+            bucketed(df, self.series, self.cuts)
             .join(pieces, [*entity, BUCKET], "left")
             .withColumns(
                 {
@@ -344,12 +345,59 @@ class SeriesLayout:
         return own
 
 
+CUTS = "__cuts"
+
+
+def bucketed(df: DataFrame, series: Series, cuts: DataFrame | None) -> DataFrame:
+    """Rows with their bucket: a unit of time, and in buckets that are cut also the
+    number of bounds at or before the row."""
+    df = df.withColumn(BUCKET, series.bucket_of())
+    if cuts is None:
+        return df
+    at = F.struct(series.time, *series.ties)
+    part = F.coalesce(F.size(F.filter(CUTS, lambda bound: bound <= at)), F.lit(0))
+    part = F.when(F.col(CUTS).isNull(), 0).otherwise(part)
+    return (
+        df.join(cuts, [*series.entity, BUCKET], "left")
+        .withColumn(BUCKET, F.struct(F.col(BUCKET).alias("unit"), part.alias("part")))
+        .drop(CUTS)
+    )
+
+
+def _row_cuts(df: DataFrame, series: Series, long: DataFrame) -> DataFrame:
+    """Bounds within each long bucket, four for every `chunk_rows` rows, since whole
+    parts are copied for the frames of the next chunk. The rows are sorted by sampled
+    ranges and numbered inside them, so a bucket is spread over many tasks."""
+    step = max(1, series.chunk_rows // 4)
+    keys = [*series.entity, BUCKET]
+    order = [*keys, series.time, *series.ties]
+    rows = df.withColumn(BUCKET, series.bucket_of()).join(long, keys, "left_semi").select(*order)
+    held = materialise(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()),
+        "long-buckets",
+    )
+    part = F.shiftright("__place", 33)
+    runs = held.groupBy(*keys, part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__low"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    place = F.col("__first") + F.col("__place") - F.col("__low")
+    return (
+        held.withColumn("__part", part)
+        .join(runs, [*keys, "__part"])
+        .where((place % step == 0) & (place > 0))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct(series.time, *series.ties))).alias(CUTS))
+    )
+
+
 def plan_series(df: DataFrame, series: Series) -> SeriesLayout:
     """Count rows per entity and decide whether long ones must be cut.
 
     Runs one column-pruned counting job, or none where `series.max_rows`
     already proves every entity short. Only if an entity is longer than
-    `chunk_rows` a chunk table for such entities is made and checkpointed.
+    `chunk_rows` a chunk table for such entities is made and checkpointed. A
+    bucket of time that is longer by itself is cut by its rows; only rows that
+    time and ties do not order stay together.
     """
     if series.max_rows is not None and series.max_rows <= series.chunk_rows:
         return SeriesLayout(series)
@@ -359,9 +407,14 @@ def plan_series(df: DataFrame, series: Series) -> SeriesLayout:
         return SeriesLayout(series)
     of_entity = Window.partitionBy(*entity)
     along = of_entity.orderBy(BUCKET)
+    sizes = df.groupBy(*entity, series.bucket_of().alias(BUCKET)).agg(F.count(F.lit(1)).alias("__n"))
+    long = sizes.where(F.col("__n") > series.chunk_rows)
+    cuts = None
+    if not long.isEmpty():
+        cuts = cut_lineage(_row_cuts(df, series, long.select(*entity, BUCKET)))
+        sizes = bucketed(df, series, cuts).groupBy(*entity, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     buckets = (
-        df.groupBy(*entity, series.bucket_of().alias(BUCKET))
-        .agg(F.count(F.lit(1)).alias("__n"))
+        sizes
         .withColumns(
             {
                 TOTAL: F.sum("__n").over(of_entity),
@@ -375,4 +428,4 @@ def plan_series(df: DataFrame, series: Series) -> SeriesLayout:
     )
     table = cut_lineage(buckets)
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return SeriesLayout(series, table, small)
+    return SeriesLayout(series, table, small, cuts)

@@ -155,6 +155,19 @@ def _filled(spark, folder):
     return present(both.select(*KEEP, "forward", "filled"))
 
 
+def _hot_day(spark, folder):
+    """All ticks as one series of one day, cut by rows into chunks of 2,000."""
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) % F.lit(86_400_000_000)).cast("timestamp_ntz")
+    df = shapes.user_ticks(spark, folder).select(F.lit("all").alias("line"), at.alias("ts"), "event_id", "value")
+    series = Series(("line",), "ts", ("event_id",), chunk_rows=2_000)
+
+    def stats(f):
+        out = {"mean_50": R.mean(f, "value", 50), "next_7": f.lead("value", 7)}
+        return Recipe([*out], [Level(add=out)], back=50, ahead=7)
+
+    return present(add_features(df, series, [stats], keep=["event_id"]))
+
+
 def _one_series(spark, folder):
     """All ticks as one long series, cut into chunks of 2,000 rows."""
     df = _ticks(spark, folder).withColumn("line", F.lit("all"))
@@ -214,6 +227,7 @@ QUERIES = {
     "w13_row_index": _query(row_numbers),
     "w14_nested_windows": _query(nested),
     "w15_one_long_series": _one_series,
+    "w16_one_hot_day": _hot_day,
 }
 
 TICKS = """
@@ -423,3 +437,10 @@ ORACLES = {
         keys=("event_id",),
     ),
 }
+ORACLES["w16_one_hot_day"] = (
+    "WITH t AS (SELECT event_id, value, ts - date_trunc('day', ts) AS clock FROM events), "
+    "v AS (SELECT event_id, CASE WHEN count(value) OVER w = 50 THEN avg(value) OVER w END AS mean_50, "
+    "lead(value, 7) OVER o AS next_7 FROM t WINDOW o AS (ORDER BY clock, event_id), "
+    "w AS (ORDER BY clock, event_id ROWS 49 PRECEDING)) "
+    + final("v", [], ["mean_50", "next_7"], ["event_id"])
+)
