@@ -32,6 +32,10 @@ HEADLINE = [
     "x07_daily_context_on_bars",
     "p07_robust_scaling",
     "p10_feature_importance",
+    "p05_label_codes",
+    "p11_cleaned_table",
+    "p14_training_features",
+    "d10_residual_bands",
     "p12_sequences",
     "d01_direction_classes",
     "d09_drift",

@@ -5,6 +5,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import asof as A
 from tickloom.operators import calendar as C
@@ -141,3 +142,25 @@ def test_nearest_day_goes_up_at_noon_and_stops_at_the_end(spark):
     out = {r.ts: r.jobless_claims for r in C.with_calendar(df, "ts", nearest=True).collect()}
     # 4 January 2024 is a Thursday and the last day
     assert [out[t] for t in times] == [0, 1, 1, 1]
+
+
+def test_asof_with_equal_names_both_ways(spark):
+    trades = spark.createDataFrame(
+        [("a", dt.datetime(2024, 1, 2, 10, 0, 7), 1.0)], "symbol string, ts timestamp_ntz, bid double"
+    )
+    quotes = spark.createDataFrame(
+        [("a", dt.datetime(2024, 1, 2, 10, 0, s), float(s)) for s in (5, 9)], "symbol string, ts timestamp_ntz, bid double"
+    )
+    payload = {"ts": F.col("ts"), "bid": F.col("bid")}
+    for join, second in ((A.asof_backward, 5), (A.asof_forward, 9)):
+        (r,) = join(trades, quotes, entity=["symbol"], at="ts", mark_time="ts", payload=payload).collect()
+        assert (r.ts.second, r.bid, r.ts_mark.second, r.bid_mark) == (7, 1.0, second, float(second))
+
+
+def test_bars_off_the_grid(spark):
+    bars = bars_of(spark, [T(2024, 1, 8, 10, 1), T(2024, 1, 8, 10, 6)])
+    news = spark.createDataFrame([("AAA", dt.datetime(2024, 1, 8, 10, 0, 30))], "symbol string, time_published timestamp_ntz")
+    (r,) = map_to_bars(news, bars).collect()
+    assert r.bar_ts == dt.datetime(2024, 1, 8, 10, 1)
+    with pytest.raises(ValueError, match="grid"):
+        map_to_bars(news, bars, grid_seconds=300)

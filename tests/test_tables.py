@@ -144,7 +144,11 @@ def test_metrics_leave_small_truths_out_of_mape(spark):
 def test_landed_files(spark, tmp_path):
     good = {
         "Meta Data": {"2. Symbol": "AAA"},
-        "Time Series (5min)": {"2024-01-08 04:00:00": {"1. open": "1.5", "2. high": "2", "3. low": "1", "4. close": "x", "5. volume": "7"}},
+        "Time Series (5min)": {
+            "2024-01-08 04:00:00": {"1. open": "1.5", "2. high": "2", "3. low": "1", "5. volume": "7"},
+            "2024-01-08 04:05:00": {"1. open": "1.5", "2. high": "2", "3. low": "1", "4. close": "x", "5. volume": "7"},
+            "some day": {"1. open": "1.5"},
+        },
     }
     (tmp_path / "AAA_2024-01.json").write_text(json.dumps(good, indent=1))
     (tmp_path / "BBB_2024-01.json").write_text(json.dumps({"Note": "slow down"}))
@@ -153,7 +157,8 @@ def test_landed_files(spark, tmp_path):
     rows, bad = L.parse_prices(docs)
     (r,) = rows.collect()
     assert (r.symbol, r.open, r.close, r.volume, r.bar_ts.hour) == ("AAA", 1.5, None, 7.0, 4)
-    assert {b.symbol for b in bad.collect()} == {"BBB", "CCC"}
+    entries = {(b.symbol, json.loads(b.entry)["time"] if b.entry else None) for b in bad.collect()}
+    assert entries == {("AAA", "2024-01-08 04:05:00"), ("AAA", "some day"), ("BBB", None), ("CCC", None)}
 
 
 def test_news_documents(spark):
@@ -203,3 +208,43 @@ def test_mutual_information_ranks_the_informative_feature(spark):
     scores = {r.feature: r.importance_score for r in P.mutual_information(spark.createDataFrame(pdf), ["near", "noise"], "y").collect()}
     assert scores["near"] > 1 > 0.1 > scores["noise"] >= 0
     assert not math.isnan(scores["noise"])
+
+
+def test_scratch_is_dropped(spark, tmp_path):
+    from tickloom import session
+
+    path = session.scratch_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    session.drop_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_fits_take_nan_and_infinity_as_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (float("inf"),), (None,)], "x double")
+    assert S.exact_quantiles(df, ["x"], (0.0, 0.5, 1.0)) == {("x", 0.0): 1.0, ("x", 0.5): 2.0, ("x", 1.0): 3.0}
+    assert P.fit_scaler(df, ["x"]).stats == {"x": (2.0, 1.0)}
+
+
+def test_label_codes_of_a_common_beginning(spark):
+    df = spark.range(3000).selectExpr("concat('Customer#', lpad(CAST(id AS STRING), 9, '0')) AS name", "IF(id % 3 = 0, 'a', 'b') AS kind")
+    encoder = P.fit_labels(df, ["name", "kind"])
+    rows = encoder.transform(df.withColumn("raw", F.col("name"))).collect()
+    assert all(r.name == int(r.raw[-9:]) for r in rows) and {r.kind for r in rows} == {0, 1}
+    unseen = spark.createDataFrame([("new", None)], "name string, kind string")
+    assert [tuple(r) for r in encoder.transform(unseen).collect()] == [(3000, 2)]
+
+
+def test_of_conflicting_repeats_one_is_fixed(spark):
+    rows = [("a", 1, 5.0, 0), ("a", 1, 7.0, 1), ("a", 1, 6.0, 1), ("b", 1, None, 0)]
+    df = spark.createDataFrame(rows, "symbol string, bar_ts int, close double, loaded int")
+    for parts in (1, 3):
+        kept = T.one_per_key(df.repartition(parts), ["symbol", "bar_ts"], F.col("loaded")).collect()
+        assert sorted((r.symbol, r.close) for r in kept) == [("a", 7.0), ("b", None)]
+
+
+def test_interactions_have_no_limit_and_no_part_words(spark):
+    names = ["open", "high", "low", "close", "volume", "volume_ma", "sent_mean", "vix_level", "high_sentiment_volatility"]
+    pairs = P.interaction_pairs(names)
+    assert ("close", "volume_ma") in pairs and ("sent_mean", "vix_level") in pairs and len(pairs) == len(set(pairs))

@@ -45,9 +45,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tickloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the part of this application."""
+    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Frames that were made from them can't be read after."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
