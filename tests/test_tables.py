@@ -248,3 +248,15 @@ def test_interactions_have_no_limit_and_no_part_words(spark):
     names = ["open", "high", "low", "close", "volume", "volume_ma", "sent_mean", "vix_level", "high_sentiment_volatility"]
     pairs = P.interaction_pairs(names)
     assert ("close", "volume_ma") in pairs and ("sent_mean", "vix_level") in pairs and len(pairs) == len(set(pairs))
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0], [-5.0, 1e300, 3.0, 3.0], list(range(50)), [0.0] * 9 + [1e-300]])
+def test_halved_ranges_keep_the_wanted_rank(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    for q in (0.0, 0.3, 0.5, 0.77, 1.0):
+        low, high = min(values), max(values)
+        b = S._Bracket("x", q, len(values), float(low), float(high), 0, len(values), 999)
+        for _ in range(6):
+            if b.low < b.high:
+                b = S._halved(df, b)
+        assert b.holds() and b.inside == sum(b.low <= v <= b.high for v in values)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.recipe import Level, Recipe, RecipeMaker, add_features
 from tickloom.operators.series import Frames, Series, SeriesLayout
-from tickloom.operators.statistics import exact_quantiles
+from tickloom.operators.statistics import exact_quantiles, number, row_of
+from tickloom.session import materialise
 
 # The quantile levels of the forecast bands.
 BAND_LEVELS = (0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98)
@@ -104,25 +105,60 @@ def with_future_prices(
     return add_features(df, series, [make], layout)
 
 
+@dataclass
+class PooledLine:
+    intercept: float
+    coefficients: list[float]
+
+
 def fit_pooled_regression(
     train: DataFrame, features: Sequence[str], steps: Sequence[int]
-) -> dict[int, LinearRegressionModel]:
-    """One least-squares model per step over all entities together. Each fit is
-    one pass of partial sums whose size depends on the features alone."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip")
-    models = {}
+) -> dict[int, PooledLine]:
+    """One least-squares model per step over all entities together. The columns
+    are written once; one pass gives the means, and one the centred sums of products
+    of all steps, whose number depends on the features and steps alone. Rows with
+    a missing feature or price are left out."""
+    names = [*features, *[f"actual_{k}" for k in steps]]
+    held = materialise(train.select(*[F.col(c).cast("double").alias(c) for c in names]), "regression")
+    held = held.dropna(subset=list(features))
+    centre = [m or 0.0 for m in row_of(held, [f"avg(`{c}`)" for c in names])]
+    moved = {c: f"(`{c}` - {number(m)})" for c, m in zip(names, centre)}
+    sums = []
     for k in steps:
-        known = train.where(F.col(f"actual_{k}").isNotNull())
-        rows = assembler.transform(known.select(*features, F.col(f"actual_{k}").alias("__y")))
-        models[k] = LinearRegression(
-            featuresCol="__x", labelCol="__y", predictionCol="__p", solver="normal", regParam=0.0
-        ).fit(rows)
+        y = f"actual_{k}"
+        columns = [*[moved[c] for c in features], moved[y]]
+        sums.append(f"count(`{y}`)")
+        sums += [f"coalesce(sum(IF(`{y}` IS NULL, NULL, {c})), 0D)" for c in columns]
+        sums += [
+            f"coalesce(sum(IF(`{y}` IS NULL, NULL, {c} * {d})), 0D)"
+            for i, c in enumerate(columns)
+            for d in columns[i:]
+            if (c, d) != (moved[y], moved[y])
+        ]
+    found = row_of(held, sums)
+    width = len(features)
+    per_step = 1 + (width + 1) + (width + 1) * (width + 2) // 2 - 1
+    models = {}
+    for at, k in enumerate(steps):
+        n, *rest = found[at * per_step : (at + 1) * per_step]
+        first, products = np.array(rest[: width + 1], float), iter(rest[width + 1 :])
+        square, cross = np.zeros((width, width)), np.zeros(width)
+        for i in range(width):
+            for j in range(i, width):
+                square[i, j] = square[j, i] = next(products)
+            cross[i] = next(products)
+        mean = first / max(n, 1)
+        square -= n * np.outer(mean[:width], mean[:width])
+        cross -= n * mean[:width] * mean[width]
+        slope = np.linalg.lstsq(square, cross, rcond=None)[0]
+        origin = centre[width + at] + mean[width] - slope @ (np.array(centre[:width]) + mean[:width])
+        models[k] = PooledLine(float(origin), slope.tolist())
     return models
 
 
 def regression_forecasts(
     df: DataFrame,
-    models: dict[int, LinearRegressionModel],
+    models: dict[int, PooledLine],
     features: Sequence[str],
     keys: Sequence[str],
     price: str = "close",
@@ -131,7 +167,7 @@ def regression_forecasts(
     made = []
     for k, model in models.items():
         predicted = F.lit(float(model.intercept))
-        for name, weight in zip(features, model.coefficients.toArray()):
+        for name, weight in zip(features, model.coefficients):
             predicted = predicted + F.col(name) * F.lit(float(weight))
         actual = F.col(f"actual_{k}") if f"actual_{k}" in df.columns else F.lit(None).cast("double")
         made.append(

@@ -355,6 +355,7 @@ def mutual_information(
         *[f"coalesce(CAST(`{c}` AS DOUBLE), 0D) AS `{c}`" for c in features],
         f"CAST(`{target}` AS DOUBLE) AS __y",
     )
+    known = S.written_once(known)
     qs = [i / bins for i in range(1, bins)]
     found = S.quantiles(known, [*features, "__y"], qs, exact)
     cuts = {c: sorted({found[c, q] for q in qs} - {None}) for c in [*features, "__y"]}

@@ -7,12 +7,15 @@ values themselves never do.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import materialise
+
 #: Distinct values an exact percentile aggregate may hold for one column, in
 #: every task and in the last one.
 HELD_VALUES = 50_000
@@ -58,6 +61,15 @@ def number(x: float) -> str:
     return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """The frame itself if it is a scan with projections and filters, else written
+    and read back, for a fit that passes over it several times."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"Join|Window|Aggregate|Generate|Sort|Repartition|Union|Expand|Map|Deserialize", plan):
+        return materialise(df, "fit")
+    return df
+
+
 def finite_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """These columns as doubles, NaN and infinities missing. Ranks are over real numbers."""
     held = [f"CASE WHEN abs(CAST(`{c}` AS DOUBLE)) < double('inf') THEN CAST(`{c}` AS DOUBLE) END AS `{c}`" for c in columns]
@@ -70,12 +82,33 @@ def distinct_estimate(x: str) -> str:
     return f"hll_sketch_estimate(hll_sketch_agg(IF({x} IS NULL, NULL, xxhash64({x})), 14))"
 
 
-def _row(df: DataFrame, expressions: list[str]) -> list:
+def row_of(df: DataFrame, expressions: list[str]) -> list:
     """One aggregate row. Texts plan much faster than columns built one by one
     where there are hundreds of them."""
     return list(df.selectExpr(*[f"{e} AS c{i}" for i, e in enumerate(expressions)]).first())
 
 
+def _halved(df: DataFrame, b: _Bracket) -> _Bracket:
+    """The half of a bracket's value range that holds the wanted ranks, or the two
+    neighbouring values if they lie on both sides of the middle."""
+    middle = b.low / 2 + b.high / 2
+    x, inner = f"`{b.column}`", b.within()
+    left = f"IF({x} <= {number(middle)}, {inner}, NULL)"
+    right = f"IF({x} > {number(middle)}, {inner}, NULL)"
+    n, top, few, rest, least, many = row_of(
+        df, [f"count({left})", f"max({left})", distinct_estimate(f"({left})"), f"count({right})", f"min({right})", distinct_estimate(f"({right})")]
+    )
+    halves = (
+        _Bracket(b.column, b.q, b.rows, b.low, top, b.below, n, few),
+        _Bracket(b.column, b.q, b.rows, least, b.high, b.below + n, rest, many),
+    )
+    for half in halves:
+        if half.inside and half.holds():
+            return half
+    copies, below = row_of(df, [f"count_if({x} = {number(top)} OR {x} = {number(least)})", f"count_if({x} < {number(top)})"])
+    return _Bracket(b.column, b.q, b.rows, top, least, below, copies, 2)
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -92,20 +125,27 @@ def exact_quantiles(
     columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
-    df = finite_values(df, columns)
-    facts = _row(
+    df = written_once(finite_values(df, columns))
+    # the first sketch goes with the facts: its ends are a little below and above each quantile
+    slack = 3 / SKETCH_ACCURACY
+    ends = [x for q in qs for x in (max(0.0, q - slack), min(1.0, q + slack))]
+    guesses = f"array({', '.join(map(number, ends))})"
+    facts = row_of(
         df,
         [
             e
             for c in columns
             for x in [f"`{c}`"]
-            for e in (f"count({x})", f"min({x})", f"max({x})", distinct_estimate(x))
+            for e in (f"count({x})", f"min({x})", f"max({x})", distinct_estimate(x), f"percentile_approx({x}, {guesses}, {SKETCH_ACCURACY})")
         ],
     )
     result: dict[tuple[str, float], float | None] = {}
+    first_guess: dict[tuple[str, float], tuple[float, float]] = {}
     brackets: list[_Bracket] = []
     for i, c in enumerate(columns):
-        rows, low, high, distinct = facts[4 * i : 4 * i + 4]
+        rows, low, high, distinct, guessed = facts[5 * i : 5 * i + 5]
+        if rows and distinct > held:
+            first_guess |= {(c, q): (float(guessed[2 * k]), float(guessed[2 * k + 1])) for k, q in enumerate(qs)}
         for q in qs:
             if rows == 0:
                 result[c, q] = None
@@ -123,19 +163,21 @@ def exact_quantiles(
             ends = places.setdefault((b.column, b.low, b.high), [])
             spots.append(((b.column, b.low, b.high), len(ends)))
             ends += [max(0.0, first - slack), min(1.0, last + slack)]
-        held_in = {(b.column, b.low, b.high): b.within() for b in wide}
-        asked = [
-            f"percentile_approx({held_in[k]}, array({', '.join(map(number, ends))}), {SKETCH_ACCURACY})"
-            for k, ends in places.items()
-        ]
-        answers = dict(zip(places, _row(df, asked)))
+        if first_guess:
+            ranges = [first_guess[b.column, b.q] for b in wide]
+            first_guess = {}
+        else:
+            held_in = {(b.column, b.low, b.high): b.within() for b in wide}
+            asked = [
+                f"percentile_approx({held_in[k]}, array({', '.join(map(number, ends))}), {SKETCH_ACCURACY})"
+                for k, ends in places.items()
+            ]
+            answers = dict(zip(places, row_of(df, asked)))
+            ranges = [(float(answers[k][i]), float(answers[k][i + 1])) for k, i in spots]
         tried = [
-            _Bracket(
-                b.column, b.q, b.rows, float(answers[k][i]), float(answers[k][i + 1]), 0, 0, 0, b.margin
-            )
-            for b, (k, i) in zip(wide, spots)
+            _Bracket(b.column, b.q, b.rows, low, high, 0, 0, 0, b.margin) for b, (low, high) in zip(wide, ranges)
         ]
-        counts = _row(
+        counts = row_of(
             df,
             [
                 e
@@ -153,8 +195,8 @@ def exact_quantiles(
                 brackets[brackets.index(b)] = t
             elif b.margin < SKETCH_ACCURACY:
                 b.margin *= 4
-            else:  # cannot narrow further: the exact aggregate takes it whole
-                b.distinct = 0
+            else:  # the sketch cannot narrow it further: halve the value range
+                brackets[brackets.index(b)] = _halved(df, b)
 
     # one aggregate per value range answers all of its quantiles
     shared: dict[tuple[str, float, float], list[_Bracket]] = {}
@@ -165,7 +207,7 @@ def exact_quantiles(
             f"percentile({bs[0].within()}, array({', '.join(number(b.part) for b in bs)}))"
             for bs in shared.values()
         ]
-        exact = _row(df, asked)
+        exact = row_of(df, asked)
         for bs, values in zip(shared.values(), exact):
             result |= {(b.column, b.q): v for b, v in zip(bs, values)}
     return result
@@ -180,7 +222,7 @@ def quantiles(
     df = finite_values(df, list(dict.fromkeys(columns)))
     places = ", ".join(number(q) for q in qs)
     asked = [f"percentile_approx(`{c}`, array({places}), {SKETCH_ACCURACY})" for c in columns]
-    found = _row(df, asked)
+    found = row_of(df, asked)
     return {
         (c, q): v for c, values in zip(columns, found) for q, v in zip(qs, values or [None] * len(qs))
     }

@@ -63,13 +63,13 @@ def _signals(spark, folder):
 
 
 def _regression(spark, folder):
-    """One least-squares line per step on the close, fitted on the training part."""
+    """Least squares on close and volume for every step, fitted on the training part."""
     series = shapes.hourly_series(spark, folder)
-    steps = (1, 6, 12)
+    steps, features = range(1, 13), ["close", "volume"]
     df = FC.with_future_prices(shapes.hourly_bars(spark, folder), series, steps)
     df = P.time_split(df, series)
-    models = FC.fit_pooled_regression(df.where("is_train"), ["close"], steps)
-    made = FC.regression_forecasts(df.where("NOT is_train"), models, ["close"], ["symbol", "bar_ts"])
+    models = FC.fit_pooled_regression(df.where("is_train"), features, steps)
+    made = FC.regression_forecasts(df.where("NOT is_train"), models, features, ["symbol", "bar_ts"])
     return present(made.drop("current_price"))
 
 
@@ -250,17 +250,20 @@ ORACLES = {
     "d09_pooled_regression": f"WITH {HOURLY_BARS}, "
     + """
 ahead AS (
-  SELECT symbol, bar_ts, close,
+  SELECT symbol, bar_ts, close, volume,
          row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1
            < floor(0.8 * count(*) OVER (PARTITION BY symbol)) AS is_train,
-         unnest([{'step': 1, 'a': lead(close, 1) OVER (PARTITION BY symbol ORDER BY bar_ts)},
-                 {'step': 6, 'a': lead(close, 6) OVER (PARTITION BY symbol ORDER BY bar_ts)},
-                 {'step': 12, 'a': lead(close, 12) OVER (PARTITION BY symbol ORDER BY bar_ts)}]) AS r
+         unnest(["""
+    + ", ".join(f"{{'step': {k}, 'a': lead(close, {k}) OVER (PARTITION BY symbol ORDER BY bar_ts)}}" for k in range(1, 13))
+    + """]) AS r
   FROM bars),
-rows AS (SELECT symbol, bar_ts, close, is_train, CAST(r.step AS INTEGER) AS step, r.a AS actual_price FROM ahead),
-lines AS (SELECT step, regr_slope(actual_price, close) AS b, regr_intercept(actual_price, close) AS a
-          FROM rows WHERE is_train GROUP BY 1),
-made AS (SELECT symbol, bar_ts, step, a + b * close AS predicted_price, actual_price
+rows AS (SELECT symbol, bar_ts, close, volume, is_train, CAST(r.step AS INTEGER) AS step, r.a AS actual_price FROM ahead),
+moments AS (SELECT step, avg(close) AS mx, avg(volume) AS mz, avg(actual_price) AS my, var_pop(close) AS xx,
+                   var_pop(volume) AS zz, covar_pop(close, volume) AS xz, covar_pop(close, actual_price) AS xy,
+                   covar_pop(volume, actual_price) AS zy
+            FROM rows WHERE is_train AND actual_price IS NOT NULL GROUP BY 1),
+lines AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS d FROM moments),
+made AS (SELECT symbol, bar_ts, step, my + b * (close - mx) + d * (volume - mz) AS predicted_price, actual_price
          FROM rows JOIN lines USING (step) WHERE NOT is_train) """
     + final("made", ["bar_ts"], ["predicted_price", "actual_price"], ["symbol", "step"]),
     "d10_residual_bands": f"WITH {_baseline_ctes('drift')}, b AS ({_bands_rows(FC.BAND_LEVELS)}) "
