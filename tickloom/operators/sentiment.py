@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
-from tickloom.functions.numeric import flag
+from tickloom.functions.numeric import flag, sorted_quantile
 from tickloom.functions.smoothing import weighted_means
 from tickloom.operators.recipe import Level, Recipe, RecipeMaker, add_features
 from tickloom.operators.series import Frames, Series, SeriesLayout, plan_series
@@ -27,7 +27,7 @@ def rolling_statistics(
     f: Frames, columns: Sequence[str] = COLUMNS, sizes: Sequence[int] = (3, 7, 14, 30)
 ):
     longest = max(sizes)
-    held, stats, outputs = {}, {}, []
+    held, ordered, stats, outputs = {}, {}, {}, []
     for c in columns:
         held[f"__held_{c}"] = R.values(f, c, longest)
         for n in sizes:
@@ -38,15 +38,15 @@ def rolling_statistics(
                 f"{c}_min_{n}": R.lowest(f, c, n),
                 f"{c}_max_{n}": R.highest(f, c, n),
             }
-            values, present = F.col(f"__held_{c}"), F.col(f"__full_{c}_{n}")
+            ordered[f"__ordered_{c}_{n}"] = R.sorted_values(F.col(f"__held_{c}"), F.col(f"__full_{c}_{n}"), n)
             stats |= {
-                f"{c}_q25_{n}": R.quantile_of(values, present, 0.25, n),
-                f"{c}_q75_{n}": R.quantile_of(values, present, 0.75, n),
+                f"{c}_q25_{n}": sorted_quantile(F.col(f"__ordered_{c}_{n}"), 0.25, n),
+                f"{c}_q75_{n}": sorted_quantile(F.col(f"__ordered_{c}_{n}"), 0.75, n),
                 f"{c}_zscore_{n}": (F.col(c) - F.col(f"{c}_ma_{n}"))
                 / (F.col(f"{c}_std_{n}") + 1e-10),
             }
             outputs += [f"{c}_{s}_{n}" for s in ("ma", "std", "min", "max", "q25", "q75", "zscore")]
-    return Recipe(outputs, [Level(add=held), Level(add=stats)], back=longest)
+    return Recipe(outputs, [Level(add=held), Level(add=ordered), Level(add=stats)], back=longest)
 
 
 def moves(

@@ -356,7 +356,10 @@ def _report(spark, folder):
         max_features={"unknown_future": 5, "known_future": 4, "static": 4},
     )
     made = build_training_table(shapes.hourly_bars(spark, folder), series, plan)
-    return made.report()
+    report = made.report()
+    # without the elapsed time and what depends on which columns are nearly constant
+    whole = report.withColumn("ranked", (F.size("top_features") == F.least(F.lit(10), F.expr("unknown_future_features + known_future_features + static_features"))).cast("int"))
+    return present(whole.select("rows", "first_ts", "last_ts", "missing_percentage", "unknown_future_features", "known_future_features", "ranked"))
 
 
 QUERIES = {
@@ -700,3 +703,7 @@ ORACLES["p14_training_features"] = (
     f"f AS (SELECT symbol, bar_ts, is_train, target, {', '.join(map(_scaled_and_filled, ('momentum_5', 'close_lag_1', 'close_x_volume')))} FROM t) "
     + final("f", ["bar_ts"], ["target", "momentum_5", "close_lag_1", "close_x_volume"], ["symbol", "is_train"])
 )
+ORACLES["g11_training_report"] = (
+    f"WITH {_TARGETS} SELECT count(*) AS rows, CAST(min(bar_ts) AS VARCHAR) AS first_ts, CAST(max(bar_ts) AS VARCHAR) AS last_ts, "
+    "CAST(0 AS DOUBLE) AS missing_percentage, 5 AS unknown_future_features, 0 AS known_future_features, 1 AS ranked FROM targets"
+)
