@@ -1,7 +1,7 @@
 """Daily market context: volatility index, yields, dollar, sectors.
 
-Input is one long table (series, day, close). The windows of all series run in
-one pass over it; the wide daily table is one aggregation by day.
+Input is one long table (series, day, close). Each group of features is a window
+pass over its series and an aggregation by day.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from tickloom.functions.numeric import flag, ratio
 from tickloom.operators.calendar import BROADCAST_DAYS, day_span, day_table
 from tickloom.operators.recipe import Level, Recipe, add_features
 from tickloom.operators.series import Frames, Series
+from tickloom.operators.statistics import written_once
 
 
-def daily_series(daily: DataFrame) -> Series:
+def daily_series(daily: DataFrame, span: tuple[dt.date, dt.date] | None = None) -> Series:
     """One row per series and day, so the date range bounds every series."""
-    start, end = day_span(daily, "day")
+    start, end = span or day_span(daily, "day")
     return Series(("series",), "day", bucket="year", max_rows=(end - start).days + 1)
 
 
@@ -222,9 +223,9 @@ def sector_features(
 
 
 def cross_asset_tables(
-    daily: DataFrame, sectors: Sequence[str] = tuple(SECTOR_SYMBOLS)
+    daily: DataFrame, sectors: Sequence[str] = tuple(SECTOR_SYMBOLS), series: Series | None = None
 ) -> list[DataFrame]:
-    series = daily_series(daily)
+    series = series or daily_series(daily)
     return [
         volatility_features(daily, series=series),
         treasury_features(daily, series=series),
@@ -285,5 +286,8 @@ def cross_asset_features(
     time: str = "bar_ts",
     availability_lag: int = 1,
 ) -> DataFrame:
-    start, _ = day_span(daily, "day")
-    return with_daily(bars, cross_asset_tables(daily, sectors), time, availability_lag, start)
+    # several window passes read the daily table, so one that is still a plan is written first
+    daily = written_once(daily.select("series", "day", "close"))
+    span = day_span(daily, "day")
+    tables = cross_asset_tables(daily, sectors, daily_series(daily, span))
+    return with_daily(bars, tables, time, availability_lag, span[0])
