@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
-KEPT_ENTRIES = 400_000
+KEPT_ENTRIES = 250_000
 
 
 def ready_workers(spark: SparkSession) -> None:
