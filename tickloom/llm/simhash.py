@@ -171,19 +171,35 @@ def group_links(codes: np.ndarray, group: np.ndarray, bits: int) -> np.ndarray:
     label = lowest(n, np.concatenate(left), np.concatenate(right)) if left else np.arange(n)
     for k in np.flatnonzero(sizes > SMALL):
         a, b = starts[k], starts[k] + sizes[k]
-        tree, own, step = GrayTree(codes[a:b]), np.arange(sizes[k]), 16
-        at = 0
-        while at < sizes[k]:
-            who, found = tree.near(codes[a + at : min(b, a + at + step)], bits)
-            who += at
-            differ = own[who] != own[found]
-            if differ.any():
-                own = merge_labels(own, who[differ], found[differ])
-            at, step = at + step, min(2 * step, 256)
-        label[a:b] = own + a
+        label[a:b] = large_group(codes[a:b], bits) + a
     return label
 
 
+def large_group(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Least linked row of each row of one group, in Gray order. Rows that are in one
+    component already are compared with the rest of the group only."""
+    tree, own, todo, step = GrayTree(codes), np.arange(len(codes)), np.arange(len(codes)), 16
+    while len(todo):
+        mine = own[todo] == own[todo[0]]
+        if mine.sum() >= SMALL:
+            asked = todo[mine][:step]
+            rest = np.flatnonzero(own != own[todo[0]])
+            if not len(rest):
+                break
+            who, found = GrayTree(codes[rest]).near(codes[asked], bits)
+            found = rest[found]
+        else:
+            asked = todo[:step]
+            who, found = tree.near(codes[asked], bits)
+        who = asked[who]
+        differ = own[who] != own[found]
+        if differ.any():
+            own = merge_labels(own, who[differ], found[differ])
+        todo = np.setdiff1d(todo, asked, assume_unique=True)
+        step = min(2 * step, 256)
+    return own
+
+
 def linked(nodes: DataFrame, lanes: int, bits: int, masks: list[list[int]]) -> DataFrame:
     """Links (a, b) of nodes (node, l0, ...): a spanning forest for each group of each mask."""
     codes = [f"l{k}" for k in range(lanes)]
