@@ -12,6 +12,8 @@ import numpy as np
 from tickloom.llm.texts import Kept, parts_of
 
 JOINED = 500
+#: rare words cost most here, so more are kept than elsewhere
+KEPT = 400_000
 _DOUBLE = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -42,7 +44,7 @@ class ByteTokenizer:
             self.sizes[token] = len(name)
         for token in described["added_tokens"]:
             self.sizes[token["id"]] = len(token["content"].encode())
-        self.parts = Kept(self.encode_parts)
+        self.parts = Kept(self.encode_parts, KEPT)
 
     def encode_parts(self, keys: list) -> list[bytes]:
         """A key is a word after a space, a line end with what follows it, or (text,) as it is.
