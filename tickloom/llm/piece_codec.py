@@ -28,6 +28,7 @@ from tickloom.llm.texts import Kept, as_text, map_texts, parts_of
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 COMPATIBLE_KEPT = 1_000_000
+KEPT = 400_000
 
 codecs.register_error("each", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -137,7 +138,7 @@ def codec(path: str) -> Codec:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Kept:
-    return Kept(codec(path).parts)
+    return Kept(codec(path).parts, KEPT)
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:

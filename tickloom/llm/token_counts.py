@@ -22,6 +22,7 @@ from tickloom.llm.pieces import NONE, load_pieces, pre_tokens
 from tickloom.llm.texts import Kept, as_text, map_texts, parts_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
+KEPT = 400_000
 
 
 class Merger:
@@ -90,7 +91,7 @@ class Merger:
 
 @functools.lru_cache(maxsize=4)
 def counter(path: str) -> Kept:
-    return Kept(Merger(path).count)
+    return Kept(Merger(path).count, KEPT)
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
