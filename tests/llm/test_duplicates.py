@@ -98,6 +98,40 @@ def test_one_of_each_group_stays(documents):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "5", "None"]
 
 
+def replaced(words, count, name):
+    """A copy with `count` words replaced, five or more apart: five shingles each."""
+    step = len(words) // count
+    return [f"{name}{k}" if k % step == step // 2 and k // step < count else w for k, w in enumerate(words)]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_a_family_below_the_similarity_stays(documents):
+    base = [f"w{k}" for k in range(304)]
+    family = [replaced(base, 8, f"m{c}x") for c in range(60)]
+    loose = [["foo"] * 60 + [f"t{c}x{k}" for k in range(20)] for c in range(3)]  # one shingle outweighs the others
+    assert all(0.75 < jaccard(a, b) < 0.8 for a in [base, *family] for b in family if a is not b)
+    texts = [base, *family, *loose, family[5], ["w", *family[7]]]  # the last two are copies
+    kept = simhash.one_of_each(documents([(k, " ".join(t)) for k, t in enumerate(texts)])).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(64))
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_similar_rows_against_brute_force(documents, monkeypatch, dealt):
+    if dealt:
+        monkeypatch.setattr(simhash, "SET_ROWS", 4)
+    base = [f"w{k}" for k in range(204)]
+    texts = [replaced(base, c % 7 + 1, f"m{c}x") for c in range(40)]
+    links = [(a, b) for a in range(40) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    docs = documents([(k, " ".join(t)) for k, t in enumerate(texts)])
+    families = docs.selectExpr("doc_id", "CAST(0 AS BIGINT) AS family", "CAST(200 AS BIGINT) AS n")
+    found = [(r.a, r.b) for r in simhash.verified(docs, families, 5, 0.8).collect()]
+    assert groups(40, found) == groups(40, links)
+
+
 def brute_repeats(rows, size):
     """(words, removed, kept words) of each id; rows in order of id."""
     seen, out = set(), {}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.texts import as_bytes, map_texts
+from tickloom.llm.texts import as_bytes, map_texts, slices
 from tickloom.llm.word_hashes import mixed
 from tickloom.session import materialise
 
@@ -36,18 +36,20 @@ SEED = 42
 BLOCK = 4096
 BRANCH = 16
 SMALL = 48
+#: most documents, and about the most shingle hashes, of a block that is compared exactly
+SET_ROWS = 1024
+SET_VALUES = 2_000_000
 
 _MIX = 0x9E3779B97F4A7C15
 
 
-def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
-    """Signed 64-bit lanes of a text's fingerprint. Lane 0 uses the XXH64 of each
-    shingle, further lanes mixes of it."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each shingle; a text of fewer words is one shingle."""
     import xxhash
 
     own = text.lower().split()
     if not own:
-        return [0] * lanes
+        return np.zeros(0, np.uint64)
     line = b" ".join(own)
     sizes = np.fromiter(map(len, own), np.int64, len(own))
     ends = np.cumsum(sizes + 1) - 1
@@ -55,7 +57,12 @@ def fingerprint(text: bytes, words: int, lanes: int = 1) -> list[int]:
     ends = ends.tolist()
     reach = min(words, len(own)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[reach:])], dtype=np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[reach:])], dtype=np.uint64)
+
+
+def fingerprint(hashes: np.ndarray, lanes: int = 1) -> list[int]:
+    """Signed 64-bit lanes of a text's fingerprint. Lane 0 uses the hash of each
+    shingle, further lanes mixes of it."""
     out = []
     for lane in range(lanes):
         h = hashes if lane == 0 else mixed(hashes + np.uint64(_MIX * lane % 2**64))
@@ -71,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
     """doc_id, l0, l1, ... of every row's whole text."""
 
     def work(piece: pa.RecordBatch) -> dict:
-        made = [fingerprint(t, words, lanes) for t in as_bytes(piece.column("text"))]
+        made = [fingerprint(shingle_hashes(t, words), lanes) for t in as_bytes(piece.column("text"))]
         return {"doc_id": piece.column("doc_id")} | {f"l{k}": [m[k] for m in made] for k in range(lanes)}
 
     return map_texts(docs, ", ".join(["doc_id long", *(f"l{k} long" for k in range(lanes))]), work)
@@ -253,16 +260,109 @@ def linked(nodes: DataFrame, lanes: int, bits: int, masks: list[list[int]]) -> D
     return dealt.repartition(int(parts), "task").sortWithinPartitions("task", "rank").select(*names).mapInArrow(search, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, lanes: int = 8, bits: int = 86, width: int = 16, number: int = 32) -> DataFrame:
+def set_prints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """Of every row's set of shingles: doc_id, l0, l1, ..., their number n and a hash `own` of the whole set."""
+
+    def work(piece: pa.RecordBatch) -> dict:
+        import xxhash
+
+        sets = [np.unique(shingle_hashes(t, words)) for t in as_bytes(piece.column("text"))]
+        made = [fingerprint(s, lanes) for s in sets]
+        own = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        codes = {f"l{k}": [m[k] for m in made] for k in range(lanes)}
+        return {"doc_id": piece.column("doc_id"), "own": own, "n": np.array([len(s) for s in sets], np.int64)} | codes
+
+    return map_texts(docs, ", ".join(["doc_id long, own long, n long", *(f"l{k} long" for k in range(lanes))]), work)
+
+
+def similar_rows(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """A row that each row reaches over pairs of sets with Jaccard similarity `least`
+    or more. Each row is compared once with all rows that were not reached before."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    inside = np.zeros(sum(sizes), bool)
+    label, unreached = np.arange(n), np.ones(n, bool)
+    rows = np.zeros(0, np.int64)
+    for root in range(n):
+        todo = [root] if unreached[root] else []
+        unreached[root] = False
+        while todo:
+            k = todo.pop()
+            left = int(unreached.sum())
+            if not left:
+                break
+            if 2 * left <= len(rows) or not len(rows):
+                rows = np.flatnonzero(unreached & (sizes > 0))
+                if not len(rows):
+                    break
+                flat, starts = np.concatenate([ids[r] for r in rows]), np.cumsum(sizes[rows]) - sizes[rows]
+            inside[ids[k]] = True
+            common = np.add.reduceat(inside[flat], starts, dtype=np.int64)
+            inside[ids[k]] = False
+            near = rows[unreached[rows] & (common / (sizes[rows] + sizes[k] - common) >= least)]
+            unreached[near] = False
+            label[near] = root
+            todo.extend(near.tolist())
+    return label
+
+
+def verified(docs: DataFrame, families: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) of documents whose sets of shingles have Jaccard similarity `least` or
+    more: a spanning forest for each family. `families`: doc_id, family, n (size of
+    the set). A large family is dealt over pairs of blocks of bounded number and size."""
+    weight = families.groupBy("family").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("count") / SET_ROWS), F.ceil(F.col("n") / SET_VALUES), F.lit(1)).cast("int")
+    members = families.select("doc_id", "family").distinct().join(weight.select("family", blocks.alias("blocks")), "family")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id").distinct()
+    names = ["node", "own", "task"]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            own = [np.unique(shingle_hashes(t, words)).tobytes() for t in as_bytes(piece.column("text"))]
+            columns = [piece.column("doc_id"), piece.column("family"), piece.column("blocks"), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "family", "blocks", "own"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in names)))
+        for _, group in itertools.groupby(rows, key=lambda row: row[2]):
+            nodes, own, _ = zip(*group)
+            if len(nodes) > 1:
+                label = similar_rows([np.frombuffer(s, np.uint64) for s in own], least)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes, pa.int64()).take(pa.array(label))], ["a", "b"])
+
+    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    dealt = (
+        texts.select("doc_id", "text", "family", "blocks")
+        .mapInArrow(sets, "node long, family long, blocks int, own binary")
+        .select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("node", "own", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
+    )
+    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    found = dealt.repartition(int(parts), "task").sortWithinPartitions("task").mapInArrow(search, "a long, b long")
+    return found.where("a <> b")
+
+
+def one_of_each(
+    docs: DataFrame, words: int = 5, lanes: int = 8, bits: int = 86, width: int = 16, number: int = 32, least: float = 0.8
+) -> DataFrame:
     """The rows of `docs` that are the first of their group, all columns kept.
 
-    A code of 512 bits estimates the cosine of two texts' shingles: texts that share
+    Groups are the components of pairs whose sets of shingles have Jaccard similarity
+    `least` or more, by exact comparison inside families. Families come from
+    codes: a code of 512 bits estimates the cosine of two texts' shingles: texts that share
     0.8 of theirs differ in 78 bits on average, unrelated ones in 256. `number`
     masks of `width` seeded bits find such pairs. Rows with a null id stay.
     """
-    found = near_components(docs.where("doc_id IS NOT NULL"), words, bits, lanes, sampled_masks(lanes, width, number))
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("tl_first")).distinct()
     with_id = docs.where("doc_id IS NOT NULL")
+    codes = [f"l{k}" for k in range(lanes)]
+    prints = materialise(set_prints(with_id, words, lanes), "fingerprints")
+    nodes = materialise(prints.groupBy(*codes, "own", "n").agg(F.min("doc_id").alias("node")), "nodes")
+    reached = components(linked(nodes, lanes, bits, sampled_masks(lanes, width, number)))
+    families = nodes.join(reached, nodes["node"] == reached["a"]).select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n")
+    again = components(verified(with_id, materialise(families, "families"), words, least)).where("a <> component")
+    first = nodes.select(F.col("node").alias("tl_first")).distinct()
+    first = first.join(again, first["tl_first"] == again["a"], "left_anti")
     return with_id.join(first, with_id["doc_id"] == first["tl_first"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
 
 
