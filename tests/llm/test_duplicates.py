@@ -119,6 +119,17 @@ def test_a_family_below_the_similarity_stays(documents):
     assert sorted(r.doc_id for r in kept) == list(range(64))
 
 
+def test_isolated_pairs_just_above_the_similarity(documents):
+    pairs = []
+    for k in range(150):
+        base = [f"p{k}w{i}" for i in range(184)]
+        pairs += [base, replaced(base, 3 + k % 2, f"p{k}m")]
+    assert all(0.8 <= jaccard(a, b) < 0.85 for a, b in zip(pairs[::2], pairs[1::2]))
+    found = simhash.one_of_each(documents([(k, " ".join(t)) for k, t in enumerate(pairs)])).collect()
+    ids = {r.doc_id for r in found}
+    assert ids >= set(range(0, 300, 2)) and len(ids) <= 150 + 3
+
+
 @pytest.mark.parametrize("dealt", [False, True])
 def test_similar_rows_against_brute_force(documents, monkeypatch, dealt):
     if dealt:

@@ -344,7 +344,7 @@ def verified(docs: DataFrame, families: DataFrame, words: int, least: float) ->
 
 
 def one_of_each(
-    docs: DataFrame, words: int = 5, lanes: int = 8, bits: int = 86, width: int = 16, number: int = 32, least: float = 0.8
+    docs: DataFrame, words: int = 5, lanes: int = 8, bits: int = 105, width: int = 16, number: int = 80, least: float = 0.8
 ) -> DataFrame:
     """The rows of `docs` that are the first of their group, all columns kept.
 
@@ -352,7 +352,8 @@ def one_of_each(
     `least` or more, by exact comparison inside families. Families come from
     codes: a code of 512 bits estimates the cosine of two texts' shingles: texts that share
     0.8 of theirs differ in 78 bits on average, unrelated ones in 256. `number`
-    masks of `width` seeded bits find such pairs. Rows with a null id stay.
+    masks of `width` seeded bits find such pairs: an isolated pair of 0.80 with
+    probability 0.991, of 0.85 with 0.999. Rows with a null id stay.
     """
     with_id = docs.where("doc_id IS NOT NULL")
     codes = [f"l{k}" for k in range(lanes)]
