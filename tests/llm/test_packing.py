@@ -72,6 +72,30 @@ def test_fill_over_a_tree(spark, documents):
     assert used <= 1.06 * math.ceil(sum(r.length for r in found) / 512)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 60)))
+def test_counted_best_fit_holds_every_item_once(counts):
+    runs = sorted(packing.best_fit_counts(counts, 40))
+    bins = defaultdict(list)
+    for size, n in counts.items():
+        own = [r for r in runs if r[0] == size]
+        for (_, rank, first, offset), end in zip(own, [*(r[1] for r in own[1:]), n]):
+            for k in range(end - rank):
+                bins[first + k].append((offset, size))
+    for places in bins.values():
+        ends = [a + size for a, size in sorted(places)]
+        assert [0, *ends[:-1]] == [a for a, _ in sorted(places)] and ends[-1] <= 40
+    plain = packing.best_fit([size for size, n in counts.items() for _ in range(n)], 40)
+    assert set(bins) == set(range(len(bins))) and len(bins) <= 1.02 * len(plain) + 1
+
+
+def test_long_documents_of_one_partition_meet_short_ones_of_another(documents):
+    rows = [(i, " ".join(["word"] * (37 if i < 10_000 else 25))) for i in range(20_000)]
+    long, short = (documents(part).coalesce(1) for part in (rows[:10_000], rows[10_000:]))
+    found = packing.pack_documents(long.unionByName(short), PATH, 64).collect()
+    assert {r.length for r in found} == {38, 26} and len(found) == 20_000 and len({r.sequence_id for r in found}) == 10_000
+
+
 def test_empty_table_and_clashing_columns(documents):
     assert packing.pack_documents(documents([]), PATH).collect() == []
     docs = documents([(1, "a b")]).selectExpr("*", "7 AS piece", "'x' AS node", "1 AS uid")

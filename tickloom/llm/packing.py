@@ -1,12 +1,11 @@
 """Best-fit packing of documents into sequences, by hierarchical residual packing.
 
 Each partition tokenizes its documents and packs their pieces best-fit; nearly
-full bins are done. The others go up a tree: an underfull bin travels as one or
-two items, its largest part and the rest of it, and every node packs the items
-of its children best-fit again, keeps nearly full bins and sends the others up.
-The root closes all bins. A node sends at most `carried` items, from its
-emptiest bins; the fuller ones close as they are, so no task holds more than
-`fan` times that, however the lengths are spread. No piece is ever dropped.
+full bins are done. The pieces of all other bins go up as counts by length, at
+most `capacity` numbers however many rows there are. The counts of all leaves
+are packed best-fit as runs of equal bins, and a piece finds its bin by its
+length and its rank among all open pieces of that length. No bin closes because
+of a number, and no piece is ever dropped.
 
 A text longer than `capacity` becomes pieces of exactly `capacity` tokens, the
 first of which may be shorter. Null and empty texts are documents of one end
@@ -20,26 +19,24 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.byte_tokens import byte_tokenizer
 from tickloom.llm.texts import as_text, ready_workers, slices
-from tickloom.session import scratch_path
+from tickloom.session import materialise
 
 SLACK = 2
-FAN = 8
+#: rows of an Arrow batch of pieces
 CARRIED = 8192
 BLOCK = 1 << 17
+#: sequences that hold pieces of several leaves are numbered from here, above every piece's number
+SHARED = 1 << 62
 
-LEAF = (
-    "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, "
-    "sequence_id long, offset long, node long, uids array<long>, lengths array<int>"
-)
-PLACED = "uid long, sequence_id long, offset long, node long, uids array<long>, lengths array<int>"
+LEAF = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, node long, rank long"
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -66,22 +63,47 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def settle(sizes: list[int], capacity: int, last: bool) -> tuple[list[list[int]], list[list[int]]]:
-    """One best-fit round: bins that are done, and groups of items to send up."""
+    """One best-fit round: bins that are done, and the items of all others grouped by size."""
     bins = best_fit(sizes, capacity)
     if last:
         return bins, []
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    by_fill = sorted((k for k in range(len(bins)) if fill[k] < capacity - SLACK), key=lambda k: fill[k])
-    up, going = [], set()
-    for k in by_fill:
-        if len(up) + 2 > CARRIED:
-            break
-        going.add(k)
-        largest, *rest = sorted(bins[k], key=lambda i: -sizes[i])
-        up.append([largest])
-        if rest:
-            up.append(rest)
-    return [b for k, b in enumerate(bins) if k not in going], up
+    done, up = [], {}
+    for own in bins:
+        if sum(sizes[i] for i in own) >= capacity - SLACK:
+            done.append(own)
+        else:
+            for i in own:
+                up.setdefault(sizes[i], []).append(i)
+    return done, list(up.values())
+
+
+def best_fit_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
+    """Best fit of counted items, largest first: runs (size, rank, bin, offset). From
+    `rank` on, each next item of that size lies in the next bin, at `offset`."""
+    open_by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # bins [a, b)
+    rooms, made, runs = 0, 0, []  # bit r of rooms is set if bins with room r are open
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            fits = rooms >> size
+            if fits:
+                room = size + (fits & -fits).bit_length() - 1
+                a, b = open_by_room[room].pop()
+                if not open_by_room[room]:
+                    rooms ^= 1 << room
+            else:
+                room, a, b = capacity, made, made - (-left // (capacity // size))
+                made = b
+            most = min(b - a, -(-left // (room // size)))
+            if a + most < b:
+                open_by_room[room].append((a + most, b))
+                rooms |= 1 << room
+            runs.append((size, rank, a, capacity - room))
+            rank, left = rank + most, left - most
+            if room > size:
+                open_by_room[room - size].append((a, a + most))
+                rooms |= 1 << (room - size)
+    return runs
 
 
 def leaves(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -89,11 +111,10 @@ def leaves(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     names = [part.split()[0] for part in LEAF.split(", ")]
     end = np.uint32(end_id).astype("<u4").tobytes()
 
-    def flush(rows: list, node: int) -> pa.RecordBatch:
+    def flush(rows: list) -> Iterator[pa.RecordBatch]:
         """rows: [doc_id, piece, start, length, crc, uid]; full pieces have sequences of their own."""
         n = len(rows)
-        sequence, offset = [None] * n, [None] * n
-        uids, lengths = [None] * n, [None] * n
+        sequence, offset, rank = [None] * n, [None] * n, [None] * n
         small = []
         for i, row in enumerate(rows):
             if row[3] == capacity:
@@ -108,17 +129,16 @@ def leaves(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
                 sequence[i], offset[i] = rows[small[own[0]]][5], at
                 at += rows[i][3]
         for own in up:
-            i = small[own[0]]
-            uids[i] = [rows[small[k]][5] for k in own]
-            lengths[i] = [rows[small[k]][3] for k in own]
-        columns = [*(zip(*rows)), sequence, offset, [node] * n, uids, lengths]
-        types = [pa.int64(), pa.int32(), *[pa.int64()] * 4, *[pa.int64()] * 3, pa.list_(pa.int64()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            for place, k in enumerate(own):
+                rank[small[k]] = place
+        columns = [*list(zip(*rows))[:5], sequence, offset, [rows[0][5]] * n, rank]
+        types = [pa.int64(), pa.int32(), *[pa.int64()] * 7]
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        yield from (made.slice(a, CARRIED) for a in range(0, n, CARRIED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = byte_tokenizer(path)
-        node = TaskContext.get().partitionId()
-        uid, rows = node << 40, []
+        uid, rows = TaskContext.get().partitionId() << 40, []
         for batch in slices(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.ids(as_text(batch.column("text")))):
                 ids += end
@@ -130,57 +150,44 @@ def leaves(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
                     rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), uid))
                     uid, piece, start, length = uid + 1, piece + 1, start + length, capacity
                     if len(rows) >= BLOCK:
-                        yield flush(rows, node)
+                        yield from flush(rows)
                         rows = []
         if rows:
-            yield flush(rows, node)
+            yield from flush(rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LEAF)
 
 
-def tree_round(items: DataFrame, capacity: int, last: bool) -> DataFrame:
-    """Pack the items of each node; `node` of what goes up is the parent."""
+def placed(ranked: DataFrame, runs: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Sequence and offset of open pieces by their length and their rank among all of it."""
+    keys = np.array(sorted(runs), np.int64).reshape(-1, 4)
+    shared = ranked.sparkSession.sparkContext.broadcast(keys)
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        node = int(frame["node"].iloc[0])
-        uids, lengths = frame["uids"].tolist(), frame["lengths"].tolist()
-        done, up = settle([int(sum(x)) for x in lengths], capacity, last)
-        rows = []
-        for own in done:
-            at, first = 0, int(uids[own[0]][0])
-            for k in own:
-                for uid, length in zip(uids[k], lengths[k]):
-                    rows.append((int(uid), first, at, None, None, None))
-                    at += int(length)
-        for own in up:
-            rows.append((None, None, None, node, [int(u) for k in own for u in uids[k]], [int(x) for k in own for x in lengths[k]]))
-        out = pd.DataFrame(rows, columns=["uid", "sequence_id", "offset", "node", "uids", "lengths"])
-        return out.astype({c: "Int64" for c in ("uid", "sequence_id", "offset", "node")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, first, bins, offset = np.ascontiguousarray(shared.value.T)
+        edges = np.searchsorted(size, np.arange(size[-1] + 2)) if len(size) else size
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+            at = np.zeros(len(rank), np.int64)
+            for one in np.unique(length).tolist():
+                mine = length == one
+                at[mine] = edges[one] + np.searchsorted(first[edges[one] : edges[one + 1]], rank[mine], side="right") - 1
+            columns = [*(batch.column(c) for c in COLUMNS), pa.array(SHARED + bins[at] + rank - first[at]), pa.array(offset[at])]
+            yield pa.RecordBatch.from_arrays(columns, [*COLUMNS, "sequence_id", "offset"])
 
-    inner = items.select(F.floor(F.col("node") / FAN).cast("long").alias("node"), "uids", "lengths")
-    return inner.groupBy("node").applyInPandas(pack, PLACED)
+    schema = LEAF.split(", node")[0]
+    return ranked.select(*COLUMNS, "rank").mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = docs.sparkSession
-    ready_workers(spark)
-    folder = scratch_path(spark, "packing")
-    leaves(docs, path, capacity, end_id).write.parquet(f"{folder}/0")
-    base = spark.read.schema(LEAF).parquet(f"{folder}/0")
-    items = base.where("uids IS NOT NULL")
-    nodes = (items.agg(F.max("node")).first()[0] or 0) + 1
-    level, rounds = 0, []
-    while level == 0 or nodes > 1:
-        level, nodes = level + 1, -(-nodes // FAN)
-        tree_round(items, capacity, nodes == 1).write.parquet(f"{folder}/{level}")
-        made = spark.read.schema(PLACED).parquet(f"{folder}/{level}")
-        rounds.append(made.where("uid IS NOT NULL").select("uid", "sequence_id", "offset"))
-        items = made.where("uids IS NOT NULL")
-    placed = rounds[0]
-    for more in rounds[1:]:
-        placed = placed.unionByName(more)
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    kept = base.where("sequence_id IS NOT NULL").select(*columns, "sequence_id", "offset")
-    moved = base.where("sequence_id IS NULL").select(*columns, "uid").join(placed, "uid").select(*columns, "sequence_id", "offset")
-    return kept.unionByName(moved)
+    ready_workers(docs.sparkSession)
+    base = materialise(leaves(docs, path, capacity, end_id), "packing")
+    kept = base.where("sequence_id IS NOT NULL").select(*COLUMNS, "sequence_id", "offset")
+    loose = base.where("sequence_id IS NULL").select(*COLUMNS, "node", "rank")
+    counts = materialise(loose.groupBy("node", "length").agg(F.count("*").alias("n")), "counts")
+    totals = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("node")) - F.col("n")
+    starts = counts.select("node", "length", before.alias("before"))
+    ranked = loose.join(starts, ["node", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    return kept.unionByName(placed(ranked, best_fit_counts(totals, capacity)))
