@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, class_model, labelled, packing, pii, piece_codec, quality_rules, ranking, repeats, simhash, token_counts
+from tickloom.llm import (
+    alignment,
+    ann,
+    class_model,
+    labelled,
+    mixing,
+    packing,
+    pii,
+    piece_codec,
+    quality_rules,
+    ranking,
+    repeats,
+    simhash,
+    token_counts,
+    whitening,
+)
 
 
 def tokenizer(name: str) -> str:
@@ -81,6 +96,19 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(documents(spark, sf_dir), weights=(5, 2, 1), share=(3, 2), most=2)
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_class_scores": op2_class_scores,
@@ -92,6 +120,9 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_simhash": op9_simhash,
     "op10_piece_codec": op10_piece_codec,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
@@ -129,4 +160,35 @@ ORACLES = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
         FROM scored QUALIFY rank <= 5
     """,
+    "op11_source_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+            FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS words,
+                [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+            FROM d GROUP BY source
+        ), prefix AS (
+            -- sources by the level at which they stop; the level is highest where the right ones have stopped
+            SELECT *, sum(words) OVER w AS stopped, sum(weight) OVER w AS heavy, sum(words) OVER () AS total, sum(weight) OVER () AS weights
+            FROM s WINDOW w AS (ORDER BY words / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+        ), level AS (
+            SELECT max(CASE WHEN weights - heavy > 0 THEN (3 * total - 4 * stopped) / (2 * (weights - heavy)) END) AS after,
+                max(3 * total / (2 * weights)) AS first
+            FROM prefix
+        ), t AS (
+            SELECT source, words, least(CAST(2 * words AS DOUBLE), weight * greatest(after, first)) AS target FROM s, level
+        ), r AS (SELECT *, coalesce(target / nullif(words, 0), 0) AS rate FROM t),
+        drawn AS (
+            SELECT d.*, r.words, r.target, r.rate, k AS seed, floor(r.rate) + CASE WHEN
+                CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || (k // 4)), CAST((k % 4) * 8 + 1 AS INT), 8) AS BIGINT)
+                    / 4294967296.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
+            FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range(64) g(k)
+        ), tried AS (
+            SELECT source, seed FROM drawn GROUP BY source, seed
+            QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies) - any_value(target)), seed) = 1
+        )
+        SELECT doc_id, size, words AS source_size, target, CAST(size * copies AS BIGINT) AS taken
+        FROM drawn JOIN tried ON drawn.source IS NOT DISTINCT FROM tried.source AND drawn.seed = tried.seed
+    """,
 }
