@@ -15,8 +15,8 @@ of a task (the first KEPT are held), for many segments at a time as one block-di
 matrix, and a text's links are those of its segments.
 
 Corpus counts stay in Spark. A task writes one row per slice of texts: its
-documents, its different id pairs with their counts, and the documents' links as
-codes into these pairs. Pairs are counted over slices with map-side combine; the
+documents, its different id pairs with their counts, and the documents' links as 16 or
+32 bit codes into these pairs. Pairs are counted over slices with map-side combine; the
 highest count of each B id has at most one row per id, so it is broadcast; counts
 come back to the slices by joins on pair and slice. No pair and no slice
 is a hot key: a slice holds a pair once, and has a bounded text (or one document).
@@ -43,12 +43,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.texts import Kept, ready_workers, slices
+from tickloom.llm.texts import Kept, as_text, ready_workers, slices
 from tickloom.session import materialise
 
 KEPT = 150_000
 #: bytes of new segments whose products are made at a time
 PRODUCT_BYTES = 1 << 20
+#: segments that are encoded end to end
+JOINED = 500
 _JOINED = r"\s\s|^\s|\s$|[\x0B\x0C\r\t\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _CUT = re.compile(r"(?<=\S)(?= \S|\n\S)")
 _SPACE = "▁"
@@ -140,21 +142,6 @@ def products(a_sizes: np.ndarray, b_sizes: np.ndarray) -> Products:
 # --- tokens of segments -------------------------------------------------------------
 
 
-@dataclass(slots=True)
-class Aligned:
-    """One segment: ids and bytes of both sides, links, and its groups as text. `fits` if both sides' bytes are the segment's."""
-
-    fits: bool
-    a: np.ndarray
-    b: np.ndarray
-    a_sizes: np.ndarray
-    b_sizes: np.ndarray
-    overlap: np.ndarray  # rows of (A place, B place, bytes)
-    together: np.ndarray  # A id << 32 | B id of each link
-    groups: str
-    n_groups: int
-
-
 def _gpt_bytes() -> dict[str, int]:
     """The byte of each symbol of a byte-level vocabulary: printable bytes stand for
     themselves, the others follow from code point 256 on."""
@@ -186,62 +173,67 @@ class Aligner:
             raise ValueError("needs a piece model that adds a space before the text, whose pieces hold no inner space or line end")
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_names, self.b_names = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
+        #: per segment (tokens of A, tokens of B, groups as text, id pairs of links as bytes), or () if the bytes differ
         self.segments = Kept(self.align, KEPT)
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [found.ids for found in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        # B adds the space itself; a segment that starts with a line end has none
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        return a, [ids if s[0] == " " else ids[1:] for s, ids in zip(segments, b)]
-
-    def align(self, segments: list[str]) -> list[Aligned]:
-        out, held, size = [], [], 0
-        for s in segments:
-            held.append(s)
-            size += len(s)
-            if size >= PRODUCT_BYTES:
-                out += self._align(held)
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """Ids of both sides for each text with its space (or line end) in front; None where the bytes are not the text's."""
+        a_ids = [found.ids for found in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # B adds the space itself; a text that starts with a line end has none
+        b_ids = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        for text, a, b in zip(texts, a_ids, b_ids):
+            b = b if text[0] == " " else b[1:]
+            raw = text.encode()
+            fits = b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
+            yield (a, b) if fits else None
+
+    def align(self, segments: list[str]) -> list[tuple]:
+        """Values of different segments. Those that begin and end like words are encoded
+        many at a time, end to end; where that does not fit, each by itself."""
+        made: dict[str, tuple] = {}
+        plain = [s for s in segments if len(s) > 1 and not s[1].isspace() and not s[-1].isspace()]
+        self._align([plain[k : k + JOINED] for k in range(0, len(plain), JOINED)], made)
+        self._align([[s] for s in segments if s not in made], made)
+        return [made.get(s, ()) for s in segments]
+
+    def _align(self, runs: list[list[str]], made: dict[str, tuple]) -> None:
+        held, size = [], 0
+        for k, run in enumerate(runs):
+            held.append(run)
+            size += sum(map(len, run))
+            if size >= PRODUCT_BYTES or k + 1 == len(runs):
+                self._multiply(held, made)
                 held, size = [], 0
-        return out + (self._align(held) if held else [])
-
-    def _align(self, segments: list[str]) -> list[Aligned]:
-        a_ids, b_ids = self.encode(segments)
-        wanted = [s.encode() for s in segments]
-        fits = [
-            b"".join([self.a_bytes[i] for i in a]) == w and b"".join([self.b_bytes[i] for i in b]) == w
-            for w, a, b in zip(wanted, a_ids, b_ids)
-        ]
-        # the segments that fit lie end to end: one block-diagonal product
-        a_all = np.array([i for a, fit in zip(a_ids, fits) if fit for i in a], np.int64)
-        b_all = np.array([i for b, fit in zip(b_ids, fits) if fit for i in b], np.int64)
+
+    def _multiply(self, runs: list[list[str]], made: dict[str, tuple]) -> None:
+        """One product of block-diagonal matrices for all runs that fit."""
+        found = [(run, ids) for run, ids in zip(runs, self.encode(["".join(run) for run in runs])) if ids]
+        if not found:
+            return
+        a_all = np.array([i for _, (a, _) in found for i in a], np.int64)
+        b_all = np.array([i for _, (_, b) in found for i in b], np.int64)
         a_sizes, b_sizes = self.a_sizes[a_all], self.b_sizes[b_all]
-        made = products(a_sizes, b_sizes)
-        pairs = (a_all[made.together.owners()] << 32) | b_all[made.together.columns]
-        links = np.stack([made.overlap.owners(), made.overlap.columns, made.overlap.values], axis=1)
-        a_cut, b_cut = np.searchsorted(made.a_group, np.arange(len(made.group_ends) + 1)), np.searchsorted(made.b_group, np.arange(len(made.group_ends) + 1))
-        a_names, b_names = a_all.astype(str).tolist(), b_all.astype(str).tolist()
-        a_edges, b_edges = a_cut.tolist(), b_cut.tolist()
-        texts = [
-            f"{','.join(a_names[a_edges[g] : a_edges[g + 1]])}|{','.join(b_names[b_edges[g] : b_edges[g + 1]])}"
-            for g in range(len(made.group_ends))
+        p = products(a_sizes, b_sizes)
+        pairs = (a_all[p.together.owners()] << 32) | b_all[p.together.columns]
+        a_edges, b_edges = (np.searchsorted(side, np.arange(len(p.group_ends) + 1)).tolist() for side in (p.a_group, p.b_group))
+        a_text, b_text = [self.a_names[i] for i in a_all.tolist()], [self.b_names[i] for i in b_all.tolist()]
+        groups = [
+            f"{','.join(a_text[a0:a1])}|{','.join(b_text[b0:b1])}" if a1 - a0 > 1 or b1 - b0 > 1 else f"{a_text[a0]}|{b_text[b0]}"
+            for a0, a1, b0, b1 in zip(a_edges, a_edges[1:], b_edges, b_edges[1:])
         ]
-        out, a0, b0, g0, l0 = [], 0, 0, 0, 0
-        for a, b, fit in zip(a_ids, b_ids, fits):
-            if not fit:
-                none = np.empty(0, np.int64)
-                out.append(Aligned(False, none, none, none, none, np.empty((0, 3), np.int64), none, "", 0))
-                continue
-            a1, b1 = a0 + len(a), b0 + len(b)
-            g1 = made.a_group[a1 - 1] + 1
-            l1 = made.overlap.starts[a1]
-            out.append(
-                Aligned(
-                    True, a_all[a0:a1].copy(), b_all[b0:b1].copy(), a_sizes[a0:a1].copy(), b_sizes[b0:b1].copy(),
-                    links[l0:l1] - [a0, b0, 0], pairs[g0:g1].copy(), ";".join(texts[g0:g1]), int(g1 - g0),
-                )
-            )
-            a0, b0, g0, l0 = a1, b1, g1, l1
-        return out
+        names = [s for run, _ in found for s in run]
+        ends = np.cumsum([len(s.encode()) for s in names])
+        # a segment stands by itself if both sides have a token border at its start and end
+        last = np.searchsorted(p.group_ends, ends)
+        whole = p.group_ends[np.minimum(last, len(p.group_ends) - 1)] == ends
+        whole &= np.concatenate([[True], whole[:-1]])
+        last = np.where(whole, last + 1, last).tolist()
+        raw, first = pairs.tobytes(), 0
+        for s, end, fine in zip(names, last, whole.tolist()):
+            if fine:
+                made[s] = (a_edges[end] - a_edges[first], b_edges[end] - b_edges[first], ";".join(groups[first:end]), raw[8 * first : 8 * end])
+            first = end
 
     def texts(self, column: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
         """The different segments' values, the code of every segment end to end, and where each text's begin."""
@@ -265,9 +257,9 @@ class Aligner:
             sizes[row] = len(cut)
         codes = np.concatenate(parts) if parts else np.empty(0, np.int64)
         names = list(place)
-        used = np.unique(codes)
-        found = self.segments.values([names[k] for k in used.tolist()])
-        return found, np.searchsorted(used, codes), np.concatenate([[0], np.cumsum(sizes)])
+        used = np.bincount(codes, minlength=len(names)) > 0
+        found = self.segments.values([names[k] for k in np.flatnonzero(used).tolist()])
+        return found, (np.cumsum(used) - 1)[codes], np.concatenate([[0], np.cumsum(sizes)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -289,17 +281,23 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(a_path, b_path)
         for piece in slices(batches):
-            found, codes, edges = tool.texts(piece.column("text"))
             rows = []
-            for row in range(piece.num_rows):
-                own = [found[c] for c in codes[edges[row] : edges[row + 1]].tolist()]
-                own = own if all(s.fits for s in own) else []
-                links, at = [], np.zeros(3, np.int64)
-                for s in own:
-                    links += (s.overlap + at).tolist()
-                    at += [len(s.a), len(s.b), 0]
-                joined = [[x for s in own for x in getattr(s, name).tolist()] for name in ("a", "b", "a_sizes", "b_sizes")]
-                rows.append([*joined, [dict(zip(("a", "b", "bytes"), link)) for link in links], ";".join([s.groups for s in own])])
+            for text in as_text(piece.column("text")):
+                ids = next(tool.encode([" " + text])) if text else None
+                if ids is None:
+                    rows.append([[], [], [], [], [], ""])
+                    continue
+                a, b = (np.array(own, np.int64) for own in ids)
+                a_sizes, b_sizes = tool.a_sizes[a], tool.b_sizes[b]
+                made = products(a_sizes, b_sizes)
+                links = zip(made.overlap.owners().tolist(), made.overlap.columns.tolist(), made.overlap.values.tolist())
+                # groups from the products' shared-group links: the A and B tokens of each
+                sides = [[[] for _ in made.group_ends] for _ in ids]
+                for side, own, of in zip(sides, ids, (made.a_group.tolist(), made.b_group.tolist())):
+                    for token, group in zip(own, of):
+                        side[group].append(str(token))
+                groups = ";".join(f"{','.join(x)}|{','.join(y)}" for x, y in zip(*sides))
+                rows.append([*ids, a_sizes.tolist(), b_sizes.tolist(), [dict(zip(("a", "b", "bytes"), link)) for link in links], groups])
             ints, link = pa.list_(pa.int32()), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("bytes", pa.int32())]))
             kinds = [ints, ints, ints, ints, link, pa.string()]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
@@ -314,7 +312,7 @@ SLICES = f"slice long, docs array<struct<{DOC}>>, links binary, pairs array<long
 
 
 def linked_slices(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """One row per slice of texts: its documents, their links as 32-bit codes into `pairs`, and how often it holds each pair."""
+    """One row per slice of texts: its documents, their links as codes into `pairs`, and how often it holds each pair."""
     ready_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,19 +320,22 @@ def linked_slices(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for piece in slices(batches):
             found, codes, edges = tool.texts(piece.column("text"))
-            n = [np.array(v, np.int64) for v in zip(*[(len(s.a), len(s.b), s.n_groups, not s.fits) for s in found])] or [np.empty(0, np.int64)] * 4
+            live_of = np.array([bool(s) for s in found], bool)
+            whole = [s or (0, 0, "", b"") for s in found]
+            n = [np.fromiter((s[k] for s in whole), np.int64, len(whole)) for k in (0, 1)]
+            n.append(np.fromiter((len(s[3]) >> 3 for s in whole), np.int64, len(whole)))
             owner = np.repeat(np.arange(piece.num_rows), np.diff(edges))
-            broken = np.bincount(owner, weights=n[3][codes], minlength=piece.num_rows) > 0
+            broken = np.bincount(owner, weights=~live_of[codes], minlength=piece.num_rows) > 0
             live = ~broken[owner]
             total = [np.bincount(owner[live], weights=x[codes[live]], minlength=piece.num_rows).astype(np.int64) for x in n[:3]]
-            texts = [s.groups for s in found]
+            texts = [s[2] for s in whole]
             digests = []
             for row in range(piece.num_rows):
                 own = ";".join([texts[c] for c in codes[edges[row] : edges[row + 1]].tolist()]) if total[2][row] else ""
                 digests.append(hashlib.sha256(own.encode()).hexdigest() if own else "")
             # links of all segments in order of text, as codes of the different pairs
             sizes, used = n[2], codes[live]
-            every = np.concatenate([s.together for s in found]) if found else np.empty(0, np.int64)
+            every = np.frombuffer(b"".join([s[3] for s in whole]), np.int64)
             pairs, code = np.unique(every, return_inverse=True)
             first = np.cumsum(sizes) - sizes
             repeat = sizes[used]
@@ -351,7 +352,7 @@ def linked_slices(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             columns = [
                 pa.array([number], pa.int64()),
                 pa.array([rows], pa.list_(struct)),
-                pa.array([renumbered[links].astype("<u4").tobytes()], pa.binary()),
+                pa.array([renumbered[links].astype("<u2" if len(pairs) <= 1 << 16 else "<u4").tobytes()], pa.binary()),
                 pa.array([pairs[live_pairs]], pa.list_(pa.int64())),
                 pa.array([counts[live_pairs]], pa.list_(pa.int64())),
             ]
@@ -386,7 +387,8 @@ def alignment_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 docs = pa.RecordBatch.from_struct_array(batch.column("docs").slice(row, 1).flatten())
-                links = np.frombuffer(batch.column("links")[row].as_py() or b"", "<u4")
+                links, total = batch.column("links")[row].as_py() or b"", int(docs.column("n_links").to_numpy().sum())
+                links = np.frombuffer(links, "<u4" if len(links) > 2 * total else "<u2")
                 facts = batch.column("found").slice(row, 1).flatten()
                 n = facts.field("n").to_numpy(zero_copy_only=False) if len(facts) else np.empty(0, np.int64)
                 best = facts.field("best").to_numpy(zero_copy_only=False) if len(facts) else np.empty(0, bool)
