@@ -13,13 +13,15 @@ from tickloom.operators import prepare as P
 from tickloom.operators import signals as G
 from tickloom.operators import statistics as S
 from tickloom.operators.series import Series
+from tickloom.plans.training_table import TrainingPlan, build_training_table
+from tickloom.session import materialise
 from tickloom.sources import landed as L
 from tickloom.sources import tables as T
 from tickloom.streaming import flows as R
 
 
-@pytest.mark.parametrize("held", [5, 1000])
-def test_exact_quantiles_match_numpy(spark, held):
+@pytest.mark.parametrize("most_groups", [1, 1 << 20])
+def test_exact_quantiles_match_numpy(spark, most_groups):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame(
         {
@@ -31,7 +33,7 @@ def test_exact_quantiles_match_numpy(spark, held):
     pdf.loc[:20, "smooth"] = np.nan
     df = spark.createDataFrame(pdf).replace(float("nan"), None)
     qs = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
-    found = S.exact_quantiles(df, ["smooth", "heavy", "skewed"], qs, held=held)
+    found = S.exact_quantiles(df, ["smooth", "heavy", "skewed"], qs, most_groups)
     for (c, q), v in found.items():
         assert v == pytest.approx(pdf[c].dropna().quantile(q), rel=1e-12), (c, q)
 
@@ -250,13 +252,104 @@ def test_interactions_have_no_limit_and_no_part_words(spark):
     assert ("close", "volume_ma") in pairs and ("sent_mean", "vix_level") in pairs and len(pairs) == len(set(pairs))
 
 
-@pytest.mark.parametrize("values", [[1.0, 2.0], [-5.0, 1e300, 3.0, 3.0], list(range(50)), [0.0] * 9 + [1e-300]])
-def test_halved_ranges_keep_the_wanted_rank(spark, values):
-    df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    for q in (0.0, 0.3, 0.5, 0.77, 1.0):
-        low, high = min(values), max(values)
-        b = S._Bracket("x", q, len(values), float(low), float(high), 0, len(values), 999)
-        for _ in range(6):
-            if b.low < b.high:
-                b = S._halved(df, b)
-        assert b.holds() and b.inside == sum(b.low <= v <= b.high for v in values)
+@pytest.mark.parametrize("most_groups", [1, 1 << 20])
+def test_quantiles_of_odd_values(spark, most_groups):
+    """Signs, magnitudes from denormal to the largest, near neighbours, ties, one value."""
+    some = np.random.default_rng(5)
+    wide = np.exp(some.normal(0, 100, 700)) * some.choice([-1, 1], 700)
+    columns = {
+        "wide": np.where(np.isfinite(wide), wide, 1.0),
+        "near": 100 + np.arange(700) * 1.5e-14,
+        "tiny": some.integers(-3, 4, 700) * 5e-324,
+        "large": some.choice([1.7e308, -1.7e308, 0.0], 700),
+        "flat": np.full(700, 3.0),
+        "one": np.array([7.5] + [np.nan] * 699),
+    }
+    df = spark.createDataFrame(pd.DataFrame(columns)).repartition(5)
+    qs = [0.0, 0.001, 0.1, 1 / 3, 0.5, 0.9, 0.999, 1.0]
+    found = S.exact_quantiles(df, list(columns), qs, most_groups)
+    for c, values in columns.items():
+        held = np.sort(values[np.isfinite(values)])
+        for q in qs:
+            low, high = held[math.floor(q * (len(held) - 1))], held[math.ceil(q * (len(held) - 1))]
+            assert min(low, high) <= found[c, q] <= max(low, high)
+            if low == high:
+                assert found[c, q] == low
+
+
+def _wide_table(spark, columns):
+    return spark.range(400).select(*[(F.rand(i) * (i + 1)).alias(f"c{i}") for i in range(columns)])
+
+
+def test_a_thousand_columns_are_one_block(spark, monkeypatch):
+    """A pass holds one expression for all columns, and no more counters than allowed."""
+    most, seen = 20_000, []
+    counted = S._counted
+
+    def watched(cells, of, bucket):
+        found = counted(cells, of, bucket)
+        seen.append((found.count(), found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")))
+        return found
+
+    monkeypatch.setattr(S, "_counted", watched)
+    monkeypatch.setattr(S, "LEAST_BINS", 4)
+    df = materialise(_wide_table(spark, 1000), "wide")
+    found = S.exact_quantiles(df, df.columns, (0.25, 0.5), most)
+    assert len(found) == 2000 and len(seen) > 2
+    assert all(groups <= max(most, 4 * 4000) and aggregates == 1 for groups, aggregates in seen)
+    wanted = df.select("c0", "c7", "c999").toPandas().quantile([0.25, 0.5])
+    for c in wanted:
+        for q in (0.25, 0.5):
+            assert found[c, q] == pytest.approx(wanted[c][q], rel=1e-12)
+
+
+def test_written_once_looks_at_the_plan_not_its_text(spark, tmp_path):
+    path = str(tmp_path / "Sort Map Join")
+    spark.range(5).selectExpr("id AS `Window`", "id * 2 AS x").write.parquet(path)
+    scan = spark.read.parquet(path).where("`Window` > 1").selectExpr("x", "`Window` + 1 AS `Aggregate`")
+    assert S.written_once(scan) is scan
+    assert S.written_once(scan.distinct()) is not scan
+
+
+def test_candidates_are_scored_without_being_made(spark):
+    """Lags and products score as if they were columns, with the bins of the lag's own column."""
+    some = np.random.default_rng(6)
+    n = 400
+    pdf = pd.DataFrame({"symbol": ["a"] * 250 + ["b"] * 150, "bar_ts": range(n), "x": some.normal(size=n), "z": some.normal(size=n)})
+    pdf["y"] = pdf.groupby("symbol").x.shift(2).fillna(0) * 3 + some.normal(size=n) / 10 + pdf.x * pdf.z
+    pdf.loc[::7, "z"] = None
+    df = spark.createDataFrame(pdf).replace(float("nan"), None).repartition(4)
+    for rows in (10_000, 60):  # whole and cut series
+        series = Series(("symbol",), "bar_ts", bucket="second", chunk_rows=rows)
+        stamped = df.withColumn("bar_ts", F.timestamp_seconds("bar_ts"))
+        wanted = P.Candidates(["x", "z"], [("x", "z")], ["x", "z"], (1, 2, 5))
+        scores = {r.feature: r for r in P.score_candidates(stamped, wanted, "y", series).collect()}
+        assert list(scores) == wanted.names() or set(scores) == set(wanted.names())
+        made = {"x": pdf.x, "z": pdf.z, "x_x_z": pdf.x * pdf.z}
+        cuts = {c: np.unique(np.quantile(v.astype(np.float32).astype(float).fillna(0), [i / 10 for i in range(1, 10)])) for c, v in {**made, "y": pdf.y}.items()}
+        base = {c: c for c in made}
+        for k in (1, 2, 5):
+            for c in ("x", "z"):
+                made[f"{c}_lag_{k}"], base[f"{c}_lag_{k}"] = pdf.groupby("symbol")[c].shift(k), c
+        side = np.searchsorted(cuts["y"], pdf.y.astype(np.float32).astype(float))
+        for c, v in made.items():
+            mine = np.searchsorted(cuts[base[c]], v.astype(np.float32).astype(float).fillna(0))
+            joint = pd.crosstab(mine, side).to_numpy() / n
+            own = joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)
+            score = (joint[joint > 0] * np.log(joint[joint > 0] / own[joint > 0])).sum()
+            assert scores[c].importance_score == pytest.approx(score, abs=2e-9), c
+            assert scores[c].present_share == pytest.approx(v.notna().mean())
+
+
+def test_only_chosen_lags_and_products_are_made(spark):
+    some = np.random.default_rng(7)
+    n = 300
+    close = 100 + some.normal(size=n).cumsum()
+    pdf = pd.DataFrame({"symbol": "a", "bar_ts": pd.date_range("2024-01-01", periods=n, freq="h"), "open": close, "high": close + 1, "low": close - 1, "close": close, "volume": some.integers(1, 9, n).astype(float)})
+    df = spark.createDataFrame(pdf).withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz"))
+    plan = TrainingPlan(include_technical=False, include_events=False, max_features={"unknown_future": 3, "known_future": 1, "static": 1})
+    made = build_training_table(df, Series(("symbol",), "bar_ts"), plan)
+    chosen = [c for cs in made.selected.values() for c in cs]
+    assert len(chosen) <= 5 and {*chosen, "symbol", "bar_ts", "time_idx", "is_train", "target", "close"} == set(made.table.columns)
+    assert len(made.roles.unknown_future) > 20 and made.importance.count() == len(chosen)
+    assert P.remaining_gaps(made.table).first().missing == 0

@@ -31,6 +31,18 @@ UNLAGGED_PATTERNS = ("_lag_", "regime", "_sin", "_cos", "category")
 CATEGORY_PATTERNS = ("category", "regime", "sector", "industry", "exchange")
 PRICE_WORDS = ("price", "close", "open", "high", "low")
 VOLATILITY_WORDS = ("volatility", "vix", "atr", "bb_width")
+OSCILLATOR_PAIR = ("rsi_14", "macd_histogram")
+#: Products that a training plan offers unless it names others: three prices by two
+#: volumes and three sentiments by two volatilities.
+USUAL_PAIRS = (
+    ("open", "volume"), ("open", "volume_ratio_5"),
+    ("high", "volume"), ("high", "volume_ratio_5"),
+    ("low", "volume"), ("low", "volume_ratio_5"),
+    ("sent_mean", "volatility_5"), ("sent_mean", "volatility_10"),
+    ("sent_max_abs", "volatility_5"), ("sent_max_abs", "volatility_10"),
+    ("sent_mean_ma_3", "volatility_5"), ("sent_mean_ma_3", "volatility_10"),
+    OSCILLATOR_PAIR,
+)
 
 UNKNOWN = "Unknown"
 #: A label dictionary of at most this many values is applied as a constant map.
@@ -134,6 +146,10 @@ def lag_candidates(names: Sequence[str]) -> list[str]:
     return [c for c in names if not _has(c, UNLAGGED_PATTERNS)]
 
 
+def lag_name(column: str, period: int) -> str:
+    return f"{column}_lag_{period}"
+
+
 def with_lags(
     df: DataFrame,
     series: Series,
@@ -143,10 +159,21 @@ def with_lags(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """`{column}_lag_{k}` for every column and period, in one projection."""
+    return with_chosen_lags(df, series, [(c, k) for c in columns for k in periods], layout, keep)
+
+
+def with_chosen_lags(
+    df: DataFrame,
+    series: Series,
+    lags: Sequence[tuple[str, int]],
+    layout: SeriesLayout | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """`{column}_lag_{k}` for these pairs of column and period only."""
 
     def make(f: Frames) -> Recipe:
-        out = {f"{c}_lag_{k}": f.lag(c, k) for c in columns for k in periods}
-        return Recipe([*out], [Level(add=out)], back=max(periods))
+        out = {lag_name(c, k): f.lag(c, k) for c, k in lags}
+        return Recipe([*out], [Level(add=out)], back=max((k for _, k in lags), default=0))
 
     return add_features(df, series, [make], layout, keep)
 
@@ -159,7 +186,8 @@ def _has_word(name: str, words: Sequence[str]) -> bool:
 def interaction_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     """All pairs of a price with a volume and of a sentiment with a volatility,
     by the words of their names, each pair once; and the oscillator with the trend
-    histogram. To use fewer, pass an explicit list to `with_interactions`."""
+    histogram. Their number grows with the square of the names: a help to write
+    the list for `with_interactions`, not a default."""
     groups = [(PRICE_WORDS, ("volume",)), (("sent", "sentiment"), VOLATILITY_WORDS)]
     pairs = [
         (a, b)
@@ -168,16 +196,17 @@ def interaction_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
         for b in names
         if _has_word(a, left) and _has_word(b, right) and not _has_word(a, right) and not _has_word(b, left)
     ]
-    if {"rsi_14", "macd_histogram"} <= set(names):
-        pairs.append(("rsi_14", "macd_histogram"))
+    if OSCILLATOR_PAIR[0] in names and OSCILLATOR_PAIR[1] in names:
+        pairs.append(OSCILLATOR_PAIR)
     return pairs
 
 
-def with_interactions(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    def name(a: str, b: str) -> str:
-        return "rsi_macd_combined" if (a, b) == ("rsi_14", "macd_histogram") else f"{a}_x_{b}"
+def product_name(a: str, b: str) -> str:
+    return "rsi_macd_combined" if (a, b) == OSCILLATOR_PAIR else f"{a}_x_{b}"
 
-    return df.withColumns({name(a, b): F.col(a) * F.col(b) for a, b in pairs})
+
+def with_interactions(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    return df.withColumns({product_name(a, b): F.col(a) * F.col(b) for a, b in pairs}) if pairs else df
 
 
 def with_target(
@@ -336,47 +365,125 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], exact: bool = True) -> Rob
 # --- importance and selection -----------------------------------------------
 
 
-def _bin(column: str, cuts: Sequence[float]) -> str:
-    """Number of cut points below the value, as SQL text."""
-    above = " + ".join(f"IF(`{column}` > {S.number(c)}, 1, 0)" for c in cuts)
-    return f"{above or 0} AS `{column}`"
+#: Digits of an importance score. Equal columns may sum in another order, and must tie.
+SCORE_DIGITS = 9
 
 
-def mutual_information(
-    df: DataFrame, features: Sequence[str], target: str, bins: int = 10, exact: bool = True
-) -> DataFrame:
-    """(feature, importance_score) from equal-frequency bins, missing read as 0.
+@dataclass
+class Candidates:
+    """Features to be scored against a target: columns, products of two columns,
+    and lags of columns by some periods. Only the columns need to exist."""
+
+    columns: Sequence[str]
+    products: Sequence[tuple[str, str]] = ()
+    lagged: Sequence[str] = ()
+    periods: Sequence[int] = ()
+
+    def names(self) -> list[str]:
+        return [*self.columns, *self.made()]
+
+    def made(self) -> list[str]:
+        lags = [lag_name(c, k) for k in self.periods for c in self.lagged]
+        return [*[product_name(a, b) for a, b in self.products], *lags]
+
+
+def _cuts_array(cuts: Sequence[Sequence[float]]) -> str:
+    rows = [f"array({', '.join(S.number(c) for c in own)})" if own else "CAST(array() AS array<double>)" for own in cuts]
+    return f"array({', '.join(rows)})"
 
-    Counts per (feature, bin, target bin) are combined before the shuffle and
-    number at most bins squared per feature.
+
+def _settled(x: str) -> str:
+    """SQL: a value to nine places after the point. With single precision after it, values
+    that differ by the order of a sum only, near zero too, fall into one bin."""
+    value = f"CAST({x} AS DOUBLE)"
+    return f"IF(abs({value}) < 1e9, rint({value} * 1e9) / 1e9, {value})"
+
+
+def score_candidates(
+    df: DataFrame,
+    candidates: Candidates,
+    target: str,
+    series: Series | None = None,
+    layout: SeriesLayout | None = None,
+    bins: int = 10,
+    exact: bool = True,
+) -> DataFrame:
+    """(feature, present_share, importance_score) of each candidate: mutual
+    information of equal-frequency bins with those of the target, missing read as 0.
+    Values are told apart to nine places and in single precision.
+
+    Nothing is made for a candidate. Each row keeps one small number per column
+    or product, its bin and whether it is present. A lag has the bins of its
+    column, so the lags of all columns by one period are one window function on
+    the array of these numbers. Cells are counted in long form per (candidate,
+    number, target bin) with map-side combine; that is at most 2 * bins * bins
+    counters per candidate. Lags look at rows of `df` only.
     """
-    features = list(features)
+    columns, products = list(candidates.columns), list(candidates.products)
+    extra = [c for c in candidates.lagged if c not in columns]
+    bases = [*columns, *extra]
+    keys = series.keys if series and candidates.lagged else []
+    single = lambda x: f"CAST({S.finite(_settled(x), 'FLOAT')} AS FLOAT)"
+    made = [f"`{c}`" for c in bases] + [f"`{a}` * `{b}`" for a, b in products] + [f"`{target}`"]
     known = df.where(F.col(target).isNotNull()).selectExpr(
-        *[f"coalesce(CAST(`{c}` AS DOUBLE), 0D) AS `{c}`" for c in features],
-        f"CAST(`{target}` AS DOUBLE) AS __y",
+        *[f"`{c}`" for c in keys], f"array({', '.join(map(single, made))}) AS {S.CELLS}"
     )
-    known = S.written_once(known)
+    # read by every pass and, last, for the codes
+    known = materialise(known, "cells")
+    filled = known.select(F.transform(S.CELLS, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias(S.CELLS))
     qs = [i / bins for i in range(1, bins)]
-    found = S.quantiles(known, [*features, "__y"], qs, exact)
-    cuts = {c: sorted({found[c, q] for q in qs} - {None}) for c in [*features, "__y"]}
-    binned = known.selectExpr(*[_bin(c, cuts[c]) for c in [*features, "__y"]])
-    cells = (
-        S.long_form(binned, features, "int", ["__y"])
-        .groupBy(S.PLACE, F.col("value").alias("__bx"), F.col("__y").alias("__by"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+    if exact:
+        found = S.cell_quantiles(lambda places: S.array_cells(filled, places), qs)
+    else:
+        found = S.sketched_quantiles(S.array_cells(filled), qs)
+    names, aim = range(len(made) - 1), len(made) - 1
+    cuts = [sorted({found[i, q] for q in qs if (i, q) in found}) for i in range(len(made))]
+
+    below = "size(filter(cs, c -> coalesce(x, 0F) > c))"
+    coded = f"zip_with(slice({S.CELLS}, 1, {aim}), {_cuts_array(cuts[:aim])}, (x, cs) -> 2 * {below} + IF(x IS NULL, 0, 1))"
+    target_bin = f"size(filter({_cuts_array([cuts[aim]])}[0], c -> {S.CELLS}[{aim}] > c))"
+    rows = known.selectExpr(*[f"`{c}`" for c in keys], f"{coded} AS __codes", f"{target_bin} AS __by")
+    shown = [i for i in names if i < len(columns) or i >= len(bases)]
+    whole = len(shown) == len(names)
+    arrays = ["__codes"] if whole else [f"transform(array({', '.join(map(str, shown))}), i -> __codes[i])"]
+    if candidates.lagged and candidates.periods:
+        at = [bases.index(c) for c in candidates.lagged]
+        # a row without an earlier one reads 0 and is not present
+        none = f"array({', '.join(str(2 * sum(0.0 > c for c in cuts[i])) for i in at)})"
+        rows = rows.withColumn("__base", F.expr(f"transform(array({', '.join(map(str, at))}), i -> __codes[i])"))
+
+        def make(f: Frames) -> Recipe:
+            out = {f"__lag_{k}": f.lag("__base", k) for k in candidates.periods}
+            return Recipe([*out], [Level(add=out)], back=max(candidates.periods))
+
+        rows = add_features(rows, series, [make], layout)
+        arrays += [f"coalesce(__lag_{k}, {none})" for k in candidates.periods]
+    cells = rows.select("__by", F.posexplode(F.concat(*[F.expr(a) for a in arrays])).alias(S.PLACE, "__code"))
+    counted = cells.groupBy(S.PLACE, "__code", "__by").agg(F.count(F.lit(1)).alias("__n"))
+    bx = F.floor(F.col("__code") / 2).alias("__bx")
+    held = F.when(F.col("__code") % 2 == 1, F.col("__n")).otherwise(0).alias("__held")
+    sides = counted.select(S.PLACE, bx, "__by", "__n", held)
+    # n ln n over pairs of bins, less those over the bins of either side, and the total
+    sets = [[S.PLACE, "__bx", "__by"], [S.PLACE, "__bx"], [S.PLACE, "__by"], [S.PLACE]]
+    summed = sides.groupingSets(sets, S.PLACE, "__bx", "__by").agg(
+        F.sum("__n").alias("__n"), F.sum("__held").alias("__held"), F.grouping_id().alias("__set")
     )
-    cells = S.by_name(cells, features)
-    of_feature = Window.partitionBy("feature")
-    share = cells.withColumns(
-        {
-            "__all": F.sum("__n").over(of_feature),
-            "__nx": F.sum("__n").over(Window.partitionBy("feature", "__bx")),
-            "__ny": F.sum("__n").over(Window.partitionBy("feature", "__by")),
-        }
+    n = F.col("__n")
+    term = n * F.ln(n.cast("double"))
+    signed = F.when(F.col("__set").isin(0, 3), term).otherwise(-term)
+    total = F.max("__n")
+    scored = summed.groupBy(S.PLACE).agg(
+        (F.max("__held") / total).alias("present_share"), F.round(F.sum(signed) / total, SCORE_DIGITS).alias("importance_score")
     )
-    n, total = F.col("__n"), F.col("__all")
-    term = n / total * F.ln(n * total / (F.col("__nx") * F.col("__ny")))
-    return share.groupBy("feature").agg(F.sum(term).alias("importance_score"))
+    return S.by_name(scored, candidates.names())
+
+
+def mutual_information(
+    df: DataFrame, features: Sequence[str], target: str, bins: int = 10, exact: bool = True
+) -> DataFrame:
+    """(feature, importance_score) from equal-frequency bins, missing read as 0."""
+    scores = score_candidates(df, Candidates(list(features)), target, bins=bins, exact=exact)
+    return scores.select("feature", "importance_score")
 
 
 def with_position(df: DataFrame) -> DataFrame:
@@ -406,6 +513,20 @@ def top_features(scores: DataFrame, limits: dict[str, int]) -> DataFrame:
     )
 
 
+def best_features(
+    scores: DataFrame, roles: Roles, limits: dict[str, int], min_present: float = 0.1
+) -> tuple[dict[str, list[str]], dict[str, float]]:
+    """Per role the features with enough values, the best of them where there are
+    more than the limit; and the scores of the chosen. Equal scores go in name order."""
+    found = {r.feature: r for r in scores.collect()}
+    chosen = {}
+    for role, limit in limits.items():
+        held = [c for c in getattr(roles, role) if c in found and found[c].present_share > min_present]
+        best = set(sorted(held, key=lambda c: (-found[c].importance_score, c))[:limit])
+        chosen[role] = [c for c in held if c in best]
+    return chosen, {c: found[c].importance_score for cs in chosen.values() for c in cs}
+
+
 def select_features(
     df: DataFrame,
     roles: Roles,
@@ -417,28 +538,11 @@ def select_features(
 ) -> dict[str, list[str]]:
     """Per role the features with enough values, and the best of them by mutual
     information with the target where there are more than the limit."""
-    candidates = [c for role in limits for c in getattr(roles, role) if c in df.columns]
+    candidates = list(dict.fromkeys(c for role in limits for c in getattr(roles, role) if c in df.columns))
     if not candidates:
         return {role: [] for role in limits}
-    shares = {
-        r.feature: r.present_share
-        for r in S.present_shares(df, list(dict.fromkeys(candidates))).collect()
-    }
-    chosen: dict[str, list[str]] = {}
-    crowded: dict[str, list[str]] = {}
-    for role, limit in limits.items():
-        held = [c for c in getattr(roles, role) if shares.get(c, 0.0) > min_present]
-        (chosen if len(held) <= limit else crowded)[role] = held
-    if crowded:
-        pool = list(dict.fromkeys(c for cs in crowded.values() for c in cs))
-        score = {
-            r.feature: r.importance_score
-            for r in mutual_information(df, pool, target, bins, exact).collect()
-        }
-        for role, held in crowded.items():
-            best = sorted(held, key=lambda c: (-score[c], c))[: limits[role]]
-            chosen[role] = [c for c in held if c in set(best)]
-    return {role: chosen[role] for role in limits}
+    scores = score_candidates(df, Candidates(candidates), target, bins=bins, exact=exact)
+    return best_features(scores, roles, limits, min_present)[0]
 
 
 def importance_table(

@@ -7,52 +7,26 @@ values themselves never do.
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.session import materialise
 
-#: Distinct values an exact percentile aggregate may hold for one column, in
-#: every task and in the last one.
-HELD_VALUES = 50_000
-#: Accuracy of the sketches that narrow a column to its bracket.
+#: Value ranges that one pass of a quantile selection counts at most, over all columns
+#: together; each task holds at most one counter for each.
+MOST_GROUPS = 1 << 20
+LEAST_BINS, MOST_BINS = 64, 1 << 14
+#: More columns than this are written once as one array before a selection.
+NARROW = 32
+#: Accuracy of the sketches of `exact=False`.
 SKETCH_ACCURACY = 10_000
 
 
-@dataclass
-class _Bracket:
-    """Value range known to hold the wanted rank of a column."""
-
-    column: str
-    q: float
-    rows: int
-    low: float
-    high: float
-    below: int
-    inside: int
-    distinct: int
-    margin: float = 2.0
-
-    @property
-    def place(self) -> float:
-        return self.q * (self.rows - 1)
-
-    @property
-    def part(self) -> float:
-        """The wanted rank as a fraction of the rows inside."""
-        return (self.place - self.below) / (self.inside - 1) if self.inside > 1 else 0.0
-
-    def holds(self) -> bool:
-        first, last = math.floor(self.place), math.ceil(self.place)
-        return self.below <= first and last <= self.below + self.inside - 1
-
-    def within(self) -> str:
-        low, high = number(self.low), number(self.high)
-        return f"CASE WHEN `{self.column}` BETWEEN {low} AND {high} THEN `{self.column}` END"
+PLACE, CELLS = "__feature_place", "__cells"
 
 
 def number(x: float) -> str:
@@ -61,19 +35,35 @@ def number(x: float) -> str:
     return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
 
 
+_SCANS = ("LogicalRelation", "DataSourceV2ScanRelation", "LogicalRDD", "LocalRelation", "Project", "Filter", "SubqueryAlias")
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """The frame itself if it is a scan with projections and filters, else written
     and read back, for a fit that passes over it several times."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if re.search(r"Join|Window|Aggregate|Generate|Sort|Repartition|Union|Expand|Map|Deserialize", plan):
-        return materialise(df, "fit")
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in _SCANS and not node.nodeName().startswith(("Relation", "Scan")):
+            return materialise(df, "fit")
+        inner = node.children()
+        nodes += [inner.apply(i) for i in range(inner.size())]
     return df
 
 
-def finite_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """These columns as doubles, NaN and infinities missing. Ranks are over real numbers."""
-    held = [f"CASE WHEN abs(CAST(`{c}` AS DOUBLE)) < double('inf') THEN CAST(`{c}` AS DOUBLE) END AS `{c}`" for c in columns]
-    return df.selectExpr(*held)
+def finite(x: str, kind: str = "DOUBLE") -> str:
+    """SQL: a value as a double (by way of another kind), NaN and infinities missing. Ranks are over real numbers."""
+    value = x if kind == "DOUBLE" else f"CAST({x} AS {kind})"
+    return f"CASE WHEN abs(CAST({x} AS DOUBLE)) < double('inf') THEN CAST({value} AS DOUBLE) END"
+
+
+def array_cells(df: DataFrame, places: Sequence[int] | None = None) -> DataFrame:
+    """(place, value) of the values present in the array column CELLS, of all its places or some."""
+    if places is None:
+        return df.select(F.posexplode(CELLS).alias(PLACE, "value")).where(F.col("value").isNotNull())
+    listed = f"array({', '.join(map(str, places))})"
+    some = df.select(F.posexplode(F.expr(f"transform({listed}, i -> {CELLS}[i])")).alias("__k", "value"))
+    return some.where(F.col("value").isNotNull()).select(F.expr(f"{listed}[__k]").alias(PLACE), "value")
 
 
 def distinct_estimate(x: str) -> str:
@@ -88,144 +78,149 @@ def row_of(df: DataFrame, expressions: list[str]) -> list:
     return list(df.selectExpr(*[f"{e} AS c{i}" for i, e in enumerate(expressions)]).first())
 
 
-def _halved(df: DataFrame, b: _Bracket) -> _Bracket:
-    """The half of a bracket's value range that holds the wanted ranks, or the two
-    neighbouring values if they lie on both sides of the middle."""
-    middle = b.low / 2 + b.high / 2
-    x, inner = f"`{b.column}`", b.within()
-    left = f"IF({x} <= {number(middle)}, {inner}, NULL)"
-    right = f"IF({x} > {number(middle)}, {inner}, NULL)"
-    n, top, few, rest, least, many = row_of(
-        df, [f"count({left})", f"max({left})", distinct_estimate(f"({left})"), f"count({right})", f"min({right})", distinct_estimate(f"({right})")]
-    )
-    halves = (
-        _Bracket(b.column, b.q, b.rows, b.low, top, b.below, n, few),
-        _Bracket(b.column, b.q, b.rows, least, b.high, b.below + n, rest, many),
-    )
-    for half in halves:
-        if half.inside and half.holds():
-            return half
-    copies, below = row_of(df, [f"count_if({x} = {number(top)} OR {x} = {number(least)})", f"count_if({x} < {number(top)})"])
-    return _Bracket(b.column, b.q, b.rows, top, least, below, copies, 2)
+@dataclass
+class _Range:
+    """Values of one place from low to high: all ranks from `first` on, `rows` of them."""
+
+    place: int
+    low: float
+    high: float
+    first: int
+    rows: int
 
+    def value(self, rank: int) -> float | None:
+        """The value of a rank, where the ends of the range tell it."""
+        inside = rank - self.first
+        if self.low == self.high or inside == 0:
+            return self.low
+        return self.high if inside == self.rows - 1 else None
+
+
+def _around(q: float, rows: int) -> tuple[int, int]:
+    """The ranks whose values a quantile lies between."""
+    place = q * (rows - 1)
+    return math.floor(place), math.ceil(place)
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    qs: Sequence[float],
-    held: int = HELD_VALUES,
-) -> dict[tuple[str, float], float | None]:
-    """Linear-interpolated quantiles of each column over all rows.
 
-    A column with few distinct values takes one exact aggregate. For others a
-    sketch gives a value range that must hold the wanted rank, one pass counts
-    what lies below and inside, and this repeats until the range holds at most
-    `held` distinct values; the last pass is exact inside it.
+def _with_first(counted: DataFrame, of: str, bucket: str) -> DataFrame:
+    """Counts per bucket with the rows in the buckets before and in all of them."""
+    along = Window.partitionBy(of).orderBy(bucket)
+    before = F.sum("rows").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    return counted.withColumns({"first": F.coalesce(before, F.lit(0)), "total": F.sum("rows").over(Window.partitionBy(of))})
+
+
+_FACTS = (F.count, F.min, F.max)
+_NAMES = ("rows", "low", "high")
+
+
+def _counted(cells: DataFrame, of: str, bucket: Column) -> DataFrame:
+    """Rows, least and greatest value per (of, bucket), combined before the shuffle."""
+    facts = [f("value").alias(n) for f, n in zip(_FACTS, _NAMES)]
+    return cells.groupBy(of, bucket.alias("bucket")).agg(*facts)
+
+
+def _by_magnitude(cells: DataFrame, qs: Sequence[float]) -> tuple[dict[int, int], list[_Range]]:
+    """Rows per place, and the ranges that hold the wanted ranks, from buckets of half
+    a natural logarithm, which order all doubles."""
+    size = F.floor(2 * (F.ln(F.abs("value")) + 746)).cast("int")
+    magnitude = F.when(F.col("value") == 0, 0).when(F.col("value") > 0, size).otherwise(-size)
+    counted = _with_first(_counted(cells, PLACE, magnitude), PLACE, "bucket")
+    ends = [f(F.lit(q) * (F.col("total") - 1)) for q in qs for f in (F.floor, F.ceil)]
+    held = [(r >= F.col("first")) & (r < F.col("first") + F.col("rows")) for r in ends]
+    total, found = {}, []
+    for r in counted.where(reduce(lambda a, b: a | b, held)).collect():
+        total[r[PLACE]] = r.total
+        found.append(_Range(r[PLACE], r.low, r.high, r["first"], r.rows))
+    return total, found
+
+
+def _narrowed(cells: DataFrame, ranges: list[_Range], wanted: dict[int, list[int]], most_groups: int) -> list[_Range]:
+    """Cut each range into equal widths and keep those that hold a wanted rank."""
+    spark = cells.sparkSession
+    bins = max(LEAST_BINS, min(MOST_BINS, most_groups // len(ranges)))
+    rows = [
+        (i, r.place, r.low, r.high, [k - r.first for k in wanted[r.place] if r.first <= k < r.first + r.rows])
+        for i, r in enumerate(ranges)
+    ]
+    # one row per column and quantile at most, as many as the result has
+    table = F.broadcast(spark.createDataFrame(rows, "id int, of int, least double, most double, wanted array<long>"))
+    inside = (F.col(PLACE) == F.col("of")) & F.col("value").between(F.col("least"), F.col("most"))
+    # a range of magnitudes has one sign, so its width is finite
+    share = (F.col("value") - F.col("least")) / (F.col("most") - F.col("least"))
+    bucket = F.least(F.lit(bins - 1), F.floor(share * bins).cast("int"))
+    counted = _with_first(_counted(cells.join(table.drop("wanted"), inside), "id", bucket), "id", "bucket")
+    hit = F.exists("wanted", lambda k: (k >= F.col("first")) & (k < F.col("first") + F.col("rows")))
+    kept = counted.join(table.select("id", "wanted"), "id").where(hit).collect()
+    return [_Range(ranges[r.id].place, r.low, r.high, ranges[r.id].first + r["first"], r.rows) for r in kept]
+
+
+def cell_quantiles(
+    cells_of: Callable[[list[int] | None], DataFrame], qs: Sequence[float], most_groups: int = MOST_GROUPS
+) -> dict[tuple[int, float], float]:
+    """Linear-interpolated quantiles per place of (place, value) cells without missing values.
+
+    A selection by counting: the first pass counts cells by magnitude, and each
+    further one cuts the ranges that hold wanted ranks into equal widths, until the
+    ends of a range are the wanted values. A pass is one grouped count with
+    map-side combine over all places; it has at most `most_groups` counters (64
+    for each range, if these are more), whatever the rows and values, and the
+    driver gets one row per place and rank. `cells_of` gives the cells of some
+    places, or of all.
     """
+    qs = list(qs)
+    total, ranges = _by_magnitude(cells_of(None), qs)
+    wanted = {p: sorted({k for q in qs for k in _around(q, n)}) for p, n in total.items()}
+    values: dict[tuple[int, int], float] = {}
+    while ranges:
+        still = []
+        for r in ranges:
+            own = {k: r.value(k) for k in wanted[r.place] if r.first <= k < r.first + r.rows}
+            values |= {(r.place, k): v for k, v in own.items() if v is not None}
+            if None in own.values():
+                still.append(r)
+        ranges = _narrowed(cells_of(sorted({r.place for r in still})), still, wanted, most_groups) if still else []
+    found = {}
+    for p, n in total.items():
+        for q in qs:
+            low, high = (values[p, k] for k in _around(q, n))
+            part = q * (n - 1) - math.floor(q * (n - 1))
+            found[p, q] = low if low == high else low * (1 - part) + high * part
+    return found
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], qs: Sequence[float], most_groups: int = MOST_GROUPS
+) -> dict[tuple[str, float], float | None]:
+    """Linear-interpolated quantiles of each column over all rows, missing values left out.
+    All columns are selected together in one grouped count per pass."""
     columns = list(dict.fromkeys(columns))
-    if not columns:
+    if not columns or not qs:
         return {}
-    df = written_once(finite_values(df, columns))
-    # the first sketch goes with the facts: its ends are a little below and above each quantile
-    slack = 3 / SKETCH_ACCURACY
-    ends = [x for q in qs for x in (max(0.0, q - slack), min(1.0, q + slack))]
-    guesses = f"array({', '.join(map(number, ends))})"
-    facts = row_of(
-        df,
-        [
-            e
-            for c in columns
-            for x in [f"`{c}`"]
-            for e in (f"count({x})", f"min({x})", f"max({x})", distinct_estimate(x), f"percentile_approx({x}, {guesses}, {SKETCH_ACCURACY})")
-        ],
-    )
-    result: dict[tuple[str, float], float | None] = {}
-    first_guess: dict[tuple[str, float], tuple[float, float]] = {}
-    brackets: list[_Bracket] = []
-    for i, c in enumerate(columns):
-        rows, low, high, distinct, guessed = facts[5 * i : 5 * i + 5]
-        if rows and distinct > held:
-            first_guess |= {(c, q): (float(guessed[2 * k]), float(guessed[2 * k + 1])) for k, q in enumerate(qs)}
-        for q in qs:
-            if rows == 0:
-                result[c, q] = None
-            else:
-                brackets.append(_Bracket(c, q, rows, low, high, 0, rows, distinct))
-
-    while wide := [b for b in brackets if b.distinct > held and b.low < b.high]:
-        # one sketch per value range answers all quantiles that share it
-        places: dict[tuple[str, float, float], list[float]] = {}
-        spots = []
-        for b in wide:
-            first = (math.floor(b.place) - b.below) / b.inside
-            last = (math.ceil(b.place) - b.below + 1) / b.inside
-            slack = b.margin / SKETCH_ACCURACY
-            ends = places.setdefault((b.column, b.low, b.high), [])
-            spots.append(((b.column, b.low, b.high), len(ends)))
-            ends += [max(0.0, first - slack), min(1.0, last + slack)]
-        if first_guess:
-            ranges = [first_guess[b.column, b.q] for b in wide]
-            first_guess = {}
-        else:
-            held_in = {(b.column, b.low, b.high): b.within() for b in wide}
-            asked = [
-                f"percentile_approx({held_in[k]}, array({', '.join(map(number, ends))}), {SKETCH_ACCURACY})"
-                for k, ends in places.items()
-            ]
-            answers = dict(zip(places, row_of(df, asked)))
-            ranges = [(float(answers[k][i]), float(answers[k][i + 1])) for k, i in spots]
-        tried = [
-            _Bracket(b.column, b.q, b.rows, low, high, 0, 0, 0, b.margin) for b, (low, high) in zip(wide, ranges)
-        ]
-        counts = row_of(
-            df,
-            [
-                e
-                for t in tried
-                for e in (
-                    f"count_if(`{t.column}` < {number(t.low)})",
-                    f"count({t.within()})",
-                    distinct_estimate(f"({t.within()})"),
-                )
-            ],
-        )
-        for i, (b, t) in enumerate(zip(wide, tried)):
-            t.below, t.inside, t.distinct = counts[3 * i : 3 * i + 3]
-            if t.holds() and t.inside < b.inside:
-                brackets[brackets.index(b)] = t
-            elif b.margin < SKETCH_ACCURACY:
-                b.margin *= 4
-            else:  # the sketch cannot narrow it further: halve the value range
-                brackets[brackets.index(b)] = _halved(df, b)
-
-    # one aggregate per value range answers all of its quantiles
-    shared: dict[tuple[str, float, float], list[_Bracket]] = {}
-    for b in brackets:
-        shared.setdefault((b.column, b.low, b.high), []).append(b)
-    if shared:
-        asked = [
-            f"percentile({bs[0].within()}, array({', '.join(number(b.part) for b in bs)}))"
-            for bs in shared.values()
-        ]
-        exact = row_of(df, asked)
-        for bs, values in zip(shared.values(), exact):
-            result |= {(b.column, b.q): v for b, v in zip(bs, values)}
-    return result
+    cells = F.expr(f"array({', '.join(finite(f'`{c}`') for c in columns)})").alias(CELLS)
+    df = df.select(cells)
+    # the passes over many columns would each plan and compile all of them
+    df = materialise(df, "cells") if len(columns) > NARROW else written_once(df)
+    found = cell_quantiles(lambda places: array_cells(df, places), qs, most_groups)
+    return {(c, q): found.get((i, q)) for i, c in enumerate(columns) for q in qs}
 
 
 def quantiles(
     df: DataFrame, columns: Sequence[str], qs: Sequence[float], exact: bool = True
 ) -> dict[tuple[str, float], float | None]:
     """Exact quantiles, or sketched ones from a single pass."""
-    if exact or not columns:
+    columns, qs = list(dict.fromkeys(columns)), list(qs)
+    if exact or not columns or not qs:
         return exact_quantiles(df, columns, qs)
-    df = finite_values(df, list(dict.fromkeys(columns)))
-    places = ", ".join(number(q) for q in qs)
-    asked = [f"percentile_approx(`{c}`, array({places}), {SKETCH_ACCURACY})" for c in columns]
-    found = row_of(df, asked)
-    return {
-        (c, q): v for c, values in zip(columns, found) for q, v in zip(qs, values or [None] * len(qs))
-    }
+    cells = df.select(F.expr(f"array({', '.join(finite(f'`{c}`') for c in columns)})").alias(CELLS))
+    found = sketched_quantiles(array_cells(cells), qs)
+    return {(c, q): found.get((i, q)) for i, c in enumerate(columns) for q in qs}
+
+
+def sketched_quantiles(cells: DataFrame, qs: Sequence[float]) -> dict[tuple[int, float], float]:
+    """As `cell_quantiles`, from one pass with a sketch per place."""
+    asked = F.array(*[F.lit(float(q)) for q in qs])
+    rows = cells.groupBy(PLACE).agg(F.percentile_approx("value", asked, SKETCH_ACCURACY).alias("found")).collect()
+    return {(r[PLACE], q): v for r in rows for q, v in zip(qs, r.found)}
 
 
 def quartile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -237,9 +232,6 @@ def quartile_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-PLACE = "__feature_place"
-
-
 def long_form(
     df: DataFrame, columns: Sequence[str], kind: str, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -265,26 +257,13 @@ def _by_kind(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, list[str]
 
 def distinct_ratios(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """(feature, rows, distinct_values, distinct_ratio), NULL not counted as a value."""
-    if approximate:
-        row = df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.expr(distinct_estimate(f"`{c}`")).alias(c) for c in columns],
-        )
-        table = row.unpivot("rows", list(columns), "feature", "distinct_values")
-    else:
-        parts = [
-            by_name(
-                long_form(df, cs, kind)
-                .groupBy(PLACE)
-                .agg(
-                    F.count(F.lit(1)).alias("rows"),
-                    F.count_distinct("value").alias("distinct_values"),
-                ),
-                cs,
-            )
-            for kind, cs in _by_kind(df, columns)
-        ]
-        table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = F.count(F.lit(1)).alias("rows")
+    distinct = F.expr(distinct_estimate("value")) if approximate else F.count_distinct("value")
+    parts = [
+        by_name(long_form(df, cs, kind).groupBy(PLACE).agg(rows, distinct.alias("distinct_values")), cs)
+        for kind, cs in _by_kind(df, columns)
+    ]
+    table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return table.select(
         "feature",
         "rows",

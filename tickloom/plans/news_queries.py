@@ -32,7 +32,7 @@ from tickloom.plans.sql_parts import (
 KEYS = ["symbol", "bar_ts"]
 
 
-def _news_bars(spark, folder):
+def news_bars(spark, folder):
     bars = shapes.session_bars(spark, folder)
     return bars_with_news(bars, news_per_bar(shapes.articles(spark, folder), bars, grid_seconds=shapes.FIVE_MINUTES))
 
@@ -124,7 +124,7 @@ def _all_bars(spark, folder):
 def _sentiment(*groups, fill=None, coarse=None):
     def query(spark, folder):
         series = shapes.session_series(spark, folder)
-        bars = _news_bars(spark, folder)
+        bars = news_bars(spark, folder)
         df = sentiment_features(bars, series, groups=groups or None, keep=KEYS, fill_missing=fill)
         return present(df, coarse=coarse)
 
@@ -134,7 +134,7 @@ def _sentiment(*groups, fill=None, coarse=None):
 def _side_by_side(spark, folder):
     """Bar and sentiment features on one frame, without a join of features."""
     series = shapes.session_series(spark, folder)
-    bars = technical_features(_news_bars(spark, folder), series, groups=["momentum", "sessions"])
+    bars = technical_features(news_bars(spark, folder), series, groups=["momentum", "sessions"])
     df = sentiment_features(bars, series, groups=["news_intensity", "extreme_sentiment"])
     names = [
         "momentum_5",
@@ -151,7 +151,7 @@ QUERIES = {
     "j01_news_to_bar_compat": _mapped(True),
     "j01_news_to_bar_off_grid": _mapped(False, None),
     "j02_next_session_open": _opens,
-    "j03_bars_with_news": lambda spark, folder: present(_news_bars(spark, folder)),
+    "j03_bars_with_news": lambda spark, folder: present(news_bars(spark, folder)),
     "j04_asof_backward": _last_purchase,
     "j04_asof_forward": _next_purchase,
     "j04_asof_same_names": _same_names,

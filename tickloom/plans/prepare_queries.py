@@ -10,7 +10,7 @@ from tickloom.operators.technical import technical_features
 from tickloom.plans import shapes
 from tickloom.plans.present import present, sql_real
 from tickloom.plans.shapes import USER_SERIES
-from tickloom.plans.sql_parts import HOURLY_BARS, div, final, flag, roll, windows
+from tickloom.plans.sql_parts import HOURLY_BARS, div, final, flag, roll, single, windows
 from tickloom.plans.training_table import TrainingPlan, build_training_table
 from tickloom.sources.tables import of_symbol, project
 
@@ -101,10 +101,10 @@ def _shares(spark, folder):
     return present(S.present_shares(df, RANKED))
 
 
-def _quartiles(held):
+def _quartiles(most_groups):
     def query(spark, folder):
         df = _lines(spark, folder)
-        found = S.exact_quantiles(df, LINE_NUMBERS, (0.25, 0.5, 0.75), held=held)
+        found = S.exact_quantiles(df, LINE_NUMBERS, (0.25, 0.5, 0.75), most_groups)
         rows = [(c, *[found[c, q] for q in (0.25, 0.5, 0.75)]) for c in LINE_NUMBERS]
         table = spark.createDataFrame(rows, "feature string, q25 double, median double, q75 double")
         return present(table)
@@ -347,21 +347,6 @@ def _training_features(spark, folder):
     return present(made.table.select(*KEYS, "is_train", "target", "momentum_5", "close_lag_1", "close_x_volume"))
 
 
-def _report(spark, folder):
-    series = shapes.hourly_series(spark, folder)
-    plan = TrainingPlan(
-        technical_groups=["momentum", "candles"],
-        include_events=False,
-        lag_periods=(1,),
-        max_features={"unknown_future": 5, "known_future": 4, "static": 4},
-    )
-    made = build_training_table(shapes.hourly_bars(spark, folder), series, plan)
-    report = made.report()
-    # without the elapsed time and what depends on which columns are nearly constant
-    whole = report.withColumn("ranked", (F.size("top_features") == F.least(F.lit(10), F.expr("unknown_future_features + known_future_features + static_features"))).cast("int"))
-    return present(whole.select("rows", "first_ts", "last_ts", "missing_percentage", "unknown_future_features", "known_future_features", "ranked"))
-
-
 QUERIES = {
     "f01_symbol_filter": _symbol_filter,
     "f02_present_keys": _present_keys,
@@ -372,11 +357,10 @@ QUERIES = {
     "f08_time_split": _split,
     "g03_distinct_ratio": _distinct,
     "g04_present_share": _shares,
-    "g05_quartiles": _quartiles(S.HELD_VALUES),
+    "g05_quartiles": _quartiles(S.MOST_GROUPS),
     "g05_quartiles_narrowed": _quartiles(1_000),
     "g06_mode": _modes,
     "g07_missing_share": _missing,
-    "g11_training_report": _report,
     "a12_coverage_report": _coverage,
     "p01_static_covariates": _static_info,
     "j10_static_lookup": lambda s, d: _static_info(s, d).groupBy("sector").agg(
@@ -470,7 +454,7 @@ def _roles_sql(compatible: bool) -> str:
 
 def _information() -> str:
     names = [*RANKED, "target"]
-    filled = ", ".join(f"coalesce({c}, 0) AS {c}" for c in RANKED)
+    filled = ", ".join(f"coalesce({single(c)}, 0) AS {c}" for c in names)
     cuts = ", ".join(
         f"quantile_cont({c}, [{', '.join(f'{i / 10}' for i in range(1, 10))}]) AS cut_{c}" for c in names
     )
@@ -482,7 +466,7 @@ def _information() -> str:
         "SELECT '{c}' AS feature, b_{c} AS bx, b_target AS byy, count(*) AS n FROM binned GROUP BY 2, 3",
     )
     return f"""{_TARGETS},
-known AS (SELECT {filled}, target FROM targets),
+known AS (SELECT {filled} FROM targets),
 cuts AS (SELECT {cuts} FROM known),
 binned AS (SELECT {bins} FROM known, cuts),
 cells AS ({cells}),
@@ -703,7 +687,3 @@ ORACLES["p14_training_features"] = (
     f"f AS (SELECT symbol, bar_ts, is_train, target, {', '.join(map(_scaled_and_filled, ('momentum_5', 'close_lag_1', 'close_x_volume')))} FROM t) "
     + final("f", ["bar_ts"], ["target", "momentum_5", "close_lag_1", "close_x_volume"], ["symbol", "is_train"])
 )
-ORACLES["g11_training_report"] = (
-    f"WITH {_TARGETS} SELECT count(*) AS rows, CAST(min(bar_ts) AS VARCHAR) AS first_ts, CAST(max(bar_ts) AS VARCHAR) AS last_ts, "
-    "CAST(0 AS DOUBLE) AS missing_percentage, 5 AS unknown_future_features, 0 AS known_future_features, 1 AS ranked FROM targets"
-)

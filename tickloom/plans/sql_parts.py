@@ -105,3 +105,8 @@ def ewm(x: str, span: int, part: str = "symbol", order: str = "bar_ts") -> str:
         f"ELSE pow({d!r}, len({held}) - i) END))"
     )
     return f"({top}) / nullif({low}, 0)"
+
+
+def single(x: str) -> str:
+    """A value to nine places, in single precision."""
+    return f"CAST(CAST(CASE WHEN abs({x}) < 1e9 THEN round_even({x} * 1e9, 0) / 1e9 ELSE {x} END AS FLOAT) AS DOUBLE)"

@@ -41,7 +41,7 @@ class TrainingPlan:
     availability_lag: int = 1
     sectors: Sequence[str] = tuple(SECTOR_SYMBOLS)
     nearest_calendar_day: bool = False  # True for daily bars
-    interactions: Sequence[tuple[str, str]] | None = None  # None: all pairs by name
+    interactions: Sequence[tuple[str, str]] | None = None  # None: the usual pairs whose columns exist
     min_rows: int | None = None
 
 
@@ -100,9 +100,10 @@ def build_training_table(
     info: DataFrame | None = None,
     daily: DataFrame | None = None,
 ) -> TrainingTable:
-    """All stages in order. Features and lagged candidates are written once
-    each, because the fits after them read them several times and by column.
-    Selection, encoding and scaling are fitted on the training part."""
+    """All stages in order. Features are written once, because the fits after them
+    read them several times and by column. Lags and products are scored without
+    being made, and only the selected ones are made. Selection, encoding and
+    scaling are fitted on the training part."""
     plan = plan or TrainingPlan()
     started = time.time()
     entity = series.entity[0]
@@ -118,48 +119,41 @@ def build_training_table(
     train = df.where("is_train")
     skip = [*series.keys, "target", "time_idx", "is_train"]
     roles = P.assign_roles(train, skip=skip, target=plan.target_column)
-    layout = plan_series(df, series)
-
-    lagged = [*P.lag_candidates(roles.unknown_future), plan.target_column]
-    kinds = dict(df.dtypes)
-    lagged = [c for c in lagged if kinds[c] != "string"]
-    df = P.with_lags(df, series, lagged, plan.lag_periods, layout)
-    pairs = plan.interactions
-    if pairs is None:
-        pairs = P.interaction_pairs([c for c in roles.unknown_future if kinds[c] != "string"])
-    before = df.columns
-    df = P.with_interactions(df, pairs)
-    made = [c for c in df.columns if c not in before]
-    roles.unknown_future += [f"{c}_lag_{k}" for c in lagged for k in plan.lag_periods] + made
-
     texts = [c for c in P.categorical_columns(df) if c not in series.keys]
-    labels = P.fit_labels(df.where("is_train"), texts) if texts else None
+    labels = P.fit_labels(train, texts) if texts else None
     if labels:
         df = labels.transform(df)
-    df = materialise(df, "candidates")
-
-    train = df.where("is_train")
-    selected = P.select_features(train, roles, "target", plan.max_features, exact=plan.exact_fits)
-    wanted = [c for cs in selected.values() for c in cs]
+        train = df.where("is_train")
+
+    candidates, layout = _candidates(df, roles, plan, texts), plan_series(df, series)
+    roles.unknown_future += candidates.made()
+    scores = P.score_candidates(train, candidates, "target", series, layout, exact=plan.exact_fits)
+    selected, score = P.best_features(scores, roles, plan.max_features)
+    wanted = list(dict.fromkeys(c for cs in selected.values() for c in cs))
+    lags = [(c, k) for k in candidates.periods for c in candidates.lagged if P.lag_name(c, k) in wanted]
+    if lags:
+        df = P.with_chosen_lags(df, series, lags, layout)
+    df = P.with_interactions(df, [p for p in candidates.products if P.product_name(*p) in wanted])
     df = project(df, [*series.keys, "time_idx", "is_train", "target", plan.target_column, *wanted])
-    train = df.where("is_train")
 
-    numeric = [
-        c
-        for c in dict.fromkeys([*selected["unknown_future"], *selected["known_future"]])
-        if c != plan.target_column
-    ]
-    scaler = P.fit_scaler(train, numeric, plan.exact_fits)
-    importance = P.importance_table(train, selected, "target", exact=plan.exact_fits)
+    numeric = [c for c in dict.fromkeys([*selected["unknown_future"], *selected["known_future"]]) if c != plan.target_column]
+    others = [c for c in wanted if c not in numeric and c != plan.target_column]
+    fits = S.written_once(df.where("is_train").select(*numeric, *others))
+    scaler = P.fit_scaler(fits, numeric, plan.exact_fits)
+    # the median of a scaled column is 0
+    medians = {c: 0.0 for c in numeric} | {c: v or 0.0 for (c, _), v in S.quantiles(fits, others, (0.5,), plan.exact_fits).items()}
+    rows = [(c, role, score[c]) for role, cs in selected.items() for c in cs]
+    importance = df.sparkSession.createDataFrame(rows, "feature string, role string, importance_score double")
     df = scaler.transform(df)
-    features = [c for c in dict.fromkeys(wanted) if c != plan.target_column]
-    medians, _ = P.fitted_fill(df.where("is_train"), features, plan.exact_fits)
-    df = P.fill_gaps(
-        df,
-        series,
-        features,
-        backward=plan.backward_fill,
-        medians={c: v if v is not None else 0.0 for c, v in medians.items()},
-        layout=layout,
-    )
+    df = P.fill_gaps(df, series, [*numeric, *others], backward=plan.backward_fill, medians=medians, layout=layout)
     return TrainingTable(df, roles, selected, scaler, labels, importance, time.time() - started)
+
+
+def _candidates(df: DataFrame, roles: P.Roles, plan: TrainingPlan, texts: Sequence[str]) -> P.Candidates:
+    """What a plan chooses from: all columns with a role, lags of the unknown ones and the target's column, and products."""
+    held = [c for role in plan.max_features for c in getattr(roles, role)]
+    lagged = [c for c in [*P.lag_candidates(roles.unknown_future), plan.target_column] if c not in texts]
+    named = plan.interactions
+    if named is None:
+        named = [p for p in P.USUAL_PAIRS if set(p) <= {*roles.unknown_future, plan.target_column} - set(texts)]
+    return P.Candidates(list(dict.fromkeys(held)), list(named), list(dict.fromkeys(lagged)), list(plan.lag_periods))
