@@ -73,7 +73,7 @@ def test_news_without_some_labels_and_scores(spark):
     assert (miss.sent_mean, miss.headline_count) == (None, 0)
 
 
-@pytest.mark.parametrize("unit", ["day", "hour", "minute", None])
+@pytest.mark.parametrize("unit", ["day", "hour", "minute", "year"])
 def test_asof_against_a_loop(spark, monkeypatch, unit):
     """Two entities, one with nearly all points; cells of every size."""
     monkeypatch.setattr(A, "CELL_ROWS", 20)
@@ -96,6 +96,43 @@ def test_asof_against_a_loop(spark, monkeypatch, unit):
         assert behind[e, i] == (known[k - 1] if k else None)
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_null_keys_match_nothing(spark, monkeypatch, forward):
+    monkeypatch.setattr(A, "CELL_ROWS", 2)
+    day = dt.datetime(2024, 1, 2)
+    points = [("a", 1, day), ("a", 2, None), (None, 3, day), (None, 4, None), (None, 5, day + dt.timedelta(days=1)), ("b", 6, day)]
+    marks = [("a", None, 9.0), (None, day, 7.0), (None, None, 8.0), ("a", day, 1.0), ("b", day, None)]
+    p = spark.createDataFrame(points, "e string, i int, at timestamp_ntz")
+    m = spark.createDataFrame(marks, "e string, mark timestamp_ntz, bid double")
+    join = A.asof_forward if forward else A.asof_backward
+    found = join(p, m, entity=["e"], at="at", mark_time="mark", payload={"bid": F.col("bid")})
+    assert {r.i: r.bid for r in found.collect()} == {1: 1.0, 2: None, 3: None, 4: None, 5: None, 6: None}
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_a_dense_second_and_instant_are_cut(spark, monkeypatch, forward):
+    """Nearly all rows of one entity within a second, a third of them at one instant."""
+    monkeypatch.setattr(A, "CELL_ROWS", 40)
+    rng = random.Random(8)
+    start = T(2024, 1, 2, 10)
+    moments = [start + dt.timedelta(microseconds=rng.choice([500, *range(0, 1000, 50)])) for _ in range(900)]
+    moments += [start + dt.timedelta(days=d) for d in (-1, 1)]
+    points = [("x", i, t) for i, t in enumerate(moments)]
+    marks = [(start + dt.timedelta(microseconds=rng.choice([500, 500, *range(0, 1000, 7)])), rng.randrange(5)) for _ in range(300)]
+    p = spark.createDataFrame(points, "e string, i int, at timestamp_ntz").repartition(4)
+    m = spark.createDataFrame([("x", t, v) for t, v in marks], "e string, mark timestamp_ntz, v int").repartition(4)
+    rows = p.selectExpr("e", "at AS __at", "0 AS __kind", "i").withColumn(A.CELL, F.date_trunc("day", "__at"))
+    parts = A._with_parts(rows, ["e"], F.col("e").isNotNull(), [F.col("__at")], F.xxhash64("i"))
+    sizes = [r["count"] for r in parts.groupBy(A.CELL, A.PART).count().collect()]
+    assert max(sizes) <= 40 and sum(sizes) == len(points)
+    join = A.asof_forward if forward else A.asof_backward
+    found = join(p, m, entity=["e"], at="at", mark_time="mark", payload={"mark": F.col("mark"), "v": F.col("v")})
+    got = {r.i: (r.mark, r.v) for r in found.collect()}
+    for _, i, t in points:
+        side = [(s, v) for s, v in marks if (s >= t if forward else s <= t)]
+        assert got[i] == ((min(side) if forward else max(side)) if side else (None, None))
+
+
 def _first_weekday(year, month, weekday):
     d = dt.date(year, month, 1)
     return d + dt.timedelta(days=(weekday - d.weekday()) % 7)

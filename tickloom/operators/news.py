@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.asof import AT, aligned, cell_unit
+from tickloom.operators.asof import AT, aligned
 
 SESSION_START = 4
 SESSION_END = 20
@@ -61,7 +61,7 @@ def _first_open(
     keys = ["symbol", "__from"]
     days = (rows if source is None else source).select("symbol", day_open.alias("__from")).distinct()
     payload = {name: F.col("bar_ts")}
-    found = aligned(days, marks, ["symbol"], F.col("__from"), "bar_ts", payload, True, "day")
+    found = aligned(days, marks, ["symbol"], F.col("__from"), "bar_ts", payload, True, bounded=True)
     return rows.withColumn("__from", day_open).join(found.drop(AT), keys, "left").drop("__from")
 
 
@@ -76,10 +76,7 @@ def _find_bars(
         "__open": F.when(_is_open(F.col("bar_ts")), F.col("bar_ts")),
     }
     # grid slots bound the rows of a day; without a grid they are counted
-    unit = "day"
-    if grid_seconds is None:
-        unit = cell_unit([(points, SEARCH), (marks, "bar_ts")], ["symbol"])
-    found = aligned(points, marks, ["symbol"], F.col(SEARCH), "bar_ts", payload, True, unit)
+    found = aligned(points, marks, ["symbol"], F.col(SEARCH), "bar_ts", payload, True, bounded=grid_seconds is not None)
     found = found.withColumn(
         "bar_ts", F.when(F.col(NEEDS_OPEN), F.col("__open")).otherwise(F.col("__any"))
     ).drop("__any", "__open", AT)

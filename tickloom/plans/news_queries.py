@@ -107,6 +107,19 @@ def _same_names(spark, folder):
     return present(df.select("event_id", *micros.values(), "value", "value_mark"))
 
 
+def _one_second(spark, folder):
+    """All events as one entity in one second, with null keys among points and marks."""
+    events = shapes.table(spark, folder, "events")
+    moment = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("event_id") * 7919 % 1_000_000).cast("timestamp_ntz")
+    known = lambda n: F.col("event_id") % n != 0
+    points = events.select("event_id", F.when(known(11), "x").alias("entity"), F.when(known(13), moment).alias("at"))
+    marks = events.where(F.col("event_type") == "purchase").select(
+        F.when(known(5), "x").alias("entity"), F.when(known(7), moment).alias("at"), "value"
+    )
+    df = asof_backward(points, marks, entity=["entity"], at="at", mark_time="at", payload={"value": F.col("value")})
+    return present(df.select("event_id", "value"))
+
+
 def _all_bars(spark, folder):
     """Landed bars with repeats, every third of which was loaded again with other
     prices, and indicator rows in long form."""
@@ -155,6 +168,7 @@ QUERIES = {
     "j04_asof_backward": _last_purchase,
     "j04_asof_forward": _next_purchase,
     "j04_asof_same_names": _same_names,
+    "j04_asof_one_second": _one_second,
     "j09_features_side_by_side": _side_by_side,
     "g01_news_per_bar": _per_bar(300),
     "g01_news_per_bar_off_grid": _per_bar(None),
@@ -362,6 +376,17 @@ FROM searched s ASOF LEFT JOIN opens o ON s.symbol = o.symbol AND s.own_open <=
     "j04_asof_forward": "WITH marks AS (SELECT user_id, ts AS bought_at FROM events "
     "WHERE event_type = 'purchase') SELECT e.event_id, epoch_us(m.bought_at) AS bought_at "
     "FROM events e ASOF LEFT JOIN marks m ON e.user_id = m.user_id AND e.ts <= m.bought_at",
+    "j04_asof_one_second": """WITH timed AS (
+  SELECT event_id, event_type, value, make_timestamp(1700000000000000 + event_id * 7919 % 1000000) AS moment FROM events),
+points AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN 'x' END AS entity, CASE WHEN event_id % 13 <> 0 THEN moment END AS met FROM timed),
+marks AS (
+  SELECT entity, met, max(value) AS value FROM (
+    SELECT CASE WHEN event_id % 5 <> 0 THEN 'x' END AS entity, CASE WHEN event_id % 7 <> 0 THEN moment END AS met, value
+    FROM timed WHERE event_type = 'purchase')
+  WHERE entity IS NOT NULL AND met IS NOT NULL GROUP BY 1, 2)
+SELECT p.event_id, """
+    + sql_real("m.value", "value")
+    + " FROM points p ASOF LEFT JOIN marks m ON p.entity = m.entity AND p.met >= m.met",
     "j09_features_side_by_side": _sql(
         [
             (
