@@ -223,18 +223,47 @@ def linked(nodes: DataFrame, lanes: int, bits: int, masks: list[list[int]]) -> D
     )
     keyed = nodes.select("node", *codes, key.alias("k")).select("node", *codes, "k.mask", "k.key")
     sizes = keyed.groupBy("mask", "key").count().where("count > 1")
+    dealt = _dealt(keyed.join(sizes, ["mask", "key"]), ["mask", "key"])
+    return _searched(dealt.select("node", *codes, "task", gray_rank(F.col("l0")).alias("rank")), codes, bits)
+
+
+def linked_long(nodes: DataFrame, lanes: int, bits: int, masks: list[list[int]]) -> DataFrame:
+    """As `linked`, for long codes and many masks. Only node and key are shuffled for every mask,
+    once for counting and joining; codes go to the nodes whose key occurs twice."""
+    codes = [f"l{k}" for k in range(lanes)]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                own = [part.column(c).to_numpy().view(np.uint64) for c in codes]
+                for m, mask in enumerate(masks):
+                    key = np.full(part.num_rows, m, np.uint64)
+                    for code, x in zip(own, mask):
+                        key = mixed(key ^ (code & np.uint64(x))) if x else key
+                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(mixed(key).view(np.int64))], ["node", "key"])
+
+    keyed = nodes.select("node", *codes).mapInArrow(keys, "node long, key long")
+    keyed = keyed.where("node IS NOT NULL AND key IS NOT NULL").repartition("key")
+    # nodes are unique; by their ids, both sides of the join read one shuffle
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("low"), F.max("node").alias("high"))
+    sizes = sizes.where("low < high").select("key", "count")
+    dealt = _dealt(keyed.join(sizes, "key"), ["key"]).select("node", "task")
+    # a node of many groups asks for its code once per group; nodes are few beside groups, and unique
+    full = dealt.join(nodes.select("node", *codes), "node")
+    return _searched(full.select("node", *codes, "task", gray_rank(F.col("l0")).alias("rank")), codes, bits)
+
+
+def _dealt(grouped: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of groups with their `count`, dealt over pairs of blocks: the task of each."""
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    dealt = (
-        keyed.join(sizes, ["mask", "key"])
-        .select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select(
-            "node",
-            *codes,
-            F.xxhash64("mask", "key", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-            gray_rank(F.col("l0")).alias("rank"),
-        )
-    )
+    pairs = grouped.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return pairs.withColumn("task", F.xxhash64(*key, F.least("block", "other"), F.greatest("block", "other")))
+
+
+def _searched(dealt: DataFrame, codes: list[str], bits: int) -> DataFrame:
+    """Links inside each task of rows (node, codes, task, rank)."""
     names = ["node", *codes, "task"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +285,7 @@ def linked(nodes: DataFrame, lanes: int, bits: int, masks: list[list[int]]) -> D
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 0]), pa.array(rows[label[moved], 0])], ["a", "b"])
 
-    parts = nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return dealt.repartition(int(parts), "task").sortWithinPartitions("task", "rank").select(*names).mapInArrow(search, "a long, b long")
 
 
@@ -344,7 +373,7 @@ def verified(docs: DataFrame, families: DataFrame, words: int, least: float) ->
 
 
 def one_of_each(
-    docs: DataFrame, words: int = 5, lanes: int = 8, bits: int = 105, width: int = 16, number: int = 80, least: float = 0.8
+    docs: DataFrame, words: int = 5, lanes: int = 8, bits: int = 105, width: int = 20, number: int = 180, least: float = 0.8
 ) -> DataFrame:
     """The rows of `docs` that are the first of their group, all columns kept.
 
@@ -353,13 +382,13 @@ def one_of_each(
     codes: a code of 512 bits estimates the cosine of two texts' shingles: texts that share
     0.8 of theirs differ in 78 bits on average, unrelated ones in 256. `number`
     masks of `width` seeded bits find such pairs: an isolated pair of 0.80 with
-    probability 0.991, of 0.85 with 0.999. Rows with a null id stay.
+    probability 0.992, of 0.85 with 0.999. Rows with a null id stay.
     """
     with_id = docs.where("doc_id IS NOT NULL")
     codes = [f"l{k}" for k in range(lanes)]
     prints = materialise(set_prints(with_id, words, lanes), "fingerprints")
     nodes = materialise(prints.groupBy(*codes, "own", "n").agg(F.min("doc_id").alias("node")), "nodes")
-    reached = components(linked(nodes, lanes, bits, sampled_masks(lanes, width, number)))
+    reached = components(linked_long(nodes, lanes, bits, sampled_masks(lanes, width, number)))
     families = nodes.join(reached, nodes["node"] == reached["a"]).select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n")
     again = components(verified(with_id, materialise(families, "families"), words, least)).where("a <> component")
     first = nodes.select(F.col("node").alias("tl_first")).distinct()
