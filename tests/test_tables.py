@@ -1,7 +1,9 @@
 """Statistics, preparation, signals, parsers, sinks and streams."""
 
+import datetime as dt
 import json
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from tickloom.operators.series import Series
 from tickloom.plans.training_table import TrainingPlan, build_training_table
 from tickloom.session import materialise
 from tickloom.sources import landed as L
+from tickloom.sources import merge
 from tickloom.sources import tables as T
 from tickloom.streaming import flows as R
 
@@ -353,3 +356,71 @@ def test_only_chosen_lags_and_products_are_made(spark):
     assert len(chosen) <= 5 and {*chosen, "symbol", "bar_ts", "time_idx", "is_train", "target", "close"} == set(made.table.columns)
     assert len(made.roles.unknown_future) > 20 and made.importance.count() == len(chosen)
     assert P.remaining_gaps(made.table).first().missing == 0
+
+
+def _news(spark, rows):
+    made = [(k, dt.datetime(2024, m, 3) if m else None, load, text) for k, m, load, text in rows]
+    return spark.createDataFrame(made, "article int, published timestamp_ntz, loaded int, text string")
+
+
+def _table(spark, path):
+    return sorted((r.article, r.text, str(r.month)) for r in spark.read.parquet(path).collect())
+
+
+def test_a_merge_reads_its_months_only(spark, tmp_path, monkeypatch):
+    path, read = str(tmp_path / "news"), []
+    months_of = merge._months_of
+
+    def watched(held, months):
+        found = months_of(held, months)
+        scan = found._jdf.queryExecution().executedPlan()
+        # the filter on months chooses folders, so other files are not opened
+        assert re.search(r"PartitionFilters: \[[^]]*month", scan.toString())
+        files = {r[0] for r in found.select(F.input_file_name()).distinct().collect()}
+        counted = scan.execute().getNumPartitions()
+        read.append({f.split("month=")[1].split("/")[0] for f in files})
+        assert counted <= len(files)
+        return found
+
+    monkeypatch.setattr(merge, "_months_of", watched)
+    merge.merge_rows(_news(spark, [(k, m, 0, "old") for k, m in enumerate([1, 1, 2, 3, 4, None])]), path, ["article"], "published")
+    merge.merge_rows(_news(spark, [(0, 1, 1, "new"), (9, 1, 0, "new"), (9, 1, 0, "new")]), path, ["article"], "published")
+    assert read == [{"2024-01"}]
+    old = [(0, "old", "2024-01"), (1, "old", "2024-01"), (2, "old", "2024-02"), (3, "old", "2024-03"), (4, "old", "2024-04"), (5, "old", "none")]
+    assert _table(spark, path) == sorted([*old, (9, "new", "2024-01")])
+    merge.merge_rows(_news(spark, [(0, 1, 1, "new"), (3, 3, -1, "older"), (5, None, 2, "new")]), path, ["article"], "published", prefer="loaded")
+    assert read[1:] == [{"2024-01", "2024-03", "none"}]
+    wanted = [(0, "new", "2024-01"), *old[1:5], (5, "new", "none"), (9, "new", "2024-01")]
+    assert _table(spark, path) == sorted(wanted)
+    merge.merge_rows(_news(spark, []), path, ["article"], "published")
+    assert _table(spark, path) == sorted(wanted)
+
+
+@pytest.mark.parametrize("prefer", [None, "loaded"])
+@pytest.mark.parametrize("when", ["before the note", "first month", "second month"])
+def test_a_killed_merge_leaves_the_table_whole(spark, tmp_path, monkeypatch, prefer, when):
+    path = str(tmp_path / "news")
+    merge.merge_rows(_news(spark, [(1, 1, 0, "old"), (2, 2, 0, "old"), (3, 3, 0, "old")]), path, ["article"], "published")
+    before, calls = _table(spark, path), []
+    swap, write = merge._swap_month, merge._Folder.write
+
+    def killed(*arguments):
+        calls.append(arguments)
+        if when == "before the note" or (when == "first month" and len(calls) == 1) or len(calls) == 2:
+            raise RuntimeError("killed")
+        return swap(*arguments)
+
+    monkeypatch.setattr(*((merge._Folder, "write") if when == "before the note" else (merge, "_swap_month")), killed)
+    more = _news(spark, [(1, 1, 1, "new"), (4, 1, 0, "new"), (5, 2, 0, "new")])
+    with pytest.raises(RuntimeError):
+        merge.merge_rows(more, path, ["article"], "published", prefer)
+    monkeypatch.setattr(merge._Folder, "write", write)
+    monkeypatch.setattr(merge, "_swap_month", swap)
+    if when == "before the note":
+        assert _table(spark, path) == before
+    merge.recover(spark, path)
+    first = (1, "new" if prefer else "old", "2024-01")
+    done = sorted([first, (2, "old", "2024-02"), (3, "old", "2024-03"), (4, "new", "2024-01"), (5, "new", "2024-02")])
+    assert _table(spark, path) == (before if when == "before the note" else done)
+    merge.merge_rows(more, path, ["article"], "published", prefer)
+    assert _table(spark, path) == done and not (tmp_path / "news" / "_staged").exists()

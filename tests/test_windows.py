@@ -235,3 +235,23 @@ def test_lookahead_features_refuse_streams(spark, folder):
     stream = spark.readStream.schema("symbol string, bar_ts timestamp").parquet(folder)
     with pytest.raises(ValueError):
         technical_features(stream, WHOLE)
+
+
+def test_cut_series_write_no_rows(long_bars, monkeypatch):
+    """Scans over chunks write one row per chunk and never the bars."""
+    from tickloom.operators import series as module
+
+    written = []
+    cut = module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: (written.append((df.columns, df.count())), cut(df))[1])
+    monkeypatch.setattr(module, "materialise", lambda *a: pytest.fail("rows were written"))
+    layout = plan_series(long_bars, CHUNKED)
+    chunks = layout.table.select("symbol", "__chunk").distinct().count()
+    del written[:]
+    frame = layout.open(long_bars, back=4).add({"wide": F.avg("close").over(layout.frames.last(4))})
+    frame = frame.scan(cumulate={"running": F.col("volume")}, carry={"last": F.col("wide")}).totals({"all": F.max("high")})
+    frame.close().count()
+    assert [set(c) for c, _ in written] == [{"symbol", "__chunk", "__c_running", "__c_last"}, {"symbol", "__chunk", "all"}]
+    # one row per chunk, and one for each short entity
+    entities = long_bars.select("symbol").distinct().count()
+    assert all(chunks <= n <= chunks + entities for _, n in written)

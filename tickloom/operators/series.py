@@ -11,7 +11,7 @@ Rows need a non-null entity and time; `time` plus `ties` must order them fully.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -136,13 +136,14 @@ class SeriesFrame:
 
     df: DataFrame
     frames: Frames
+    small: bool = False  # whether a row per chunk may be broadcast
 
     @property
     def series(self) -> Series:
         return self.frames.series
 
     def add(self, columns: dict[str, Column]) -> "SeriesFrame":
-        return SeriesFrame(self.df.withColumns(columns), self.frames) if columns else self
+        return replace(self, df=self.df.withColumns(columns)) if columns else self
 
     def scan(
         self,
@@ -156,8 +157,9 @@ class SeriesFrame:
         carry: last present value up to each row. carry_back: first present
         value from each row on, which looks ahead.
 
-        In a chunked frame the rows are written once, one row per chunk is
-        summed up and scanned along the entity, and joined back. Filled values
+        In a chunked frame one row per chunk is summed up from the columns that the
+        values are made of, scanned along the entity, written and joined back; the
+        rows themselves are not written. Filled values
         are then exact on own rows only, so a filled column that other frames
         read is made before the frame is opened with copied rows.
         """
@@ -177,7 +179,7 @@ class SeriesFrame:
             return staged.add(local).drop(*[f"__x_{n}" for n in wanted])
 
         entity = list(self.series.entity)
-        rows = materialise(staged.df, "chunks")
+        rows = staged.df
         at = F.struct(self.series.time, *self.series.ties)
         known = {n: F.when(raw[n].isNotNull(), at) for n in wanted}
         summary = {n: F.sum(raw[n]) for n in cumulate}
@@ -190,7 +192,8 @@ class SeriesFrame:
         passed = {n: F.sum(f"__s_{n}").over(along) for n in cumulate}
         passed |= {n: F.last(f"__s_{n}", ignorenulls=True).over(along) for n in carry}
         passed |= {n: F.last(f"__s_{n}", ignorenulls=True).over(against) for n in carry_back}
-        chunks = (
+        # one row per chunk, from the columns its values are made of; only this is written
+        chunks = cut_lineage(
             rows.where(F.col(ROLE) == 0)
             .groupBy(*f.partition)
             .agg(*[c.alias(f"__s_{n}") for n, c in summary.items()])
@@ -201,6 +204,8 @@ class SeriesFrame:
         copied = {
             f"__h_{n}": F.sum(F.when(F.col(ROLE) == -1, raw[n])).over(f.whole) for n in cumulate
         }
+        # the chunk table of the layout bounds its rows
+        chunks = F.broadcast(chunks) if self.small else chunks
         df = rows.join(chunks, f.partition, "left").withColumns({**local, **copied})
         zero = F.lit(0)
         done = {
@@ -214,7 +219,7 @@ class SeriesFrame:
         }
         done |= {n: F.coalesce(F.col(n), F.col(f"__c_{n}")) for n in [*carry, *carry_back]}
         helpers = [f"__{p}_{n}" for n in wanted for p in "xch"]
-        return SeriesFrame(df.withColumns(done), f).drop(*helpers)
+        return replace(self, df=df.withColumns(done)).drop(*helpers)
 
     def cumulate(self, columns: dict[str, Column]) -> "SeriesFrame":
         return self.scan(cumulate=columns)
@@ -246,14 +251,14 @@ class SeriesFrame:
         if not self.frames.chunked:
             return self.add({n: c.over(self.frames.whole) for n, c in columns.items()})
         entity = list(self.series.entity)
-        rows = materialise(self.df, "chunks")
-        own = rows.where(F.col(ROLE) == 0)
+        own = self.df.where(F.col(ROLE) == 0)
         per_entity = own.groupBy(*entity).agg(*[c.alias(n) for n, c in columns.items()])
-        per_chunk = own.select(*entity, CHUNK).distinct().join(per_entity, entity)
-        return SeriesFrame(rows.join(per_chunk, [*entity, CHUNK], "left"), self.frames)
+        per_chunk = cut_lineage(own.select(*entity, CHUNK).distinct().join(per_entity, entity))
+        per_chunk = F.broadcast(per_chunk) if self.small else per_chunk
+        return replace(self, df=self.df.join(per_chunk, [*entity, CHUNK], "left"))
 
     def drop(self, *columns: str) -> "SeriesFrame":
-        return SeriesFrame(self.df.drop(*columns), self.frames)
+        return replace(self, df=self.df.drop(*columns))
 
     def close(self, *drop: str) -> DataFrame:
         """Own rows only, without the helper columns."""
@@ -292,7 +297,7 @@ class SeriesLayout:
                 }
             )
         )
-        return SeriesFrame(split, self.frames)
+        return SeriesFrame(split, self.frames, self.small)
 
     def _pieces(self, back: int, ahead: int) -> DataFrame:
         """(entity, bucket) to the chunks that need the bucket's rows."""

@@ -18,6 +18,7 @@ from tickloom.plans.sql_parts import ARTICLES, DAILY, HOURLY_BARS, final
 from tickloom.session import scratch_path
 from tickloom.sources import landed as L
 from tickloom.sources import tables as T
+from tickloom.sources.merge import merge_rows
 from tickloom.streaming import flows as R
 
 BAR_REAL = ["open", "high", "low", "close", "volume"]
@@ -132,11 +133,24 @@ def _appended(spark, folder):
     path = scratch_path(spark, "news")
     news = shapes.articles(spark, folder)
     for _ in range(2):
-        T.append_rows(news, path, ["symbol", "article_id"])
+        merge_rows(news, path, ["symbol", "article_id"], "time_published")
     df = spark.read.parquet(path)
     return df.groupBy("overall_sentiment_label").agg(F.count(F.lit(1)).alias("articles"))
 
 
+def _merged(spark, folder):
+    """News landed in three parts, the last one corrected and with old news again: merged by
+    key, the latest load counts."""
+    path = scratch_path(spark, "merged-news")
+    news = shapes.articles(spark, folder).withColumn("loaded", F.lit(0))
+    half = F.col("article_id") % 2 == 0
+    corrected = news.where(F.col("article_id") % 3 == 0).withColumns({"loaded": F.lit(1), "overall_sentiment_label": F.lit("Corrected")})
+    for part in (news.where(half), news, corrected, news.where(half)):
+        merge_rows(part, path, ["symbol", "article_id"], "time_published", prefer="loaded")
+    df = spark.read.parquet(path)
+    return df.groupBy(_text("month").alias("month"), "overall_sentiment_label").agg(F.count(F.lit(1)).alias("articles"))
+
+
 def _csv(spark, folder):
     """All bars through CSV, with a broken line in a file of its own that is set apart."""
     path = scratch_path(spark, "csv")
@@ -282,6 +296,7 @@ QUERIES = {
     "a04_daily_series": _daily,
     "a05_monthly_sink": _monthly,
     "a06_append_sink": _appended,
+    "a06_merge_sink": _merged,
     "a07_csv_scan": _csv,
     "a08_table_sink": _tables,
     "a08_single_csv": _one_csv,
@@ -309,6 +324,9 @@ ORACLES = {
     "count(DISTINCT o_orderdate) AS bars FROM orders GROUP BY 1, 2",
     "a06_append_sink": f"WITH {ARTICLES} SELECT label AS overall_sentiment_label, count(*) AS articles "
     "FROM articles GROUP BY 1",
+    "a06_merge_sink": f"WITH {ARTICLES} SELECT strftime(time_published, '%Y-%m') AS month, "
+    "CASE WHEN article_id % 3 = 0 THEN 'Corrected' ELSE label END AS overall_sentiment_label, count(*) AS articles "
+    "FROM articles GROUP BY 1, 2",
     "a07_csv_scan": f"WITH {HOURLY_BARS}, v AS (SELECT *, bar_ts AS datetime, 1 AS bad_lines FROM bars) "
     + final("v", ["datetime"], BAR_REAL, ["symbol", "bad_lines"]),
     "a08_table_sink": f"WITH {HOURLY_BARS} " + final("bars", ["bar_ts"], ["close"], ["symbol"]),
