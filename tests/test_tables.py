@@ -424,3 +424,26 @@ def test_a_killed_merge_leaves_the_table_whole(spark, tmp_path, monkeypatch, pre
     assert _table(spark, path) == (before if when == "before the note" else done)
     merge.merge_rows(more, path, ["article"], "published", prefer)
     assert _table(spark, path) == done and not (tmp_path / "news" / "_staged").exists()
+
+
+def test_news_waits_for_bars_that_may_still_land(spark, tmp_path):
+    """The bar of 10:10 lands before that of 10:05: news of 10:02 belongs to 10:05."""
+    schema = "symbol string, time_published timestamp_ntz, article_id int"
+    landing, held, out = (str(tmp_path / n) for n in ("news", "bars", "out"))
+    day = lambda h, m: dt.datetime(2024, 1, 8, h, m)
+    steps = [
+        ([("a", day(10, 2), 1), ("b", day(10, 2), 2)], [("a", day(10, 10)), ("b", day(10, 5))]),
+        ([("a", day(10, 8), 3)], [("a", day(10, 5)), ("b", day(12, 0))]),
+        ([], [("a", day(11, 20))]),
+    ]
+    written = []
+    for news, bars in steps:
+        spark.createDataFrame(bars, "symbol string, bar_ts timestamp_ntz").write.mode("append").parquet(held)
+        spark.createDataFrame(news, schema).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schema).parquet(landing)
+        R.map_each_batch(stream, lambda: spark.read.parquet(held), out, f"{out}-state", True, "1 hour").awaitTermination()
+        written.append({r.article_id: r.bar_ts for r in spark.read.parquet(out).collect()})
+    assert written[:2] == [{}, {2: day(10, 5)}]
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").glob("batch=*"))
+    R.map_pending(spark.createDataFrame([], schema), spark.read.parquet(held), out, last)
+    assert {r.article_id: r.bar_ts for r in spark.read.parquet(out).collect()} == {1: day(10, 5), 2: day(10, 5), 3: day(10, 10)}

@@ -250,6 +250,26 @@ def _batch_news(spark, folder):
         news.where(F.col("article_id") % 2 == number).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(news.schema).parquet(landing)
         R.map_each_batch(stream, lambda: spark.read.parquet(held), out, f"{out}-state", available_now=True).awaitTermination()
+    R.map_pending(news, spark.read.parquet(held), out, 1)
+    return present(spark.read.parquet(out).select("article_id", "bar_ts"))
+
+
+def _shuffled_bars(spark, folder):
+    """News and bars in three landings: every other bar of a landing's hours comes one landing
+    late, so news finds a later bar first. What is written equals the batch result."""
+    news, bars = shapes.articles(spark, folder), shapes.session_bars(spark, folder)
+    landing, held, out = (scratch_path(spark, n) for n in ("news-landing", "bars-landing", "mapped-news"))
+    micros = F.unix_micros(F.col("bar_ts").cast("timestamp"))
+    low, high = bars.agg(F.min(micros), F.max(micros)).first()
+    third = F.least(F.lit(2), F.floor((micros - low) * 3 / F.lit(high - low + 1))).cast("int")
+    late = F.when(F.floor(micros / 300_000_000) % 2 == 1, 1).otherwise(0)
+    span = f"{(high - low) // 1_000_000} seconds"
+    for number in range(4):
+        bars.where(third + late == number).write.mode("append").parquet(held)
+        news.where(F.col("article_id") % 4 == number).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(news.schema).parquet(landing)
+        R.map_each_batch(stream, lambda: spark.read.parquet(held), out, f"{out}-state", True, span).awaitTermination()
+    R.map_pending(news, spark.read.parquet(held), out, 3)
     return present(spark.read.parquet(out).select("article_id", "bar_ts"))
 
 
@@ -307,6 +327,7 @@ QUERIES = {
     "r02_streaming_news": _news_stream,
     "r03_streaming_bars": _bar_stream,
     "r04_news_each_batch": _batch_news,
+    "r04_news_late_bars": _shuffled_bars,
 }
 
 ORACLES = {
@@ -346,6 +367,7 @@ g AS (SELECT symbol, slot, CAST(sum(CAST(score AS DECIMAL(20, 12))) AS DOUBLE) /
     + final("g", ["slot"], ["sent_mean", "sent_max_abs"], ["symbol", "bullish_cnt", "bearish_cnt", "headline_count"]),
     "r03_streaming_bars": f"WITH {HOURLY_BARS} "
     + final("bars", ["bar_ts"], BAR_REAL, ["symbol"]),
+    "r04_news_late_bars": f"SELECT * FROM ({NEWS_SQL['j01_news_to_bar']}) WHERE bar_ts IS NOT NULL",
     "r04_news_each_batch": f"SELECT * FROM ({NEWS_SQL['j01_news_to_bar']}) WHERE bar_ts IS NOT NULL",
     "r01_signal_watcher": "SELECT count(*) FILTER (signal = 'UP') AS up_signals, "
     "count(*) FILTER (signal = 'DOWN') AS down_signals, "

@@ -136,18 +136,22 @@ def map_each_batch(
     out: str,
     checkpoint: str,
     available_now: bool = False,
+    bars_lateness: str = "1 hour",
 ) -> StreamingQuery:
     """Landed news mapped to bars by the session rules, batch by batch.
 
-    `bars` reads the bars that have landed so far, anew for each batch. News whose
-    bar is not there yet waits in `{out}-pending` and is tried again with the
-    next batch, or by `map_pending` after the last. Writing each batch under its
-    number keeps a repeated batch from doubling rows.
+    `bars` reads the bars that have landed so far, anew for each batch. A bar is at
+    most `bars_lateness` of event time behind the latest bar of its symbol when it
+    lands. News keeps waiting in `{out}-pending` while a bar that is still to come could
+    be nearer than the one found, or where none is found, and is tried again with
+    the next batch; `map_pending` closes a finished stream. So what is written is what
+    the batch form gives, in whatever order the bars land. Writing each batch under
+    its number keeps a repeated batch from doubling rows.
     """
 
     def work(batch: DataFrame, number: int) -> None:
         waiting = _pending(batch.sparkSession, out, number - 1, batch)
-        _map_batch(batch.unionByName(waiting), bars(), out, number)
+        _map_batch(batch.unionByName(waiting), bars(), out, number, bars_lateness)
 
     return start_each_batch(news, work, checkpoint, available_now)
 
@@ -158,16 +162,25 @@ def _pending(spark: SparkSession, out: str, number: int, like: DataFrame) -> Dat
     return spark.read.schema(like.schema).parquet(f"{out}-pending/batch={number}")
 
 
-def _map_batch(news: DataFrame, bars: DataFrame, out: str, number: int) -> None:
-    found = materialise(map_to_bars(news, bars), "mapped")
-    found.where(F.col("bar_ts").isNotNull()).write.mode("overwrite").parquet(f"{out}/batch={number}")
-    rest = found.where(F.col("bar_ts").isNull()).drop("bar_ts")
+def _map_batch(news: DataFrame, bars: DataFrame, out: str, number: int, lateness: str | None) -> None:
+    """Map news; with a lateness, only to bars that the bars' watermark of their symbol has reached."""
+    found = map_to_bars(news, bars)
+    settled = F.col("bar_ts").isNotNull()
+    if lateness is not None:
+        reached = bars.groupBy("symbol").agg((F.max("bar_ts") - F.expr(f"INTERVAL {lateness}")).alias("__reached"))
+        found = found.join(reached, "symbol", "left")
+        settled &= F.coalesce(F.col("bar_ts") <= F.col("__reached"), F.lit(False))
+    found = materialise(found.withColumn("__settled", settled), "mapped")
+    kept = [c for c in found.columns if c not in ("__reached", "__settled")]
+    found.where("__settled").select(*kept).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    rest = found.where("NOT __settled").select(*[c for c in kept if c != "bar_ts"])
     rest.write.mode("overwrite").parquet(f"{out}-pending/batch={number}")
 
 
 def map_pending(news: DataFrame, bars: DataFrame, out: str, number: int) -> None:
-    """Try again what waits after batch `number`, as batch `number` + 1. `news` gives the schema."""
-    _map_batch(_pending(news.sparkSession, out, number, news), bars, out, number + 1)
+    """Close a stream whose bars have all landed: map what waits after batch `number`, as
+    batch `number` + 1. `news` gives the schema."""
+    _map_batch(_pending(news.sparkSession, out, number, news), bars, out, number + 1, None)
 
 
 def watch_signals(
