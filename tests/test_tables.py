@@ -447,3 +447,38 @@ def test_news_waits_for_bars_that_may_still_land(spark, tmp_path):
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").glob("batch=*"))
     R.map_pending(spark.createDataFrame([], schema), spark.read.parquet(held), out, last)
     assert {r.article_id: r.bar_ts for r in spark.read.parquet(out).collect()} == {1: day(10, 5), 2: day(10, 5), 3: day(10, 10)}
+
+
+def test_forty_features_and_twelve_steps_in_one_small_plan(spark, monkeypatch):
+    from tickloom.operators import forecast
+
+    some = np.random.default_rng(11)
+    width, steps, n = 40, range(1, 13), 300
+    x = some.normal(5, 2, (n, width))
+    pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(width)])
+    weights = some.normal(size=(width, len(steps)))
+    for s, k in enumerate(steps):
+        pdf[f"actual_{k}"] = x @ weights[:, s] + k + some.normal(0, 0.1, n)
+        pdf.loc[n - 3 * k :, f"actual_{k}"] = np.nan
+    pdf.loc[::29, "actual_5"] = np.nan
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    plans = []
+    products = forecast._products
+
+    def watched(held, *rest):
+        before = type(held).groupBy
+        monkeypatch.setattr(type(held), "groupBy", lambda self, *c: (plans.append(self), before(self, *c))[1])
+        try:
+            return products(held, *rest)
+        finally:
+            monkeypatch.setattr(type(held), "groupBy", before)
+
+    monkeypatch.setattr(forecast, "_products", watched)
+    models = forecast.fit_pooled_regression(df, [f"f{i}" for i in range(width)], list(steps))
+    last = plans[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert last.count("sum(") <= 100 and len(plans) == 2
+    for k in steps:
+        held = pdf.dropna(subset=[f"actual_{k}"])
+        design = np.column_stack([np.ones(len(held)), held[[f"f{i}" for i in range(width)]]])
+        wanted = np.linalg.lstsq(design, held[f"actual_{k}"], rcond=None)[0]
+        assert np.allclose([models[k].intercept, *models[k].coefficients], wanted, atol=1e-8)

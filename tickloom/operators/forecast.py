@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.recipe import Level, Recipe, RecipeMaker, add_features
 from tickloom.operators.series import Frames, Series, SeriesLayout
-from tickloom.operators.statistics import exact_quantiles, number, row_of
+from tickloom.operators.statistics import exact_quantiles, row_of
 from tickloom.session import materialise
 
 # The quantile levels of the forecast bands.
@@ -122,40 +122,44 @@ def fit_pooled_regression(
     held = materialise(train.select(*[F.col(c).cast("double").alias(c) for c in names]), "regression")
     held = held.dropna(subset=list(features))
     centre = [m or 0.0 for m in row_of(held, [f"avg(`{c}`)" for c in names])]
-    moved = {c: f"(`{c}` - {number(m)})" for c, m in zip(names, centre)}
-    sums = []
-    for k in steps:
-        y = f"actual_{k}"
-        columns = [*[moved[c] for c in features], moved[y]]
-        sums.append(f"count(`{y}`)")
-        sums += [f"coalesce(sum(IF(`{y}` IS NULL, NULL, {c})), 0D)" for c in columns]
-        sums += [
-            f"coalesce(sum(IF(`{y}` IS NULL, NULL, {c} * {d})), 0D)"
-            for i, c in enumerate(columns)
-            for d in columns[i:]
-            if (c, d) != (moved[y], moved[y])
-        ]
-    found = row_of(held, sums)
     width = len(features)
-    per_step = 1 + (width + 1) + (width + 1) * (width + 2) // 2 - 1
+    gram = _products(held, names, width, centre)
     models = {}
     for at, k in enumerate(steps):
-        n, *rest = found[at * per_step : (at + 1) * per_step]
-        first, products = np.array(rest[: width + 1], float), iter(rest[width + 1 :])
-        square, cross = np.zeros((width, width)), np.zeros(width)
-        for i in range(width):
-            for j in range(i, width):
-                square[i, j] = square[j, i] = next(products)
-            cross[i] = next(products)
-        mean = first / max(n, 1)
-        square -= n * np.outer(mean[:width], mean[:width])
-        cross -= n * mean[:width] * mean[width]
-        slope = np.linalg.lstsq(square, cross, rcond=None)[0]
-        origin = centre[width + at] + mean[width] - slope @ (np.array(centre[:width]) + mean[:width])
+        n, first, square = gram[at, 0, 0], gram[at, 0, 1 : width + 1], gram[at, 1 : width + 1, 1 : width + 1]
+        y, cross = gram[at, 0, width + 1], gram[at, 1 : width + 1, width + 1]
+        mean, mean_y = first / max(n, 1.0), y / max(n, 1.0)
+        slope = np.linalg.lstsq(square - n * np.outer(mean, mean), cross - n * mean * mean_y, rcond=None)[0]
+        origin = centre[width + at] + mean_y - slope @ (np.array(centre[:width]) + mean)
         models[k] = PooledLine(float(origin), slope.tolist())
     return models
 
 
+def _products(held: DataFrame, names: Sequence[str], width: int, centre: Sequence[float]) -> np.ndarray:
+    """Per step the sums of products of (1, features) with (1, features, the step's price),
+    over the rows that have this price; all less `centre`.
+
+    A row gives one cell per feature, whose products with the whole row are one sum
+    per other column; cells are combined by feature and by the set of prices present
+    before the shuffle, so the expressions grow with the columns and not with their pairs.
+    """
+    moved = [F.col(c) - F.lit(m) for c, m in zip(names, centre)]
+    x, y = [F.lit(1.0), *moved[:width]], moved[width:]
+    present = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(s)) for s, c in enumerate(names[width:])]))
+    rows = held.select(F.array(*x).alias("__x"), F.array(*[F.coalesce(v, F.lit(0.0)) for v in y]).alias("__y"), present.alias("__steps"))
+    cells = rows.select("*", F.posexplode("__x").alias("__i", "__v"))
+    others = [F.get("__x", F.lit(j)) for j in range(width + 1)] + [F.get("__y", F.lit(s)) for s in range(len(y))]
+    summed = cells.groupBy("__steps", "__i").agg(F.array(*[F.sum(F.col("__v") * c) for c in others]).alias("__sums"))
+    by_step = summed.select(F.explode("__steps").alias("__step"), "__i", "__sums").select("__step", "__i", F.posexplode("__sums").alias("__j", "__sum"))
+    found = np.zeros((len(y), width + 1, width + 2))
+    for r in by_step.groupBy("__step", "__i", "__j").agg(F.sum("__sum").alias("total")).collect():
+        if r["__j"] <= width:
+            found[r["__step"], r["__i"], r["__j"]] = r.total
+        elif r["__j"] == width + 1 + r["__step"]:
+            found[r["__step"], r["__i"], width + 1] = r.total
+    return found
+
+
 def regression_forecasts(
     df: DataFrame,
     models: dict[int, PooledLine],
