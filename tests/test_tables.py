@@ -482,3 +482,26 @@ def test_forty_features_and_twelve_steps_in_one_small_plan(spark, monkeypatch):
         design = np.column_stack([np.ones(len(held)), held[[f"f{i}" for i in range(width)]]])
         wanted = np.linalg.lstsq(design, held[f"actual_{k}"], rcond=None)[0]
         assert np.allclose([models[k].intercept, *models[k].coefficients], wanted, atol=1e-8)
+
+
+def test_all_daily_groups_in_one_pass(spark):
+    """The context of all series equals the tables of the single groups, with few exchanges."""
+    from tickloom.operators import cross_asset as X
+
+    some = np.random.default_rng(12)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(90)]
+    rows = [(s, d, float(v) if some.random() > 0.1 else None) for s in ("VIX", "DXY", "FVX", "TNX", "XLA", "XLB") for d, v in zip(days, 20 + some.normal(0, 4, 90).cumsum()) if some.random() > 0.15]
+    daily = spark.createDataFrame(rows, "series string, day date, close double").repartition(3)
+    made = X.daily_context(daily, ["XLA", "XLB"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+    tables = dict(zip(("volatility", "treasury", "dollar", "sectors"), X.cross_asset_tables(daily, ["XLA", "XLB"])))
+    found = {r.day: r for r in made.collect()}
+    for name, table in tables.items():
+        wanted = {r.day: r.asDict() for r in table.collect()}
+        got = {d: {"day": d, **r[name].asDict()} for d, r in found.items() if r[name] is not None}
+        assert set(got) == set(wanted), name
+        for d, row in wanted.items():
+            assert set(row) == set(got[d])
+            for c, v in row.items():
+                assert got[d][c] == (pytest.approx(v, rel=1e-9, abs=1e-9) if isinstance(v, float) else v), (name, d, c)
