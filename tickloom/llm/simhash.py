@@ -20,6 +20,7 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,21 @@ def sampled_masks(lanes: int, width: int, number: int) -> list[list[int]]:
     return masks
 
 
+def mask_number(width: int, size: int, bits: int, least: float, recall: float) -> int:
+    """Fewest sampled masks of `width` bits under which two codes of `size` bits of sets of Jaccard
+    similarity `least`, which differ in at most `bits` bits, share a key with probability `recall`
+    (or as nearly as the limit on bits allows)."""
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    differ = np.arange(min(bits, size - width) + 1)
+    log = np.vectorize(math.lgamma)
+    chance = np.exp(log(size + 1.0) - log(differ + 1.0) - log(size - differ + 1.0) + differ * math.log(p) + (size - differ) * math.log1p(-p))
+    miss = 1 - np.prod([(size - differ - i) / (size - i) for i in range(width)], axis=0)
+    number, goal = 1, min(recall, float(chance.sum()) - 1e-4)
+    while (chance * (1 - miss**number)).sum() < goal:
+        number += 1
+    return number
+
+
 def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -281,9 +297,12 @@ def _searched(dealt: DataFrame, codes: list[str], bits: int) -> DataFrame:
             if rows is None or len(rows) < 2:
                 continue
             label = group_links(np.ascontiguousarray(rows[:, 1:-1]).view(np.uint64), rows[:, -1], bits)
-            moved = np.flatnonzero(label != np.arange(len(rows)))
+            # to the least node, which is mostly the same one under all masks
+            first = rows[:, 0].copy()
+            np.minimum.at(first, label, rows[:, 0])
+            moved = np.flatnonzero(first[label] != rows[:, 0])
             if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 0]), pa.array(rows[label[moved], 0])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 0]), pa.array(first[label[moved]])], ["a", "b"])
 
     parts = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return dealt.repartition(int(parts), "task").sortWithinPartitions("task", "rank").select(*names).mapInArrow(search, "a long, b long")
@@ -373,22 +392,25 @@ def verified(docs: DataFrame, families: DataFrame, words: int, least: float) ->
 
 
 def one_of_each(
-    docs: DataFrame, words: int = 5, lanes: int = 8, bits: int = 105, width: int = 20, number: int = 180, least: float = 0.8
+    docs: DataFrame, words: int = 5, lanes: int = 8, bits: int = 105, spare: int = 4, recall: float = 0.992, least: float = 0.8
 ) -> DataFrame:
     """The rows of `docs` that are the first of their group, all columns kept.
 
     Groups are the components of pairs whose sets of shingles have Jaccard similarity
     `least` or more, by exact comparison inside families. Families come from
     codes: a code of 512 bits estimates the cosine of two texts' shingles: texts that share
-    0.8 of theirs differ in 78 bits on average, unrelated ones in 256. `number`
-    masks of `width` seeded bits find such pairs: an isolated pair of 0.80 with
-    probability 0.992, of 0.85 with 0.999. Rows with a null id stay.
+    0.8 of theirs differ in 78 bits on average, unrelated ones in 256. Masks of seeded
+    bits find such pairs. A mask has `spare` bits more than the number of codes, so
+    unrelated codes share few keys at any size, and there are as many masks as find an
+    isolated pair of `least` with probability `recall`. Rows with a null id stay.
     """
     with_id = docs.where("doc_id IS NOT NULL")
     codes = [f"l{k}" for k in range(lanes)]
     prints = materialise(set_prints(with_id, words, lanes), "fingerprints")
     nodes = materialise(prints.groupBy(*codes, "own", "n").agg(F.min("doc_id").alias("node")), "nodes")
-    reached = components(linked_long(nodes, lanes, bits, sampled_masks(lanes, width, number)))
+    width = max(16, math.ceil(math.log2(nodes.count() + 1)) + spare)
+    masks = sampled_masks(lanes, width, mask_number(width, 64 * lanes, bits, least, recall))
+    reached = components(linked_long(nodes, lanes, bits, masks))
     families = nodes.join(reached, nodes["node"] == reached["a"]).select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n")
     again = components(verified(with_id, materialise(families, "families"), words, least)).where("a <> component")
     first = nodes.select(F.col("node").alias("tl_first")).distinct()
