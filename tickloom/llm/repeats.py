@@ -10,7 +10,7 @@ different paths, the windows of each different path (its first occurrence only)
 are compared one by one. Every other occurrence of a path has all its windows
 earlier.
 
-What is shuffled is one row per different path; a document learns which of its
+What is shuffled is one row per different path, and the texts, compressed, to meet what was found; a document learns which of its
 paths and windows are first, and everything else in it is a repeat. All
 aggregates combine before the shuffle, so a passage that many documents share
 is one row per slice of text. Runs are compared by 128 bits of hash.
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tickloom.llm.texts import as_bytes, ready_workers, slices, words_of
 from tickloom.llm.word_hashes import Runs, least_in_window
@@ -38,6 +38,8 @@ from tickloom.session import materialise
 
 ANCHOR_WORDS = 5
 HELD_PATHS = 1_000_000
+#: compressed text of a slice, about 4 MB of words
+PACKED_BYTES = 3 << 19
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -75,6 +77,31 @@ def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     return rows[new]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows with their text compressed, for a shuffle; a null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for piece in slices(batches):
+            small = [None if t is None else squeeze(t) for t in piece.column("text").cast(pa.binary()).to_pylist()]
+            yield piece.set_column(piece.schema.get_field_index("text"), "text", pa.array(small, pa.binary()))
+
+    fields = [StructField(f.name, BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
+    return docs.mapInArrow(run, StructType(fields))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of packed rows with their text again."""
+    import zstandard
+
+    stretch = zstandard.ZstdDecompressor().decompress
+    for piece in slices(batches, PACKED_BYTES):
+        texts = [None if t is None else stretch(t) for t in piece.column("text").to_pylist()]
+        yield piece.set_column(piece.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
+
+
 def paths(docs: DataFrame, words: int) -> DataFrame:
     """Different paths of each run of slices, with their first place there."""
     names = ["anchor", "content", "doc", "start"]
@@ -119,7 +146,7 @@ def settle(joined: DataFrame, words: int) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
+        for piece in unpacked(batches):
             found = Paths(piece.column("text"), words)
             ids, codes = piece.column("doc_id").to_pylist(), piece.column("tl_codes").to_pylist()
             edges = np.searchsorted(found.row, np.arange(len(ids) + 1))
@@ -195,7 +222,7 @@ def remove_repeats(docs: DataFrame, words: int = 20, with_text: bool = True) ->
     ready_workers(docs.sparkSession)
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     firsts = first_paths(paths(keyed, words))
-    texts = keyed.where("doc_id IS NOT NULL").select("doc_id", "text")
+    texts = packed(keyed.where("doc_id IS NOT NULL").select("doc_id", "text"))
     joined = texts.join(firsts.hint("shuffle_hash"), texts["doc_id"] == firsts["doc"], "left").select("doc_id", "text", "tl_codes")
     settled = materialise(settle(joined, words), "repeats")
     compared = settled.where("content IS NOT NULL").groupBy("anchor", "content").agg(F.min(F.struct("doc", "place")).alias("first"))
@@ -206,13 +233,14 @@ def remove_repeats(docs: DataFrame, words: int = 20, with_text: bool = True) ->
         .agg(F.first("repeats").alias("tl_repeats"), F.first("asked").alias("tl_asked"))
     )
     facts = known.join(new, "tl_doc", "left")
-    full = keyed.join(facts.hint("shuffle_hash"), keyed["doc_id"] == facts["tl_doc"], "left").drop("tl_doc")
+    small = packed(keyed)
+    full = small.join(facts.hint("shuffle_hash"), small["doc_id"] == facts["tl_doc"], "left").drop("tl_doc")
     kept = docs.columns
     extra = {"tl_n_words": pa.int64(), "tl_n_removed": pa.int64(), "tl_spans": pa.list_(pa.int32()), "tl_kept": pa.binary()}
     extra |= {"tl_text": pa.binary()} if with_text else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
+        for piece in unpacked(batches):
             facts = [piece.column(c).to_pylist() for c in ("tl_repeats", "tl_asked", "tl_firsts")]
             rows = []
             for text, *own in zip(as_bytes(piece.column("text")), *facts):
