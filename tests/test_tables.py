@@ -215,6 +215,15 @@ def test_mutual_information_ranks_the_informative_feature(spark):
     assert not math.isnan(scores["noise"])
 
 
+def test_precise_mutual_information_tells_doubles_apart(spark):
+    rows = [(1000.0 + k * 1e-10, float(k)) for k in range(500)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    assert P.mutual_information(df, ["x"], "y", precise=True).first().importance_score == pytest.approx(math.log(10), abs=0.01)
+    from tickloom.plans.prepare_queries import ORACLES
+
+    assert "FLOAT" not in ORACLES["p10_feature_importance"].upper()
+
+
 def test_scratch_is_dropped(spark, tmp_path):
     from tickloom import session
 
