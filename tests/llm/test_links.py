@@ -139,3 +139,19 @@ def test_alignments_hold_links_and_groups(spark, odd, tool):
         a, b, a_sizes, b_sizes, overlaps, groups, _ = wanted[r.doc_id]
         assert (r.a_ids, r.b_ids, r.a_bytes, r.b_bytes, r.groups) == (a, b, a_sizes, b_sizes, groups)
         assert [tuple(x) for x in r.overlaps] == overlaps
+
+
+def test_new_segments_take_bounded_memory():
+    import random
+    import tracemalloc
+
+    draw = random.Random(1)
+    segments = list({" " + "".join(draw.choice("etaoinshrdlu") for _ in range(6)) for _ in range(150_000)})
+    tool = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    tracemalloc.start()
+    try:
+        found = tool.align(segments)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == len(segments) and peak < 170 << 20, peak

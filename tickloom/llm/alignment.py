@@ -48,7 +48,7 @@ from tickloom.session import materialise
 
 KEPT = 150_000
 #: bytes of new segments whose products are made at a time
-PRODUCT_BYTES = 1 << 20
+PRODUCT_BYTES = 1 << 17
 #: segments that are encoded end to end
 JOINED = 500
 _JOINED = r"\s\s|^\s|\s$|[\x0B\x0C\r\t\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
