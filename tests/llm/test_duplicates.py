@@ -203,3 +203,25 @@ def test_empty_tables_and_extra_columns(documents):
     none = documents([])
     assert simhash.near_components(none, 4, 4).collect() == [] and repeats.remove_repeats(none).collect() == []
     assert simhash.one_of_each(none).collect() == []
+
+
+def test_slices_of_packed_rows_are_bounded_by_their_text():
+    import pyarrow as pa
+    import zstandard
+
+    from tickloom.llm import repeats, texts
+
+    small = zstandard.ZstdCompressor(level=1).compress(b"same words again " * 180_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([small] * 6, pa.binary())], ["doc_id", "text"])
+    pieces = list(repeats.unpacked([batch]))
+    assert sum(p.num_rows for p in pieces) == 6 and max(p.column("text").nbytes for p in pieces) < 2 * texts.SLICE_BYTES
+
+
+def test_repeats_without_kept_words(documents):
+    from tickloom.llm import repeats
+
+    line = " ".join(f"w{k}" for k in range(30))
+    docs = documents([(1, line), (2, f"new {line} end"), (3, None)])
+    rows = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    for r in repeats.remove_repeats(docs, with_kept=False).collect():
+        assert "tl_kept" not in r and r.asDict() == {k: v for k, v in rows[r.doc_id].asDict().items() if k != "tl_kept"}

@@ -38,8 +38,6 @@ from tickloom.session import materialise
 
 ANCHOR_WORDS = 5
 HELD_PATHS = 1_000_000
-#: compressed text of a slice, about 4 MB of words
-PACKED_BYTES = 3 << 19
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -93,11 +91,12 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of packed rows with their text again."""
+    """Slices of packed rows with their text again; bounded by the bytes of that."""
     import zstandard
 
     stretch = zstandard.ZstdDecompressor().decompress
-    for piece in slices(batches, PACKED_BYTES):
+    whole = lambda column: np.array([0 if t is None else zstandard.frame_content_size(t) for t in column.to_pylist()], np.int64)
+    for piece in slices(batches, size_of=whole):
         texts = [None if t is None else stretch(t) for t in piece.column("text").to_pylist()]
         yield piece.set_column(piece.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
@@ -215,10 +214,10 @@ def _true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def remove_repeats(docs: DataFrame, words: int = 20, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, words: int = 20, with_text: bool = True, with_kept: bool = True) -> DataFrame:
     """All columns of `docs`, then tl_n_words, tl_n_removed, tl_spans (removed runs as
-    start, end, ... in words), tl_kept (kept words joined by one space, as UTF-8) and,
-    if wanted, tl_text (the text without its removed words)."""
+    start, end, ... in words) and, if wanted, tl_kept (kept words joined by one space, as
+    UTF-8) and tl_text (the text without its removed words)."""
     ready_workers(docs.sparkSession)
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     firsts = first_paths(paths(keyed, words))
@@ -236,7 +235,8 @@ def remove_repeats(docs: DataFrame, words: int = 20, with_text: bool = True) ->
     small = packed(keyed)
     full = small.join(facts.hint("shuffle_hash"), small["doc_id"] == facts["tl_doc"], "left").drop("tl_doc")
     kept = docs.columns
-    extra = {"tl_n_words": pa.int64(), "tl_n_removed": pa.int64(), "tl_spans": pa.list_(pa.int32()), "tl_kept": pa.binary()}
+    extra = {"tl_n_words": pa.int64(), "tl_n_removed": pa.int64(), "tl_spans": pa.list_(pa.int32())}
+    extra |= {"tl_kept": pa.binary()} if with_kept else {}
     extra |= {"tl_text": pa.binary()} if with_text else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,14 +248,15 @@ def remove_repeats(docs: DataFrame, words: int = 20, with_text: bool = True) ->
                 if own[0] or own[1]:
                     gone = _covered(len(found), words, *own)
                     runs = _true_runs(gone)
-                    left = [w for w, g in zip(found, gone.tolist()) if not g]
+                    left = (w for w, g in zip(found, gone.tolist()) if not g)
                     spans = [x for r in runs for x in r]
-                    rows.append((len(found), int(gone.sum()), spans, b" ".join(left), _cut(text, gone) if with_text else None))
+                    texts = [b" ".join(left)] * with_kept + [_cut(text, gone) if with_text else None]
+                    rows.append((len(found), int(gone.sum()), spans, *texts))
                 else:
-                    rows.append((len(found), 0, [], b" ".join(found), text))
+                    rows.append((len(found), 0, [], *[b" ".join(found)] * with_kept, text))
             made = [pa.array(c, t) for c, t in zip(zip(*rows), extra.values())]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *made], [*kept, *extra])
 
-    made = "tl_n_words long, tl_n_removed long, tl_spans array<int>, tl_kept binary" + ", tl_text binary" * with_text
+    made = "tl_n_words long, tl_n_removed long, tl_spans array<int>" + ", tl_kept binary" * with_kept + ", tl_text binary" * with_text
     out = full.mapInArrow(run, StructType([*keyed.schema.fields, *StructType.fromDDL(made).fields]))
     return out.withColumn("tl_text", F.col("tl_text").cast("string")) if with_text else out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.texts import as_bytes, map_texts, slices
+from tickloom.llm.texts import as_bytes, give_back, map_texts, slices
 from tickloom.llm.word_hashes import mixed
 from tickloom.session import materialise
 
@@ -303,6 +303,7 @@ def _searched(dealt: DataFrame, codes: list[str], bits: int) -> DataFrame:
             moved = np.flatnonzero(first[label] != rows[:, 0])
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 0]), pa.array(first[label[moved]])], ["a", "b"])
+        give_back()
 
     parts = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return dealt.repartition(int(parts), "task").sortWithinPartitions("task", "rank").select(*names).mapInArrow(search, "a long, b long")
@@ -378,6 +379,7 @@ def verified(docs: DataFrame, families: DataFrame, words: int, least: float) ->
             if len(nodes) > 1:
                 label = similar_rows([np.frombuffer(s, np.uint64) for s in own], least)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes, pa.int64()).take(pa.array(label))], ["a", "b"])
+        give_back()
 
     block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     dealt = (

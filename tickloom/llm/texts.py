@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -26,16 +27,30 @@ def ready_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*known, home])
 
 
-def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows with about `most` bytes of text; a longer row stands alone."""
+def slices(
+    batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES, size_of: Callable[[pa.Array], np.ndarray] | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows with about `most` bytes of text; a longer row stands alone.
+    `size_of` tells the bytes of each text where they are not those of the column."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        text = batch.column("text")
+        sizes = size_of(text) if size_of else pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
         block = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1] // most
         starts = np.flatnonzero(np.diff(block, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on through the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
