@@ -189,6 +189,29 @@ def test_fits_without_both_labels_keep_everything(spark, documents):
         assert ranking.quality_scores(docs, ranking.train(docs, table)).where("score >= 0.3").count() == 4
 
 
+def test_ranking_learns_from_all_labels(spark, documents, monkeypatch):
+    rows = [(k, f"a{k} " * (k % 23 + 1) + "!" * (k % 5)) for k in range(9000)]
+    table = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(9000)], LABELS)
+    monkeypatch.setattr(ranking, "CHUNK", 1000)
+    ranker = ranking.train(documents(rows), table)
+    used = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    whole = np.sqrt(ranking.features(pa.array([t for _, t in used])))
+    assert len(used) > 7000 and ranker.mean == pytest.approx(whole.mean(axis=0), abs=1e-8)
+    # the border is the quantile of all margins
+    margin = (np.clip((whole - ranker.mean) / ranker.spread, -5, 5) * ranker.weights).sum(axis=1)
+    share = sum(k % 3 == 0 for k, _ in used) / len(used)
+    assert ranker.slope * np.quantile(margin, share) + ranker.shift == pytest.approx(np.log(0.3 / 0.7), abs=1e-6)
+
+
+def test_a_rare_label_meets_every_chunk(spark, documents, monkeypatch):
+    monkeypatch.setattr(ranking, "CHUNK", 20)
+    rows, labels = noisy(4)
+    table = spark.createDataFrame([x for x in labels if x[1] or x[0] < 60], LABELS)
+    found = {r.doc_id: r.score for r in ranking.quality_scores(documents(rows), ranking.train(documents(rows), table)).collect()}
+    good = {i: q for i, q, _ in labels}
+    assert np.mean([(found[i] > 0.5) == bool(q) for i, q in good.items()]) > 0.9
+
+
 # --- personal data ---------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
