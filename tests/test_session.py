@@ -1,5 +1,9 @@
 """The shared folder under sessions of several kinds."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -25,3 +29,24 @@ def test_without_a_folder():
         assert shared_folder(session(master)) == "hdfs://store/tables/_tickloom"
     here = session("local[4]")
     assert shared_folder(here).startswith("file:///") and shared_folder(here) == shared_folder(here)
+
+
+RUN = """
+from pyspark.sql import SparkSession
+from tickloom.session import cut_lineage, drop_scratch, materialise, shared_folder
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+folder = shared_folder(spark)
+assert materialise(spark.range(7), "seven").count() == 7 and cut_lineage(spark.range(5)).count() == 5
+assert shared_folder(spark) == folder
+drop_scratch(spark)
+"""
+
+
+def test_a_real_session_without_a_folder(tmp_path):
+    """Spark refuses to set spark.checkpoint.dir in a running session: CANNOT_MODIFY_CONFIG."""
+    home = str(Path(__file__).resolve().parent.parent)
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": home, "TMPDIR": str(tmp_path)}
+    env = {k: v for k, v in env.items() if k != "PYSPARK_GATEWAY_PORT" and k != "PYSPARK_GATEWAY_SECRET"}
+    done = subprocess.run([sys.executable, "-c", RUN], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
