@@ -4,9 +4,11 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tickloom.llm.byte_tokens import byte_tokenizer
 from tickloom.llm.piece_codec import codec, encode_texts
@@ -88,3 +90,17 @@ def test_pieces_of_random_words(library, merger):
     draw = random.Random(5)
     words = ["▁" + "".join(draw.choice("aeiouthnrsl") for _ in range(draw.randint(1, 25))) for _ in range(3000)]
     assert merger.count(words) == [len(library.encode(w[1:])) for w in words]
+
+
+def test_batches_for_workers_are_bounded_by_bytes(spark):
+    """Rows of 10,000 characters came 10,000 at a time, so a batch had up to 64 MB."""
+    from tickloom.llm import texts
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    texts.ready_workers(spark)
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.rpad(F.col("id").cast("string"), 10_000, "x").alias("text"))
+    found = rows.mapInArrow(run, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 3000 and max(r["size"] for r in found) < 2 * texts.BATCH_BYTES

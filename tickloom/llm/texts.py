@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
+#: most bytes of a batch between Spark and its Python workers; both sides hold several batches at a time
+BATCH_BYTES = 4 << 20
 KEPT_ENTRIES = 250_000
 
 
 def ready_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it. On a
-    cluster where it is not installed there, submit it with --py-files."""
+    cluster where it is not installed there, submit it with --py-files. Batches
+    for workers are bounded by bytes, since 10,000 rows of text can be any size."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(limit, BATCH_BYTES)
     home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in known:
