@@ -225,3 +225,31 @@ def test_repeats_without_kept_words(documents):
     rows = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
     for r in repeats.remove_repeats(docs, with_kept=False).collect():
         assert "tl_kept" not in r and r.asDict() == {k: v for k, v in rows[r.doc_id].asDict().items() if k != "tl_kept"}
+
+
+def test_a_large_group_is_linked_under_few_masks(documents, monkeypatch):
+    """Links that are contracted grow with the group, not with group and masks; families stay the same."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for k in range(240):
+        copy = list(base)
+        for at in draw.sample(range(150), 2 if k else 0):
+            copy[at] = word()
+        rows.append((k, " ".join(copy)))
+    rows += [(1000 + k, " ".join(word() for _ in range(60))) for k in range(60)]
+    docs, made = documents(rows), []
+
+    def counted(links):
+        made.append(links.distinct().count())
+        return components(links)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [0, *range(1000, 1060)]
+    assert sum(made[:-1]) <= (simhash.FIRST_MASKS + 1) * 240  # the last are the verified links
+    codes = [f"l{k}" for k in range(8)]
+    nodes = simhash.set_prints(docs, 5, 8).withColumnRenamed("doc_id", "node").select("node", *codes).cache()
+    masks = simhash.sampled_masks(8, 16, 60)
+    rounds = {tuple(r) for r in simhash.code_families(nodes, 8, 105, masks).collect()}
+    whole = components(simhash.linked_long(nodes.selectExpr("*", "node AS part"), 8, 105, masks))
+    assert rounds == {tuple(r) for r in whole.collect()} and len(rounds) >= 240

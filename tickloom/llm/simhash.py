@@ -40,6 +40,8 @@ SMALL = 48
 #: most documents, and about the most shingle hashes, of a block that is compared exactly
 SET_ROWS = 1024
 SET_VALUES = 2_000_000
+#: masks of the first round; all others link only what it has not connected
+FIRST_MASKS = 8
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -245,7 +247,8 @@ def linked(nodes: DataFrame, lanes: int, bits: int, masks: list[list[int]]) -> D
 
 def linked_long(nodes: DataFrame, lanes: int, bits: int, masks: list[list[int]]) -> DataFrame:
     """As `linked`, for long codes and many masks. Only node and key are shuffled for every mask,
-    once for counting and joining; codes go to the nodes whose key occurs twice."""
+    once for counting and joining; codes go to the nodes whose key occurs twice. Links are between
+    the `part` of nodes (node, part, l0, ...); nodes of one part are connected already."""
     codes = [f"l{k}" for k in range(lanes)]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +269,28 @@ def linked_long(nodes: DataFrame, lanes: int, bits: int, masks: list[list[int]])
     sizes = sizes.where("low < high").select("key", "count")
     dealt = _dealt(keyed.join(sizes, "key"), ["key"]).select("node", "task")
     # a node of many groups asks for its code once per group; nodes are few beside groups, and unique
-    full = dealt.join(nodes.select("node", *codes), "node")
-    return _searched(full.select("node", *codes, "task", gray_rank(F.col("l0")).alias("rank")), codes, bits)
+    full = dealt.join(nodes.select("node", "part", *codes), "node")
+    return _searched(full.select(F.col("part").alias("node"), *codes, "task", gray_rank(F.col("l0")).alias("rank")), codes, bits)
+
+
+def code_families(nodes: DataFrame, lanes: int, bits: int, masks: list[list[int]]) -> DataFrame:
+    """Columns a, component of every node with a link under any mask, as from all links at once. The nodes
+    of a large group are linked under a few masks; under the others only what these have left apart."""
+    alone = F.col("node").alias("part")
+    reached = components(linked_long(nodes.select("*", alone), lanes, bits, masks[:FIRST_MASKS]))
+    if not masks[FIRST_MASKS:]:
+        return reached
+    part = F.coalesce("component", "node").alias("part")
+    # `once`: linked in the first round, so that a whole group keeps its nodes without further links
+    parts = materialise(
+        nodes.join(reached, nodes["node"] == reached["a"], "left").select(*nodes.columns, part, F.col("a").isNotNull().alias("once")), "parts"
+    )
+    more = components(linked_long(parts, lanes, bits, masks[FIRST_MASKS:]))
+    return (
+        parts.join(more, parts["part"] == more["a"], "left")
+        .where("once OR component IS NOT NULL")
+        .select(F.col("node").alias("a"), F.coalesce("component", "part").alias("component"))
+    )
 
 
 def _dealt(grouped: DataFrame, key: list[str]) -> DataFrame:
@@ -302,7 +325,8 @@ def _searched(dealt: DataFrame, codes: list[str], bits: int) -> DataFrame:
             np.minimum.at(first, label, rows[:, 0])
             moved = np.flatnonzero(first[label] != rows[:, 0])
             if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 0]), pa.array(first[label[moved]])], ["a", "b"])
+                links = np.unique(np.stack([rows[moved, 0], first[label[moved]]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
         give_back()
 
     parts = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -412,7 +436,7 @@ def one_of_each(
     nodes = materialise(prints.groupBy(*codes, "own", "n").agg(F.min("doc_id").alias("node")), "nodes")
     width = max(16, math.ceil(math.log2(nodes.count() + 1)) + spare)
     masks = sampled_masks(lanes, width, mask_number(width, 64 * lanes, bits, least, recall))
-    reached = components(linked_long(nodes, lanes, bits, masks))
+    reached = code_families(nodes, lanes, bits, masks)
     families = nodes.join(reached, nodes["node"] == reached["a"]).select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n")
     again = components(verified(with_id, materialise(families, "families"), words, least)).where("a <> component")
     first = nodes.select(F.col("node").alias("tl_first")).distinct()
