@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tickloom.llm.byte_tokens import byte_tokenizer
+from tickloom.llm.byte_tokens import ByteTokenizer, byte_tokenizer
 from tickloom.llm.piece_codec import codec, encode_texts
 from tickloom.llm.pieces import pre_tokens
 from tickloom.llm.token_counts import Merger, count_tokens
@@ -104,3 +104,13 @@ def test_batches_for_workers_are_bounded_by_bytes(spark):
     rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.rpad(F.col("id").cast("string"), 10_000, "x").alias("text"))
     found = rows.mapInArrow(run, "n long, size long").collect()
     assert sum(r["n"] for r in found) == 3000 and max(r["size"] for r in found) < 2 * texts.BATCH_BYTES
+
+
+def test_words_that_come_again_are_encoded_once():
+    tokens, asked = ByteTokenizer(BYTES), []
+    encode = tokens.parts.compute
+    tokens.parts.compute = lambda keys: asked.append(len(keys)) or encode(keys)
+    text = " ".join(f"w{k}" for k in range(450_000))
+    first = tokens.ids([text])
+    assert sum(asked) == 450_001  # the first word also as it stands without a space
+    assert tokens.ids([text]) == first and sum(asked) == 450_001

@@ -8,12 +8,14 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tickloom.llm.texts import Kept, parts_of
 
 JOINED = 500
 #: rare words cost most here, so more are kept than elsewhere
-KEPT = 400_000
+KEPT = 700_000
 _DOUBLE = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -52,26 +54,26 @@ class ByteTokenizer:
         The first two kinds are encoded many at a time, end to end; the bytes of
         the tokens tell where each key's ids end.
         """
-        made: dict = {}
-        plain = [k for k in keys if isinstance(k, str) and k != "\n"]
+        made: list = [None] * len(keys)
+        plain = [k for k, key in enumerate(keys) if isinstance(key, str) and key != "\n"]
         runs = [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)]
-        texts = [[k if k[:1] == "\n" else " " + k for k in run] for run in runs]
+        texts = [[key if (key := keys[k])[:1] == "\n" else " " + key for k in run] for run in runs]
         for run, own, found in zip(runs, texts, self.library.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             reached = np.cumsum(self.sizes[ids])
-            wanted = np.cumsum([len(t.encode()) for t in own])
+            wanted = np.cumsum(pc.binary_length(pa.array(own, pa.string())).to_numpy(), dtype=np.int64)
             ends = np.searchsorted(reached, wanted) + 1
             if len(reached) < ends[-1] or (reached[ends - 1] != wanted).any():
                 continue  # each for itself, below
             raw, start = ids.tobytes(), 0
-            for key, end in zip(run, (4 * ends).tolist()):
-                made[key] = raw[start:end]
+            for k, end in zip(run, (4 * ends).tolist()):
+                made[k] = raw[start:end]
                 start = end
-        alone = [k for k in keys if k not in made]
-        texts = [k[0] if isinstance(k, tuple) else k if k[:1] == "\n" else " " + k for k in alone]
-        for key, found in zip(alone, self.library.encode_batch_fast(texts, add_special_tokens=False)):
-            made[key] = np.array(found.ids, "<u4").tobytes()
-        return [made[k] for k in keys]
+        alone = [k for k, ids in enumerate(made) if ids is None]
+        texts = [key[0] if isinstance(key := keys[k], tuple) else key if key[:1] == "\n" else " " + key for k in alone]
+        for k, found in zip(alone, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            made[k] = np.array(found.ids, "<u4").tobytes()
+        return made
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -87,7 +89,7 @@ class ByteTokenizer:
         for k, plain in enumerate(simple):
             if plain:
                 own = words.codes[words.edges[k] + 1 : words.edges[k + 1]].tolist()
-                out.append(b"".join([rare_ids[first[k]], *[made[c] for c in own]]))
+                out.append(b"".join([rare_ids[first[k]], *map(made.__getitem__, own)]))
             else:
                 out.append(b"".join([rare_ids[p] for p in other[k]]))
         return out

@@ -102,7 +102,8 @@ class Parts:
     def __init__(self, lists: pa.ListArray, kind: pa.DataType):
         encoded = lists.flatten().dictionary_encode()
         codes = encoded.indices.to_numpy(zero_copy_only=False)
-        self.distinct: list = encoded.dictionary.cast(kind).to_pylist()
+        # by way of numpy, which makes the objects at once and not through a scalar for each
+        self.distinct: list = encoded.dictionary.cast(kind).to_numpy(zero_copy_only=False).tolist()
         edges = lists.offsets.to_numpy().astype(np.int64)
         empty = kind == pa.string() and "" or b""
         if empty in self.distinct:
@@ -142,7 +143,7 @@ class Kept:
 
     def values(self, distinct: list) -> list:
         """The value of each of these different parts."""
-        found = [self.kept.get(p) for p in distinct]
+        found = list(map(self.kept.get, distinct))
         new = [k for k, value in enumerate(found) if value is None]
         parts = [distinct[k] for k in new]
         made = self.compute(parts) if new else []
