@@ -110,6 +110,71 @@ def test_best_class_gain_is_exact():
         assert fit(joint(moved)) - fit(joint(classes)) == pytest.approx(gain, abs=1e-6)
 
 
+def test_best_classes_of_many_words_equal_those_of_one():
+    draw = np.random.default_rng(8)
+    size = class_model.CLASSES
+    counts = draw.integers(0, 5, (40, class_model.ITSELF + 1)) * (draw.random((40, class_model.ITSELF + 1)) < draw.random((40, 1)) / 2)
+    own = draw.integers(1, size, 40)
+    joint = draw.integers(0, 9, (size, size)).astype(float) + 1000
+    word, kind = np.nonzero(counts)
+    best, gain = class_model.best_classes(own, word, kind, counts[word, kind], joint)
+    for k in range(40):
+        left, right, itself = np.split(counts[k].astype(float), [size, 2 * size])
+        one, more = class_model.best_class(own[k], left, right, itself[0], joint)
+        assert (best[k], gain[k]) == (one, pytest.approx(more, abs=1e-6))
+
+
+def rhymes(seed):
+    """Words of equal ending and length that stand alone, or between two others."""
+    draw = random.Random(seed)
+    stem = lambda: "".join(draw.choice(s) for s in ("bcdfgh", "aeiou", "klmnp", "rstvw"))
+    kinds = {stem() + "ing": "xy"[k % 2] for k in range(300)}
+    rows = []
+    for k in range(2500):
+        text = draw.choices(list(kinds), k=12)
+        alone = [w for w in text if kinds[w] == "x"]
+        rows.append((k, alone[0] if k % 10 and alone else " ".join(f"left {w} right" for w in text if kinds[w] == "y")))
+    # frequent words of both kinds, and in all more frequent words than have units of their own
+    rows += [(5000 + k, f"solo{k % 8}" if k % 2 else f"left mid{k % 8} right") for k in range(1200)]
+    rows += [(9000 + k, " ".join(draw.sample([f"f{n}q" for n in range(class_model.OWN_UNITS)], class_model.OWN_UNITS))) for k in range(40)]
+    return rows, kinds
+
+
+@pytest.mark.parametrize("head", [10, 100_000])
+def test_words_without_a_unit_move_by_themselves(documents, monkeypatch, head):
+    """Words that are not among the most frequent share a unit by their ending, though half of them stand elsewhere."""
+    rows, kinds = rhymes(5)
+    monkeypatch.setattr(class_model, "HEAD", head)
+    tables = []
+    whole = class_model.word_classes
+    monkeypatch.setattr(class_model, "word_classes", lambda *a: tables.append(whole(*a)) or tables[0])
+    found = {r.doc_id: r for r in class_model.class_scores(documents(rows), is_held()).collect()}
+    count = Counter(w for i, t in rows if not held(i) for w in t.split())
+    table = {bytes(r["word"]).decode(): (r["n"], r["class"]) for r in tables[0].collect()}
+    assert {w: n for w, (n, _) in table.items()} == dict(count)
+    often = [w for w in kinds if count[w] >= 5]
+    assert len(often) > 100
+    classes = [Counter(table[w][1] for w in often if kinds[w] == k).most_common(1)[0] for k in "xy"]
+    assert classes[0][0] != classes[1][0] and sum(n for _, n in classes) > 0.6 * len(often)
+    # scores follow from the classes of the table, summed over texts word by word
+    ends = sum(not held(i) for i, _ in rows)
+    joint = np.zeros((class_model.CLASSES, class_model.CLASSES))
+    paths = {i: [0, *(table[w][1] if w in table else -1 for w in t.split()), 0] for i, t in rows}
+    for i, path in paths.items():
+        if not held(i):
+            np.add.at(joint, (path[:-1], path[1:]), 1)
+    moves, size, once = class_model.transitions(joint), Counter(), Counter()
+    for n, c in table.values():
+        size[c] += n
+        once[c] += n == 1
+    unseen = {c: (once[c] + 0.5) / (size[c] + 1) for c in size}
+    assert joint[:, 0].sum() == ends
+    for i, text in rows:
+        if -1 not in paths[i]:
+            emitted = sum(math.log10((1 - unseen[c]) * n / size[c]) for n, c in (table[w] for w in text.split()))
+            assert found[i].score == pytest.approx(emitted + sum(moves[a, b] for a, b in zip(paths[i], paths[i][1:])))
+
+
 def test_scores_without_training_texts(documents):
     only = [(i, "a b") for i in range(60) if held(i)]
     assert len(only) > 3 and all(r.n_known == 0 for r in class_model.class_scores(documents(only), is_held()).collect())

@@ -1,12 +1,16 @@
 """Language-model scores by Brown classes.
 
 The corpus statistics are word counts over all training texts, kept as a Spark
-table. For clustering, words form units: each of the most frequent words by
+table. Clustering begins with units: each of the most frequent words by
 itself, the others by their ending and length. Exchange clustering moves
 units between classes while the class bigram likelihood grows; every round
 reads the counts of unit pairs over all training texts in Spark, and a quarter of the
-units may move at a time. A text's probability is the product over its words, and
-one end, of the class transition and of the word's emission from its class.
+units may move at a time. Then every other word of the training texts, however rare,
+moves by itself, to its own best class by its own counts after and before each class, if
+that gains more than it takes to tell a class. An eighth of them moves at a time, and the class counts follow; should
+the moves together lower the likelihood, words keep the classes of their units. Words that training has not seen take the class of their ending. A text's
+probability is the product over its words, and one end, of the class transition
+and of the word's emission from its class.
 
 Smoothing: transitions lean on class frequencies with `PULL` pseudo-counts;
 each class reserves the share of its words seen once for unseen words, which
@@ -28,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.texts import Parts, ready_workers, slices, words_of
-from tickloom.session import materialise
+from tickloom.session import materialise, scratch_path
 
 CLASSES = 64
 OWN_UNITS = 1536
@@ -43,6 +48,16 @@ ROUNDS = 12
 PULL = 20.0
 COUNTED = 400_000
 
+#: bytes of text whose words are counted together, and about the most numbers of words judged together
+COUNTED_BYTES = 8 << 20
+JUDGED = 1 << 15
+#: gain in log-likelihood that pays for telling the class of a word which leaves its unit
+DESCRIBED = float(np.log(CLASSES - 1))
+#: parts of the words that move one after the other
+BATCHES = 8
+#: kinds of neighbours of a word: classes before it, classes after it, the word itself
+ITSELF = 2 * CLASSES
+
 #: unit and class of the end of a text
 END = 0
 
@@ -98,9 +113,11 @@ class Vocabulary:
     def __init__(self, head: list[bytes]):
         self.places = {w: i for i, w in enumerate(head)}
         self.size = len(head)
+        #: words with a unit of their own
+        self.own = min(self.size, OWN_UNITS)
 
     def codes(self, words: list[bytes]) -> list[int]:
-        return [p if (p := self.places.get(w)) is not None else self.size + group_unit(w) for w in words]
+        return [p if p is not None else self.size + group_unit(w) for p, w in zip(map(self.places.get, words), words)]
 
     def units(self) -> np.ndarray:
         """Unit of each code; the first words have their own, in order."""
@@ -191,7 +208,7 @@ def exchange(pairs: DataFrame, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     best = (-np.inf, classes, joint)
     for turn in range(ROUNDS + 1):
         joint = seen
-        fit = float(_xlogx(joint).sum() - _xlogx(joint.sum(axis=0)).sum() - _xlogx(joint.sum(axis=1)).sum())
+        fit = likelihood(joint)
         if fit > best[0]:
             best = (fit, classes, joint)
         if turn == ROUNDS:
@@ -253,24 +270,209 @@ def unit_facts(counts: DataFrame, shared) -> dict[int, tuple[int, int, int]]:
     return {r[0]: tuple(r[1:]) for r in made.collect()}
 
 
+def binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Runs of bytes of `values` as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(values)])
+
+
+def word_profiles(texts: DataFrame, shared, classes: np.ndarray) -> DataFrame:
+    """word, entries: how often each word without a unit of its own has each kind of neighbour, a row
+    per word of some texts. An entry is a number of 64 bits, its lowest 8 the kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, held = shared.value, []
+        of = classes[vocabulary.units()]
+        for piece in slices(batches):
+            held.append(piece.column("text"))
+            if sum(h.nbytes for h in held) >= COUNTED_BYTES:
+                yield counted(vocabulary, of, pa.concat_arrays(held))
+                held = []
+        if held:
+            yield counted(vocabulary, of, pa.concat_arrays(held))
+
+    def counted(vocabulary: Vocabulary, of: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+        words, codes = coded(texts, vocabulary)
+        path = with_ends(of[codes], words.edges)
+        own = with_ends(words.codes + 1, words.edges)  # END is no word
+        other = with_ends(codes >= vocabulary.own, words.edges)
+        at = np.flatnonzero(other)
+        left = np.where(own[at - 1] == own[at], ITSELF, path[at - 1])
+        after = at[own[at + 1] != own[at]]  # a pair of itself is counted once
+        keys = np.concatenate([(own[at] - 1) * 256 + left, (own[after] - 1) * 256 + CLASSES + path[after + 1]])
+        keys, times = np.unique(keys, return_counts=True)
+        found, starts = np.unique(keys >> 8, return_index=True)
+        packed = binaries((keys & 255 | times << 8).astype("<i8"), 8 * np.append(starts, len(keys)))
+        return pa.RecordBatch.from_arrays([pa.array(words.distinct, pa.binary()).take(pa.array(found)), packed], ["word", "entries"])
+
+    return texts.select("text").mapInArrow(run, "word binary, entries binary")
+
+
+def best_classes(own: np.ndarray, word: np.ndarray, kind: np.ndarray, n: np.ndarray, joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `best_class` for many words, from their counts that are not zero: n neighbours of `kind` of each `word`."""
+    counts = np.zeros((len(own), ITSELF + 1))
+    counts[word, kind] = n
+    left, right, itself = counts[:, :CLASSES], counts[:, CLASSES:ITSELF], counts[:, ITSELF]
+    rows = np.arange(len(own))
+    totals = left.sum(axis=1) + itself, right.sum(axis=1) + itself
+    before, after = joint.sum(axis=1) - left, joint.sum(axis=0) - right
+    before[rows, own] -= totals[1]
+    after[rows, own] -= totals[0]
+    gain = np.zeros((len(own), CLASSES))
+    for mine, other, table in ((left, right, joint), (right, left, joint.T)):
+        who, near = np.nonzero(mine)
+        if not len(who):
+            continue
+        times = mine[who, near][:, None]
+        cells, at, same = table[near], own[who], np.flatnonzero(near == own[who])
+        cells[np.arange(len(who)), at] -= times[:, 0]
+        cells[same] -= other[who[same]]
+        cells[same, at[same]] -= itself[who[same]]
+        found, starts = np.unique(who, return_index=True)
+        gain[found] += np.add.reduceat(_xlogx(cells + times) - _xlogx(cells), starts, axis=0)
+    corner = np.repeat(np.diag(joint)[None], len(own), axis=0)
+    corner[rows, own] -= left[rows, own] + right[rows, own] + itself
+    both = left + right + itself[:, None]
+    gain += _xlogx(corner + both) - _xlogx(corner + left) - _xlogx(corner + right) + _xlogx(corner)
+    gain -= _xlogx(after + totals[0][:, None]) - _xlogx(after) + _xlogx(before + totals[1][:, None]) - _xlogx(before)
+    gain[:, END] = -np.inf
+    best = gain.argmax(axis=1)
+    return best, gain[rows, best] - gain[rows, own]
+
+
+def whole_profiles(profiles: DataFrame, shared, classes: np.ndarray) -> DataFrame:
+    """word, n, class of its unit, entries over all texts."""
+
+    def added(words: pa.Array, entries: pa.Array) -> pa.RecordBatch:
+        vocabulary = shared.value
+        encoded = words.dictionary_encode()
+        distinct = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = classes[vocabulary.units()[np.array(vocabulary.codes(distinct), np.int64)]]
+        word, kind, n = entries_of(entries)
+        keys, place = np.unique(encoded.indices.to_numpy().astype(np.int64)[word] * 256 + kind, return_inverse=True)
+        n, kind = np.bincount(place, weights=n).astype(np.int64), keys & 255
+        # wherever a word stands, it has one neighbour before it
+        total = np.bincount(keys >> 8, weights=np.where((kind < CLASSES) | (kind == ITSELF), n, 0), minlength=len(distinct)).astype(np.int64)
+        packed = binaries((kind | n << 8).astype("<i8"), 8 * np.searchsorted(keys >> 8, np.arange(len(distinct) + 1)))
+        columns = [encoded.dictionary, pa.array(total), pa.array(own.astype(np.int32)), packed]
+        return pa.RecordBatch.from_arrays(columns, ["word", "n", "class", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, entries = pa.array([], pa.binary()), pa.array([], pa.binary())
+        for batch in batches:
+            words = pa.concat_arrays([words, batch.column("word")])
+            entries = pa.concat_arrays([entries, batch.column("entries")])
+            # rows of a word stand together; the last word may go on in the next batch
+            cut = pc.index(words, words[-1]).as_py() if len(words) else 0
+            if cut:
+                yield added(words[:cut], entries[:cut])
+                words, entries = words[cut:], entries[cut:]
+        if len(words):
+            yield added(words, entries)
+
+    parts = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return profiles.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int, entries binary")
+
+
+def entries_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, kind and number of each entry."""
+    packed = np.frombuffer(b"".join(column.to_numpy(zero_copy_only=False).tolist()), "<i8")
+    return np.repeat(np.arange(len(column)), pc.binary_length(column).to_numpy() // 8), packed & 255, packed >> 8
+
+
+def word_moves(whole: DataFrame, joint: np.ndarray) -> DataFrame:
+    """word, n and best class of each word; and rows without a word, how the class counts `at` change by n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = np.zeros((CLASSES, CLASSES), np.int64)
+        for batch in batches:
+            word, kind, n = entries_of(batch.column("entries"))
+            own = batch.column("class").to_numpy()
+            starts = np.searchsorted(word, np.arange(len(own) + 1))
+            blocks = (starts[:-1] + 4 * np.arange(len(own))) // JUDGED
+            edges = [*np.flatnonzero(np.diff(blocks, prepend=-1)).tolist(), len(own)]
+            new = own.copy()
+            for a, b in zip(edges, edges[1:]):
+                cut = slice(starts[a], starts[b])
+                best, gain = best_classes(own[a:b], word[cut] - a, kind[cut], n[cut], joint)
+                new[a:b] = np.where(gain > DESCRIBED, best, own[a:b])
+            side = kind // CLASSES
+            for sign, of in ((-1, own[word]), (1, new[word])):
+                a = np.where(side == 0, kind, of)
+                b = np.where(side == 1, kind - CLASSES, of)
+                np.add.at(change, (a, b), sign * n)
+            columns = [batch.column("word"), batch.column("n"), pa.array(new.astype(np.int32)), pa.nulls(len(own), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        at = np.flatnonzero(change)
+        columns = [pa.nulls(len(at), pa.binary()), pa.array(change.ravel()[at]), pa.nulls(len(at), pa.int32()), pa.array(at.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["word", "n", "class", "at"]
+    return whole.select("word", "n", "class", "entries").mapInArrow(run, "word binary, n long, class int, at int")
+
+
+def word_classes(training: DataFrame, counts: DataFrame, shared, classes: np.ndarray, joint: np.ndarray) -> DataFrame:
+    """word, n, class of every word: those without a unit of their own move by themselves, a part after the other."""
+    spark = training.sparkSession
+    whole, path = whole_profiles(word_profiles(training, shared, classes), shared, classes), scratch_path(spark, "profiles")
+    whole.withColumn("batch", F.pmod(F.xxhash64("word"), F.lit(BATCHES)).cast("int")).write.partitionBy("batch").parquet(path)
+    whole = spark.read.schema("word binary, n long, class int, entries binary, batch int").parquet(path)
+    table = unit_classes(counts, shared, classes, own=True)
+    for batch in range(BATCHES):
+        moved = materialise(word_moves(whole.where(F.col("batch") == batch), joint), "moves")
+        joint = joint.copy()
+        for at, change in moved.where("word IS NULL").groupBy("at").agg(F.sum("n")).collect():
+            joint[at // CLASSES, at % CLASSES] += change
+        joint = np.maximum(joint, 0)
+        table = table.unionByName(moved.where("word IS NOT NULL").select("word", "n", "class"))
+    return table
+
+
+def unit_classes(counts: DataFrame, shared, classes: np.ndarray, own: bool = False) -> DataFrame:
+    """word, n, class of every word, or of those with a unit of their own: the class of its unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        of = classes[vocabulary.units()].astype(np.int32)
+        for batch in batches:
+            codes = np.array(vocabulary.codes(batch.column("word").to_pylist()), np.int64)
+            made = pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(of[codes])], ["word", "n", "class"])
+            yield made.filter(pa.array(codes < vocabulary.own)) if own else made
+
+    return counts.select("word", "n").mapInArrow(run, "word binary, n long, class int")
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """What the class transitions add to the log-likelihood."""
+    return float(_xlogx(joint).sum() - _xlogx(joint.sum(axis=0)).sum() - _xlogx(joint.sum(axis=1)).sum())
+
+
+def transitions(joint: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each class after each class."""
+    after = joint.sum(axis=0)
+    common = (after + 1) / (after.sum() + CLASSES)
+    return np.log10((joint + PULL * common) / (joint.sum(axis=1)[:, None] + PULL))
+
+
 class ClassModel:
-    """Everything that scoring looks up; its size is fixed by HEAD, UNITS and CLASSES."""
+    """Everything that scoring looks up; its size is fixed by HEAD, UNITS and CLASSES.
+    `of` and `per_class`: class of each code, and counts of each class, where words have left their units."""
 
-    def __init__(self, vocabulary: Vocabulary, head: np.ndarray, classes: np.ndarray, joint: np.ndarray, facts: dict, tokens: int, distinct: int):
+    def __init__(
+        self, vocabulary: Vocabulary, head: np.ndarray, classes: np.ndarray, joint: np.ndarray, facts: dict, tokens: int, distinct: int,
+        of: np.ndarray | None = None, per_class: np.ndarray | None = None,
+    ):
         self.vocabulary, self.tokens, self.distinct = vocabulary, tokens, distinct
-        units = vocabulary.units()
-        self.classes = classes[units]
-        per_class = np.zeros((CLASSES, 3))
-        for unit, counts in facts.items():
-            per_class[classes[unit]] += counts
+        self.classes = classes[vocabulary.units()] if of is None else of
+        if per_class is None:
+            per_class = np.zeros((CLASSES, 3))
+            for unit, counts in facts.items():
+                per_class[classes[unit]] += counts
         per_class[END] = (0, 0, 0)
         size, once = per_class[:, 0], per_class[:, 2]
         #: share of a class kept for unseen words; a class without words has nothing else
         self.unseen = np.where(size > 0, (once + 0.5) / (size + 1), 1.0)
         self.size = size
-        after = joint.sum(axis=0)
-        common = (after + 1) / (after.sum() + CLASSES)
-        self.moves = np.log10((joint + PULL * common) / (joint.sum(axis=1)[:, None] + PULL))
+        self.moves = transitions(joint)
         c = head.astype(float)
         of = self.classes[: len(head)]
         self.base = np.log10((c + 1) / (tokens + distinct + 1))
@@ -278,9 +480,9 @@ class ClassModel:
 
 
 def scored(docs: DataFrame, shared, ends: int) -> DataFrame:
-    """A row per text with what needs no join, and a row per text and other word."""
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, class int, n long"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64()]
+    """A row per text with what needs no join, its path of classes among it, and a row per place of an other word."""
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, path binary, word binary, class int, place long"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,33 +495,108 @@ def scored(docs: DataFrame, shared, ends: int) -> DataFrame:
         for piece in slices(batches):
             words, codes = coded(piece.column("text"), model.vocabulary)
             n, sizes, edges, owner = piece.num_rows, words.sizes, words.edges, words.owner
-            path = with_ends(model.classes[codes], edges)
-            steps = np.append(0.0, model.moves[path[:-1], path[1:]].cumsum())
-            stops = edges + np.arange(n + 1)
-            score = steps[stops[1:]] - steps[stops[:-1]]
             head = codes < known
             mine, who = codes[head], owner[head]
-            score += np.bincount(who, weights=model.emits[mine], minlength=n)
+            score = np.bincount(who, weights=model.emits[mine], minlength=n)
             base = np.bincount(who, weights=model.base[mine], minlength=n) + end_base
             seen = np.bincount(who, minlength=n) + (ends > 0)
             ids = piece.column("doc_id")
             rows = np.arange(row, row + n)
             row += n
-            columns = [rows, ids, sizes + 1, seen, base, score, pa.nulls(n, kinds[6]), pa.nulls(n, kinds[7]), pa.nulls(n, kinds[8])]
+            path = binaries(model.classes[codes].astype(np.uint8), edges)
+            columns = [rows, ids, sizes + 1, seen, base, score, path, *(pa.nulls(n, k) for k in kinds[7:])]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names)
             rest = np.flatnonzero(~head)
             if len(rest):
-                many = len(words.distinct)
-                pairs, first, times = np.unique(owner[rest] * many + words.codes[rest], return_index=True, return_counts=True)
-                m = len(pairs)
-                word = pa.array(words.distinct, pa.binary()).take(pa.array(pairs % many))
-                kind = model.classes[codes[rest[first]]].astype(np.int32)
-                columns = [rows[pairs // many], *(pa.nulls(m, k) for k in kinds[1:6]), word, kind, times]
+                word = pa.array(words.distinct, pa.binary()).take(pa.array(words.codes[rest]))
+                kind, place = model.classes[codes[rest]].astype(np.int32), rest - edges[owner[rest]]
+                columns = [rows[owner[rest]], *(pa.nulls(len(rest), k) for k in kinds[1:7]), word, kind, place]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def paths_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column end to end, and where each row's begin."""
+    edges = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64)])
+    return np.frombuffer(b"".join(column.to_numpy(zero_copy_only=False).tolist()), np.uint8).copy(), edges
+
+
+def with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths into which the classes of the words in `places` (place * CLASSES + class) are set."""
+    for batch in batches:
+        path, edges = paths_of(batch.column("path"))
+        lists = batch.column("places")
+        spots, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+        path[np.repeat(edges[:-1], sizes) + spots // CLASSES] = spots % CLASSES
+        keep = [n for n in batch.schema.names if n not in ("path", "places")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), binaries(path, edges)], [*keep, "path"])
+
+
+def path_counts(paths: DataFrame) -> np.ndarray:
+    """Class transition counts of whole paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            row = with_ends(*paths_of(batch.column("path"))).astype(np.int64)
+            held += np.bincount(row[:-1] * CLASSES + row[1:], minlength=CLASSES * CLASSES)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
+
+    joint = np.zeros(CLASSES * CLASSES)
+    for at, n in paths.select("path").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        joint[at] = n
+    return joint.reshape(CLASSES, CLASSES)
+
+
+def with_moves(paths: DataFrame, moves: np.ndarray) -> DataFrame:
+    """The rows of `paths` with the transitions of their path in their score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, edges = paths_of(batch.column("path"))
+            row = with_ends(path, edges)
+            steps = np.append(0.0, moves[row[:-1], row[1:]].cumsum())
+            stops = edges + np.arange(batch.num_rows + 1)
+            score = batch.column("score").to_numpy() + steps[stops[1:]] - steps[stops[:-1]]
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["path", "score"]).columns, pa.array(score)], names)
+
+    names = [n for n in paths.columns if n not in ("path", "score")] + ["score"]
+    return paths.mapInArrow(run, ", ".join(f"{n} {dict(paths.dtypes)[n]}" for n in names))
+
+
+def whole_paths(texts: DataFrame, table: DataFrame, model: ClassModel, ends: int) -> DataFrame:
+    """doc_id, n_tokens, n_known, base, score without transitions, and the path of classes of every text.
+    `table`: word, n, class of all words of the training texts."""
+    parts = materialise(scored(texts, texts.sparkSession.sparkContext.broadcast(model), ends), "scores")
+    rest = parts.where("word IS NOT NULL").select("row", "word", F.col("class").alias("unit_class"), "place")
+    unseen, weight = fixed_array(model.unseen), fixed_array(np.maximum(model.size, 1.0))
+    total = F.lit(float(model.tokens + model.distinct + 1))
+    kind = F.coalesce("class", "unit_class")
+    emitted = F.when(F.col("n").isNull(), F.log10(F.get(unseen, kind))).otherwise(
+        F.log10((1 - F.get(unseen, kind)) * F.col("n") / F.get(weight, kind))
+    )
+    joined = rest.join(table, "word", "left").groupBy("row").agg(
+        F.sum(emitted).alias("more_score"),
+        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / total)).alias("more_base"),
+        F.count("n").alias("more_known"),
+        F.collect_list(F.col("place") * CLASSES + kind).alias("places"),
+    )
+    whole = parts.where("word IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "score", "path")
+    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+    rows = whole.join(joined, "row", "left").select(
+        "doc_id",
+        "n_tokens",
+        plus("n_known", "more_known"),
+        plus("base", "more_base"),
+        plus("score", "more_score"),
+        "path",
+        F.coalesce("places", F.expr("CAST(array() AS array<bigint>)")).alias("places"),
+    )
+    return rows.mapInArrow(with_places, "doc_id long, n_tokens long, n_known long, base double, score double, path binary")
+
+
 def class_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every
     whole text; learns from the texts where `held_out` is not true."""
@@ -327,7 +604,8 @@ def class_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
     ready_workers(spark)
     share = spark.sparkContext.broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    training = texts.where(~F.coalesce(held_out, F.lit(False)))
+    is_held = F.coalesce(held_out, F.lit(False))
+    training = texts.where(~is_held)
     counts = materialise(word_counts(training), "words")
     facts = counts.agg(F.sum("n"), F.count("*")).first()
     ends = training.count()
@@ -339,26 +617,26 @@ def class_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
     units = unit_facts(counts, shared)
     sizes = np.array([units.get(u, (0,))[0] for u in range(UNITS)])
     classes, joint = exchange(pairs, sizes)
-    model = ClassModel(vocabulary, np.array([n for _, n in head]), classes, joint, units, tokens, distinct)
-    parts = materialise(scored(texts, share(model), ends), "scores")
-    rest = parts.where("word IS NOT NULL").select("row", "word", "class", F.col("n").alias("times"))
-    table, weight = fixed_array(model.unseen), fixed_array(np.maximum(model.size, 1.0))
-    emitted = F.when(F.col("n").isNull(), F.log10(F.get(table, "class"))).otherwise(
-        F.log10((1 - F.get(table, "class")) * F.col("n") / F.get(weight, "class"))
-    )
-    joined = rest.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * emitted).alias("more_score"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tokens + distinct + 1)))).alias("more_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-    )
-    whole = parts.where("word IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return whole.join(joined, "row", "left").select(
+    own = materialise(word_classes(training, counts, shared, classes, joint), "classes")
+    for table in (own, unit_classes(counts, shared, classes)):
+        of = classes[vocabulary.units()]
+        if head:
+            for word, kind in table.where((F.col("n") >= head[-1][1]) & (F.length("word") <= LONGEST_HEAD)).select("word", "class").collect():
+                of[vocabulary.places[bytes(word)]] = kind
+        per_class = np.zeros((CLASSES, 3))
+        for kind, *numbers in table.groupBy("class").agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long"))).collect():
+            per_class[kind] = numbers
+        model = ClassModel(vocabulary, np.array([n for _, n in head]), classes, joint, units, tokens, distinct, of, per_class)
+        paths = materialise(whole_paths(texts, table, model, ends), "paths")
+        found = path_counts(paths.where(~is_held))
+        if likelihood(found) >= likelihood(joint) - 1e-6:
+            break
+    return with_moves(paths, transitions(found)).select(
         "doc_id",
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        is_held.alias("held_out"),
         "n_tokens",
-        plus("n_known", "more_known").cast("long").alias("n_known"),
+        "n_known",
         F.lit(tokens).cast("long").alias("train_tokens"),
-        plus("base", "more_base").alias("base_score"),
-        plus("score", "more_score").alias("score"),
+        F.col("base").alias("base_score"),
+        "score",
     )
