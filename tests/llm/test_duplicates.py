@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from tickloom.llm import repeats, simhash
 from tickloom.llm.components import components
@@ -253,3 +255,11 @@ def test_a_large_group_is_linked_under_few_masks(documents, monkeypatch):
     rounds = {tuple(r) for r in simhash.code_families(nodes, 8, 105, masks).collect()}
     whole = components(simhash.linked_long(nodes.selectExpr("*", "node AS part"), 8, 105, masks))
     assert rounds == {tuple(r) for r in whole.collect()} and len(rounds) >= 240
+
+
+def test_texts_are_cut_into_paths_a_megabyte_at_a_time():
+    texts = ["word " * 40_000] * 40  # 8 MB, few bytes when packed
+    batch = pa.RecordBatch.from_arrays([pa.array([zstandard.compress(t.encode()) for t in texts])], ["text"])
+    pieces = list(repeats.unpacked(iter([batch])))
+    assert [t for p in pieces for t in p.column("text").to_pylist()] == texts
+    assert max(p.column("text").nbytes for p in pieces) < 1.3 * (1 << 20)

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tickloom.llm import texts
 from tickloom.llm.byte_tokens import ByteTokenizer, byte_tokenizer
 from tickloom.llm.piece_codec import codec, encode_texts
 from tickloom.llm.pieces import pre_tokens
@@ -114,3 +115,16 @@ def test_words_that_come_again_are_encoded_once():
     first = tokens.ids([text])
     assert sum(asked) == 450_001  # the first word also as it stands without a space
     assert tokens.ids([text]) == first and sum(asked) == 450_001
+
+
+def test_values_are_kept_through_a_stage_and_no_longer(monkeypatch):
+    made = []
+    own = texts.Kept(lambda parts: [made.append(p) or p * 2 for p in parts])
+    for stage in (3, 3, 4):
+        monkeypatch.setattr(texts, "this_stage", lambda: stage)
+        list(texts.slices([]))  # a task begins
+        assert own.values(["a"]) == ["aa"]
+    assert made == ["a", "a"]
+    monkeypatch.setattr(texts, "this_stage", lambda: 5)
+    list(texts.slices([]))
+    assert not own.kept

@@ -32,12 +32,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tickloom.llm.texts import as_bytes, ready_workers, slices, words_of
+from tickloom.llm.texts import as_bytes, ready_workers, slices, then_given_back, words_of
 from tickloom.llm.word_hashes import Runs, least_in_window
 from tickloom.session import materialise
 
 ANCHOR_WORDS = 5
-HELD_PATHS = 1_000_000
+#: bytes of text that are cut into paths together; each needs some forty bytes of memory meanwhile
+CUT_BYTES = 1 << 20
+#: paths that a task holds, of 32 bytes each, and those it hands on together
+HELD_PATHS = 250_000
+HANDED_ON = 65_536
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -82,12 +86,12 @@ def packed(docs: DataFrame) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for piece in slices(batches):
+        for piece in slices(batches, CUT_BYTES):
             small = [None if t is None else squeeze(t) for t in piece.column("text").cast(pa.binary()).to_pylist()]
             yield piece.set_column(piece.schema.get_field_index("text"), "text", pa.array(small, pa.binary()))
 
     fields = [StructField(f.name, BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
-    return docs.mapInArrow(run, StructType(fields))
+    return docs.mapInArrow(then_given_back(run), StructType(fields))
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +100,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     stretch = zstandard.ZstdDecompressor().decompress
     whole = lambda column: np.array([0 if t is None else zstandard.frame_content_size(t) for t in column.to_pylist()], np.int64)
-    for piece in slices(batches, size_of=whole):
+    for piece in slices(batches, CUT_BYTES, whole):
         texts = [None if t is None else stretch(t) for t in piece.column("text").to_pylist()]
         yield piece.set_column(piece.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
@@ -107,7 +111,7 @@ def paths(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for piece in itertools.chain(slices(batches), [None]):
+        for piece in itertools.chain(slices(batches, CUT_BYTES), [None]):
             if piece is not None:
                 found = Paths(piece.column("text"), words)
                 ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
@@ -116,9 +120,11 @@ def paths(docs: DataFrame, words: int) -> DataFrame:
             if size and (piece is None or size >= HELD_PATHS):
                 rows = _distinct(held)
                 held, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].astype(np.int32) if k == 3 else rows[:, k]) for k in range(4)], names)
+                for a in range(0, len(rows), HANDED_ON):
+                    own = rows[a : a + HANDED_ON]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[:, k].astype(np.int32) if k == 3 else own[:, k]) for k in range(4)], names)
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "anchor long, content long, doc long, start int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(then_given_back(run), "anchor long, content long, doc long, start int")
 
 
 def first_paths(found: DataFrame) -> DataFrame:
@@ -180,7 +186,7 @@ def settle(joined: DataFrame, words: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(then_given_back(run), schema)
 
 
 def _covered(n: int, words: int, repeats: list | None, asked: list | None, firsts: list | None) -> np.ndarray:
@@ -258,5 +264,5 @@ def remove_repeats(docs: DataFrame, words: int = 20, with_text: bool = True, wit
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *made], [*kept, *extra])
 
     made = "tl_n_words long, tl_n_removed long, tl_spans array<int>" + ", tl_kept binary" * with_kept + ", tl_text binary" * with_text
-    out = full.mapInArrow(run, StructType([*keyed.schema.fields, *StructType.fromDDL(made).fields]))
+    out = full.mapInArrow(then_given_back(run), StructType([*keyed.schema.fields, *StructType.fromDDL(made).fields]))
     return out.withColumn("tl_text", F.col("tl_text").cast("string")) if with_text else out

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import os
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +40,7 @@ def slices(
 ) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with about `most` bytes of text; a longer row stands alone.
     `size_of` tells the bytes of each text where they are not those of the column."""
+    forget_others()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -50,6 +53,30 @@ def slices(
     give_back()
 
 
+def this_stage() -> int | None:
+    """The stage whose task runs here; None outside of tasks."""
+    context = TaskContext.get()
+    return context.stageId() if context else None
+
+
+def forget_others() -> None:
+    """Empty what other stages have kept: a worker lives on, and their values are of no use to this one."""
+    stage = this_stage()
+    for own in Kept.all:
+        if stage is not None and own.stage != stage:
+            own.kept.clear()
+
+
+def then_given_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same, and at its end, when it holds nothing any more, freed memory is returned."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker lives on through the tasks of later stages."""
     pa.default_memory_pool().release_unused()
@@ -136,13 +163,17 @@ def parts_of(texts: list[str]) -> Parts:
 
 
 class Kept:
-    """Values of text parts, computed in batches; the first `most` parts met are kept."""
+    """Values of text parts, computed in batches; the first `most` parts met in a stage are kept."""
+
+    all: weakref.WeakSet[Kept] = weakref.WeakSet()
 
     def __init__(self, compute: Callable[[list], list], most: int = KEPT_ENTRIES):
-        self.compute, self.most, self.kept = compute, most, {}
+        self.compute, self.most, self.kept, self.stage = compute, most, {}, None
+        Kept.all.add(self)
 
     def values(self, distinct: list) -> list:
         """The value of each of these different parts."""
+        self.stage = this_stage()
         found = list(map(self.kept.get, distinct))
         new = [k for k, value in enumerate(found) if value is None]
         parts = [distinct[k] for k in new]
