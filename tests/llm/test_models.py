@@ -124,6 +124,32 @@ def test_best_classes_of_many_words_equal_those_of_one():
         assert (best[k], gain[k]) == (one, pytest.approx(more, abs=1e-6))
 
 
+def test_large_counts_of_words_that_follow_themselves_are_judged_as_one_by_one():
+    draw = np.random.default_rng(9)
+    size = class_model.CLASSES
+    counts = draw.integers(0, 4 * class_model.SMALL, (60, class_model.ITSELF + 1)) * (draw.random((60, class_model.ITSELF + 1)) < 0.05)
+    counts[:20] = np.minimum(counts[:20], 1)
+    counts[30:, class_model.ITSELF] = draw.integers(0, 3 * class_model.SMALL, 30)
+    own = draw.integers(1, size, 60)
+    joint = draw.integers(0, 9, (size, size)).astype(float) + 5000
+    word, kind = np.nonzero(counts)
+    best, gain = class_model.best_classes(own, word, kind, counts[word, kind], joint)
+    for k in range(60):
+        left, right, itself = np.split(counts[k].astype(float), [size, 2 * size])
+        one, more = class_model.best_class(own[k], left, right, itself[0], joint)
+        assert (best[k], gain[k]) == (one, pytest.approx(more, abs=1e-6))
+
+
+def test_units_of_a_vocabulary_are_found_once(monkeypatch):
+    asked, of = [], class_model.group_unit
+    monkeypatch.setattr(class_model, "OWN_UNITS", 1)
+    monkeypatch.setattr(class_model, "group_unit", lambda w: asked.append(w) or of(w))
+    vocabulary = class_model.Vocabulary([b"a", b"bb", b"ccc"])
+    units = [vocabulary.units().tolist() for _ in range(3)]
+    assert asked == [b"bb", b"ccc"]
+    assert units == [[1, of(b"bb"), of(b"ccc"), *range(class_model.UNITS)]] * 3
+
+
 def rhymes(seed):
     """Words of equal ending and length that stand alone, or between two others."""
     draw = random.Random(seed)

@@ -48,11 +48,14 @@ ROUNDS = 12
 PULL = 20.0
 COUNTED = 400_000
 
-#: bytes of text whose words are counted together, and about the most numbers of words judged together
+#: bytes of text whose words are counted together, and about the most numbers of words judged together,
+#: few enough that their tables stay in a cache
 COUNTED_BYTES = 8 << 20
-JUDGED = 1 << 15
+JUDGED = 1 << 11
 #: gain in log-likelihood that pays for telling the class of a word which leaves its unit
 DESCRIBED = float(np.log(CLASSES - 1))
+#: counts up to which logarithms are looked up
+SMALL = 32
 #: parts of the words that move one after the other
 BATCHES = 8
 #: kinds of neighbours of a word: classes before it, classes after it, the word itself
@@ -115,14 +118,15 @@ class Vocabulary:
         self.size = len(head)
         #: words with a unit of their own
         self.own = min(self.size, OWN_UNITS)
+        own = [1 + i if i < OWN_UNITS else group_unit(w) for i, w in enumerate(head)]
+        self.of_codes = np.array([*own, *range(UNITS)], np.int32)
 
     def codes(self, words: list[bytes]) -> list[int]:
         return [p if p is not None else self.size + group_unit(w) for p, w in zip(map(self.places.get, words), words)]
 
     def units(self) -> np.ndarray:
         """Unit of each code; the first words have their own, in order."""
-        own = [1 + i if i < OWN_UNITS else group_unit(w) for i, w in enumerate(self.places)]
-        return np.array([*own, *range(UNITS)], np.int32)
+        return self.of_codes
 
 
 def coded(texts: pa.Array, vocabulary: Vocabulary) -> tuple[Parts, np.ndarray]:
@@ -307,33 +311,78 @@ def word_profiles(texts: DataFrame, shared, classes: np.ndarray) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, entries binary")
 
 
-def best_classes(own: np.ndarray, word: np.ndarray, kind: np.ndarray, n: np.ndarray, joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As `best_class` for many words, from their counts that are not zero: n neighbours of `kind` of each `word`."""
+class Rises:
+    """x log x of the class counts, and of these with small numbers added or taken, looked up."""
+
+    def __init__(self, joint: np.ndarray):
+        small = np.arange(SMALL + 1)[:, None, None]
+        self.joint, self.sums = joint, (joint.sum(axis=1), joint.sum(axis=0))
+        #: for n and a class: what n neighbours of it add to each class, with the class before and after
+        self.steps = tuple(_xlogx(t + small) - _xlogx(t) for t in (joint, joint.T))
+        self.plain = tuple(_xlogx(s) for s in self.sums)
+        self.more = tuple(_xlogx(s + small[:, 0]) for s in self.sums)
+
+    def cells(self, flip: int, near: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """What `times` neighbours of class `near` add to each class, if they are not counted at class `at`, another one."""
+        table, rows = self.joint.T if flip else self.joint, np.arange(len(near))
+        out = self.steps[flip][np.minimum(times, SMALL).astype(int), near]
+        large = np.flatnonzero(times > SMALL)
+        if len(large):
+            cells, more = table[near[large]], times[large][:, None]
+            out[large] = _xlogx(cells + more) - _xlogx(cells)
+        here = table[near, at]
+        out[rows, at] = _xlogx(here) - _xlogx(here - times)
+        return out
+
+    def margins(self, side: int, taken: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x log x of the sums of a side, `taken` from them, with and without `total`."""
+        with_it = self.more[side][np.minimum(total, SMALL).astype(int)]
+        without = np.repeat(self.plain[side][None], len(total), axis=0)
+        changed = (taken != 0) | (total > SMALL)[:, None]
+        who, at = np.nonzero(changed)
+        left = self.sums[side][at] - taken[who, at]
+        with_it[who, at], without[who, at] = _xlogx(left + total[who]), _xlogx(left)
+        return with_it, without
+
+
+def best_classes(
+    own: np.ndarray, word: np.ndarray, kind: np.ndarray, n: np.ndarray, joint: np.ndarray, rises: Rises | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """As `best_class` for many words, from their counts that are not zero: n neighbours of `kind` of each `word`.
+    Most counts are small and touch few classes: their logarithms are looked up in `rises`, of the same `joint`."""
+    rises = rises or Rises(joint)
     counts = np.zeros((len(own), ITSELF + 1))
     counts[word, kind] = n
     left, right, itself = counts[:, :CLASSES], counts[:, CLASSES:ITSELF], counts[:, ITSELF]
     rows = np.arange(len(own))
     totals = left.sum(axis=1) + itself, right.sum(axis=1) + itself
-    before, after = joint.sum(axis=1) - left, joint.sum(axis=0) - right
-    before[rows, own] -= totals[1]
-    after[rows, own] -= totals[0]
     gain = np.zeros((len(own), CLASSES))
-    for mine, other, table in ((left, right, joint), (right, left, joint.T)):
+    for flip, (mine, other, table) in enumerate(((left, right, joint), (right, left, joint.T))):
         who, near = np.nonzero(mine)
         if not len(who):
             continue
-        times = mine[who, near][:, None]
-        cells, at, same = table[near], own[who], np.flatnonzero(near == own[who])
-        cells[np.arange(len(who)), at] -= times[:, 0]
-        cells[same] -= other[who[same]]
-        cells[same, at[same]] -= itself[who[same]]
+        times, at = mine[who, near], own[who]
+        made = rises.cells(flip, near, at, times)
+        same = np.flatnonzero(near == at)
+        if len(same):
+            cells, more, mid = table[near[same]], times[same][:, None], at[same]
+            cells[np.arange(len(same)), mid] -= times[same]
+            cells -= other[who[same]]
+            cells[np.arange(len(same)), mid] -= itself[who[same]]
+            made[same] = _xlogx(cells + more) - _xlogx(cells)
         found, starts = np.unique(who, return_index=True)
-        gain[found] += np.add.reduceat(_xlogx(cells + times) - _xlogx(cells), starts, axis=0)
-    corner = np.repeat(np.diag(joint)[None], len(own), axis=0)
-    corner[rows, own] -= left[rows, own] + right[rows, own] + itself
-    both = left + right + itself[:, None]
-    gain += _xlogx(corner + both) - _xlogx(corner + left) - _xlogx(corner + right) + _xlogx(corner)
-    gain -= _xlogx(after + totals[0][:, None]) - _xlogx(after) + _xlogx(before + totals[1][:, None]) - _xlogx(before)
+        gain[found] += np.add.reduceat(made, starts, axis=0)
+    # the corner of a class that is no neighbour does not change
+    who, at = np.nonzero((left != 0) | (right != 0) | (itself != 0)[:, None])
+    corner, before, after, both = joint[at, at], left[who, at], right[who, at], itself[who]
+    corner = corner - np.where(at == own[who], before + after + both, 0)
+    both = before + after + both
+    gain[who, at] += _xlogx(corner + both) - _xlogx(corner + before) - _xlogx(corner + after) + _xlogx(corner)
+    taken = right.copy(), left.copy()
+    taken[0][rows, own] += totals[0]
+    taken[1][rows, own] += totals[1]
+    (more_after, after), (more_before, before) = rises.margins(1, taken[0], totals[0]), rises.margins(0, taken[1], totals[1])
+    gain -= more_after - after + more_before - before
     gain[:, END] = -np.inf
     best = gain.argmax(axis=1)
     return best, gain[rows, best] - gain[rows, own]
@@ -383,7 +432,7 @@ def word_moves(whole: DataFrame, joint: np.ndarray) -> DataFrame:
     """word, n and best class of each word; and rows without a word, how the class counts `at` change by n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        change = np.zeros((CLASSES, CLASSES), np.int64)
+        change, rises = np.zeros((CLASSES, CLASSES), np.int64), Rises(joint)
         for batch in batches:
             word, kind, n = entries_of(batch.column("entries"))
             own = batch.column("class").to_numpy()
@@ -393,7 +442,7 @@ def word_moves(whole: DataFrame, joint: np.ndarray) -> DataFrame:
             new = own.copy()
             for a, b in zip(edges, edges[1:]):
                 cut = slice(starts[a], starts[b])
-                best, gain = best_classes(own[a:b], word[cut] - a, kind[cut], n[cut], joint)
+                best, gain = best_classes(own[a:b], word[cut] - a, kind[cut], n[cut], joint, rises)
                 new[a:b] = np.where(gain > DESCRIBED, best, own[a:b])
             side = kind // CLASSES
             for sign, of in ((-1, own[word]), (1, new[word])):
