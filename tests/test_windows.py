@@ -193,6 +193,27 @@ def test_one_hot_day_is_cut_by_its_rows(spark):
     same(make(cut), make(Series(("symbol",), "bar_ts", ("id",))), ("id",))
 
 
+def test_rows_of_a_hot_day_meet_few_bounds(spark):
+    """Of 2,999 bounds, a row is compared with those of its own blocks only; tied rows stay together."""
+    from tickloom.operators import series as module
+
+    ticks = spark.range(12_000).selectExpr(
+        "'hot' AS symbol", "timestamp_ntz '2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, hash(id) % 40 + 50) AS bar_ts",
+        "IF(id % 50 = 0, NULL, id DIV 2) AS place",
+    ).unionByName(spark.sql("SELECT 'cold' AS symbol, timestamp_ntz '2024-01-02 00:00:00' AS bar_ts, 5L AS place"))
+    layout = plan_series(ticks, Series(("symbol",), "bar_ts", ("place",), chunk_rows=16))
+    cuts = layout.cuts.table
+    assert cuts.agg(F.sum(F.size(module.CUTS))).first()[0] == 2_999
+    assert cuts.agg(F.max(F.size(module.CUTS))).first()[0] == module.FAN - 1 and len(layout.cuts.blocks) == 4
+    keys = [(r.bar_ts, r.place is not None, r.place) for r in ticks.where("symbol = 'hot'").collect()]
+    keys.sort(key=lambda k: (k[0], k[1], k[2] or 0))
+    last = {k: n // 4 for n, k in enumerate(keys)}  # of tied rows, the last tells the part
+    found = module.bucketed(ticks, layout.series, layout.cuts).collect()
+    assert len(found) == 12_001 and {r[module.BUCKET].part for r in found if r.symbol == "cold"} == {0}
+    got = {(r.bar_ts, r.place is not None, r.place): r[module.BUCKET].part for r in found if r.symbol == "hot"}
+    assert got == last
+
+
 def test_chunked_positions_totals_and_fills(long_bars):
     def make(series):
         frame = plan_series(long_bars, series).open(long_bars, back=3, ahead=2)
