@@ -224,6 +224,25 @@ def test_precise_mutual_information_tells_doubles_apart(spark):
     assert "FLOAT" not in ORACLES["p10_feature_importance"].upper()
 
 
+def test_feature_importance_is_the_whole_job(spark):
+    """The SQL bins the columns as they are, and neither side cuts the score before it is shown."""
+    from tickloom.plans.prepare_queries import ORACLES, RANKED
+
+    known = ", ".join([*[f"coalesce({c}, 0) AS {c}" for c in RANKED], "target"])
+    assert f"known AS (SELECT {known} FROM targets)" in ORACLES["p10_feature_importance"]
+    df = spark.createDataFrame([(float(k % 3), float(k % 7 % 2)) for k in range(61)], "x double, y double")
+    rows = [(r.x, r.y) for r in df.collect()]
+    n = len(rows)
+
+    def entropy(values):
+        return -sum(values.count(v) / n * math.log(values.count(v) / n) for v in set(values))
+
+    wanted = entropy([x for x, _ in rows]) + entropy([y for _, y in rows]) - entropy(rows)
+    assert abs(wanted - round(wanted, P.SCORE_DIGITS)) > 1e-11
+    found = P.mutual_information(df, ["x"], "y", bins=3, precise=True).first().importance_score
+    assert found == pytest.approx(wanted, abs=1e-13)
+
+
 def test_scratch_is_dropped(spark, tmp_path):
     from tickloom import session
 
