@@ -132,6 +132,38 @@ def test_isolated_pairs_just_above_the_similarity(documents):
     assert ids >= set(range(0, 300, 2)) and len(ids) <= 150 + 3
 
 
+def test_pairs_that_no_mask_finds_are_found(documents):
+    """One mask finds few of them; none of the similarity stays, and none below it goes."""
+    pairs = []
+    for k in range(80):
+        base = [f"p{k}w{i}" for i in range(184 - k)]
+        pairs += [base, replaced(base, 2 + k % 4, f"p{k}m") if k % 3 else base + [f"p{k}n{i}" for i in range(k)]]
+    similar = [jaccard(a, b) >= 0.8 for a, b in zip(pairs[::2], pairs[1::2])]
+    assert 30 < sum(similar) < 70
+    rows = [(k, " ".join(t)) for k, t in enumerate(pairs)]
+    found = simhash.one_of_each(documents(rows), recall=0.01).collect()
+    assert {r.doc_id for r in found} == {k for k in range(160) if k % 2 == 0 or not similar[k // 2]}
+
+
+@pytest.mark.parametrize("paired,counters", [(256, 1 << 18), (6, 256)])
+def test_families_of_shared_passages_against_brute_force(documents, monkeypatch, paired, counters):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(simhash, "COUNTERS", counters)
+    draw = random.Random(5)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    passages, texts = [words(60) for _ in range(4)], []
+    for k in range(40):
+        base = draw.choice(passages) + words(draw.randrange(0, 60)) + draw.choice(passages)
+        for c in range(draw.choice([0, 1, 1, 3])):
+            texts.append([w if draw.random() > 0.012 * c else words(1)[0] for w in base])
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    wanted = groups(len(texts), links)
+    assert 10 < len(set(wanted)) < len(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    found = simhash.one_of_each(documents([*rows, *rows[:5]]), recall=0.01).collect()
+    assert {r.doc_id for r in found} == set(wanted)
+
+
 @pytest.mark.parametrize("dealt", [False, True])
 def test_similar_rows_against_brute_force(documents, monkeypatch, dealt):
     if dealt:

@@ -42,6 +42,10 @@ SET_ROWS = 1024
 SET_VALUES = 2_000_000
 #: masks of the first round; all others link only what it has not connected
 FIRST_MASKS = 8
+#: counters of shingles, by the low bits of their hash
+COUNTERS = 1 << 18
+#: sets that share a rare shingle are counted in pairs up to this many, more of them are one family
+PAIRED = 256
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -417,6 +421,112 @@ def verified(docs: DataFrame, families: DataFrame, words: int, least: float) ->
     return found.where("a <> b")
 
 
+def place_of(hashes: np.ndarray, counters: int) -> np.ndarray:
+    """The counter of each hash."""
+    return (hashes & np.uint64(counters - 1)).astype(np.int64)
+
+
+def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
+    """How common a shingle is, by the low bits of its hash: 0, or from a count far above the usual one its
+    logarithm. One table of bounded size; a wrong level costs time, not a link."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(COUNTERS, np.int64)
+        for piece in slices(batches):
+            own = [np.unique(shingle_hashes(t, words)) for t in as_bytes(piece.column("text"))]
+            if own:
+                found += np.bincount(place_of(np.concatenate(own), COUNTERS), minlength=COUNTERS)
+        made = [b.tobytes() for b in found.reshape(64, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array(made, pa.binary())], ["block", "counts"])
+        give_back()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int64()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["block", "counts"]
+        )
+
+    form = "block long, counts binary"
+    rows = docs.select("text").mapInArrow(count, form).repartition("block").mapInArrow(add, form).collect()
+    counts = np.zeros((64, COUNTERS // 64), np.int64)
+    for row in rows:
+        counts[row.block] = np.frombuffer(row.counts, np.int64)
+    usual = counts.mean()
+    level = np.log2(np.maximum(counts, 1)).astype(np.uint8) + np.uint8(1)
+    return np.where(counts > usual + 6 * math.sqrt(usual) + 16, level, 0).astype(np.uint8).ravel()
+
+
+def least_common(n: np.ndarray | int, least: float) -> np.ndarray:
+    """Fewest shingles that a set of n has in common with one of similarity `least` or more."""
+    return np.ceil(least * n - 1e-6).astype(np.int64)
+
+
+def rare_shingles(own: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set in the order of (level, hash), so many that two sets of similarity `least`
+    or more have one of theirs in common: all others together are too few."""
+    order = np.argsort(levels[place_of(own, len(levels))], kind="stable")
+    return own[order[: len(own) - int(least_common(np.int64(len(own)), least)) + 1]]
+
+
+def close_sets(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) that join all pairs of nodes (node, part) of different parts whose sets of shingles have Jaccard
+    similarity `least` or more. The rare shingles of such sets have some in common, and at least so many that the
+    other shingles can make up for the rest. Sets with a rare shingle that more than PAIRED have are linked by it alone."""
+    levels = shingle_levels(docs, words)
+
+    def work(piece: pa.RecordBatch) -> dict:
+        sets = [np.unique(shingle_hashes(t, words)) for t in as_bytes(piece.column("text"))]
+        rare = pa.array([rare_shingles(s, levels, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
+        return {"doc_id": piece.column("doc_id"), "n": np.array([len(s) for s in sets], np.int64), "rare": rare}
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            rows = held
+            if batch is not None:
+                new = np.stack([batch.column(c).to_numpy() for c in ("key", "part", "node", "n")], axis=1)
+                rows = new if held is None else np.concatenate([held, new])
+                whole = np.flatnonzero(rows[:, 0] != rows[-1, 0]) if len(rows) else []
+                cut = int(whole[-1]) + 1 if len(whole) else 0
+                rows, held = rows[:cut], rows[cut:]
+            if rows is None or len(rows) < 2:
+                continue
+            at = np.arange(len(rows))
+            for lag in range(1, PAIRED):
+                at = at[at + lag < len(rows)]
+                at = at[rows[at, 0] == rows[at + lag, 0]]
+                if not len(at):
+                    break
+                a, b = rows[at], rows[at + lag]
+                small, large = np.minimum(a[:, 3], b[:, 3]), np.maximum(a[:, 3], b[:, 3])
+                near = (a[:, 1] != b[:, 1]) & (small >= least_common(large, least))
+                a, b, small, large = a[near, 2], b[near, 2], small[near], large[near]
+                both = np.ceil(least / (1 + least) * (small + large) - 1e-6).astype(np.int64)
+                need = both - least_common(large, least) + 1
+                made = [pa.array(x) for x in (np.maximum(a, b), np.minimum(a, b), need)]
+                yield pa.RecordBatch.from_arrays(made, ["a", "b", "need"])
+        give_back()
+
+    rare = map_texts(docs, "doc_id long, n long, rare array<long>", work)
+    keyed = rare.join(nodes.distinct(), rare["doc_id"] == nodes["node"]).dropDuplicates(["doc_id", "rare"])
+    keyed = keyed.select(F.explode("rare").alias("key"), "part", "node", "n")
+    keyed = keyed.where("key IS NOT NULL AND part IS NOT NULL AND node IS NOT NULL AND n IS NOT NULL").repartition("key")
+    # with all columns in use, both sides of the join read one shuffle
+    facts = [F.count("*").alias("count"), F.min("part").alias("low"), F.max("part").alias("high"), F.max("node").alias("last"), F.max("n").alias("most")]
+    sizes = keyed.groupBy("key").agg(*facts).where("low < high AND last IS NOT NULL AND most IS NOT NULL")
+    shared = materialise(keyed.join(sizes.select("key", "count", "low"), "key"), "shared")
+    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    few = shared.where(F.col("count") <= PAIRED).select("key", "part", "node", "n")
+    few = few.repartition(int(parts), "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long, need long")
+    few = few.groupBy("a", "b").agg(F.count("*").alias("count"), F.max("need").alias("need")).where("count >= need").select("a", "b")
+    # to the least part of theirs, which is a node
+    many = shared.where(F.col("count") > PAIRED).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return few.unionByName(many).where("a <> b").distinct()
+
+
 def one_of_each(
     docs: DataFrame, words: int = 5, lanes: int = 8, bits: int = 105, spare: int = 4, recall: float = 0.992, least: float = 0.8
 ) -> DataFrame:
@@ -428,7 +538,8 @@ def one_of_each(
     0.8 of theirs differ in 78 bits on average, unrelated ones in 256. Masks of seeded
     bits find such pairs. A mask has `spare` bits more than the number of codes, so
     unrelated codes share few keys at any size, and there are as many masks as find an
-    isolated pair of `least` with probability `recall`. Rows with a null id stay.
+    isolated pair of `least` with probability `recall`. The pairs that no mask finds are found by
+    the rare shingles of sets that are still apart, so that none is left out. Rows with a null id stay.
     """
     with_id = docs.where("doc_id IS NOT NULL")
     codes = [f"l{k}" for k in range(lanes)]
@@ -438,7 +549,14 @@ def one_of_each(
     masks = sampled_masks(lanes, width, mask_number(width, 64 * lanes, bits, least, recall))
     reached = code_families(nodes, lanes, bits, masks)
     families = nodes.join(reached, nodes["node"] == reached["a"]).select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n")
-    again = components(verified(with_id, materialise(families, "families"), words, least)).where("a <> component")
+    links = materialise(verified(with_id, materialise(families, "families"), words, least), "similar")
+    known = components(links)
+    part = F.coalesce("component", "node").alias("part")
+    parts = materialise(nodes.join(known, nodes["node"] == known["a"], "left").select("node", part, "n"), "parts")
+    close = components(close_sets(with_id, parts.select("node", "part"), words, least))
+    families = parts.join(close, parts["node"] == close["a"]).select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n")
+    more = verified(with_id, materialise(families, "families"), words, least)
+    again = components(links.unionByName(more)).where("a <> component")
     first = nodes.select(F.col("node").alias("tl_first")).distinct()
     first = first.join(again, first["tl_first"] == again["a"], "left_anti")
     return with_id.join(first, with_id["doc_id"] == first["tl_first"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
